@@ -3,12 +3,13 @@
 1. Every document becomes its set of hashed word n-grams. Equal sets form one class, told apart by a 128-bit sum.
 2. Two sets that reach the threshold share a member of their prefixes (the first ``n - ceil(t n) + 1`` members in any
    one order of all n-grams). The order puts frequent n-grams last and long ones first, so that a passage shared by a
-   third of the corpus is not what brings documents together. Classes joined by a shared prefix member, directly or by
-   way of others, form a group; a group holds all links of its classes.
+   third of the corpus is not what brings documents together. Of the classes under a prefix member, two are joined only
+   if their sizes and parity sketches allow a link: each n-gram that only one set has flips one of ``SKETCH_BITS``
+   bits, so sketches differ in no more bits than the sets in members. Classes joined directly or by way of others form
+   a group; a group holds all links of its classes.
 3. In each group an inverted index answers, for each class, which others share at least T members: lists outside the
    L longest are merged and counted, and the survivors are probed by binary search in the long ones (DivideSkip).
    Candidates already connected are passed over, as the result is the connected components.
-   A group of over ``group_members`` n-grams is worked in blocks, see ``link_blocks``.
 
 Null or empty texts and texts without words have empty sets and no links. Rows that repeat a doc_id get the same row
 each. A null doc_id is never the name of a component unless all members' are null. An empty table gives no rows.
@@ -23,16 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import id_text, lowered, materialise, mix, packed, prefix_hash, signed, span_hash, text_slices, words
+from palisade.llm.common import id_text, lowered, materialise, mix, packed, partitions, prefix_hash, signed, span_hash, text_slices, words
 
 #: An n-gram is frequent from this many prefixes on, or from so many that FREQUENT_KEPT n-grams can reach it at most.
 FREQUENT, FREQUENT_KEPT = 64, 50_000
-#: Members of all sets that one task takes from a group at once.
-GROUP_MEMBERS = 4_000_000
+SKETCH_BITS = 512
 #: DivideSkip's weight of the longest list in the number of lists to set aside.
 SKIP_WEIGHT = 0.01
 
-SIG = "doc_id long, n long, sum_a long, sum_b long, prefix array<long>"
+SIG = "doc_id long, n long, sum_a long, sum_b long, sketch binary, prefix array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,23 +81,89 @@ def signatures(size: int, percent: int, frequent: np.ndarray):
                 n = np.zeros(part.num_rows, np.int64)
                 sums = np.zeros((2, part.num_rows), np.uint64)
                 prefix: list = [[]] * part.num_rows
+                sketch = [b""] * part.num_rows
                 for i, kept, length in sets_of(part, size):
                     n[i] = len(kept)
                     sums[0, i] = kept.sum(dtype=np.uint64)
                     sums[1, i] = mix(kept ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                    flips = np.bincount((kept >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+                    sketch[i] = np.packbits((flips & 1).astype(np.uint8)).tobytes()
                     often = np.zeros(len(kept), bool)
                     if len(frequent):
                         often = frequent[np.minimum(np.searchsorted(frequent, kept), len(frequent) - 1)] == kept
                     order = np.lexsort((kept, -length, often))
                     prefix[i] = signed(kept[order[: len(kept) - needed(len(kept), percent) + 1]])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sum_a", "sum_b", "prefix"],
+                    [part.column(0), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "sum_a", "sum_b", "sketch", "prefix"],
                 )
 
     return run
 
 
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` members whose sketches differ in ``differ`` bits can reach the threshold."""
+    least = -(-percent * (n + m) // (100 + percent))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ <= n + m - 2 * least)
+
+
+def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of sets that may link; a set that was reached is not compared again."""
+    out, left = [], np.arange(len(n))
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = may_link(n[left], n[at], np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1, dtype=np.int64), percent)
+            out += [(int(at), int(j)) for j in left[near]]
+            front += left[near].tolist()
+            left = left[~near]
+    return out
+
+
+def edges_of(percent: int, few: int = 6):
+    """Arrow kernel over rows (token, rep, n, sketch) in token order: pairs of reps that may link, for each token.
+
+    Pairs under a token with at most ``few`` holders are compared all at once; of more holders, a spanning forest.
+    """
+
+    def edges(token: np.ndarray, rep: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        held = np.diff(np.append(heads, len(token)))
+        small = np.repeat(held <= few, held)
+        a, b = [], []
+        for d in range(1, few):
+            i = np.flatnonzero(small[:-d] & (token[d:] == token[:-d])) if len(token) > d else np.zeros(0, np.int64)
+            i = i[may_link(n[i], n[i + d], np.bitwise_count(sketch[i] ^ sketch[i + d]).sum(axis=1, dtype=np.int64), percent)]
+            a.append(rep[i])
+            b.append(rep[i + d])
+        for h, size in zip(heads[held > few], held[held > few]):
+            found = spanning_edges(n[h : h + size], sketch[h : h + size], percent)
+            a.append(rep[h + np.array([i for i, _ in found], np.int64)])
+            b.append(rep[h + np.array([j for _, j in found], np.int64)])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+            now.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            if rest is not None:
+                now = [np.concatenate(x) for x in zip(rest, now)]
+            last = int(np.searchsorted(now[0], now[0][-1], side="left"))
+            if last:
+                yield edges(*(x[:last] for x in now))
+            rest = tuple(x[last:] for x in now)
+        if rest is not None:
+            yield edges(*rest)
+
+    return run
+
+
 class Links:
     """Union-find over positions, the least position naming a component."""
 
@@ -223,7 +289,7 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     def classes(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
         sig = materialise(docs.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
-        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), F.any_value("prefix").alias("prefix"))
+        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix"))
 
     sig, reps = classes(np.zeros(0, np.uint64))
     prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
@@ -234,14 +300,16 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         sig, reps = classes(np.sort(often.view(np.uint64)))
         prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
         counts = prefixes.groupBy("token").count().filter("count > 1")
-    pairs = materialise(prefixes.join(counts.select("token"), "token", "left_semi"), "pairs")
+    holders = reps.filter("rep is not null").select("rep", "n", "sketch", F.explode("prefix").alias("token")).join(counts.select("token"), "token", "left_semi")
+    holders = holders.select("token", "rep", "n", "sketch").repartition(partitions(spark), "token").sortWithinPartitions("token")
+    edges = materialise(holders.mapInArrow(edges_of(percent), "a long, b long").distinct(), "edges")
+    # each edge's lesser end stands for a token that both ends hold
+    pairs = edges.select(F.col("b").alias("rep"), F.col("a").alias("token")).unionByName(edges.select(F.col("a").alias("rep"), F.col("a").alias("token")).distinct())
     grouped = groups_of(pairs)
-    crowd = grouped.groupBy("grp").count().filter("count > 1").select("grp")
-    grouped = grouped.join(crowd, "grp", "left_semi")
-    texts = docs.join(grouped.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+    texts = docs.join(grouped.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").repartition(partitions(spark), "grp")
     linked = texts.groupBy("grp").applyInArrow(lambda key, t: link_group(size, percent)(t), "doc_id long, component long")
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
     named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))
-    out = sig.drop("prefix").join(named, ["n", "sum_a", "sum_b"], "left")
+    out = sig.drop("prefix", "sketch").join(named, ["n", "sum_a", "sum_b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
