@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.reasons import pinned
+
 START_MS = 1_705_689_600_000
 
 
@@ -51,4 +53,5 @@ def captured_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode(body, "UTF-8")
     framed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw)), 4, "0")), raw)
     payload = F.when(kind == 29, F.lit(b"\x00")).when(kind == 30, F.concat(F.lit(b"\xff\xff"), raw)).when(kind == 31, F.concat(framed, F.lit(b"!"))).otherwise(framed)
-    return f.select("datagram_id", "received_at_us", "src_ip", "src_port", payload.alias("payload"))
+    # made once, as a captured payload would be read once
+    return pinned(f.select("datagram_id", "received_at_us", "src_ip", "src_port", payload.alias("payload")), "payload")

@@ -36,11 +36,16 @@ def rate_limit_stream(df: DataFrame, config: LimiterConfig = LimiterConfig(), de
             state.remove()
             return
         rows = pd.concat(list(parts)).sort_values(["received_at_us", "datagram_id"])
-        times = rows["received_at_us"].to_numpy(np.int64)
-        tokens, last = state.get if state.exists else (config.burst_tokens * UNIT, int(times[0]))
-        rows["admitted"], tokens, last = admit_run(times, tokens, last, config)
-        state.update((tokens, last))
-        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        # the bucket does not see what an earlier stage dropped
+        seen = rows["drop_reason"].isna().to_numpy() if "drop_reason" in rows else np.ones(len(rows), bool)
+        rows["admitted"] = pd.Series(None, rows.index, "object")
+        times = rows["received_at_us"].to_numpy(np.int64)[seen]
+        if len(times):
+            tokens, last = state.get if state.exists else (config.burst_tokens * UNIT, int(times[0]))
+            admitted, tokens, last = admit_run(times, tokens, last, config)
+            rows.loc[seen, "admitted"] = admitted
+            state.update((tokens, last))
+            state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield rows
 
     limited = timed.groupBy("src_ip", "src_port").applyInPandasWithState(admit, schema, "tokens long, last long", "append", GroupStateTimeout.EventTimeTimeout)
