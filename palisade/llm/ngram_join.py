@@ -247,22 +247,30 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return links.names()
 
 
-def link_group(size: int, percent: int):
-    """Grouped kernel: (doc_id, text) of one block of a group to (doc_id, component)."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("doc_id")
-        ids, sets = [], []
-        all_ids = group.column("doc_id").to_pylist()
-        for batch in group.select(["text"]).to_batches():
-            done = len(ids)
+def link_groups(size: int, percent: int):
+    """Arrow kernel over rows (grp, doc_id, text) in the order of group and doc_id: (doc_id, component) of every row.
+
+    Of a group only its sets are held, eight bytes for each n-gram; texts go as soon as they are read.
+    """
+
+    def close(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        names = connect(sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([ids[i] for i in names], pa.int64())], names=["doc_id", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets = None, [], []
+        for batch in batches:
             for part in text_slices(batch, "text"):
+                groups, docs = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for i, kept, _ in sets_of(part, size):
-                    ids.append(all_ids[done + i])
+                    if groups[i] != group:
+                        if ids:
+                            yield close(ids, sets)
+                        group, ids, sets = groups[i], [], []
+                    ids.append(docs[i])
                     sets.append(kept)
-                done += part.num_rows
-        names = connect(sets, percent)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "component": pa.array([ids[i] for i in names], pa.int64())})
+        if ids:
+            yield close(ids, sets)
 
     return run
 
@@ -306,8 +314,9 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     # each edge's lesser end stands for a token that both ends hold
     pairs = edges.select(F.col("b").alias("rep"), F.col("a").alias("token")).unionByName(edges.select(F.col("a").alias("rep"), F.col("a").alias("token")).distinct())
     grouped = groups_of(pairs)
-    texts = docs.join(grouped.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").repartition(partitions(spark), "grp")
-    linked = texts.groupBy("grp").applyInArrow(lambda key, t: link_group(size, percent)(t), "doc_id long, component long")
+    texts = docs.join(grouped.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select("grp", "doc_id", "text")
+    texts = texts.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "doc_id")
+    linked = texts.mapInArrow(link_groups(size, percent), "doc_id long, component long")
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
     named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))

@@ -1,0 +1,314 @@
+"""The corpus operators on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from palisade.llm import common, html_text, language_id, media_flac, mixing, ngram_join, queries, sentencepiece_chunks, simhash, suffix_dedup, token_rollups, url_rules
+from tests.conftest import DATA
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def odd_texts(seed=4):
+    rng = random.Random(seed)
+    vocabulary = [rng.choice(["the", "of", "Und", "né", "日本", "x", "a1", "\U0001f600"]) + str(rng.randint(0, 60)) for _ in range(80)]
+    base = [" ".join(rng.choices(vocabulary, k=rng.randint(40, 120))) for _ in range(12)]
+    texts = [None, "", " ", "\n\t ", "one", "two words", "  lead and trail  ", "a" * 5000, "ab" * 3000, "ha ha " * 900, "é" * 300, "日本語" * 200, "123 456 !!", "a\x00b\x01c", "▁mark ▁▁ inside", "</s> <s> <unk>", "tab\tnl\nvt\x0b"]
+    texts += base + base[:3] + [b[:-3] + "END" for b in base] + [b.replace(" ", "  ", 3) for b in base[:4]] + [base[0] + "\n" + base[1], base[2][50:] + base[3][:200], base[4] * 40]
+    return texts
+
+
+def frame(spark, texts, clash=True):
+    """Documents with repeated rows, and columns that bear names operators use inside."""
+    rows = [(i * 3 - 6, t, ["en", "de", None][i % 3], ["s0", "s1", None, "s0"][i % 4], None, "x", 7, "y") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[20:23], "doc_id long, text string, lang string, source string, n_chars long, row string, key long, token string")
+    return df if clash else df.drop("row", "key", "token")
+
+
+def by_id(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r["doc_id"]].append(r)
+    return out
+
+
+def documents(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.collect()}
+
+
+def brute_repeats(texts, size):
+    seen, out = set(), {}
+    for doc in sorted(texts):
+        raw = texts[doc].encode()
+        hit = bytearray(len(raw))
+        for p in range(len(raw) - size + 1):
+            if raw[p : p + size] in seen:
+                hit[p : p + size] = b"\1" * size
+            seen.add(raw[p : p + size])
+        kept = bytes(c for c, h in zip(raw, hit) if not h)
+        out[doc] = (len(raw), len(raw) - len(kept), len(re.findall(b"\1+", bytes(hit))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("size, anchors", [(100, 64), (20, 12)])
+def test_suffix_dedup(spark, size, anchors):
+    df = frame(spark, odd_texts())
+    got = by_id(suffix_dedup.remove_repeats(df, min_bytes=size, anchors=anchors, block_symbols=2000))
+    for doc, want in brute_repeats(documents(df), size).items():
+        assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want for r in got[doc]), doc
+    assert sum(map(len, got.values())) == df.count()
+
+
+def test_blocks_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        size, letters = rng.choice([3, 5, 8]), rng.choice([b"ab", b"abc\0", b"a"])
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randint(size, 40))) for _ in range(rng.randint(1, 8))]
+        ids, starts = np.array([rng.randint(0, 3) for _ in strings]), np.arange(len(strings)) * 100
+        owner, a, b = suffix_dedup.repeats(strings, ids, starts, size)
+        got = {(int(i), p) for i, x, y in zip(owner, a, b) for p in range(x, y - size + 1)}
+        seen, want = set(), set()
+        for _, _, i, o in sorted((ids[i], starts[i] + o, i, o) for i, s in enumerate(strings) for o in range(len(s) - size + 1)):
+            w = strings[i][o : o + size]
+            want |= {(i, o)} if w in seen else set()
+            seen.add(w)
+        assert got == want
+
+
+def brute_components(texts, size, percent):
+    sets = {}
+    for doc, text in texts.items():
+        w = WORDS.findall(text.translate(LOWER))
+        sets[doc] = frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+    name = {d: d for d in sets}
+
+    def find(d):
+        while name[d] != d:
+            d = name[d]
+        return d
+
+    docs = sorted(sets)
+    for i, a in enumerate(docs):
+        for b in docs[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                name[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in docs}
+
+
+@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80), (1, 50)])
+def test_ngram_join(spark, monkeypatch, size, percent):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    df = frame(spark, odd_texts())
+    got = by_id(ngram_join.component_ids(df, size, percent))
+    want = brute_components(documents(df), size, percent)
+    assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in got.items()} == {d: {w} for d, w in want.items()}
+    assert sum(map(len, got.values())) == df.count() and any(d != w[1] for d, w in want.items())
+
+
+def test_t_occurrence_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        sets = [np.unique(np.array(rng.choices(range(60), k=rng.randint(1, 50)), np.uint64)) for _ in range(rng.randint(1, 25))]
+        query, least = sets[0], rng.randint(1, 20)
+        found, shared = ngram_join.t_occurrence(query, *ngram_join.index_of(sets), least, np.ones(len(sets), bool))
+        want = {i: len(np.intersect1d(query, s)) for i, s in enumerate(sets)}
+        assert dict(zip(found.tolist(), shared.tolist())) == {i: n for i, n in want.items() if n >= least}
+
+
+def test_sentencepiece(spark):
+    df = frame(spark, odd_texts())
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = documents(df)
+    got = by_id(sentencepiece_chunks.encode(df, MODEL))
+    for doc, text in texts.items():
+        ids = model.encode(text, add_eos=True)
+        for r in got[doc]:
+            assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == model.decode(ids), text[:40]
+            assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read(), limit=3)
+    assert [i for t in list(texts.values()) for i, _ in table.encode([t])] == [model.encode(t, add_eos=True) for t in texts.values()]
+
+
+def test_flac(spark):
+    df = frame(spark, odd_texts())
+    got = by_id(media_flac.media_columns(df))
+    for doc, text in documents(df).items():
+        raw = text.encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        for r in got[doc]:
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+            assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+            assert media_flac.seek(bytes(r["media"]), 10, 50) == payload[10:60]
+    back = media_flac.decode_column(media_flac.media_columns(df).withColumn("media", F.when(F.col("doc_id") > 0, F.col("media")).otherwise(F.lit(b"fLaC"))))
+    assert {r["payload"] is None for r in back.filter("doc_id <= 0").collect()} == {True}
+
+
+def test_flac_streams():
+    rng = random.Random(2)
+    payloads = [bytes([5]), bytes(range(256)) * 40, b"\0\xff" * 3000, bytes(rng.randrange(256) for _ in range(4096)), bytes(int(128 + 100 * np.sin(i / 20)) for i in range(8269))]
+    payloads += [bytes(rng.randrange(100, 100 + rng.choice([2, 20, 100])) for _ in range(rng.randint(1, 9000))) for _ in range(20)]
+    for how in ({}, {"lpc": (3, -1), "shift": 1}, {"lpc": (20, -12, 3, 1), "shift": 4}):
+        streams = media_flac.encode(payloads, **how)
+        assert media_flac.decode(streams) == payloads
+        for _ in range(60):
+            broken = bytearray(rng.choice(streams))
+            broken[rng.randrange(len(broken))] ^= 1 << rng.randrange(8)
+            assert media_flac.decode([bytes(broken)])[0] in (None, *payloads)
+    # known values of the checksums over "123456789"
+    assert media_flac.crc8(b"123456789") == 0xF4 and media_flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0] == 0xFEE8
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Net", "http://a.net/", "https://x.example.NET/en/1?q#f", "http://example.net/en", "http://example.com/de/x", "http://notexample.com/de/", "http://b.org/fr/",
+            "http://b.org/fr", "http://net/?x", "x://y.org/fr/?a://b", "http://a.b.c.net#/en/", "http://example.net//en/", "http://.net/", "http://a.net?/x/"]
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls + urls[5:7])], "page_id long, url string, host string")
+    con = duckdb.connect()
+    pages = df.toPandas()  # noqa: F841
+    want = {tuple(r) for r in con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({url_rules.ORACLE_SQL})").fetchall()}
+    got = {tuple(r) for r in url_rules.judge(df).collect()}
+    assert got == want and len(got) == len(urls) + 2
+    rules = [url_rules.Rule("block", "a.b", "/x/y"), url_rules.Rule("allow", "b", "/x/yz/"), url_rules.Rule("allow", "a.b", "/x/y")]
+    trie = url_rules.build_trie(rules)
+    assert url_rules.longest_match(trie, "c.a.b", "/x/yzz/1") == rules[0] and url_rules.longest_match(trie, "d.b", "/x/yz/1") == rules[1] and url_rules.longest_match(trie, "d.b", "/x/yz") is None
+
+
+PAGE = """<html><head><title>T</title></head><body><div id="cookie-notice"><p>We use cookies a lot here, more words than prose</p></div><nav><a href=x>Home</a></nav><div class="layout-1"><aside><p>side side side</p></aside>
+<div class="post post-17"><h1>Title &amp; more</h1><p>First   para<br>graph &eacute;&#233;.<p>Second <b>bold<i>er</b> text.</p><form><p>Sign up</p></form><script>if (a<b) "</p>"</script><ul><li>one<li>two</ul>
+<div class="comments"><p>I disagree with all of this at great length, dear author</p></div></div></div><footer>c</footer></body></html>"""
+
+
+def test_html(spark):
+    pages = [("http://h.org/1", PAGE), ("http://H.org/2", PAGE.replace("post-17", "post-9").replace("Second", "Other")), ("http://h.org/3", "<p>bare"), (None, PAGE), ("http://e.org", None), ("http://e.org", ""), ("http://h.org/1", PAGE)]
+    df = spark.createDataFrame([(i, u, h, "x", "y") for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, path string, host string")
+    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
+    text = "Title & more First para graph éé. Second bolder text. one two"
+    assert [got[i]["text"] for i in range(7)] == [text, text.replace("Second", "Other"), "bare", text, "", "", text]
+    assert got[0]["by_consensus"] and got[0]["n_chars"] == len(text) and got[0]["url"] == "http://h.org/1"
+
+
+def test_language_id(spark):
+    docs = common.table(spark, DATA, "documents")
+    model = language_id.train(docs)
+    rows = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs.repartition(5), language_id.train(docs.repartition(3))).collect()}
+    assert again == {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, model).collect()}
+    odd = by_id(language_id.identify(frame(spark, odd_texts()), model, keep=("row", "key")))
+    assert {r["lang_pred"] for d in (-6, -3, 0, 3, 30) for r in odd[d]} == {"und"} and odd[6][0]["row"]["key"] == 7
+    none = language_id.identify(docs, language_id.train(docs.withColumn("lang", F.lit(None).cast("string"))))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_language_of_words():
+    rng = random.Random(6)
+    word = lambda parts: "".join(rng.choices(parts, k=3))
+    a, b = ["ka", "to", "mi"], ["schl", "ung", "ei"]
+    model = language_id.fit([" ".join(word(x) for _ in range(40)) for x in [a, b] * 30], ["aa", "bb"] * 30)
+    [found] = language_id.label_words([" ".join([word(a) for _ in range(8)] + [word(b) for _ in range(8)])], model)
+    assert [label for _, label, _ in found] == ["aa"] * 8 + ["bb"] * 8 and all(0 <= p <= 1.0001 for _, _, p in found)
+    scores, t = np.random.default_rng(0).normal(size=(5, 3)).astype(np.float32), np.random.default_rng(1).normal(size=(3, 3))
+    share, _ = language_id.forward_backward(scores, np.array([0, 5]), t)
+    total = np.zeros((5, 3))
+    for path in np.ndindex(*[3] * 5):
+        total[np.arange(5), path] += np.exp(sum(scores[i, k] for i, k in enumerate(path)) + sum(t[x, y] for x, y in zip(path, path[1:])))
+    assert np.allclose(share, total / total.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_simhash(spark):
+    df = frame(spark, odd_texts())
+    texts = documents(df)
+    got = by_id(simhash.search_every(simhash.compare_edits(df), every=1))
+    order = sorted(texts, reverse=True)
+    prints = dict(zip(order, simhash.fingerprints(*common.packed(pa.array([texts[d] for d in order]))).tolist()))
+    close = {d: sum(bin(prints[d] ^ prints[r["doc_id"]]).count("1") <= simhash.RADIUS for r in df.select("doc_id").collect()) for d in order}
+    for i, doc in enumerate(order):
+        text, after = texts[doc], texts[order[(i + 1) % len(order)]]
+        n = len(text) // 3
+        edited = text[: len(text) - n] + after[:n]
+        for r in got[doc]:
+            assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+            assert r["fingerprint"] == f"{prints[doc]:016x}" and r["n_within"] == close[doc]
+            assert r["near_next"] == 1 - bin(prints[doc] ^ prints[order[(i + 1) % len(order)]]).count("1") / 64
+    assert sum(map(len, got.values())) == df.count()
+
+
+def test_simhash_by_hand():
+    words = "a b c d a b c".split()
+    votes = [0] * 64
+    for term, weight in Counter(tuple(words[i : i + 3]) for i in range(5)).items():
+        value = int(simhash.fingerprints(*common.packed(pa.array([" ".join(term)])))[0])
+        votes = [v + weight * (1 if value >> k & 1 else -1) for k, v in enumerate(votes)]
+    assert int(simhash.fingerprints(*common.packed(pa.array([" ".join(words)])))[0]) == sum(1 << k for k, v in enumerate(votes) if v > 0)
+
+
+def test_mixing(spark):
+    df = frame(spark, odd_texts())
+    rows = mixing.mix(df, entropy=0.97).collect()
+    assert len(rows) == df.count() and all(r["n_tokens"] == len(WORDS.findall(t or "")) for r, t in zip(sorted(rows, key=lambda r: r["doc_id"]), [t for _, t in sorted((d["doc_id"], d["text"]) for d in df.collect())]))
+    total, taken = Counter(), Counter()
+    for r in rows:
+        total[r["source"]] += r["n_tokens"]
+        taken[r["source"]] += r["n_tokens"] * r["copies"]
+    p = np.array(list(total.values())) / sum(total.values())
+    weights = {r["source"]: r for r in mixing.source_weights(df.select(F.coalesce("source", F.lit("")).alias("source"), mixing.tokens(F.col("text")).alias("n_tokens")), entropy=0.97).collect()}
+    w = np.array([weights[s]["weight"] for s in total])
+    assert abs(w.sum() - 1) < 1e-6 and abs(-(w * np.log(w)).sum() / np.log(len(w)) - max(0.97, -(p * np.log(p)).sum() / np.log(len(p)))) < 1e-4
+    longest = max(r["n_tokens"] for r in rows)
+    for s in total:
+        assert 0 <= taken[s] - int(weights[s]["weight"] * sum(total.values())) < longest
+    assert {r["doc_id"]: r["copies"] for r in rows} == {r["doc_id"]: r["copies"] for r in mixing.mix(df.repartition(7), entropy=0.97).collect()}
+    limited = {r["source"]: r for r in mixing.source_weights(df.select(F.coalesce("source", F.lit("")).alias("source"), mixing.tokens(F.col("text")).alias("n_tokens")), repeats=1.1).collect()}
+    assert max(r["weight"] / r["share"] for r in limited.values()) <= 1.1001
+    assert min(r["copies"] for r in mixing.mix(df, repeats=1.1, budget=F.col("cover")).collect()) >= 1
+
+
+def test_rollups(spark, tmp_path):
+    schema = "change_id long, doc_id long, op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    batches = {
+        1: [(1, 1, "insert", "a", "en", "v1", None, 10), (2, 2, "insert", "a", "en", "v1", None, 5), (3, 3, "insert", None, None, "v1", None, None), (2, 2, "insert", "a", "en", "v1", None, 5)],
+        2: [(4, 1, "delete", "a", "en", "v1", 10, None), (5, 2, "revise", "a", "en", "v1", 5, 8)],
+        3: [],
+    }
+    rollups = token_rollups.Rollups(spark, f"file://{tmp_path}/r")
+    assert rollups.totals().count() == 0
+    for n, rows in batches.items():
+        assert rollups.apply(n, spark.createDataFrame(rows, schema)) and not rollups.apply(n, spark.createDataFrame(batches[1], schema))
+    want = {("a", "en", "v1", 1, 8), (None, None, "v1", 1, 0)}
+    assert {tuple(r) for r in rollups.totals().collect()} == want
+    (tmp_path / "r/batch=000000000002/_SUCCESS").unlink()  # as if the job had died before its commit
+    assert rollups.committed() == [1, 3] and rollups.apply(2, spark.createDataFrame(batches[2], schema))
+    assert {tuple(r) for r in rollups.compact(f"file://{tmp_path}/c").totals().collect()} == want
+    with pytest.raises(Exception, match="unknown kind"):
+        rollups.apply(9, spark.createDataFrame([(1, 1, "merge", "a", "en", "v1", 1, 1)], schema))
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, tmp_path, name):
+    for table in ("documents", "pages"):
+        common.table(spark, DATA, table).limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    df, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLES[name])
+    order = sorted(df.columns)
+    assert order == sorted(want.columns)
+    assert sorted(repr([r[c] for c in order]) for r in df.collect()) == sorted(repr([r[want.columns.index(c)] for c in order]) for r in want.fetchall())
