@@ -4,8 +4,8 @@
 2. Two sets that reach the threshold share a member of their prefixes (the first ``n - ceil(t n) + 1`` members in any
    one order of all n-grams). The order puts frequent n-grams last and long ones first, so that a passage shared by a
    third of the corpus is not what brings documents together. Of the classes under a prefix member, two are joined only
-   if their sizes and parity sketches allow a link: each n-gram that only one set has flips one of ``SKETCH_BITS``
-   bits, so sketches differ in no more bits than the sets in members. Classes joined directly or by way of others form
+   if their sizes and parity sketches allow a link: each n-gram that only one set has flips one of a
+   sketch's bits, so sketches differ in no more bits than the sets in members. Larger sets have wider sketches. Classes joined directly or by way of others form
    a group; a group holds all links of its classes.
 3. In each group an inverted index answers, for each class, which others share at least T members: lists outside the
    L longest are merged and counted, and the survivors are probed by binary search in the long ones (DivideSkip).
@@ -28,11 +28,12 @@ from palisade.llm.common import id_text, lowered, materialise, mix, packed, part
 
 #: An n-gram is frequent from this many prefixes on, or from so many that FREQUENT_KEPT n-grams can reach it at most.
 FREQUENT, FREQUENT_KEPT = 64, 50_000
-SKETCH_BITS = 512
+#: Sets of up to so many members have a sketch of so many bits. A wide one folds into a narrow one, its bits taken modulo.
+SKETCHES = ((1_200, 512), (9_600, 4_096), (1 << 62, 16_384))
 #: DivideSkip's weight of the longest list in the number of lists to set aside.
 SKIP_WEIGHT = 0.01
 
-SIG = "doc_id long, n long, sum_a long, sum_b long, sketch binary, prefix array<long>"
+SIG = "doc_id long, n long, sum_a long, sum_b long, size_class int, sketch binary, folded binary, prefix array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +73,16 @@ def sets_of(part: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray,
             yield int(row[a]), kept, length[a:b][at]
 
 
+def size_class(n: int) -> int:
+    return next(i for i, (most, _) in enumerate(SKETCHES) if n <= most)
+
+
+def parity_sketch(kept: np.ndarray, wide: int) -> bytes:
+    bits = SKETCHES[wide][1]
+    flips = np.bincount((kept >> np.uint64(20)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
 def signatures(size: int, percent: int, frequent: np.ndarray):
     """Arrow kernel: set size, 128-bit set sum and prefix of each row."""
 
@@ -81,21 +92,23 @@ def signatures(size: int, percent: int, frequent: np.ndarray):
                 n = np.zeros(part.num_rows, np.int64)
                 sums = np.zeros((2, part.num_rows), np.uint64)
                 prefix: list = [[]] * part.num_rows
-                sketch = [b""] * part.num_rows
+                wide, sketch, folded = [0] * part.num_rows, [b""] * part.num_rows, [None] * part.num_rows
                 for i, kept, length in sets_of(part, size):
                     n[i] = len(kept)
                     sums[0, i] = kept.sum(dtype=np.uint64)
                     sums[1, i] = mix(kept ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    flips = np.bincount((kept >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
-                    sketch[i] = np.packbits((flips & 1).astype(np.uint8)).tobytes()
+                    wide[i] = size_class(len(kept))
+                    sketch[i] = parity_sketch(kept, wide[i])
+                    if wide[i] and size_class(needed(len(kept), percent)) < wide[i]:
+                        folded[i] = parity_sketch(kept, wide[i] - 1)  # to meet the sets just below its class
                     often = np.zeros(len(kept), bool)
                     if len(frequent):
                         often = frequent[np.minimum(np.searchsorted(frequent, kept), len(frequent) - 1)] == kept
                     order = np.lexsort((kept, -length, often))
                     prefix[i] = signed(kept[order[: len(kept) - needed(len(kept), percent) + 1]])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.array(sketch, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sum_a", "sum_b", "sketch", "prefix"],
+                    [part.column(0), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.array(wide, pa.int32()), pa.array(sketch, pa.binary()), pa.array(folded, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "sum_a", "sum_b", "size_class", "sketch", "folded", "prefix"],
                 )
 
     return run
@@ -122,7 +135,7 @@ def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tupl
 
 
 def edges_of(percent: int, few: int = 6):
-    """Arrow kernel over rows (token, rep, n, sketch) in token order: pairs of reps that may link, for each token.
+    """Arrow kernel over rows (wide, token, rep, n, sketch) in that order: pairs of reps that may link, for each token.
 
     Pairs under a token with at most ``few`` holders are compared all at once; of more holders, a spanning forest.
     """
@@ -147,17 +160,25 @@ def edges_of(percent: int, few: int = 6):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple | None = None
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
-            now.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            last = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            if last:
-                yield edges(*(x[:last] for x in now))
-            rest = tuple(x[last:] for x in now)
+            wide = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(wide)) + 1), len(wide)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if rest is not None and wide[a] != held:
+                    yield edges(*rest)
+                    rest = None
+                held, part = wide[a], batch.slice(a, b - a)
+                now = [c.to_numpy(zero_copy_only=False) for c in part.columns[1:4]]
+                now.append(np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint64).reshape(b - a, -1))
+                if rest is not None:
+                    now = [np.concatenate(x) for x in zip(rest, now)]
+                last = int(np.searchsorted(now[0], now[0][-1], side="left"))
+                if last:
+                    yield edges(*(x[:last] for x in now))
+                rest = tuple(x[last:] for x in now)
         if rest is not None:
             yield edges(*rest)
 
@@ -220,11 +241,13 @@ def t_occurrence(query: np.ndarray, tokens: np.ndarray, lists: np.ndarray, owner
 
 def index_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(s) for s in sets])
-    owners = np.repeat(np.arange(len(sets)), sizes)
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
-    tokens, heads = np.unique(flat[order], return_index=True)
-    return tokens, np.append(heads, len(flat)), owners[order]
+    owners, flat = owners[order], flat[order]
+    del order
+    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[heads], np.append(heads, len(flat)), owners
 
 
 def reaches(shared, n, m, percent: int):
@@ -297,7 +320,7 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     def classes(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
         sig = materialise(docs.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
-        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix"))
+        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), F.any_value(F.struct("size_class", "sketch", "folded", "prefix")).alias("own")).select("n", "sum_a", "sum_b", "rep", "own.*")
 
     sig, reps = classes(np.zeros(0, np.uint64))
     prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
@@ -308,8 +331,12 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         sig, reps = classes(np.sort(often.view(np.uint64)))
         prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
         counts = prefixes.groupBy("token").count().filter("count > 1")
-    holders = reps.filter("rep is not null").select("rep", "n", "sketch", F.explode("prefix").alias("token")).join(counts.select("token"), "token", "left_semi")
-    holders = holders.select("token", "rep", "n", "sketch").repartition(partitions(spark), "token").sortWithinPartitions("token")
+    # tokens of one holder go before the sketches are added: most of a prefix is its document's own
+    shared = prefixes.join(counts.select("token"), "token", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("shared"))
+    views = F.array(F.struct(F.col("size_class").alias("wide"), "sketch"), F.struct((F.col("size_class") - 1).alias("wide"), F.col("folded").alias("sketch")))
+    holders = reps.select("rep", "n", F.explode(views).alias("v")).filter("v.sketch is not null").join(shared, "rep")
+    holders = holders.select("v.wide", F.explode("shared").alias("token"), "rep", "n", "v.sketch")
+    holders = holders.repartition(partitions(spark), "token").sortWithinPartitions("wide", "token")
     edges = materialise(holders.mapInArrow(edges_of(percent), "a long, b long").distinct(), "edges")
     # each edge's lesser end stands for a token that both ends hold
     pairs = edges.select(F.col("b").alias("rep"), F.col("a").alias("token")).unionByName(edges.select(F.col("a").alias("rep"), F.col("a").alias("token")).distinct())
@@ -320,5 +347,5 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
     named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))
-    out = sig.drop("prefix", "sketch").join(named, ["n", "sum_a", "sum_b"], "left")
+    out = sig.select("doc_id", "n", "sum_a", "sum_b").join(named, ["n", "sum_a", "sum_b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
