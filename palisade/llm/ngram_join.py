@@ -9,7 +9,8 @@
    a group; a group holds all links of its classes.
 3. In each group an inverted index answers, for each class, which others share at least T members: lists outside the
    L longest are merged and counted, and the survivors are probed by binary search in the long ones (DivideSkip).
-   Candidates already connected are passed over, as the result is the connected components.
+   Candidates already connected are passed over, as the result is the connected components. A group of more than
+   ``GROUP_MEMBERS`` n-grams is worked in blocks (``link_large``), so no task holds it whole.
 
 Null or empty texts and texts without words have empty sets and no links. Rows that repeat a doc_id get the same row
 each. A null doc_id is never the name of a component unless all members' are null. An empty table gives no rows.
@@ -30,6 +31,9 @@ from palisade.llm.common import id_text, lowered, materialise, mix, packed, part
 FREQUENT, FREQUENT_KEPT = 64, 50_000
 #: Sets of up to so many members have a sketch of so many bits. A wide one folds into a narrow one, its bits taken modulo.
 SKETCHES = ((1_200, 512), (9_600, 4_096), (1 << 62, 16_384))
+#: N-grams of a group's sets that one task holds; and holders of a prefix member whose sketches one task compares. More
+#: holders than these are put into one group as they are.
+GROUP_MEMBERS, HOLDERS = 6_000_000, 200_000
 #: DivideSkip's weight of the longest list in the number of lists to set aside.
 SKIP_WEIGHT = 0.01
 
@@ -298,6 +302,43 @@ def link_groups(size: int, percent: int):
     return run
 
 
+def link_in(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, component): links among the rows of ``members`` (grp, doc_id) that have one grp. A document may be in
+    several; ``component`` is the least doc_id linked to it in one of them."""
+    n = partitions(docs.sparkSession)
+    texts = docs.join(members.hint("shuffle_hash"), "doc_id").select("grp", "doc_id", "text").repartition(n, "grp").sortWithinPartitions("grp", "doc_id")
+    return texts.mapInArrow(link_groups(size, percent), "doc_id long, component long").distinct()
+
+
+def link_large(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, component) of groups too large for a task, from rows (grp, doc_id, n).
+
+    Each block of a group is linked by itself, then one document of each part found, as far as a task holds those. Of a
+    link still missing, one end at least is outside its group's largest part: all documents outside it are the queries,
+    and in chunks meet every block of their group. What was linked anywhere is joined in the end.
+    """
+    piece = lambda column, total: F.pmod(F.xxhash64(column, F.lit(3)), F.ceil(total / (GROUP_MEMBERS / 2)))
+    totals = members.groupBy("grp").agg(F.sum("n").alias("total"))
+    members = materialise(members.join(totals, "grp").withColumn("block", piece("doc_id", F.col("total"))), "large")
+    place = lambda *parts: F.xxhash64("grp", *parts)
+    within = materialise(link_in(docs, members.select(place("block").alias("grp"), "doc_id"), size, percent), "blocks")
+    heads = members.join(within.select(F.col("component").alias("doc_id")).distinct(), "doc_id")
+    few = heads.groupBy("grp").agg(F.sum("n").alias("m")).filter(F.col("m") <= GROUP_MEMBERS).select("grp")
+    leaders = materialise(link_in(docs, heads.join(few, "grp").select("grp", "doc_id"), size, percent), "leaders")
+    named = members.join(within, "doc_id").join(leaders.select(F.col("doc_id").alias("component"), F.col("component").alias("leader")), "component", "left")
+    named = materialise(named.select("grp", "block", "doc_id", "n", F.coalesce("leader", "component").alias("part")), "parts")
+    largest = named.groupBy("grp", "part").count().groupBy("grp").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("part"))
+    asking = named.join(largest, ["grp", "part"], "left_anti")
+    chunks = asking.groupBy("grp").agg(F.sum("n").alias("total"))
+    asking = asking.join(chunks, "grp").withColumn("chunk", piece("doc_id", F.col("total")))
+    blocks, parts = named.select("grp", "block").distinct(), asking.select("grp", "chunk").distinct()
+    meet = asking.join(blocks.withColumnRenamed("block", "into"), "grp").select(place("into", "chunk").alias("at"), "doc_id")
+    meet = meet.unionByName(named.join(parts, "grp").select(place("block", "chunk").alias("at"), "doc_id")).distinct()
+    asked = link_in(docs, meet.select(F.col("at").alias("grp"), "doc_id"), size, percent)
+    pairs = within.unionByName(leaders).unionByName(asked).select(F.col("doc_id").alias("rep"), F.col("component").alias("token"))
+    return groups_of(materialise(pairs.distinct(), "links")).select(F.col("rep").alias("doc_id"), F.col("grp").alias("component"))
+
+
 def groups_of(pairs: DataFrame) -> DataFrame:
     """(rep, token) rows to (rep, grp): least rep reachable over shared tokens. Each round takes the least label of a
     token's holders and then of a holder's tokens, and follows labels one step further; it ends when none changes."""
@@ -332,18 +373,27 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
         counts = prefixes.groupBy("token").count().filter("count > 1")
     # tokens of one holder go before the sketches are added: most of a prefix is its document's own
-    shared = prefixes.join(counts.select("token"), "token", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("shared"))
+    crowded = counts.filter(F.col("count") > HOLDERS).limit(1).count() > 0
+    shared = prefixes.join(counts.filter(F.col("count") <= HOLDERS).select("token"), "token", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("shared"))
     views = F.array(F.struct(F.col("size_class").alias("wide"), "sketch"), F.struct((F.col("size_class") - 1).alias("wide"), F.col("folded").alias("sketch")))
     holders = reps.select("rep", "n", F.explode(views).alias("v")).filter("v.sketch is not null").join(shared, "rep")
     holders = holders.select("v.wide", F.explode("shared").alias("token"), "rep", "n", "v.sketch")
     holders = holders.repartition(partitions(spark), "token").sortWithinPartitions("wide", "token")
-    edges = materialise(holders.mapInArrow(edges_of(percent), "a long, b long").distinct(), "edges")
+    edges = holders.mapInArrow(edges_of(percent), "a long, b long").distinct()
+    if crowded:
+        held = prefixes.join(counts.filter(F.col("count") > HOLDERS).select("token"), "token")
+        edges = edges.unionByName(held.join(held.groupBy("token").agg(F.min("rep").alias("a")), "token").select("a", F.col("rep").alias("b")).filter("a != b").distinct())
+    edges = materialise(edges, "edges")
     # each edge's lesser end stands for a token that both ends hold
     pairs = edges.select(F.col("b").alias("rep"), F.col("a").alias("token")).unionByName(edges.select(F.col("a").alias("rep"), F.col("a").alias("token")).distinct())
-    grouped = groups_of(pairs)
-    texts = docs.join(grouped.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id").select("grp", "doc_id", "text")
-    texts = texts.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "doc_id")
-    linked = texts.mapInArrow(link_groups(size, percent), "doc_id long, component long")
+    grouped = groups_of(pairs).join(reps.select("rep", "n"), "rep").select("grp", F.col("rep").alias("doc_id"), "n")
+    large = grouped.groupBy("grp").agg(F.sum("n").alias("m")).filter(F.col("m") > GROUP_MEMBERS).select("grp")
+    if large.limit(1).count():
+        grouped, large = materialise(grouped, "grouped"), materialise(large, "large-groups")
+        linked = link_in(docs, grouped.join(large, "grp", "left_anti").select("grp", "doc_id"), size, percent)
+        linked = linked.unionByName(link_large(docs, grouped.join(large, "grp", "left_semi"), size, percent))
+    else:
+        linked = link_in(docs, grouped.select("grp", "doc_id"), size, percent)
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
     named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))

@@ -69,7 +69,7 @@ class Rollups:
         if batch in self.committed():
             return False
         once = changes.dropDuplicates(["doc_id", "tokenizer", "change_id"]) if "change_id" in changes.columns else changes
-        summed(signed(once)).coalesce(1).write.mode("overwrite").parquet(self.folder(batch))
+        summed(signed(once)).write.mode("overwrite").parquet(self.folder(batch))
         return True
 
     def totals(self) -> DataFrame:
@@ -82,7 +82,7 @@ class Rollups:
     def compact(self, path: str) -> Rollups:
         """All totals as batch 0 of a new place."""
         new = Rollups(self.spark, path)
-        self.totals().filter("n_docs != 0 or n_tokens != 0").coalesce(1).write.mode("overwrite").parquet(new.folder(0))
+        self.totals().filter("n_docs != 0 or n_tokens != 0").write.mode("overwrite").parquet(new.folder(0))
         return new
 
 

@@ -119,6 +119,23 @@ def test_ngram_join(spark, monkeypatch, size, percent):
     assert sum(map(len, got.values())) == df.count() and any(d != w[1] for d, w in want.items())
 
 
+@pytest.mark.parametrize("percent", [90, 60])
+def test_large_groups_in_blocks(spark, monkeypatch, percent):
+    rng = random.Random(percent)
+    base = [f"w{rng.randint(0, 30)}" for _ in range(60)]
+    texts = []
+    for i in range(50):  # a chain: neighbours are alike, the ends are not
+        base = list(base)
+        base[rng.randrange(60)] = f"n{i}"
+        texts.append(" ".join(base))
+    df = frame(spark, odd_texts() + texts)
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 300)
+    monkeypatch.setattr(ngram_join, "HOLDERS", 4)
+    got = by_id(ngram_join.component_ids(df, 3, percent))
+    want = brute_components(documents(df), 3, percent)
+    assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in got.items()} == {d: {w} for d, w in want.items()}
+
+
 def test_t_occurrence_against_brute_force():
     rng = random.Random(8)
     for _ in range(200):
