@@ -374,7 +374,10 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         counts = prefixes.groupBy("token").count().filter("count > 1")
     # tokens of one holder go before the sketches are added: most of a prefix is its document's own
     crowded = counts.filter(F.col("count") > HOLDERS).limit(1).count() > 0
-    shared = prefixes.join(counts.filter(F.col("count") <= HOLDERS).select("token"), "token", "left_semi").groupBy("rep").agg(F.collect_list("token").alias("shared"))
+    shared = prefixes.join(counts.filter(F.col("count") <= HOLDERS).select("token"), "token", "left_semi")
+    # tokens with the same holders lead to the same edges, so one of them does: sketches travel once for each list of holders
+    lists = shared.groupBy("token").agg(F.sort_array(F.collect_list("rep")).alias("reps")).groupBy("reps").agg(F.min("token").alias("token"))
+    shared = lists.select("token", F.explode("reps").alias("rep")).groupBy("rep").agg(F.collect_list("token").alias("shared"))
     views = F.array(F.struct(F.col("size_class").alias("wide"), "sketch"), F.struct((F.col("size_class") - 1).alias("wide"), F.col("folded").alias("sketch")))
     holders = reps.select("rep", "n", F.explode(views).alias("v")).filter("v.sketch is not null").join(shared, "rep")
     holders = holders.select("v.wide", F.explode("shared").alias("token"), "rep", "n", "v.sketch")
