@@ -305,8 +305,13 @@ def link_groups(size: int, percent: int):
 def link_in(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, component): links among the rows of ``members`` (grp, doc_id) that have one grp. A document may be in
     several; ``component`` is the least doc_id linked to it in one of them."""
-    n = partitions(docs.sparkSession)
-    texts = docs.join(members.hint("shuffle_hash"), "doc_id").select("grp", "doc_id", "text").repartition(n, "grp").sortWithinPartitions("grp", "doc_id")
+    texts = docs.join(members.hint("shuffle_hash"), "doc_id")
+    return link_texts(texts, size, percent)
+
+
+def link_texts(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """As ``link_in``, for rows (grp, doc_id, text)."""
+    texts = texts.select("grp", "doc_id", "text").repartition(partitions(texts.sparkSession), "grp").sortWithinPartitions("grp", "doc_id")
     return texts.mapInArrow(link_groups(size, percent), "doc_id long, component long").distinct()
 
 
@@ -392,9 +397,12 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     grouped = groups_of(pairs).join(reps.select("rep", "n"), "rep").select("grp", F.col("rep").alias("doc_id"), "n")
     large = grouped.groupBy("grp").agg(F.sum("n").alias("m")).filter(F.col("m") > GROUP_MEMBERS).select("grp")
     if large.limit(1).count():
-        grouped, large = materialise(grouped, "grouped"), materialise(large, "large-groups")
-        linked = link_in(docs, grouped.join(large, "grp", "left_anti").select("grp", "doc_id"), size, percent)
-        linked = linked.unionByName(link_large(docs, grouped.join(large, "grp", "left_semi"), size, percent))
+        # the corpus is shuffled once for all that follows: large groups read the texts of their own members again, not all
+        grouped = grouped.join(large.withColumn("large", F.lit(True)), "grp", "left").select("grp", "doc_id", "n", F.coalesce("large", F.lit(False)).alias("large"))
+        texts = materialise(docs.join(grouped.hint("shuffle_hash"), "doc_id"), "grouped")
+        members = texts.filter("large")
+        linked = link_texts(texts.filter("not large"), size, percent)
+        linked = linked.unionByName(link_large(members.select("doc_id", "text"), members.select("grp", "doc_id", "n").distinct(), size, percent))
     else:
         linked = link_in(docs, grouped.select("grp", "doc_id"), size, percent)
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
