@@ -5,8 +5,9 @@
 2. Every container of a page is scored by the prose that it holds; nested prose counts for less with each level, links
    and boilerplate (by tag, class or id) not at all. The page votes for its best containers' paths.
 3. Spark adds the votes by host and path; each host's best path wins (ties: the smaller path).
-4. Every page is read again and gives the blocks inside its containers of the winning path, or inside its own best
-   container where it has none of that path.
+4. Every page is read again. Its containers of the winning path are widened to the outermost container around them that
+   is an article or has prose of its own on that page, and give their blocks if they hold most of the page's prose. Else
+   the page's own best container, widened until it does hold most, gives its blocks beside theirs.
 
 Winners are broadcast only while there are at most ``BROADCAST_HOSTS`` hosts; beyond, they are joined by host.
 Null html has the empty text. A null url, or one without ``://``, has the host ''. Rows are extracted each by itself,
@@ -29,13 +30,12 @@ from palisade.llm.common import materialise, text_slices
 from palisade.llm.url_rules import split_url
 
 BROADCAST_HOSTS = 50_000
-#: Containers for which a page votes.
-VOTES = 3
 
 # HTML element names and boilerplate words.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tr td th ul ol dl figure fieldset details dialog center blockquote".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption caption summary address option legend title head".split()) | CONTAINERS
 SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|head"
+PARTS = frozenset("ul ol dl blockquote figure".split())  # never a whole article
 BOILER_TAGS = frozenset("nav aside footer form dialog button menu".split())
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form "
@@ -151,8 +151,30 @@ def scores(page: Page) -> list[float]:
     return out
 
 
-def inside(page: Page, roots: list[int]) -> str:
-    """Text of the blocks in any of ``roots``, boilerplate inside them left out, in page order."""
+def own_prose(page: Page) -> list[int]:
+    """Characters of prose outside links that stand directly in each container, none in boilerplate."""
+    out = [0] * len(page.containers)
+    for own, text, linked in page.blocks:
+        if not page.containers[own].boiler:
+            out[own] += max(0, len(text) - 2 * linked)
+    return out
+
+
+def widened(page: Page, prose: list[int], at: int) -> int:
+    """The outermost container around ``at`` that is an article or has prose of its own; lists and quotes give way to
+    what they stand in."""
+    tag = lambda i: page.containers[i].step.split(".")[0]
+    while tag(at) in PARTS:
+        at = page.containers[at].parent
+    up = at
+    while (up := page.containers[up].parent) >= 0:
+        if prose[up] > 0 or tag(up) == "article":
+            at = up
+    return at
+
+
+def below(page: Page, roots: list[int]) -> list[bool]:
+    """Which containers are any of ``roots`` or stand in one, boilerplate left out."""
     keep = [False] * len(page.containers)
     for i in roots:
         keep[i] = True
@@ -161,31 +183,42 @@ def inside(page: Page, roots: list[int]) -> str:
             keep[i] = True
         if c.boiler:
             keep[i] = False
-    return " ".join(text for own, text, _ in page.blocks if keep[own])
+    return keep
 
 
 def votes_of(source: str | None) -> list[tuple[str, float]]:
-    """A page's best paths, with their parts of the best score."""
+    """All paths of a page that hold prose, with their parts of the best score."""
     if not source:
         return []
     page = read_page(source)
     total: dict[str, float] = defaultdict(float)
     for path, score in zip(page.paths(), scores(page)):
         total[path] += score
-    best = sorted(((s, p) for p, s in total.items() if s > 0), key=lambda x: (-x[0], x[1]))[:VOTES]
-    return [(p, s / best[0][0]) for s, p in best]
+    best = max(total.values())
+    return [(p, s / best) for p, s in total.items() if s > 0]
 
 
 def text_of(source: str | None, path: str | None) -> tuple[str, bool]:
-    """Main text, and whether it stands under the host's path."""
+    """Main text, and whether it is what the host's path gives."""
     if not source:
         return "", False
     page = read_page(source)
-    roots = [i for i, (p, c) in enumerate(zip(page.paths(), page.containers)) if p == path and not c.boiler]
-    if roots and (found := inside(page, roots)):
+    prose = own_prose(page)
+
+    def most(keep: list[bool]) -> bool:
+        return 2 * sum(p for p, k in zip(prose, keep) if k) > sum(prose) or not any(prose)
+
+    def text(keep: list[bool]) -> str:
+        return " ".join(text for own, text, _ in page.blocks if keep[own])
+
+    roots = [widened(page, prose, i) for i, (p, c) in enumerate(zip(page.paths(), page.containers)) if p == path and not c.boiler]
+    if roots and most(keep := below(page, roots)) and (found := text(keep)):
         return found, True
     value = scores(page)
-    return inside(page, [max(range(len(value)), key=value.__getitem__)]), False
+    at = widened(page, prose, max(range(len(value)), key=value.__getitem__))
+    while at and not most(below(page, [at])):
+        at = page.containers[at].parent
+    return text(below(page, [*roots, at])), False
 
 
 def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

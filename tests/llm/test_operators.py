@@ -217,6 +217,23 @@ def test_html(spark):
     assert got[0]["by_consensus"] and got[0]["n_chars"] == len(text) and got[0]["url"] == "http://h.org/1"
 
 
+def test_html_keeps_what_stands_around_the_winner(spark):
+    long = lambda word, n: " ".join([word] * n)
+    intro = f"<div class=post><p>{long('intro', 30)}</p><div class=more>{long('rest', 90)}</div></div>"
+    article = f"<article><h1>Head</h1><p>{long('lead', 5)}</p><section class=a>{long('first', 80)}</section><section class=b>{long('second', 9)}</section></article>"
+    quoted = f"<article><header><h1>Head</h1></header><section><p>{long('told', 30)}</p></section><ul><li>{long('item', 90)}</ul></article>"
+    lists = [f"<body><article><ul><li>{long('item', 90)}</ul></article>"] * 5 + [f"<body><article><p>{long('text', 50)}</p><ul><li>item</ul></article>"]
+    split = [f"<body><div class=x>{long('main', 50)}</div>"] * 3 + [f"<body><div class=x>{long('main', 20)}</div><div class=y>{long('other', 60)}</div>"]
+    body = f"<body><h1>Head</h1><nav>links</nav><div class=z>{long('all', 90)}</div>"
+    pages = [("i", intro), ("a", article), ("q", quoted), *(("l", p) for p in lists), *(("s", p) for p in split), ("b", body)]
+    df = spark.createDataFrame([(i, f"http://{h}.org/", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
+    texts = [Counter(got[i]["text"].split()) for i in range(len(pages))]
+    assert texts[:3] == [{"intro": 30, "rest": 90}, {"Head": 1, "lead": 5, "first": 80, "second": 9}, {"Head": 1, "told": 30, "item": 90}]
+    assert texts[8] == {"text": 50, "item": 1} and texts[3] == {"item": 90}
+    assert texts[12] == {"main": 20, "other": 60} and not got[12]["by_consensus"] and texts[13] == {"Head": 1, "all": 90}
+
+
 def test_language_id(spark):
     docs = common.table(spark, DATA, "documents")
     model = language_id.train(docs)
