@@ -34,7 +34,8 @@ BROADCAST_HOSTS = 50_000
 # HTML element names and boilerplate words.
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tr td th ul ol dl figure fieldset details dialog center blockquote".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption caption summary address option legend title head".split()) | CONTAINERS
-SILENT = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|head"
+SILENT = "noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea"
+IN_HEAD = frozenset("html head title meta link base basefont bgsound".split())
 PARTS = frozenset("ul ol dl blockquote figure".split())  # never a whole article
 BOILER_TAGS = frozenset("nav aside footer form dialog button menu".split())
 BOILER_WORDS = frozenset(
@@ -44,10 +45,16 @@ BOILER_WORDS = frozenset(
 )
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<silent>{SILENT})(?=[\s/>])(?P<rest>[^>]*)>|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in (*SILENT.split("|"), "title")}
+# These don't stand in their like: a second start tag shows that the first has no end tag.
+CLOSE_OR_OPEN = {t: re.compile(rf"</{t}\s*>|(?P<open><{t}(?=[\s/>]))", re.I) for t in ("canvas", "audio", "video", "select")}
+# Tags that end a drawing or formula without an end tag, unless they stand in the elements for text in it.
+FLOW = frozenset("article blockquote body center div dl h1 h2 h3 h4 h5 h6 hr li main nav ol p pre section table ul".split())
+FOREIGN = re.compile(rf"</(?:svg|math)\s*>|<(?:foreignobject|desc|annotation-xml|m[inos]|mtext)(?=[\s/>])|(?P<flow><(?:{'|'.join(sorted(FLOW))})(?=[\s/>]))", re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
@@ -82,6 +89,38 @@ def is_boiler(tag: str, names: str, inside_article: bool) -> bool:
     return any(w.lower() in BOILER_WORDS for name in names.split() for w in WORD.findall(name))
 
 
+def silence_end(source: str, m: re.Match, gone: set[str]) -> int:
+    """Where the silent element that ``m`` opens ends: with its own start tag if it has no end tag. ``gone``: what does
+    not come any more in this page, so that no page is searched to its end more than once for it."""
+    tag, at = m["silent"].lower(), m.end()
+    if tag in ("svg", "math"):
+        if m["rest"].endswith("/"):
+            return at
+        first = FOREIGN.search(source, at) if "foreign" not in gone else None
+        if not first:
+            gone.add("foreign")
+            return at
+        if first["flow"]:
+            return first.start()
+    end = CLOSE_OR_OPEN.get(tag, CLOSE[tag]).search(source, at) if tag not in gone else None
+    if not end:
+        gone.add(tag)
+        return at
+    return at if end.groupdict().get("open") else end.end()
+
+
+def head_ends(source: str, at: int) -> bool:
+    """Whether the head that is open at ``at`` has an end tag, or a body after it."""
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        tag = (m["tag"] or "").lower()
+        if tag == "body" or tag == "head" and m["close"]:
+            return True
+        if tag in ("head", "html"):
+            return False
+    return False
+
+
 def read_page(source: str) -> Page:
     containers, blocks = [Container("", -1, False)], []
     stack = [(0, "")]
@@ -98,16 +137,30 @@ def read_page(source: str) -> Page:
                 blocks.append((stack[-1][0], text, min(linked, len(text))))
             held = []
 
-    at = 0
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
+    # 1: in a head that has an end; 2: in one that has none, which ends with the first thing that belongs to a body
+    at, head, gone = 0, 0, set()
+    while m := TOKEN.search(source, at):
+        if m.start() > at and (not head or head == 2 and source[at : m.start()].strip()):
+            head = 0
             held.append((source[at : m.start()], links > 0))
         at = m.end()
-        if m["silent"] and m["silent"].lower() == "head":
-            close_block()
+        if m["silent"]:
+            head = head if head < 2 or m["silent"].lower() in ("noscript", "template") else 0
+            at = silence_end(source, m, gone)
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag == "head":
+            close_block()
+            head = 0 if m["close"] else 1 + (not head_ends(source, at))
+        elif head and not m["close"]:
+            if tag == "title" and (end := CLOSE["title"].search(source, at)):
+                at = end.end()
+            if tag in FLOW or head == 2 and tag not in IN_HEAD:
+                head = 0
+        if head:
+            continue
         if tag == "a":
             links = 0 if m["close"] else 1
         elif tag == "br":
@@ -129,7 +182,7 @@ def read_page(source: str) -> Page:
             boiler = containers[up].boiler or tag not in ("html", "body") and is_boiler(tag, " ".join(names.values()), inside)
             containers.append(Container(".".join([tag, *kinds]), up, boiler))
             stack.append((len(containers) - 1, tag))
-    if at < len(source):
+    if at < len(source) and head != 1:
         held.append((source[at:], links > 0))
     close_block()
     return Page(containers, blocks)

@@ -234,6 +234,35 @@ def test_html_keeps_what_stands_around_the_winner(spark):
     assert texts[12] == {"main": 20, "other": 60} and not got[12]["by_consensus"] and texts[13] == {"Head": 1, "all": 90}
 
 
+HEAD = "<html><head><title>T <b></title><meta charset=x><script>'</head><p>'</script><style>p</style>"
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (HEAD + "<body><p>one<p>two", "one two"),
+        (HEAD + "<p>one<div>two</div><script>'<head></head>'</script>", "one two"),
+        (HEAD + "one <b>two</b>", "one two"),
+        (HEAD + "<noscript><img></noscript><link>stray</head><body>one", "one"),
+        (HEAD + "<p>one</p><html><head><title>U</title></head><body>two", "one two"),
+        ("<p>one<svg a='b'/> two<math/> three</p><svg><path/><text>no</text></svg><p>four", "one two three four"),
+        ("<p>one<svg><path><p>two<svg><g>no</g></svg><p>three", "one two three"),
+        ("<p>one<svg><foreignObject><div>no</div></foreignObject></svg><p>two", "one two"),
+        ("<p>one<video src=x><p>two<video>no</video><select><option>no</select><object data=x><p>three", "one two three"),
+        ("<p>one<canvas><p>two<textarea>no</textarea><iframe src=x><p>three", "one two three"),
+        ("<p>one<!-- no <p>no", "one"),
+        ("<p>one<script>no <p>no", "one"),
+    ],
+)
+def test_html_elements_without_end(source, text):
+    assert html_text.text_of(source, None)[0] == text
+
+
+def test_html_many_elements_without_end():
+    for tag in ("<svg>", "<video>", "<object>", "<select>", "<svg/>"):
+        assert html_text.text_of(tag * 20000 + "<p>one", None)[0] == "one"
+
+
 def test_language_id(spark):
     docs = common.table(spark, DATA, "documents")
     model = language_id.train(docs)
