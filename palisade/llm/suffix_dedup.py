@@ -8,6 +8,9 @@ Burrows-Wheeler transform is expanded breadth first: intervals of strings of len
 each new right edge fixes a common-prefix value, and the expansion stops at ``min_bytes``. Edges still open then part
 no suffixes that agree on ``min_bytes`` bytes, which are the repeats.
 
+A key whose differing runs hold more than ``block_symbols`` symbols (a frequent passage in ever new surroundings) is
+*crowded*: its runs are dealt over all tasks and cut into single windows, which meet by key and window hash.
+
 Empty or null text: nothing to remove. A text shorter than ``min_bytes`` is kept whole. A null doc_id counts as the
 smallest. Rows that repeat a doc_id with its text get the result of one such row. An empty table gives no rows.
 """
@@ -27,12 +30,14 @@ from palisade.llm.common import id_text, materialise, packed, partitions, prefix
 MIN_BYTES = 100
 #: Substrings hashed to key a window: MIN_BYTES - ANCHORS + 1 bytes each, so that a window holds ANCHORS of them.
 ANCHORS = 64
-#: Symbols that one transform holds at least before a block is closed at a key's end.
+#: Symbols that one transform holds at least before a block is closed at a key's end, and of one key at most.
 BLOCK_SYMBOLS = 1 << 20
 _NO_ID = -(1 << 63)
 
 RUN = "key long, body long, doc_id long, start int, bytes int, inner boolean"
 SPAN = "doc_id long, start int, stop int"
+#: A span, or, with a window hash, the earliest window of a task's piece that has the hash.
+FOUND = f"{SPAN}, key long, window long"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -146,6 +151,12 @@ def open_edges(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray
     return ~fixed[:n]
 
 
+def spans_of(string: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each row of neighbours among ascending places ``at``, which lie in ``string``."""
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(string) != 0)) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(at) - 1]])
+
+
 def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String number and byte range of each stretch whose windows all stand earlier in another string, or this one."""
     sizes = np.array([len(s) for s in strings], np.int64)
@@ -168,43 +179,76 @@ def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, min_bytes
     at = np.sort(order[key > earliest])
     if not len(at):
         return none, none, none
-    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(string[at]) != 0)) + 1
-    first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
+    first, last = (at[i] for i in spans_of(string[at], at))
     owner = string[first]
     return owner, first - offsets[owner], last - offsets[owner] + min_bytes
 
 
-def expand_blocks(min_bytes: int, block_symbols: int):
-    """Arrow kernel over rows (key, doc_id, start, body) in key order: blocks end where a key ends."""
+def single_windows(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Spans (string number, first and end byte) of windows that stand earlier in these strings under the same key, and
+    (string number, first byte, window hash) of the earliest window of each key and hash."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - min_bytes + 1, 0)
+    owner = np.repeat(np.arange(len(strings)), count)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = offsets[owner] + inside
+    window = signed(span_hash(prefix_hash(data), at, at + min_bytes))
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+    place = (rank[owner] << 32) + starts[owner] + inside
+    order = np.lexsort((place, window, keys[owner]))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(window[order]) != 0) | (np.diff(keys[owner][order]) != 0)
+    first = order[new]
+    later = np.sort(order[place[order] != place[first][np.cumsum(new) - 1]])
+    none = np.zeros(0, np.int64)
+    spans = (none, none, none)
+    if len(later):
+        a, b = spans_of(owner[later], at[later])
+        spans = owner[later][a], inside[later][a], inside[later][b] + min_bytes
+    return spans, (owner[first], inside[first], window[first])
 
-    def close(held: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([r[1] for r in held], np.int64)
-        starts = np.array([r[2] for r in held], np.int64)
-        owner, a, b = repeats([r[3] for r in held], ids, starts, min_bytes)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[owner]), pa.array((starts[owner] + a).astype(np.int32)), pa.array((starts[owner] + b).astype(np.int32))], names=["doc_id", "start", "stop"]
-        )
+
+def expand_blocks(min_bytes: int, block_symbols: int):
+    """Arrow kernel over rows (key, doc_id, start, body, crowded) in order of crowded and key: blocks end where a key
+    ends, or, for crowded keys, anywhere."""
+
+    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, ids, starts = (np.array([r[i] for r in held], np.int64) for i in range(3))
+        bodies, crowded = [r[3] for r in held], held[0][4]
+        if crowded:
+            spans, (own, at, window) = single_windows(bodies, keys, ids, starts, min_bytes)
+            yield batch_of(ids[own], starts[own] + at, starts[own] + at + min_bytes, pa.array(keys[own]), pa.array(window))
+        else:
+            spans = repeats(bodies, ids, starts, min_bytes)
+        owner, a, b = spans
+        none = pa.nulls(len(owner), pa.int64())
+        yield batch_of(ids[owner], starts[owner] + a, starts[owner] + b, none, none)
+
+    def batch_of(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, key: pa.Array, window: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), key, window], names=["doc_id", "start", "stop", "key", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, symbols = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if symbols >= block_symbols and row[0] != held[-1][0]:
-                    yield close(held)
+                if held and (row[4] != held[-1][4] or symbols >= block_symbols and (row[4] or row[0] != held[-1][0])):
+                    yield from close(held)
                     held, symbols = [], 0
                 held.append(row)
                 symbols += len(row[3]) + 1
         if held:
-            yield close(held)
+            yield from close(held)
 
     return run
 
 
 def cut_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted array of (key, start, bytes)) to (key, doc_id, start, body)."""
+    """(doc_id, text, wanted array of (key, start, bytes, crowded)) to (key, doc_id, start, body, crowded)."""
     for batch in batches:
         for part in text_slices(batch, "text"):
-            keys, ids, starts, bodies = [], [], [], []
+            keys, ids, starts, bodies, crowded = [], [], [], [], []
             for doc, text, wanted in zip(*(c.to_pylist() for c in part.columns)):
                 raw = (text or "").encode()
                 for w in wanted:
@@ -212,8 +256,9 @@ def cut_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(doc)
                     starts.append(w["start"])
                     bodies.append(raw[w["start"] : w["start"] + w["bytes"]])
+                    crowded.append(w["crowded"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], names=["key", "doc_id", "start", "body"]
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary()), pa.array(crowded, pa.bool_())], names=["key", "doc_id", "start", "body", "crowded"]
             )
 
 
@@ -227,12 +272,18 @@ def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES, anchors: int = ANC
     first = materialise(first, "firsts")
     later = runs.join(first.select("key", "body", "first"), ["key", "body"]).filter(F.struct("doc_id", "start") != F.col("first"))
     copies = later.select("doc_id", "start", (F.col("start") + F.col("bytes")).cast("int").alias("stop"))
-    mixed = first.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any")).filter("n > 1 or any").select("key")
-    wanted = first.join(mixed, "key", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.struct("key", "first.start", "bytes").alias("w"))
+    mixed = first.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any"), F.sum(F.col("bytes").cast("long") + 1).alias("symbols")).filter("n > 1 or any")
+    mixed = mixed.select("key", (F.col("symbols") > block_symbols).alias("crowded"))
+    wanted = first.join(mixed, "key").select(F.col("first.doc_id").alias("doc_id"), F.struct("key", "first.start", "bytes", "crowded").alias("w"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    bodies = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_bodies, "key long, doc_id long, start int, body binary")
-    blocks = bodies.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key")
-    return copies.unionByName(blocks.mapInArrow(expand_blocks(min_bytes, block_symbols), SPAN))
+    bodies = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_bodies, "key long, doc_id long, start int, body binary, crowded boolean")
+    dealt = F.when(F.col("crowded"), F.xxhash64("key", "doc_id", "start")).otherwise(F.col("key"))
+    blocks = bodies.repartition(partitions(df.sparkSession), dealt).sortWithinPartitions("crowded", "key")
+    found = materialise(blocks.mapInArrow(expand_blocks(min_bytes, block_symbols), FOUND), "repeats")
+    windows = found.filter("window is not null")
+    earliest = windows.groupBy("key", "window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
+    moved = windows.join(earliest, ["key", "window"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "stop")
+    return copies.unionByName(found.filter("window is null").select("doc_id", "start", "stop")).unionByName(moved)
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:

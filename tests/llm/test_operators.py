@@ -88,6 +88,39 @@ def test_blocks_against_brute_force():
         assert got == want
 
 
+@pytest.mark.parametrize("block", [300, 3000])
+def test_crowded_key_is_split(spark, monkeypatch, block):
+    rng = random.Random(block)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage, twin = letters(150), letters(120)
+    texts = [letters(rng.randint(0, 90)) + passage + letters(rng.randint(0, 90)) for _ in range(80)] + [letters(20) + twin + passage + letters(9) for _ in range(9)] + ["ab" * 900, None, passage]
+    df = frame(spark, texts, clash=False)
+    rows = df.count()
+    largest, whole = spark.sparkContext.accumulator(0), suffix_dedup.expand_blocks
+
+    def watched(min_bytes, block_symbols):
+        real = suffix_dedup.repeats
+
+        def run(batches):
+            def counted(strings, *more):
+                largest.add(sum(len(s) + 1 for s in strings) > 2 * block_symbols)
+                return real(strings, *more)
+
+            suffix_dedup.repeats = counted
+            try:
+                yield from whole(min_bytes, block_symbols)(batches)
+            finally:
+                suffix_dedup.repeats = real
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "expand_blocks", watched)
+    got = by_id(suffix_dedup.remove_repeats(df, block_symbols=block))
+    for doc, want in brute_repeats(documents(df), 100).items():
+        assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want for r in got[doc]), doc
+    assert sum(map(len, got.values())) == rows and largest.value == 0
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for doc, text in texts.items():
