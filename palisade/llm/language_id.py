@@ -189,9 +189,10 @@ def _lower(texts: list[str | None]) -> list[str]:
     return [(t or "").lower() for t in texts]
 
 
-def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = (), sure: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words and shares (label to its part of the words) of every row's text, and
-    the columns ``keep`` as a struct ``row``."""
+    the columns ``keep`` as a struct ``row``. With ``sure``, also the mean over words of each one's largest label
+    probability, which unlike the score is high for text that is clearly in several languages."""
     docs = id_text(df, *([F.struct(*keep).alias("row")] if keep else [])).withColumn("held_out", held_out())
     shared = docs.sparkSession.sparkContext.broadcast(model and model.save())
 
@@ -202,24 +203,26 @@ def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
                 low = _lower(part.column("text").to_pylist())
                 data, offsets = packed(pa.array(low, pa.string()))
                 n = len(low)
-                names, scores, counts, shares = [UNKNOWN] * n, [0.0] * n, [0] * n, [None] * n
+                names, scores, counts, shares, certain = [UNKNOWN] * n, [0.0] * n, [0] * n, [None] * n, [0.0] * n
                 if own and len(data):
                     words = read_words(data, offsets)
                     share, _ = forward_backward(emissions(words, own.weights), words.chains, own.transitions)
                     count = np.bincount(words.row, minlength=n)
                     total = np.stack([np.bincount(words.row, weights=share[:, k], minlength=n) for k in range(len(own.labels))], axis=1)
                     mean = total / np.maximum(count, 1)[:, None]
+                    largest = np.bincount(words.row, weights=share.max(axis=1), minlength=n) / np.maximum(count, 1)
                     for i, best in enumerate(mean.argmax(axis=1)):
                         if count[i] and any(map(str.isalpha, low[i])):
                             names[i], scores[i], counts[i] = own.labels[best], min(1.0, float(mean[i, best])), int(count[i])
                             shares[i] = list(zip(own.labels, mean[i].tolist()))
+                            certain[i] = min(1.0, float(largest[i]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("row",) if keep), part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
-                    names=[*("row",)[: bool(keep)], "doc_id", "held_out", "lang_pred", "score", "n_words", "shares"],
+                    [*(part.column(c) for c in ("row",) if keep), part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(shares, pa.map_(pa.string(), pa.float64())), *([pa.array(certain, pa.float64())] if sure else [])],
+                    names=[*("row",)[: bool(keep)], "doc_id", "held_out", "lang_pred", "score", "n_words", "shares", *("sure",)[: bool(sure)]],
                 )
 
     schema = T.StructType([f for f in docs.schema if f.name == "row"])
-    for name, kind in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("shares", T.MapType(T.StringType(), T.DoubleType()))):
+    for name, kind in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("shares", T.MapType(T.StringType(), T.DoubleType())), *([("sure", T.DoubleType())] if sure else [])):
         schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 

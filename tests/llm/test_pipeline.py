@@ -6,7 +6,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from palisade.llm import common
+from palisade.llm import common, language_id
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_components, brute_repeats, documents, frame, odd_texts
 
@@ -38,6 +38,25 @@ def test_stages(spark):
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(r["ids"]).encode()).hexdigest()
 
 
+def test_mixed_languages_are_kept(spark):
+    docs = common.table(spark, DATA, "documents").select(*corpus_pipeline.COLUMNS)
+    words = {}
+    for r in docs.filter("lang is not null").orderBy("doc_id").collect():
+        words.setdefault(r["lang"], []).extend(r["text"].split())
+    langs = sorted(words)
+    assert len(langs) >= 4
+    texts = []
+    for n in (3, 4):
+        for first in range(len(langs)):
+            chosen = [langs[(first + i) % len(langs)] for i in range(n)]
+            texts.append("\n".join(" ".join(words[x][k * 12 : k * 12 + 12]) for k in range(4) for x in chosen))
+    mixed = spark.createDataFrame([(10**9 + i, t, None, "mixed", len(t)) for i, t in enumerate(texts)], docs.schema)
+    scores = [r["score"] for r in language_id.identify(mixed, language_id.train(docs)).collect()]
+    assert sum(s < corpus_pipeline.LEAST_SCORE for s in scores) >= len(langs)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs.unionByName(mixed), DATA).collect()}
+    assert {10**9 + i for i in range(len(texts))} <= kept
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = frame(spark, odd_texts())
     for name, stage in corpus_pipeline.STAGES:
