@@ -28,9 +28,11 @@ def signed(changes: DataFrame) -> DataFrame:
     """(source, lang, tokenizer, n_docs, n_tokens): one row for each side of each change.
 
     ``changes``: change_id, doc_id, op (insert, delete, revise), source, lang, tokenizer, old_tokens, new_tokens; a
-    revision may also have old_source and old_lang, where it moves its document from one key to another.
+    revision may also move its document from one key to another: where there are columns old_source and old_lang, it is
+    taken from what they say, null being a key. A delete need not repeat its key in them.
     """
-    moved = [F.coalesce(F.col(f"old_{c}"), F.col(c)).alias(c) if f"old_{c}" in changes.columns else F.col(c) for c in ("source", "lang")]
+    left = lambda c: F.when(F.col("op") == "revise", F.col(f"old_{c}")).otherwise(F.coalesce(F.col(f"old_{c}"), F.col(c)))
+    moved = [left(c) if f"old_{c}" in changes.columns else F.col(c) for c in ("source", "lang")]
     known = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.lit("unknown kind of change")))
     count = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(0))
     side = lambda source, lang, docs, tokens: F.struct(source.alias("source"), lang.alias("lang"), F.col("tokenizer"), docs.alias("n_docs"), tokens.alias("n_tokens"))
@@ -111,7 +113,7 @@ def replay(df: DataFrame, path: str) -> DataFrame:
     rollups.apply(1, change("insert", counts, none, n))
     gone = change("delete", counts.filter(digit == 3), n, none)
     rollups.apply(2, gone)
-    rollups.apply(3, change("revise", counts.filter(digit == 4), n, F.floor(n / 2)).withColumn("old_source", F.coalesce("source", F.lit(""))).withColumn("source", F.lit("revised")))
+    rollups.apply(3, change("revise", counts.filter(digit == 4), n, F.floor(n / 2)).withColumn("old_source", F.col("source")).withColumn("source", F.lit("revised")))
     rollups.apply(2, gone)
     return rollups.totals()
 

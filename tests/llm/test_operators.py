@@ -392,6 +392,18 @@ def test_rollups(spark, tmp_path):
         rollups.apply(9, spark.createDataFrame([(1, 1, "merge", "a", "en", "v1", 1, 1)], schema))
 
 
+def test_rollups_of_null_source_and_language(spark, tmp_path):
+    docs = frame(spark, odd_texts()).filter("doc_id >= 0")
+    assert docs.filter("source is null and doc_id % 10 = 4").count() and docs.filter("lang is null and doc_id % 10 = 4").count()
+    documents = docs.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
+    want = {tuple(r) for r in duckdb.connect().sql(f"SELECT source, lang, tokenizer, n_docs, n_tokens FROM ({token_rollups.ORACLE_SQL})").fetchall()}
+    assert {tuple(r) for r in token_rollups.replay(docs, f"file://{tmp_path}/r").collect()} == want
+    schema = "doc_id long, op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long, old_source string, old_lang string"
+    changes = [(1, "revise", "a", "en", "v1", 5, 6, None, None), (2, "delete", "b", "de", "v1", 3, None, None, None)]
+    want = {("a", "en", 1, 6), (None, None, -1, -5), ("b", "de", -1, -3)}
+    assert {(r["source"], r["lang"], r["n_docs"], r["n_tokens"]) for r in token_rollups.signed(spark.createDataFrame(changes, schema)).collect()} == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for table in ("documents", "pages"):
