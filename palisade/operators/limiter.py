@@ -7,11 +7,13 @@ that floods needs no memory of its own.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,9 @@ from palisade.reasons import outcome
 UNIT = 1_000_000
 SOURCE = ("src_ip", "src_port")
 ARRIVAL = ("received_at_us", "datagram_id")
+THIN = "src_ip long, src_port int, received_at_us long, datagram_id long"
+#: Arrivals sampled for each range of arrival.
+SAMPLED = 50
 
 
 def fill(tokens: int, passed_us: int, config: LimiterConfig) -> int:
@@ -104,12 +109,63 @@ def rate_limit(df: DataFrame, config: LimiterConfig = LimiterConfig(), bounded:
     return limited
 
 
+def number_kernel(bounds: list[tuple[int, int]]):
+    """Arrow kernel that appends ``chunk``: how many of the ascending ``bounds`` (time, id) are below a row's arrival."""
+    times, ids = (np.array([b[i] for b in bounds], np.int64) for i in range(2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, i = (pc.fill_null(batch.column(c), -(1 << 63)).to_numpy(zero_copy_only=False) for c in ARRIVAL)
+            is_bound = np.repeat([1, 0], [len(times), len(t)])
+            order = np.lexsort((is_bound, np.concatenate([ids, i]), np.concatenate([times, t])))
+            chunk = np.empty(len(order), np.int32)
+            chunk[order] = np.cumsum(is_bound[order])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk[len(times) :])], names=[*batch.schema.names, "chunk"])
+
+    return run
+
+
+def arrival_bounds(df: DataFrame, chunks: int, rows: int) -> list[tuple[int, int]]:
+    """At most ``chunks`` - 1 arrivals (time, id) that cut ``rows`` rows into like parts, from a sample by hash."""
+    part = min(1_000_000, -(-SAMPLED * chunks * 1_000_000 // max(rows, 1)))
+    known = df.select(*ARRIVAL).dropna().filter(F.pmod(F.xxhash64(*ARRIVAL), F.lit(1_000_000)) < part)
+    found = sorted({tuple(r) for r in known.collect()})
+    return sorted({found[len(found) * i // chunks] for i in range(1, chunks)}) if found else []
+
+
+def replay_kernel(keep: int):
+    """Arrow kernel over rows in order of chunk, ``start`` first, and arrival: the rows that are no start, with whether
+    their source was forgotten. It holds ``keep`` sources and one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict = OrderedDict()
+        now = None
+        for batch in batches:
+            missed, mine = [], []
+            for chunk, ip, port, is_start in zip(*(batch.column(c).to_pylist() for c in ("chunk", *SOURCE, "start"))):
+                if chunk != now:
+                    now = chunk
+                    held.clear()
+                key = (ip, port)
+                missed.append(key not in held)
+                mine.append(not is_start)
+                held[key] = None
+                held.move_to_end(key)
+                if len(held) > keep:
+                    held.popitem(last=False)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*SOURCE, *ARRIVAL)), pa.array(missed, pa.bool_())], names=[*SOURCE, *ARRIVAL, "resident_miss"])
+            yield out.filter(pa.array(mine, pa.bool_()))
+
+    return run
+
+
 def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chunks: int = 16) -> DataFrame:
     """Add ``resident_miss`` (the row's source was not remembered) and ``residency_epoch`` (its misses so far).
 
     At most ``max_sources`` sources are remembered, those seen last. Without more sources than that (one distinct count)
-    nothing is forgotten. Else arrival is cut into ``chunks`` ranges; what is remembered at a range's start are the last
-    ``max_sources`` sources of the ranges before, so all ranges are replayed at once on thin rows.
+    nothing is forgotten. Else arrival (time and id) is cut into ``chunks`` ranges, or more on large tables, so that
+    handing on what is remembered costs no more rows than the table has. What is remembered at a range's start are the
+    last ``max_sources`` sources of the ranges before, so all ranges are replayed at once, each as a stream of thin rows.
     """
     keep = config.max_sources
     source = F.struct(*SOURCE)
@@ -117,9 +173,10 @@ def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chu
         first = df.groupBy(*SOURCE).agg(F.min(F.struct(*ARRIVAL)).alias("_first"))
         out = df.join(first, list(SOURCE)).withColumn("resident_miss", F.struct(*ARRIVAL) == F.col("_first")).drop("_first")
         return out.withColumn("residency_epoch", F.lit(1).cast("long"))
-    bounds = sorted(set(df.approxQuantile("received_at_us", [i / chunks for i in range(1, chunks)], 0.01)))
-    chunk = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("received_at_us")))
-    thin = df.select(*SOURCE, *ARRIVAL, chunk.alias("chunk"))
+    n = df.count()
+    bounds = arrival_bounds(df, max(chunks, math.isqrt(2 * n // max(keep, 1))), n)
+    thin = df.select(*(F.col(c).cast(t).alias(c) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))))
+    thin = thin.mapInArrow(number_kernel(bounds), f"{THIN}, chunk int")
     last = thin.groupBy("chunk", *SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
     newest = lambda rows, by: rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("at")))).filter(F.col("_r") <= keep).drop("_r")
     ahead = newest(last, "chunk").select(F.explode(F.sequence(F.col("chunk") + 1, F.lit(len(bounds) + 1))).alias("into"), *SOURCE, "at")
@@ -127,23 +184,8 @@ def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chu
     start = start.select(*SOURCE, "at.*", F.col("into").alias("chunk"), F.lit(True).alias("start")).filter(F.col("chunk") <= len(bounds))
     rows = thin.withColumn("start", F.lit(False)).unionByName(start)
 
-    def replay(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start", "descending"), ("received_at_us", "ascending"), ("datagram_id", "ascending")])
-        held: OrderedDict = OrderedDict()
-        missed, mine = [], []
-        columns = [table.column(c).to_pylist() for c in (*SOURCE, "start")]
-        for ip, port, is_start in zip(*columns):
-            key = (ip, port)
-            missed.append(key not in held)
-            mine.append(not is_start)
-            held[key] = None
-            held.move_to_end(key)
-            if len(held) > keep:
-                held.popitem(last=False)
-        out = table.select([*SOURCE, *ARRIVAL]).append_column("resident_miss", pa.array(missed, pa.bool_()))
-        return out.filter(pa.array(mine, pa.bool_()))
-
-    replayed = rows.groupBy("chunk").applyInArrow(replay, "src_ip long, src_port int, received_at_us long, datagram_id long, resident_miss boolean")
+    ordered = rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("start"), *ARRIVAL)
+    replayed = ordered.mapInArrow(replay_kernel(keep), f"{THIN}, resident_miss boolean")
     order = W.partitionBy(*SOURCE).orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, W.currentRow)
     epochs = replayed.withColumn("residency_epoch", F.sum(F.col("resident_miss").cast("long")).over(order))
     return df.join(epochs.select("datagram_id", "resident_miss", "residency_epoch"), "datagram_id")

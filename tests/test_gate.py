@@ -327,3 +327,23 @@ def test_backlog(spark, agents, depth, quota):
     assert [(r["drop_reason"], r["forwarded_order"]) for r in large] == [(r["drop_reason"], r["forwarded_order"]) for r in got[: len(agents)]]
     assert [r["forwarded_order"] for r in large if r["forwarded_order"]] == list(range(1, want.count(None) + 1))
     assert backlog.batch_stats(backlog.bound_backlog(df, "b", config)).first()["total_in_flight"] == want.count(None)
+
+
+def test_residency_streams_and_parts_equal_times(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 40), 7, 1000 if i % 10 else 1001) for i in range(3000)]
+    df = spark.createDataFrame(rows, "datagram_id long, src_ip long, src_port int, received_at_us long").repartition(3)
+    out = limiter.source_residency(df, LimiterConfig(12), chunks=6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan
+    held, epoch, want = [], {}, {}
+    for n, ip, _, _ in sorted(rows, key=lambda r: (r[3], r[0])):
+        miss = ip not in held
+        held = [x for x in held if x != ip][-11 if miss else -12 :] + [ip]
+        epoch[ip] = epoch.get(ip, 0) + miss
+        want[n] = (miss, epoch[ip])
+    assert {r["datagram_id"]: (r["resident_miss"], r["residency_epoch"]) for r in out.collect()} == want
+    bounds = limiter.arrival_bounds(df, 6, 3000)
+    numbered = df.mapInArrow(limiter.number_kernel(bounds), "datagram_id long, src_ip long, src_port int, received_at_us long, chunk int")
+    sizes = [r["count"] for r in numbered.groupBy("chunk").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * 3000 / 6
