@@ -20,11 +20,6 @@ def text_as_bytes(text: Column | str) -> Column:
     return F.encode(text, "ISO-8859-1")
 
 
-def readable(text: Column | str) -> Column:
-    """Byte text as UTF-8, invalid sequences replaced: for display only."""
-    return F.make_valid_utf8(text_as_bytes(text).cast("string"))
-
-
 def valid_agent_id(name: Column) -> Column:
     """A letter, then up to 63 letters, digits, ``_`` or ``-``."""
     return name.rlike(r"\A[a-zA-Z][a-zA-Z0-9_-]{0,63}\z")
@@ -55,7 +50,7 @@ def level_name(code: Column) -> Column:
 
 def now_ms() -> Column:
     """The clock is data: a row's arrival."""
-    return F.floor(F.col("received_at_us") / 1000)
+    return F.expr("received_at_us div 1000")
 
 
 def first_reason(*rules: tuple[Column, str]) -> Column:

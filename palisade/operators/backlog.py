@@ -20,36 +20,38 @@ QUOTA, FULL = "DroppedAgentQuotaExceeded", "DroppedQueueFull"
 def bound_backlog(df: DataFrame, batch: Column | str, config: ForwardConfig = ForwardConfig()) -> DataFrame:
     """Drop events beyond an agent's quota or the queue's depth; the quota is tested first, and an event that finds the
     queue full holds no place in its agent's. Adds ``batch`` and ``forwarded_order`` (1 for the first to leave a batch).
-    Rows dropped before are not queued."""
-    df = df.withColumn("batch", batch if isinstance(batch, Column) else F.col(batch))
-    seen = df.filter(F.col("drop_reason").isNull())
+    Rows dropped before are not queued, but stay in the frame; one shuffle by batch serves all that is counted."""
+    df = df.withColumn("batch", batch if isinstance(batch, Column) else F.col(batch)).repartition("batch")
     by_agent, by_batch = W.partitionBy("batch", "agent_id").orderBy(*ARRIVAL), W.partitionBy("batch").orderBy(*ARRIVAL)
     so_far = W.unboundedPreceding, W.currentRow
-    seen = seen.withColumn("_pass", (F.row_number().over(by_agent) <= config.max_per_agent).cast("int"))
-    seen = seen.withColumn("_place", F.sum("_pass").over(by_batch.rowsBetween(*so_far)))
-    seen = seen.withColumn("_queued", ((F.col("_pass") == 1) & (F.col("_place") <= config.max_queue_depth)).cast("int"))
-    held = F.coalesce(F.sum("_queued").over(by_agent.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    seen = seen.withColumn("_held", held)
+    df = df.withColumn("_pass", within_quota(by_agent, config).cast("int"))
+    df = df.withColumn("_place", F.sum("_pass").over(by_batch.rowsBetween(*so_far)))
+    df = df.withColumn("_queued", ((F.col("_pass") == 1) & (F.col("_place") <= config.max_queue_depth)).cast("int"))
+    df = df.withColumn("_held", F.coalesce(F.sum("_queued").over(by_agent.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     refused = F.when(F.col("_queued") == 0, F.when(F.col("_held") >= config.max_per_agent, F.lit(QUOTA)).otherwise(F.lit(FULL)))
-    seen = outcome(seen, "forward", refused)
-    seen = seen.withColumn("forwarded_order", F.when(F.col("_queued") == 1, F.col("_place"))).drop("_pass", "_place", "_queued", "_held")
-    return seen.unionByName(df.filter(F.col("drop_reason").isNotNull()), allowMissingColumns=True)
+    df = df.withColumn("forwarded_order", F.when(F.col("_queued") == 1, F.col("_place")))
+    return outcome(df, "forward", refused).drop("_pass", "_place", "_queued", "_held")
+
+
+def within_quota(by_agent: W, config: ForwardConfig) -> Column:
+    """Whether a row is alive and one of its agent's first ones that are."""
+    alive = F.col("drop_reason").isNull()
+    return alive & (F.sum(alive.cast("int")).over(by_agent.rowsBetween(W.unboundedPreceding, W.currentRow)) <= config.max_per_agent)
 
 
 def bound_large_backlog(df: DataFrame, config: ForwardConfig = ForwardConfig()) -> DataFrame:
     """The same for a frame that is one batch, without a window over all of it: only the first ``max_queue_depth`` events
-    within their quotas are queued, so a distributed top-k gives the arrival after which the queue is full."""
-    df = df.withColumn("batch", F.lit(0))
-    seen, gone = df.filter(F.col("drop_reason").isNull()), df.filter(F.col("drop_reason").isNotNull())
-    by_agent = W.partitionBy("agent_id").orderBy(*ARRIVAL)
-    ranked = seen.withColumn("_pass", F.row_number().over(by_agent) <= config.max_per_agent)
+    within their quotas are queued, so a distributed top-k finds them. Rows dropped before are dealt evenly."""
+    df = df.withColumns({"batch": F.lit(0), "_spread": F.when(F.col("drop_reason").isNotNull(), F.xxhash64("datagram_id"))})
+    by_agent = W.partitionBy("agent_id", "_spread").orderBy(*ARRIVAL)
+    ranked = df.withColumn("_pass", within_quota(by_agent, config))
     first = ranked.filter("_pass").orderBy(*ARRIVAL).limit(config.max_queue_depth)
     queued = first.select("datagram_id", F.row_number().over(W.orderBy(*ARRIVAL)).cast("long").alias("forwarded_order"))
     out = ranked.join(F.broadcast(queued) if config.max_queue_depth <= 1_000_000 else queued, "datagram_id", "left")
     held = F.coalesce(F.sum(F.col("forwarded_order").isNotNull().cast("int")).over(by_agent.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = out.withColumn("_held", held)
     refused = F.when(F.col("forwarded_order").isNull(), F.when(F.col("_held") >= config.max_per_agent, F.lit(QUOTA)).otherwise(F.lit(FULL)))
-    return outcome(out, "forward", refused).drop("_pass", "_held").unionByName(gone, allowMissingColumns=True)
+    return outcome(out, "forward", refused).drop("_pass", "_held", "_spread")
 
 
 def agent_stats(bounded: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tokens are counted in millionths, so that microseconds times a whole rate are exact. A source's rows are put in order by
 one shuffle and a sort; the kernel then streams over Arrow batches and carries two numbers from row to row, so a source
-that floods needs no memory of its own.
+that floods needs no memory of its own. Rows that an earlier stage dropped stand among them and are not seen by it.
 """
 
 from __future__ import annotations
@@ -20,12 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from palisade.config import LimiterConfig
-from palisade.reasons import outcome
+from palisade.reasons import open_outcome, outcome
 
 UNIT = 1_000_000
 SOURCE = ("src_ip", "src_port")
 ARRIVAL = ("received_at_us", "datagram_id")
-THIN = "src_ip long, src_port int, received_at_us long, datagram_id long"
 #: Arrivals sampled for each range of arrival.
 SAMPLED = 50
 
@@ -65,48 +64,87 @@ def admit_run(times: np.ndarray, tokens: int, last: int, config: LimiterConfig)
     return out, tokens, last
 
 
-def bucket_kernel(config: LimiterConfig, keys: int):
-    """Arrow kernel over rows sorted by ``keys`` leading columns and then arrival: appends ``admitted``."""
+def bucket_kernel(config: LimiterConfig, keys: tuple[str, ...], missed: bool):
+    """Arrow kernel over rows sorted by ``keys`` and then arrival, with ``seen``: appends ``admitted`` (null if not
+    seen). Where ``missed``, a row with ``resident_miss`` finds a full bucket; else that column is appended, and is true
+    for the first row that is seen of a source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tokens, last = None, 0, 0
+        held, started, tokens, last = None, False, 0, 0
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-            times = batch.column(keys).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = np.zeros(len(times), bool)
+            columns = [pc.fill_null(batch.column(k), -1).to_numpy(zero_copy_only=False) for k in keys]
+            seen = batch.column("seen").to_numpy(zero_copy_only=False)
+            times = pc.fill_null(batch.column(ARRIVAL[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.zeros(n, bool)
+            new[0] = tuple(c[0] for c in columns) != held
             for c in columns:
                 new[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(new), len(times)]
-            admitted = np.empty(len(times), bool)
+            if missed:
+                miss = pc.fill_null(batch.column("resident_miss"), False).to_numpy(zero_copy_only=False)
+            else:
+                # the first row of each key's that is seen
+                part = np.cumsum(new)
+                rank = np.cumsum(seen) - seen
+                before = np.concatenate([[0], rank[new]])
+                miss = seen & (rank == before[part]) & ((part > 0) | (not started))
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(new | miss), [n]]))
+            admitted = np.zeros(n, bool)
             for a, b in zip(cuts, cuts[1:]):
-                key = tuple(c[a] for c in columns)
-                if key != held:
-                    held, tokens, last = key, config.burst_tokens * UNIT, int(times[a])
-                admitted[a:b], tokens, last = admit_run(times[a:b], tokens, last, config)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted)], names=[*batch.schema.names, "admitted"])
+                own = times[a:b][seen[a:b]]
+                if new[a]:
+                    started = False
+                if len(own):
+                    if miss[a] or not started:
+                        tokens, last, started = config.burst_tokens * UNIT, int(own[0]), True
+                    admitted[a:b][seen[a:b]], tokens, last = admit_run(own, tokens, last, config)
+            held = tuple(c[-1] for c in columns)
+            if "segment" in keys:
+                miss = miss & (columns[keys.index("segment")] == 1)  # a source's later segments go on with it
+            more = [] if missed else [pa.array(miss, mask=~seen)]
+            names = [c for c in batch.schema.names if c not in ("seen", "segment")]
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, *more, pa.array(admitted, mask=~seen)], names=[*names, *("resident_miss",)[: len(more)], "admitted"])
 
     return run
 
 
-def rate_limit(df: DataFrame, config: LimiterConfig = LimiterConfig(), bounded: bool = True) -> DataFrame:
-    """Add ``admitted``, and drop what is refused. Rows dropped before (by the size gate) are not seen by the bucket.
+def idle_segments(df: DataFrame, config: LimiterConfig) -> DataFrame:
+    """Add ``segment``, which a source's rows change (counted from 1) where it was idle for so long before that its bucket
+    is full again. Arrival is cut into cells as long as a bucket takes to fill: after a cell without any of a source's
+    rows a new segment begins. The cells are counted before rows are shuffled, so a flood costs one row a cell."""
+    cell = F.floor(F.col(ARRIVAL[0]) / F.lit(-(-config.burst_tokens * UNIT // max(config.tokens_per_sec, 1)))).cast("long")
+    df = df.withColumn("_cell", cell)
+    order = W.partitionBy(*SOURCE).orderBy("_cell")
+    cells = df.filter("seen").select(*SOURCE, "_cell").distinct()
+    cells = cells.withColumn("_new", F.coalesce((F.col("_cell") - F.lag("_cell").over(order) > 1).cast("int"), F.lit(1)))
+    cells = cells.select(*SOURCE, "_cell", F.sum("_new").over(order).cast("long").alias("segment"))
+    return df.join(cells, [*SOURCE, "_cell"], "left").drop("_cell")
 
-    ``bounded``: with more than ``max_sources`` sources, one that was forgotten comes back with a full bucket.
+
+def rate_limit(df: DataFrame, config: LimiterConfig = LimiterConfig(), bounded: bool = True, split_idle: bool = False) -> DataFrame:
+    """Add ``admitted`` and ``resident_miss``, and drop what is refused. Rows dropped before (by the size gate) are not
+    seen by the bucket.
+
+    ``bounded``: with more than ``max_sources`` sources, one that was forgotten comes back with a full bucket (see
+    ``source_residency`` for the two small jobs this runs). ``split_idle``: a source's rows may go to several tasks, cut
+    where it was idle; worth one more shuffle where single sources flood.
     """
-    seen = df.filter(F.col("drop_reason").isNull()) if "drop_reason" in df.columns else df
-    if bounded:
-        seen = source_residency(seen, config)
-    keys = (*SOURCE, "residency_epoch") if bounded else SOURCE
-    front = [*keys, *ARRIVAL]
-    seen = seen.select(*front, *(c for c in seen.columns if c not in front))
-    ordered = seen.repartition(*map(F.col, keys)).sortWithinPartitions(*front)
-    limited = ordered.mapInArrow(bucket_kernel(config, len(keys)), T.StructType([*seen.schema.fields, T.StructField("admitted", T.BooleanType())]))
-    limited = outcome(limited, "source_limit", F.when(~F.col("admitted"), F.lit("SourceLimited")))
-    if "drop_reason" in df.columns:
-        limited = limited.unionByName(df.filter(F.col("drop_reason").isNotNull()), allowMissingColumns=True)
-    return limited
+    df = open_outcome(df)
+    missed = bounded and many_sources(df, config)
+    if missed:
+        df = residency(df, config)
+    df = df.withColumn("seen", F.col("drop_reason").isNull())
+    keys = SOURCE
+    if split_idle and config.tokens_per_sec:
+        df, keys = idle_segments(df, config), (*SOURCE, "segment")
+    ordered = df.repartition(*map(F.col, keys)).sortWithinPartitions(*keys, *ARRIVAL)
+    added = ("admitted",) if missed else ("resident_miss", "admitted")
+    kept = [f for f in df.schema.fields if f.name not in ("seen", "segment")]
+    limited = ordered.mapInArrow(bucket_kernel(config, keys, missed), T.StructType([*kept, *(T.StructField(c, T.BooleanType()) for c in added)]))
+    return outcome(limited, "source_limit", F.when(~F.col("admitted"), F.lit("SourceLimited")))
 
 
 def number_kernel(bounds: list[tuple[int, int]]):
@@ -135,60 +173,78 @@ def arrival_bounds(df: DataFrame, chunks: int, rows: int) -> list[tuple[int, int
 
 def replay_kernel(keep: int):
     """Arrow kernel over rows in order of chunk, ``start`` first, and arrival: the rows that are no start, with whether
-    their source was forgotten. It holds ``keep`` sources and one batch."""
+    their source was forgotten (null for rows dropped before). It holds ``keep`` sources and one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict = OrderedDict()
         now = None
         for batch in batches:
             missed, mine = [], []
-            for chunk, ip, port, is_start in zip(*(batch.column(c).to_pylist() for c in ("chunk", *SOURCE, "start"))):
+            for chunk, ip, port, is_start, seen in zip(*(batch.column(c).to_pylist() for c in ("chunk", *SOURCE, "start", "seen"))):
                 if chunk != now:
                     now = chunk
                     held.clear()
+                mine.append(not is_start)
+                if not seen:
+                    missed.append(None)
+                    continue
                 key = (ip, port)
                 missed.append(key not in held)
-                mine.append(not is_start)
                 held[key] = None
                 held.move_to_end(key)
                 if len(held) > keep:
                     held.popitem(last=False)
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*SOURCE, *ARRIVAL)), pa.array(missed, pa.bool_())], names=[*SOURCE, *ARRIVAL, "resident_miss"])
+            names = [c for c in batch.schema.names if c not in ("chunk", "start", "seen")]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(missed, pa.bool_())], names=[*names, "resident_miss"])
             yield out.filter(pa.array(mine, pa.bool_()))
 
     return run
 
 
-def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chunks: int = 16) -> DataFrame:
-    """Add ``resident_miss`` (the row's source was not remembered) and ``residency_epoch`` (its misses so far).
+def many_sources(df: DataFrame, config: LimiterConfig) -> bool:
+    """Whether there are more sources than are remembered (one job over the sources alone)."""
+    return df.filter("drop_reason is null").select(*SOURCE).distinct().limit(config.max_sources + 1).count() > config.max_sources
 
-    At most ``max_sources`` sources are remembered, those seen last. Without more sources than that (one distinct count)
-    nothing is forgotten. Else arrival (time and id) is cut into ``chunks`` ranges, or more on large tables, so that
-    handing on what is remembered costs no more rows than the table has. What is remembered at a range's start are the
-    last ``max_sources`` sources of the ranges before, so all ranges are replayed at once, each as a stream of thin rows.
+
+def residency(df: DataFrame, config: LimiterConfig, chunks: int = 16) -> DataFrame:
+    """Add ``resident_miss`` where there are more sources than are remembered.
+
+    Arrival (time and id) is cut into ``chunks`` ranges, or more on large tables, so that handing on what is remembered
+    costs no more rows than the table has (one job counts and one samples arrivals for that). What is remembered at a
+    range's start are the last ``max_sources`` sources of the ranges before, so all ranges are replayed at once, each as
+    a stream of rows; nothing is joined to them again.
     """
     keep = config.max_sources
-    source = F.struct(*SOURCE)
-    if df.select(*SOURCE).distinct().limit(keep + 1).count() <= keep:
-        first = df.groupBy(*SOURCE).agg(F.min(F.struct(*ARRIVAL)).alias("_first"))
-        out = df.join(first, list(SOURCE)).withColumn("resident_miss", F.struct(*ARRIVAL) == F.col("_first")).drop("_first")
-        return out.withColumn("residency_epoch", F.lit(1).cast("long"))
-    n = df.count()
-    bounds = arrival_bounds(df, max(chunks, math.isqrt(2 * n // max(keep, 1))), n)
-    thin = df.select(*(F.col(c).cast(t).alias(c) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))))
-    thin = thin.mapInArrow(number_kernel(bounds), f"{THIN}, chunk int")
-    last = thin.groupBy("chunk", *SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
+    df = df.withColumns({c: F.col(c).cast(t) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))})
+    thin = df.filter("drop_reason is null").select(*SOURCE, *ARRIVAL)
+    n = thin.count()
+    bounds = arrival_bounds(thin, max(chunks, math.isqrt(2 * n // max(keep, 1))), n)
+    numbered = lambda rows: rows.mapInArrow(number_kernel(bounds), T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())]))
+    last = numbered(thin).groupBy("chunk", *SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
     newest = lambda rows, by: rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("at")))).filter(F.col("_r") <= keep).drop("_r")
     ahead = newest(last, "chunk").select(F.explode(F.sequence(F.col("chunk") + 1, F.lit(len(bounds) + 1))).alias("into"), *SOURCE, "at")
     start = newest(ahead.groupBy("into", *SOURCE).agg(F.max("at").alias("at")), "into")
-    start = start.select(*SOURCE, "at.*", F.col("into").alias("chunk"), F.lit(True).alias("start")).filter(F.col("chunk") <= len(bounds))
-    rows = thin.withColumn("start", F.lit(False)).unionByName(start)
-
+    start = start.select(*SOURCE, "at.*", F.col("into").alias("chunk"), F.lit(True).alias("start"), F.lit(True).alias("seen")).filter(F.col("chunk") <= len(bounds))
+    rows = numbered(df).withColumns({"start": F.lit(False), "seen": F.col("drop_reason").isNull()}).unionByName(start, allowMissingColumns=True)
     ordered = rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("start"), *ARRIVAL)
-    replayed = ordered.mapInArrow(replay_kernel(keep), f"{THIN}, resident_miss boolean")
-    order = W.partitionBy(*SOURCE).orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, W.currentRow)
-    epochs = replayed.withColumn("residency_epoch", F.sum(F.col("resident_miss").cast("long")).over(order))
-    return df.join(epochs.select("datagram_id", "resident_miss", "residency_epoch"), "datagram_id")
+    return ordered.mapInArrow(replay_kernel(keep), T.StructType([*df.schema.fields, T.StructField("resident_miss", T.BooleanType())]))
+
+
+def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chunks: int = 16) -> DataFrame:
+    """Add ``resident_miss`` (the row's source was not remembered) and ``residency_epoch`` (its misses so far).
+
+    At most ``max_sources`` sources are remembered, those seen last. Without more sources than that (one distinct count)
+    nothing is forgotten, and only a source's first row misses. Rows dropped before are not seen: null.
+    """
+    named = "drop_reason" in df.columns
+    df = open_outcome(df)
+    seen, order = F.col("drop_reason").isNull(), W.partitionBy(*SOURCE).orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, W.currentRow)
+    if many_sources(df, config):
+        df = residency(df, config, chunks)
+    else:
+        df = df.withColumn("resident_miss", F.when(seen, F.sum(seen.cast("int")).over(order) == 1))
+    df = df.withColumn("residency_epoch", F.when(seen, F.sum(F.col("resident_miss").cast("long")).over(order)))
+    return df if named else df.drop("drop_stage", "drop_reason")
 
 
 def tracked_sources(df: DataFrame, config: LimiterConfig = LimiterConfig()) -> DataFrame:

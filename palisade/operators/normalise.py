@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.columns import readable
+from palisade.functions.columns import text_as_bytes
 
 
 def _number(column: str) -> Column:
@@ -25,16 +25,24 @@ def log_json() -> Column:
 
 
 def unify_events(df: DataFrame) -> DataFrame:
-    """Add agent_id, event_type and event_json to rows still alive; both kinds come from one scan."""
+    """Add agent_id, event_type and event_bytes to rows still alive; both kinds come from one scan. The bytes are what a
+    sender wrote, valid UTF-8 or not; ``with_event_json`` reads them as text."""
     is_metrics, live = F.col("msg_type") == "metrics", F.col("drop_reason").isNull()
     pick = lambda a, b: F.when(live, F.when(is_metrics, a).otherwise(b))
     return df.withColumns({
         "agent_id": pick(F.col("metrics_agent"), F.col("log_agent")),
         "event_type": pick(F.lit("metrics"), F.lit("log")),
-        "event_json": pick(metrics_json(), readable(log_json())),
+        "event_bytes": pick(text_as_bytes(metrics_json()), text_as_bytes(log_json())),
     })
 
 
+def with_event_json(df: DataFrame) -> DataFrame:
+    """Add event_json, the event as text, and ``repaired``: whether it had bytes that are no UTF-8 (a cut character, say),
+    which the text has replaced and event_bytes still holds."""
+    text = F.col("event_bytes").cast("string")
+    return df.withColumns({"event_json": F.make_valid_utf8(text), "repaired": ~F.is_valid_utf8(text)})
+
+
 def merge_events(metrics: DataFrame, logs: DataFrame) -> DataFrame:
     """The same from two frames on the event schema."""
     return metrics.unionByName(logs)

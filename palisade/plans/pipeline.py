@@ -27,7 +27,7 @@ def row_stages(df: DataFrame, config: GateConfig = GateConfig()) -> DataFrame:
 
 
 #: What is left of a row after its last byte was read.
-LEDGER = ("datagram_id", "received_at_us", "src_ip", "src_port", "admitted", "resident_miss", "agent_id", "event_type", "event_json", "drop_stage", "drop_reason")
+LEDGER = ("datagram_id", "received_at_us", "src_ip", "src_port", "admitted", "resident_miss", "agent_id", "event_type", "event_bytes", "drop_stage", "drop_reason")
 
 
 @dataclass
@@ -49,11 +49,14 @@ class Result:
         return stats.pipeline_stats(self.ledger)
 
 
-def run_batch(datagrams: DataFrame, config: GateConfig = GateConfig(), batch: Column | None = None, limit: bool = True) -> Result:
-    """Gate, limit, decode, validate, normalise and bound. ``batch`` is the drain interval of a row (default: a second
-    of arrival)."""
+def run_batch(datagrams: DataFrame, config: GateConfig = GateConfig(), batch: Column | None = None, limit: bool = True, one_batch: bool = False) -> Result:
+    """Gate, limit, decode, validate, normalise and bound, each row once: one shuffle by source, one by drain interval.
+
+    ``batch`` is the drain interval of a row (default: a second of arrival); an interval's rows are bounded in one task,
+    so where all rows are one interval, of any size, say ``one_batch`` instead."""
     df = size_gate(open_outcome(datagrams), config.recv)
     df = limiter.rate_limit(df, config.limiter) if limit else df.withColumns({"admitted": F.lit(None).cast("boolean"), "resident_miss": F.lit(None).cast("boolean")})
     thin = row_stages(df, config).select(*LEDGER)
-    interval = F.expr("received_at_us div 1000000") if batch is None else batch
-    return Result(backlog.bound_backlog(thin, interval, config.forward))
+    if one_batch:
+        return Result(backlog.bound_large_backlog(thin, config.forward))
+    return Result(backlog.bound_backlog(thin, F.expr("received_at_us div 1000000") if batch is None else batch, config.forward))

@@ -60,7 +60,7 @@ queue_3 AS (SELECT *, pass AND place <= {depth} AS queued FROM queue_2),
 queue AS (SELECT *, CASE WHEN queued THEN NULL WHEN coalesce(sum(queued::INT) OVER (PARTITION BY batch, agent ORDER BY received_at_us, datagram_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {quota} THEN 'DroppedAgentQuotaExceeded' ELSE 'DroppedQueueFull' END AS queue_reason FROM queue_3)"""
 
 LIMITS = LimiterConfig(max_sources=1024, tokens_per_sec=100, burst_tokens=200)
-SMALL = LimiterConfig(max_sources=20, tokens_per_sec=100, burst_tokens=200)
+SMALL = LimiterConfig(max_sources=20, tokens_per_sec=5, burst_tokens=2)
 QUEUE = ForwardConfig(max_queue_depth=200, max_per_agent=2)
 _RATE = {"burst": LIMITS.burst_tokens, "rate": LIMITS.tokens_per_sec}
 _BOUND = {"quota": QUEUE.max_per_agent, "depth": QUEUE.max_queue_depth}
@@ -175,7 +175,7 @@ def validate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FIELDS} SELECT datagram_id, msg_type AS event_type, agent AS agent_id, event_json FROM judged WHERE kind < 28")
 def normalise_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = row_stages(envelope.size_gate(captured_datagrams(spark, sf_dir)))
-    return split(events)[0].select("datagram_id", "event_type", "agent_id", "event_json")
+    return normalise.with_event_json(split(events)[0]).select("datagram_id", "event_type", "agent_id", "event_json")
 
 
 @query(f"WITH {_FIELDS} SELECT datagram_id, 0 AS metric_pos, name, cents::DOUBLE AS value, 'k' AS tag_key, k AS tag_value FROM judged WHERE kind < 20 OR kind IN (35, 36)")
@@ -212,11 +212,6 @@ def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.source_stats(_limited(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_FIELDS}, {_BUCKET.format(**_RATE)} SELECT count(*) FILTER (admitted) AS total_admits, count(*) FILTER (NOT admitted) AS total_drops, 0::BIGINT AS eviction_count, count(DISTINCT (src_ip, src_port)) AS tracked_count FROM limited")
-def limiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limiter.limiter_stats(_limited(spark, sf_dir), LIMITS)
-
-
 def _many_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select(F.col("event_id").alias("datagram_id"), ((F.col("event_id") + START_MS) * 1000).alias("received_at_us"), F.lit(1).cast("long").alias("src_ip"), (F.col("user_id") % 60).cast("int").alias("src_port"))
@@ -225,12 +220,28 @@ def _many_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEEN = f"seen AS (SELECT event_id AS n, user_id % 60 AS s, lag(event_id) OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS before FROM events)"
 
 
-@query(f"""WITH {_SEEN}, misses AS (SELECT a.n, a.s, any_value(a.before) IS NULL OR count(DISTINCT b.s) >= {SMALL.max_sources} AS miss FROM seen a LEFT JOIN seen b ON b.n > a.before AND b.n < a.n GROUP BY a.n, a.s)
-SELECT n AS datagram_id, miss AS resident_miss, sum(miss::INT) OVER (PARTITION BY s ORDER BY n)::BIGINT AS residency_epoch FROM misses""")
+_MISSES = f"""{_SEEN}, misses AS (
+  SELECT a.n, a.s, any_value(a.before) IS NULL OR count(DISTINCT b.s) >= {SMALL.max_sources} AS miss FROM seen a LEFT JOIN seen b ON b.n > a.before AND b.n < a.n GROUP BY a.n, a.s
+), epochs AS (SELECT n, s, miss, sum(miss::INT) OVER (PARTITION BY s ORDER BY n)::BIGINT AS epoch FROM misses)"""
+
+
+@query(f"WITH {_MISSES} SELECT n AS datagram_id, miss AS resident_miss, epoch AS residency_epoch FROM epochs")
 def source_residency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.source_residency(_many_sources(spark, sf_dir), SMALL).select("datagram_id", "resident_miss", "residency_epoch")
 
 
+@query(f"""WITH RECURSIVE {_MISSES}, arrivals AS (SELECT *, row_number() OVER (PARTITION BY s, epoch ORDER BY n) AS i FROM epochs), bucket AS (
+  SELECT s, epoch, i, n, {SMALL.burst_tokens} * 1000000 AS have FROM arrivals WHERE i = 1
+  UNION ALL
+  SELECT a.s, a.epoch, a.i, a.n, least({SMALL.burst_tokens} * 1000000, CASE WHEN b.have >= 1000000 THEN b.have - 1000000 ELSE b.have END + (a.n - b.n) * 1000 * {SMALL.tokens_per_sec})
+  FROM bucket b JOIN arrivals a ON a.s = b.s AND a.epoch = b.epoch AND a.i = b.i + 1
+), sources AS (SELECT least(count(DISTINCT s), {SMALL.max_sources}) AS kept FROM seen)
+SELECT (SELECT count(*) FROM bucket WHERE have >= 1000000) AS total_admits, (SELECT count(*) FROM bucket WHERE have < 1000000) AS total_drops,
+  (SELECT count(*) FROM misses WHERE miss) - kept AS eviction_count, kept AS tracked_count FROM sources""")
+def limiter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limiter.limiter_stats(limiter.rate_limit(_many_sources(spark, sf_dir), SMALL), SMALL)
+
+
 @query(f"SELECT 1::BIGINT AS src_ip, (user_id % 60)::INT AS src_port, max(event_id) AS last_id FROM events GROUP BY user_id % 60 ORDER BY last_id DESC LIMIT {SMALL.max_sources}")
 def tracked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.tracked_sources(_many_sources(spark, sf_dir), SMALL).drop("last_us")

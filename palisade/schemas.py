@@ -14,4 +14,4 @@ DATAGRAM = _struct(datagram_id=LONG, received_at_us=LONG, src_ip=LONG, src_port=
 PAIR = _struct(key=TEXT, value=TEXT)
 METRIC = _struct(name=TEXT, value=T.DoubleType(), unit=TEXT, tags=T.ArrayType(PAIR))
 PARSED_METRICS = _struct(reason=TEXT, agent_id=TEXT, seq=LONG, ts=UINT64, metrics=T.ArrayType(METRIC))
-EVENT = _struct(datagram_id=LONG, received_at_us=LONG, agent_id=TEXT, event_type=TEXT, event_json=TEXT)
+EVENT = _struct(datagram_id=LONG, received_at_us=LONG, agent_id=TEXT, event_type=TEXT, event_bytes=T.BinaryType())

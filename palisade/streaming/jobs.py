@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.config import GateConfig, LimiterConfig
-from palisade.operators.backlog import bound_backlog
+from palisade.operators.backlog import bound_large_backlog
 from palisade.operators.envelope import size_gate
 from palisade.operators.limiter import UNIT, admit_run
 from palisade.operators.stats import _counters
@@ -22,34 +22,54 @@ from palisade.reasons import open_outcome, outcome
 from palisade.sources.datagrams import write_drops, write_events
 
 
-def rate_limit_stream(df: DataFrame, config: LimiterConfig = LimiterConfig(), delay: str = "10 minutes") -> DataFrame:
-    """Add ``admitted`` to a stream. A source's state is two numbers; it is dropped once the source was idle until its
-    bucket must be full again, which forgets nothing. Forgetting an active source because of too many others, as the
-    batch limiter does, has no counterpart here. Rows in a trigger may come in any order; across triggers a source's
-    arrivals must not go back."""
-    idle_ms = int(np.ceil(config.burst_tokens * 1000 / config.tokens_per_sec)) + 1
-    timed = df.withColumn("arrival", F.timestamp_micros("received_at_us")).withWatermark("arrival", delay)
-    schema = T.StructType([*timed.schema.fields, T.StructField("admitted", T.BooleanType())])
+#: A bucket's state: a source's tokens and last arrival, and the latest arrival seen among the sources kept with it.
+STATE = "ips array<long>, ports array<long>, tokens array<long>, last array<long>, clock long"
+
+
+def rate_limit_stream(df: DataFrame, config: LimiterConfig = LimiterConfig(), delay_ms: int = 600_000, groups: int = 4096) -> DataFrame:
+    """Add ``admitted`` to a stream; every row comes out again, however late it is.
+
+    Sources are dealt to ``groups`` groups by hash, and a group's state holds two numbers a source. A source goes from it
+    once it was idle, by the arrivals of its group, until its bucket must be full again and ``delay_ms`` longer: so state
+    is bounded by the sources active in that time, and forgetting one changes nothing unless a row is later than that
+    (such a row may find a full bucket). No watermark is needed, as Spark would take rows behind it away unseen. Rows in
+    a trigger may come in any order; a row older than its source's last one in an earlier trigger adds no tokens.
+    Forgetting an active source because of too many others, as the batch limiter does, has no counterpart here.
+
+    A group's rows of one trigger are held together, without the payloads of rows dropped before: bound a trigger's size
+    at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+    """
+    idle_us = int(np.ceil(config.burst_tokens * UNIT / max(config.tokens_per_sec, 1))) + 1 + delay_ms * 1000
+    df = open_outcome(df)
+    if "payload" in df.columns:
+        df = df.withColumn("payload", F.when(F.col("drop_reason").isNull(), F.col("payload")))
+    df = df.withColumns({"src_ip": F.col("src_ip").cast("long"), "_group": F.pmod(F.xxhash64("src_ip", "src_port"), F.lit(groups))})
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != "_group"), T.StructField("admitted", T.BooleanType())])
 
     def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["received_at_us", "datagram_id"])
-        # the bucket does not see what an earlier stage dropped
-        seen = rows["drop_reason"].isna().to_numpy() if "drop_reason" in rows else np.ones(len(rows), bool)
+        known, clock = {}, -(1 << 62)
+        if state.exists:
+            *columns, clock = state.get
+            known = {(ip, port): (tokens, last) for ip, port, tokens, last in zip(*columns)}
+        rows = pd.concat(list(parts), ignore_index=True).drop(columns="_group")
         rows["admitted"] = pd.Series(None, rows.index, "object")
-        times = rows["received_at_us"].to_numpy(np.int64)[seen]
-        if len(times):
-            tokens, last = state.get if state.exists else (config.burst_tokens * UNIT, int(times[0]))
-            admitted, tokens, last = admit_run(times, tokens, last, config)
-            rows.loc[seen, "admitted"] = admitted
-            state.update((tokens, last))
-            state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        # the bucket does not see what an earlier stage dropped
+        thin = rows.loc[rows["drop_reason"].isna(), ["src_ip", "src_port", "received_at_us", "datagram_id"]].fillna(-1).astype(np.int64)
+        for source, own in thin.sort_values(["received_at_us", "datagram_id"]).groupby(["src_ip", "src_port"]):
+            times = own["received_at_us"].to_numpy()
+            tokens, last = known.get(source, (config.burst_tokens * UNIT, int(times[0])))
+            rows.loc[own.index, "admitted"], tokens, now = admit_run(times, tokens, last, config)
+            known[source] = tokens, max(last, now)
+            clock = max(clock, now)
+        kept = [(*source, *bucket) for source, bucket in known.items() if bucket[1] + idle_us > clock]
+        if kept:
+            state.update((*(list(map(int, c)) for c in zip(*kept)), clock))
+        elif state.exists:
+            state.remove()
         yield rows
 
-    limited = timed.groupBy("src_ip", "src_port").applyInPandasWithState(admit, schema, "tokens long, last long", "append", GroupStateTimeout.EventTimeTimeout)
-    return outcome(limited.drop("arrival"), "source_limit", F.when(~F.col("admitted"), F.lit("SourceLimited")))
+    limited = df.groupBy("_group").applyInPandasWithState(admit, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    return outcome(limited, "source_limit", F.when(~F.col("admitted"), F.lit("SourceLimited")))
 
 
 def event_stream(datagrams: DataFrame, config: GateConfig = GateConfig()) -> DataFrame:
@@ -68,17 +88,36 @@ def live_stats(ledger: DataFrame, interval: str = "1 second", delay: str = "10 s
     return each.select(F.unix_micros("w.start").alias("start_us"), *_counters())
 
 
-def start_stream(datagrams: DataFrame, events_path: str, drops_path: str, checkpoint: str, config: GateConfig = GateConfig(), trigger: dict | None = None) -> StreamingQuery:
-    """The whole gate, with one trigger as one drain interval. Each trigger's files carry its number, so that a trigger
-    that is run again writes over its own."""
+def event_counts(ledger: DataFrame, interval: str = "1 minute", delay: str = "6 minutes") -> DataFrame:
+    """Events by type and interval of their own stamps. An accepted stamp is at most five minutes behind its arrival and
+    one ahead of it, so a watermark of six minutes loses none of what arrives in order."""
+    timed = ledger.filter(F.col("event_ts").isNotNull()).withWatermark("event_ts", delay)
+    each = timed.groupBy(F.window("event_ts", interval).alias("w"), "event_type").agg(F.count("*").alias("n_events"))
+    return each.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n_events")
+
+
+Sink = Callable[[DataFrame, int], None]
+
+
+def file_sink(events_path: str, drops_path: str) -> Sink:
+    """Events and drops as files. Each trigger's carry its number, so that one that is run again writes over its own."""
+
+    def write(bounded: DataFrame, number: int) -> None:
+        write_events(bounded.filter(F.col("drop_reason").isNull()), f"{events_path}/trigger={number}", mode="overwrite")
+        write_drops(bounded, f"{drops_path}/trigger={number}", mode="overwrite")
+
+    return write
+
+
+def start_stream(datagrams: DataFrame, sink: Sink, checkpoint: str, config: GateConfig = GateConfig(), trigger: dict | None = None) -> StreamingQuery:
+    """The whole gate, with one trigger as one drain interval. ``sink`` gets each trigger's ledger and number."""
     limited = rate_limit_stream(size_gate(open_outcome(datagrams), config.recv), config.limiter)
 
     def drain(rows: DataFrame, number: int) -> None:
         rows = row_stages(rows, config).withColumn("resident_miss", F.lit(None).cast("boolean")).select(*LEDGER)
-        bounded = bound_backlog(rows, F.lit(number), config.forward).persist()
+        bounded = bound_large_backlog(rows, config.forward).persist()
         try:
-            write_events(bounded.filter(F.col("drop_reason").isNull()).orderBy("forwarded_order"), f"{events_path}/trigger={number}", mode="overwrite")
-            write_drops(bounded, f"{drops_path}/trigger={number}", mode="overwrite")
+            sink(bounded, number)
         finally:
             bounded.unpersist()
 

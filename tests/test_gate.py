@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from palisade.config import ForwardConfig, LimiterConfig, LogLimits, LogRules, MetricsLimits, MetricsRules, RecvConfig
 from palisade.functions import columns as C
-from palisade.operators import backlog, decode_logs, envelope, limiter, normalise, validate
-from palisade.operators.decode_metrics import decode_metrics, scan
+from palisade.operators import backlog, decode_logs, decode_metrics, envelope, limiter, normalise, validate
+from palisade.operators.decode_metrics import scan
 from palisade.reasons import REASONS, open_outcome
+from palisade.schemas import EVENT
 
 NOW = 1_705_689_600_000
 HEAD = '{"agent_id":"a","seq":1,"metrics":'
@@ -91,7 +92,7 @@ def test_metrics_bodies(body, expected):
 
 def test_metrics_frame(spark):
     rows = [(1, "metrics", bytearray(HEAD.encode() + b'[{"n":"\xff\xc3","v":2}]}')), (2, "metrics", bytearray(b"{}")), (3, "log", bytearray(b"x")), (4, None, None)]
-    got = decode_metrics(open_outcome(spark.createDataFrame(rows, "i long, msg_type string, body binary"))).orderBy("i").collect()
+    got = decode_metrics.decode_metrics(open_outcome(spark.createDataFrame(rows, "i long, msg_type string, body binary"))).orderBy("i").collect()
     assert got[0]["metrics"][0]["name"].encode("latin-1") == b"\xff\xc3" and got[0]["metrics_ts"] == Decimal(0)
     assert [r["drop_reason"] for r in got] == [None, "MissingRequiredField", None, None]
     assert scan(HEAD.encode() + b'[{"n":"c","v":1,"tags":{}}]}', MetricsLimits(tag_members=("t", "tags")))["seq"] == 1
@@ -224,9 +225,9 @@ def test_validate_log(spark, agent, ts, level, msg, rules, reason):
 
 def test_normalise(spark):
     df = spark.createDataFrame([("log", "n", Decimal(5), 4, 'a "b" \\ c\x01é'.encode().decode("latin-1"), None, None, None, None)], "msg_type string, log_agent string, log_ts decimal(20,0), level int, msg string, metrics_agent string, seq long, metrics_ts decimal(20,0), metrics array<int>")
-    assert normalise.unify_events(open_outcome(df)).first()["event_json"] == '{"type":"log","agent_id":"n","ts":5,"level":4,"msg":"a \\"b\\" \\\\ c\x01é"}'
+    assert normalise.with_event_json(normalise.unify_events(open_outcome(df))).first()["event_json"] == '{"type":"log","agent_id":"n","ts":5,"level":4,"msg":"a \\"b\\" \\\\ c\x01é"}'
     df = spark.createDataFrame([("metrics", None, None, None, None, "n", 7, Decimal(0), [1, 2])], df.schema)
-    assert normalise.unify_events(open_outcome(df)).first()["event_json"] == '{"type":"metrics","agent_id":"n","seq":7,"ts":0,"metric_count":2}'
+    assert normalise.with_event_json(normalise.unify_events(open_outcome(df))).first()["event_json"] == '{"type":"metrics","agent_id":"n","seq":7,"ts":0,"metric_count":2}'
 
 
 def sequential_bucket(times, config):
@@ -300,6 +301,68 @@ def test_residency_at_random(spark):
     assert [(r["resident_miss"], r["residency_epoch"]) for r in got] == list(zip(misses, epochs))
 
 
+@pytest.mark.parametrize("split_idle", [False, True])
+@pytest.mark.parametrize("keep", [5, 100])
+def test_limiter_on_floods_gaps_and_dropped_rows(spark, keep, split_idle):
+    """One source floods, others come and go, some rows were dropped before; over many ranges of arrival."""
+    rng = random.Random(keep)
+    config, t, rows = LimiterConfig(keep, 100, 3), 0, []
+    for i in range(4000):
+        t += rng.choice([0, 500, 2000, 9000]) if i % 400 else 200_000
+        rows.append((i, t, 0 if i % 3 else rng.randint(1, 9), 0, "recv" if i % 7 == 0 else None))
+    held, bucket, want = [], {}, {}
+    for i, t, ip, _, gone in rows:
+        if gone:
+            want[i] = (None, None)
+            continue
+        miss = ip not in held if keep < 10 else ip not in bucket
+        held = [x for x in held if x != ip][-(keep - miss) :] + [ip]
+        tokens = config.burst_tokens * limiter.UNIT if miss else limiter.fill(bucket[ip][0], t - bucket[ip][1], config)
+        want[i] = (miss, tokens >= limiter.UNIT)
+        bucket[ip] = (tokens - limiter.UNIT * want[i][1], t)
+    df = spark.createDataFrame(rows, "datagram_id long, received_at_us long, src_ip long, src_port int, drop_stage string").withColumn("drop_reason", F.when(F.col("drop_stage").isNotNull(), F.lit("Truncated")))
+    got = limiter.rate_limit(df.repartition(5), config, split_idle=split_idle).collect()
+    assert {r["datagram_id"]: (r["resident_miss"], r["admitted"]) for r in got} == want and len(got) == len(rows)
+    assert all((r["drop_reason"] == "Truncated") == (r["datagram_id"] % 7 == 0) for r in got)
+    if split_idle:
+        parts = limiter.idle_segments(df.withColumn("seen", F.col("drop_reason").isNull()), config).filter("src_ip = 0 and seen").select("segment").distinct().count()
+        assert parts == 10
+
+
+def test_plain_messages_equal_the_scanner():
+    rng = random.Random(3)
+    text = lambda most: "".join(rng.choices("ab1_.é ", k=rng.randint(0, most)))
+    number = lambda: rng.choice(["0", "-0", "7", "-1.5", "123456789012345", "0.000001"] * 5 + ["1e3", "01", "1."])
+    taken = 0
+    for _ in range(4000):
+        tags = [f'"{text(rng.choice([3] * 9 + [66]))}":"{text(4)}"' for _ in range(rng.choice([0, 1, 2, 3, 9]))]
+        metrics = [f'{{"n":"{text(rng.choice([4] * 9 + [130]))}","v":{number()}' + rng.choice(["", f',"u":"{text(5)}"'] * 4 + [',"u":"' + "u" * 17 + '"']) + rng.choice(["", ',"t":{' + ",".join(tags) + "}"]) + "}" for _ in range(rng.choice([0, 1, 2, 3, 51]))]
+        body = f'{{"agent_id":"{rng.choice(["n-1"] * 7 + ["a" * 65, "", "x y"])}","seq":{rng.choice(["5", "4294967297"] * 4 + ["00", "-3"])}' + rng.choice(["", ',"ts":17056896'] * 4 + [',"ts":-1']) + f',"metrics":[{",".join(metrics)}]}}' + rng.choice(["", " x"])
+        for _ in range(rng.choice([0, 0, 1])):
+            at = rng.randrange(len(body))
+            body = body[:at] + rng.choice(['"', "\\", ",", "}", " ", ""]) + body[at + 1 :]
+        limits = MetricsLimits()
+        found = decode_metrics.plain(body, limits)
+        taken += found is not None
+        assert found in (None, decode_metrics._Scanner(body, limits).message() if found else None), body
+    assert taken > 200
+
+
+def test_numbers_with_many_digits():
+    body = lambda seq: b'{"agent_id":"a","seq":%s,"metrics":[]}' % seq
+    assert decode_metrics.scan(body(b"0" * 5000 + b"1"))["seq"] == 1 and decode_metrics.scan(body(b"-" + b"0" * 5000))["seq"] == 0
+    assert decode_metrics.scan(body(b"1" * 5000))["reason"] == "InvalidFieldType"
+    assert decode_metrics.scan(body(b"-9223372036854775808"))["seq"] == 0 and decode_metrics.scan(body(b"9223372036854775808"))["reason"] == "InvalidFieldType"
+
+
+def test_outer_explode_and_merge(spark):
+    df = spark.createDataFrame([(1, []), (2, [5, 6])], "datagram_id long, metrics array<int>")
+    assert [tuple(r) for r in normalise.explode_metrics(df, outer=True).select("datagram_id", "metric_pos", "metric").orderBy("datagram_id", "metric_pos").collect()] == [(1, None, None), (2, 0, 5), (2, 1, 6)]
+    events = lambda n, kind: spark.createDataFrame([(n, n, "a", kind, b"{}")], EVENT)
+    merged = normalise.merge_events(events(1, "metrics"), events(2, "log").select("event_bytes", *(f for f in EVENT.names if f != "event_bytes")))
+    assert merged.schema == EVENT and sorted((r["datagram_id"], r["event_type"]) for r in merged.collect()) == [(1, "metrics"), (2, "log")]
+
+
 def sequential_queue(rows, config):
     queue, held, out = 0, {}, []
     for agent in rows:
