@@ -351,25 +351,60 @@ def test_simhash_by_hand():
     assert int(simhash.fingerprints(*common.packed(pa.array([" ".join(words)])))[0]) == sum(1 << k for k, v in enumerate(votes) if v > 0)
 
 
-def test_mixing(spark):
+def entropy_of(weights):
+    w = np.array([x for x in weights if x > 0])
+    return float(-(w * np.log(w)).sum() / np.log(len(w)))
+
+
+@pytest.mark.parametrize("target", [0.99, 0.9, 0.7, 0.5])
+def test_mixing_meets_targets_on_both_sides(spark, target):
+    sums = {"a": 5000, "b": 3000, "c": 1500, "d": 500, "e": 40, "none": 0}
+    own = entropy_of([x / sum(sums.values()) for x in sums.values()])
+    assert 0.5 < own < 0.9
+    rows = mixing.source_weights(spark.createDataFrame(list(sums.items()), "source string, n_tokens long"), entropy=target).collect()
+    assert abs(sum(r["weight"] for r in rows) - 1) < 1e-9 and abs(entropy_of([r["weight"] for r in rows]) - target) < 1e-4
+    assert (rows[0]["alpha"] > 1) == (target < own) and {r["weight"] for r in rows if r["source"] == "none"} == {0.0}
+
+
+def test_mixing_targets_out_of_reach(spark):
+    weights = lambda sums, **how: {r["source"]: (r["alpha"], round(r["weight"], 9)) for r in mixing.source_weights(spark.createDataFrame(sums, "source string, n_tokens long"), **how).collect()}
+    assert weights([("a", 10), ("b", 10), ("c", 9)], entropy=0.3) == {"a": (1024.0, 0.5), "b": (1024.0, 0.5), "c": (1024.0, 0.0)}
+    assert weights([("a", 10)], entropy=0.5) == {"a": (1.0, 1.0)} and weights([("a", 0)], entropy=0.5) == {"a": (1.0, 0.0)}
+    assert weights([("a", 10), ("b", 30)], repeats=0.5) == {"a": (1.0, 0.25), "b": (1.0, 0.75)}
+
+
+@pytest.mark.parametrize("entropy, sources", [(0.97, 100_000), (0.75, 100_000), (0.75, 2)])
+def test_mixing(spark, monkeypatch, entropy, sources):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
     df = frame(spark, odd_texts())
-    rows = mixing.mix(df, entropy=0.97).collect()
+    rows = mixing.mix(df, entropy=entropy).collect()
     assert len(rows) == df.count() and all(r["n_tokens"] == len(WORDS.findall(t or "")) for r, t in zip(sorted(rows, key=lambda r: r["doc_id"]), [t for _, t in sorted((d["doc_id"], d["text"]) for d in df.collect())]))
     total, taken = Counter(), Counter()
     for r in rows:
         total[r["source"]] += r["n_tokens"]
         taken[r["source"]] += r["n_tokens"] * r["copies"]
-    p = np.array(list(total.values())) / sum(total.values())
-    weights = {r["source"]: r for r in mixing.source_weights(df.select(F.coalesce("source", F.lit("")).alias("source"), mixing.tokens(F.col("text")).alias("n_tokens")), entropy=0.97).collect()}
-    w = np.array([weights[s]["weight"] for s in total])
-    assert abs(w.sum() - 1) < 1e-6 and abs(-(w * np.log(w)).sum() / np.log(len(w)) - max(0.97, -(p * np.log(p)).sum() / np.log(len(p)))) < 1e-4
+    thin = df.select(F.coalesce("source", F.lit("")).alias("source"), mixing.tokens(F.col("text")).alias("n_tokens"))
+    weights = {r["source"]: r for r in mixing.source_weights(thin, entropy=entropy).collect()}
+    assert abs(entropy_of([weights[s]["weight"] for s in total]) - entropy) < 1e-4 and len({r["copies"] for r in rows}) > 1
     longest = max(r["n_tokens"] for r in rows)
     for s in total:
-        assert 0 <= taken[s] - int(weights[s]["weight"] * sum(total.values())) < longest
-    assert {r["doc_id"]: r["copies"] for r in rows} == {r["doc_id"]: r["copies"] for r in mixing.mix(df.repartition(7), entropy=0.97).collect()}
-    limited = {r["source"]: r for r in mixing.source_weights(df.select(F.coalesce("source", F.lit("")).alias("source"), mixing.tokens(F.col("text")).alias("n_tokens")), repeats=1.1).collect()}
-    assert max(r["weight"] / r["share"] for r in limited.values()) <= 1.1001
-    assert min(r["copies"] for r in mixing.mix(df, repeats=1.1, budget=F.col("cover")).collect()) >= 1
+        assert 0 <= taken[s] - round(weights[s]["weight"] * sum(total.values())) < longest
+    assert {r["doc_id"]: r["copies"] for r in rows} == {r["doc_id"]: r["copies"] for r in mixing.mix(df.repartition(7), entropy=entropy).collect()}
+
+
+@pytest.mark.parametrize("budget", ["corpus", "cover", 9000])
+def test_mixing_limits_repeats_at_the_budget_used(spark, budget):
+    df = frame(spark, odd_texts())
+    thin = mixing.count_tokens(df)
+    weights = mixing.source_weights(thin, repeats=1.1, budget=budget).collect()
+    assert max(r["quota"] / r["tokens"] for r in weights) <= 1.1 + 1e-3
+    assert budget != "cover" or min(r["quota"] / r["tokens"] for r in weights) >= 1
+    copies = [r["copies"] for r in mixing.mix(df, repeats=1.1, budget=budget).collect()]
+    assert budget != "cover" or min(copies) >= 1 and max(copies) == 2
+
+
+def test_mixing_query_differs_from_its_corpus(spark):
+    assert len({r["copies"] for r in queries.op1_mixing(spark, DATA).collect()}) > 1
 
 
 def test_rollups(spark, tmp_path):
