@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,6 +297,84 @@ def test_html_many_elements_without_end():
         assert html_text.text_of(tag * 20000 + "<p>one", None)[0] == "one"
 
 
+def test_html_hostile_pages():
+    """Time in proportion to the page, and no markup left."""
+    for part in ('<p title="x', "<p title='x", "<p =", "<!--", "<p title=\"a>b' ", "</p x='", "<", "<a <b", "<script", "<head>", "<!x", "<title>", "<svg", "<noscript>", "<p title=\"'>"):
+        began = time.time()
+        html_text.text_of(part * (1_000_000 // len(part)), None)
+        assert time.time() - began < 10, part
+    cases = {
+        "<p title=it's>hello": "hello", "<p title=a'b class=x>one<p>it's": "one it's", '<p title="a>b">one': "one", "<p title=\"it's>one<p>two": "one two", "<p data-x='>'/>one": "one", "<p class=a/b>one</p >two": "one two",
+        "a < b <c>d": "a < b d", "<!-->one--><!-- x --!> --><p>two": "one--> two", "</ p>one</>two<?php x ?>three": "one two three", "<p a= 'x>y' b = \"<p>\">one": "one", "<p x=\"1\"y='2'>one": "one",
+    }
+    for source, text in cases.items():
+        assert html_text.text_of(source, None)[0].replace("onetwothree", "one two three") == text, source
+
+
+def test_html_class_words_alone_drop_nothing():
+    for name in ("share-of-voice", "notice-board-history", "adsorption", "comment-on-genesis"):
+        assert html_text.text_of(f"<body><div class={name}><p>some words</div><p>other words that are many more than those</p>", None)[0].startswith("some words")
+    attributes = "<body><div data-class=ad data-role=nav><p>some words</div><p>other words that are many more than those</p>"
+    assert html_text.text_of(attributes, None)[0].startswith("some words")
+
+
+def template_pages(rng, host, n):
+    """Pages of one template, and the main text of each. Notices and menus have no telling names; names of some texts do."""
+    words = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}" for _ in range(k))
+    notice, menu, kind = words(40), [words(2) for _ in range(6)], rng.choice(["post", "entry-x", "comment", "story", "notice"])
+    guessed = kind in ("comment", "notice")
+    out = []
+    for i in range(n):
+        title, parts = words(4), [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p}" for p in parts) + ("" if guessed else f'<div class="cookie-notice"><p>{words(9)}</p></div><div class="comments"><p>{words(40)}</p></div>')
+        links = "".join(f"<li><a href=x>{m}</a>" for m in menu)
+        source = f"<html><head><title>{title}</title><body><div class=q{rng.randint(0, 9)}><p>{notice}</p></div><div class=m><ul>{links}</ul></div><div class='{kind} p-{i}'>{body}</div><div class=legal>{notice[:99]}</div><footer>{words(9)}</footer>"
+        out.append((f"https://{host}/{i}", source, " ".join([title, *parts])))
+    return out
+
+
+@pytest.mark.parametrize("few, large", [(50_000, 10_000), (3, 10_000), (3, 12)])
+def test_html_of_templates(spark, monkeypatch, few, large):
+    monkeypatch.setattr(html_text, "BROADCAST_HOSTS", few)
+    monkeypatch.setattr(html_text, "LARGE_HOST", large)
+    rng = random.Random(12)
+    pages = [p for h in range(12) for p in template_pages(rng, f"h{h}.org", rng.choice([6, 15, 30]))]
+    copies = [(u.replace("://", "://copies."), s, t) for u, s, t in pages[:1]] * 9  # a host with one page, many times
+    pages += copies + [(None, None, ""), ("x", "", "")]
+    df = spark.createDataFrame([(i, u, s, "x") for i, (u, s, _) in enumerate(pages)], "page_id long, url string, html string, text string").repartition(5)
+    got = {r["page_id"]: r for r in html_text.main_text(df).collect()}
+    assert len(got) == len(pages) and all(got[i]["n_chars"] == len(got[i]["text"]) for i in got)
+    wrong = [i for i, (_, _, t) in enumerate(pages[: len(pages) - 11]) if got[i]["text"] != t]
+    assert not wrong, [(len(wrong), pages[wrong[0]], got[wrong[0]]["text"])]
+    assert {got[i]["text"] for i in range(len(pages) - 2, len(pages))} == {""} and all(pages[-3][2] in got[i]["text"] for i in range(len(pages) - 11, len(pages) - 2))
+
+
+def test_html_votes_against_brute_force(spark):
+    rng = random.Random(2)
+    pages = [p for h in range(5) for p in template_pages(rng, f"h{h}.org", 8)]
+    pages += pages[:9]
+    votes = defaultdict(list)
+    for url, source, _ in pages:
+        for path, (text, page, own) in html_text.votes_of(source).items():
+            votes[url.split("/")[2], path].append((text, page, own))
+    want = {}
+    for host in {h for h, _ in votes}:
+        mine = {p: v for (h, p), v in votes.items() if h == host}
+        everything = sum(o.prose for v in mine.values() for _, _, o in v)
+        trusted = sorted(p for p, v in mine.items() if 2 * sum(o.beneath for _, _, o in v) > everything)
+        best, repeated = [], []
+        for path, v in mine.items():
+            seen = Counter(t for t, _, _ in v)
+            seen = {t: 1 if len({p for x, p, _ in v if x == t}) == 1 else n for t, n in seen.items()}
+            same = max(seen.values()) / sum(seen.values()) if len(v) >= 5 else 0
+            best.append((-sum(o.unguessed if trusted else o.weight for _, _, o in v) * (1 - 0.9 * same), path))
+            if same >= 0.8 and len(v) * 10 >= max(map(len, mine.values())):
+                repeated.append(path)
+        want[host] = (min(best)[1], trusted or None, sorted(repeated))
+    df = spark.createDataFrame([(u, s) for u, s, _ in pages], "url string, html string").repartition(4)
+    assert {r["host"]: (r["path"], r["trusted"], r["repeated"]) for r in html_text.host_paths(df).collect()} == want
+
+
 def test_language_id(spark):
     docs = common.table(spark, DATA, "documents")
     model = language_id.train(docs)
