@@ -3,17 +3,22 @@
 1. Every document becomes its set of hashed word n-grams. Equal sets form one class, told apart by a 128-bit sum.
 2. Two sets that reach the threshold share a member of their prefixes (the first ``n - ceil(t n) + 1`` members in any
    one order of all n-grams). The order puts frequent n-grams last and long ones first, so that a passage shared by a
-   third of the corpus is not what brings documents together. Of the classes under a prefix member, two are joined only
-   if their sizes and parity sketches allow a link: each n-gram that only one set has flips one of a
-   sketch's bits, so sketches differ in no more bits than the sets in members. Larger sets have wider sketches. Classes joined directly or by way of others form
-   a group; a group holds all links of its classes.
-3. In each group an inverted index answers, for each class, which others share at least T members: lists outside the
-   L longest are merged and counted, and the survivors are probed by binary search in the long ones (DivideSkip).
-   Candidates already connected are passed over, as the result is the connected components. A group of more than
+   third of the corpus is not what brings documents together; only documents with a frequent n-gram in their prefix are
+   read again for it. Of the classes under a prefix member, two are joined only if their sizes and parity sketches allow
+   a link: each n-gram that only one set has flips one of a sketch's bits, so sketches differ in no more bits than the
+   sets in members. Larger sets have wider sketches. Sets of like size are compared only where a piece of their sketches
+   is equal, as one must be (more pieces than bits that may differ). Classes joined directly or by way of others form a
+   group; a group holds all links of its classes.
+3. In each group an inverted index answers, for many classes at once, which others share at least T members: lists
+   outside the L longest are merged and counted, and the survivors are probed by binary search in the long ones
+   (DivideSkip). Lists hold classes in order of size, so that only the stretch of sizes that can reach the threshold is
+   merged. Candidates already connected are passed over, as the result is the connected components. A group of more than
    ``GROUP_MEMBERS`` n-grams is worked in blocks (``link_large``), so no task holds it whole.
 
 Null or empty texts and texts without words have empty sets and no links. Rows that repeat a doc_id get the same row
-each. A null doc_id is never the name of a component unless all members' are null. An empty table gives no rows.
+each. Texts are taken whole; a very long one is alone in its kernel's slice. A component is named by the smallest doc_id
+of its members, so ties can't occur; documents with a null doc_id link as others do, but name a component only if all its
+members' are null. An empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +37,20 @@ from palisade.llm.common import id_text, lowered, materialise, mix, packed, part
 FREQUENT, FREQUENT_KEPT = 64, 50_000
 #: Sets of up to so many members have a sketch of so many bits. A wide one folds into a narrow one, its bits taken modulo.
 SKETCHES = ((1_200, 512), (9_600, 4_096), (1 << 62, 16_384))
-#: N-grams of a group's sets that one task holds; and holders of a prefix member whose sketches one task compares. More
-#: holders than these are put into one group as they are.
-GROUP_MEMBERS, HOLDERS = 6_000_000, 200_000
+#: N-grams of a group's sets that one task holds, a set counting as so many more; and holders of a prefix member whose
+#: sketches one task compares. More holders than these are put into one group as they are.
+GROUP_MEMBERS, SET_COST, HOLDERS = 4_000_000, 16, 20_000
 #: DivideSkip's weight of the longest list in the number of lists to set aside.
 SKIP_WEIGHT = 0.01
-
+#: List entries merged at once; classes asked about at once; and members from which a component is finished before others.
+MERGED, ASKED, FOCUS = 2_000_000, 4096, 256
+#: Documents whose ids are broadcast to be read again for frequent n-grams; with more, all are.
+READ_AGAIN = 2_000_000
+#: Bits that a piece of a sketch has at least, where pieces are compared.
+PIECE_BITS = 12
+
+#: Rows without doc_id go by a hash of their text from here on, past all ids that documents have.
+NULL_IDS = 1 << 62
 SIG = "doc_id long, n long, sum_a long, sum_b long, size_class int, sketch binary, folded binary, prefix array<long>"
 
 
@@ -87,11 +101,13 @@ def parity_sketch(kept: np.ndarray, wide: int) -> bytes:
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
-def signatures(size: int, percent: int, frequent: np.ndarray):
-    """Arrow kernel: set size, 128-bit set sum and prefix of each row."""
+def signatures(size: int, percent: int, frequent: np.ndarray, only: np.ndarray | None = None):
+    """Arrow kernel: set size, 128-bit set sum and prefix of each row, or of the rows with one of the ids ``only``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pc.is_in(batch.column(0), pa.array(only)))
             for part in text_slices(batch, "text"):
                 n = np.zeros(part.num_rows, np.int64)
                 sums = np.zeros((2, part.num_rows), np.uint64)
@@ -124,7 +140,7 @@ def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) ->
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (differ <= n + m - 2 * least)
 
 
-def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def reached(n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the graph of sets that may link; a set that was reached is not compared again."""
     out, left = [], np.arange(len(n))
     while len(left):
@@ -138,6 +154,53 @@ def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tupl
     return out
 
 
+def piece_hashes(sketch: np.ndarray, pieces: int) -> np.ndarray:
+    """A hash of each of so many pieces of each sketch."""
+    bits = sketch.shape[1] * 64
+    factor = mix(np.arange(1, bits + 1, dtype=np.uint64))
+    starts = np.arange(pieces) * bits // pieces
+    out = np.empty((len(sketch), pieces), np.uint64)
+    for a in range(0, len(sketch), 1024):
+        own = np.ascontiguousarray(sketch[a : a + 1024])
+        out[a : a + 1024] = np.add.reduceat(np.unpackbits(own.view(np.uint8), axis=1) * factor, starts, axis=1)
+    return out
+
+
+def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int, few: int = 16) -> list[tuple[int, int]]:
+    """Pairs that may link and connect all that do, directly or by way of others.
+
+    Sets stand in order of size. Those from the least size up to what it can link with, and what the largest of these
+    can, are looked at together; sketches of sets that may link differ in fewer bits than they have pieces.
+    """
+    order = np.argsort(n, kind="stable")
+    n, sketch = n[order], sketch[order]
+    out: list[tuple[int, int]] = []
+    start = 0
+    while start < len(n):
+        top = int(n[start]) * 100 // percent
+        after, end = np.searchsorted(n, [top, top * 100 // percent], side="right")
+        size, look = n[start:end], sketch[start:end]
+        pieces = int((min(top, size[-1]) + size[-1]) * (100 - percent) // (100 + percent)) + 1
+        if len(size) <= 4 * few or sketch.shape[1] * 64 < PIECE_BITS * pieces:
+            out += [(start + i, start + j) for i, j in reached(size, look, percent)]
+        else:
+            for key in piece_hashes(look, pieces).T:
+                by = np.argsort(key, kind="stable")
+                heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+                runs = np.diff(np.append(heads, len(by)))
+                small = np.repeat(runs <= few, runs)
+                for d in range(1, few):
+                    i = np.flatnonzero(small[:-d] & (key[by][d:] == key[by][:-d]))
+                    i, j = by[i], by[i + d]
+                    near = may_link(size[i], size[j], np.bitwise_count(look[i] ^ look[j]).sum(axis=1, dtype=np.int64), percent)
+                    out += zip((start + i[near]).tolist(), (start + j[near]).tolist())
+                for h, r in zip(heads[runs > few], runs[runs > few]):
+                    own = by[h : h + r]
+                    out += [(start + int(own[i]), start + int(own[j])) for i, j in reached(size[own], look[own], percent)]
+        start = int(after)
+    return [(int(order[i]), int(order[j])) for i, j in dict.fromkeys(out)]
+
+
 def edges_of(percent: int, few: int = 6):
     """Arrow kernel over rows (wide, token, rep, n, sketch) in that order: pairs of reps that may link, for each token.
 
@@ -216,62 +279,141 @@ class Links:
         return flat
 
 
-def t_occurrence(query: np.ndarray, tokens: np.ndarray, lists: np.ndarray, owners: np.ndarray, least: int, open_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owners in ``open_to`` (a mask) that share at least ``least`` of the query's members, and how many they share.
+class Index:
+    """Inverted lists over sets given in order of size: every (member, set) pair, in that order.
 
-    ``tokens`` are the index's distinct members, ``lists`` the offsets of their lists in ``owners`` (ascending in each).
+    ``ranks`` holds each set's members as numbers; it stays whole when ``without`` takes sets from the lists.
     """
-    at = np.searchsorted(tokens, query)
-    at = at[(at < len(tokens))]
-    at = at[np.isin(tokens[at], query, assume_unique=False)] if len(at) else at
-    sizes = lists[at + 1] - lists[at]
-    at = at[np.argsort(sizes, kind="stable")]
-    longest = int(sizes.max(initial=1))
-    aside = min(int(least / (SKIP_WEIGHT * np.log2(longest + 1) + 1)), least - 1, len(at))
-    short, long = at[: len(at) - aside], at[len(at) - aside :]
-    merged = np.concatenate([owners[lists[t] : lists[t + 1]] for t in short]) if len(short) else np.zeros(0, owners.dtype)
-    merged = np.sort(merged[open_to[merged]], kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]])) if len(merged) else np.zeros(0, np.int64)
-    count = np.diff(np.append(heads, len(merged)))
-    found = merged[heads]
-    found, count = found[count >= least - aside], count[count >= least - aside]
-    for t in long:
-        if not len(found):
-            break
-        own = owners[lists[t] : lists[t + 1]]
-        count = count + (own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found)
-    return found[count >= least], count[count >= least]
-
-
-def index_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(s) for s in sets])
-    owners = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    owners, flat = owners[order], flat[order]
-    del order
-    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    return flat[heads], np.append(heads, len(flat)), owners
 
-
-def reaches(shared, n, m, percent: int):
-    return 100 * shared >= percent * (n + m - shared)
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        rank = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]), dtype=np.int32)
+        del flat
+        self.ranks = np.empty(len(order), np.int32)
+        self.ranks[order] = rank
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)[order]
+        self.keys = rank.astype(np.int64) * self.n + owner
+
+    def without(self, gone: np.ndarray) -> Index:
+        """The same without the sets marked in ``gone``."""
+        out = object.__new__(Index)
+        out.n, out.sizes, out.offsets, out.ranks = self.n, self.sizes, self.offsets, self.ranks
+        out.keys = self.keys[~gone[self.keys % self.n]]
+        return out
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, end to end."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def t_occurrence(index: Index, asked: np.ndarray, percent: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set asked about, set in the index, members shared) of all pairs that reach the threshold and have not one name."""
+    size = index.sizes[asked]
+    least = needed(size, percent)
+    low = np.searchsorted(index.sizes, least, side="left")
+    high = np.searchsorted(index.sizes, size * 100 // percent, side="right")
+    at = np.repeat(np.arange(len(asked)), size)
+    rank = index.ranks[ranges(index.offsets[asked], size)].astype(np.int64) * index.n
+    start = np.searchsorted(index.keys, rank + low[at])
+    length = np.searchsorted(index.keys, rank + high[at]) - start
+    order = np.lexsort((length, at))
+    rank, start, length = rank[order], start[order], length[order]
+    heads = np.cumsum(size) - size
+    longest = length[heads + size - 1]
+    aside = np.minimum((least / (SKIP_WEIGHT * np.log2(longest + 1) + 1)).astype(np.int64), least - 1)
+    short = np.arange(len(at)) - heads[at] < (size - aside)[at]
+    total = np.add.reduceat(np.where(short, length, 0), heads)
+    out: list[list[np.ndarray]] = [[], [], []]
+    # so many queries at once as the bound on merged entries allows, one at least
+    group = np.zeros(len(asked), np.int64)
+    room, g = 0, 0
+    for i, t in enumerate(total.tolist()):
+        if room + t > MERGED and room:
+            g, room = g + 1, 0
+        room, group[i] = room + t, g
+    for g in range(g + 1):
+        mine = np.flatnonzero(group == g)
+        a, b = heads[mine[0]], heads[mine[-1]] + size[mine[-1]]
+        use = np.flatnonzero(short[a:b]) + a
+        other = index.keys[ranges(start[use], length[use])] % index.n
+        query = np.repeat(at[use], length[use])
+        fresh = names[other] != names[asked[query]]
+        pair = np.sort(query[fresh] * index.n + other[fresh], kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(pair)))
+        query, other = np.divmod(pair[first], index.n)
+        # the lists set aside are probed from the shortest on, while there are enough of them left to reach the threshold
+        step = 0
+        while len(query):
+            left = aside[query] - step
+            keep = count + np.maximum(left, 0) >= least[query]
+            query, other, count, left = query[keep], other[keep], count[keep], left[keep]
+            if not (left > 0).any():
+                break
+            more = np.flatnonzero(left > 0)
+            key = rank[heads[query[more]] + size[query[more]] - left[more]] + other[more]
+            spot = np.minimum(np.searchsorted(index.keys, key), len(index.keys) - 1)
+            count[more] += index.keys[spot] == key
+            step += 1
+        good = 100 * count >= percent * (size[query] + index.sizes[other] - count)
+        for into, column in zip(out, (asked[query[good]], other[good], count[good])):
+            into.append(column)
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
 
 
 def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Name (least position) of each set's component under the threshold."""
-    links, index = Links(len(sets)), index_of(sets)
-    sizes = np.array([len(s) for s in sets])
-    for i, query in enumerate(sets):
-        if links.parts == 1:
-            break
-        fits = (sizes * 100 >= percent * len(query)) & (len(query) * 100 >= percent * sizes)
-        open_to = fits & (links.names() != links.find(i))
-        if open_to.any():
-            found, shared = t_occurrence(query, *index, needed(len(query), percent), open_to)
-            for j in found[reaches(shared, len(query), sizes[found], percent)]:
-                links.join(i, int(j))
-    return links.names()
+    """Name (least position) of each set's component under the threshold. Every set is asked about once, against those
+    not asked about before. A component with many sets still to be asked about is finished first, against the sets
+    outside it alone, so that copies are not merged again and again."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    index = Index([sets[i] for i in order])
+    links, names = Links(len(sets)), np.arange(len(sets))
+    waiting, listed, batch = np.arange(len(sets)), len(sets), 1
+
+    def ask(asked: np.ndarray, of: Index) -> int:
+        nonlocal names
+        found = 0
+        for a in range(0, len(asked), ASKED):
+            left, right, _ = t_occurrence(of, asked[a : a + ASKED], percent, names)
+            for i, j in zip(left.tolist(), right.tolist()):
+                links.join(i, j)
+            found += len(left)
+            names = links.names() if len(left) else names
+        return found
+
+    def others(keep: np.ndarray) -> np.ndarray:
+        gone = np.ones(len(sets), bool)
+        gone[keep] = False
+        return gone
+
+    while len(waiting) and links.parts > 1:
+        asked, waiting = waiting[:batch], waiting[batch:]
+        found = ask(asked, index)
+        batch = min(2 * batch, ASKED) if found <= len(asked) else 1
+        count = np.bincount(names[waiting], minlength=1)
+        if count.max() >= FOCUS:
+            inside = names[waiting] == count.argmax()
+            front, waiting = waiting[inside], waiting[~inside]
+            index = index.without(others(waiting))
+            while len(front) and len(waiting):
+                one = front[0]
+                ask(front, index)
+                inside = names[waiting] == names[one]
+                front, waiting = waiting[inside], waiting[~inside]
+            index, listed = index.without(others(waiting)), len(waiting)
+        elif len(waiting) < listed / 2:
+            index, listed = index.without(others(waiting)), len(waiting)
+    first = np.full(len(sets), len(sets))
+    np.minimum.at(first, names, order)
+    out = np.empty(len(sets), np.int64)
+    out[order] = first[names]
+    return out
 
 
 def link_groups(size: int, percent: int):
@@ -316,7 +458,7 @@ def link_texts(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def link_large(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, component) of groups too large for a task, from rows (grp, doc_id, n).
+    """(doc_id, component) of groups too large for a task, from rows (grp, doc_id, n), n being what a set counts.
 
     Each block of a group is linked by itself, then one document of each part found, as far as a task holds those. Of a
     link still missing, one end at least is outside its group's largest part: all documents outside it are the queries,
@@ -363,19 +505,29 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``df``; ``percent`` is the Jaccard threshold."""
     spark = df.sparkSession
     docs = id_text(df)
+    real = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
 
     def classes(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
         sig = materialise(docs.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
         return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), F.any_value(F.struct("size_class", "sketch", "folded", "prefix")).alias("own")).select("n", "sum_a", "sum_b", "rep", "own.*")
 
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NULL_IDS - 1)) + F.lit(NULL_IDS)))
     sig, reps = classes(np.zeros(0, np.uint64))
-    prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
+    prefixes = reps.select("rep", F.explode("prefix").alias("token"))
     counts = materialise(prefixes.groupBy("token").count().filter("count > 1"), "counts")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    often = counts.filter(F.col("count") >= max(FREQUENT, total // FREQUENT_KEPT)).select("token").toPandas()["token"].to_numpy(np.int64)
-    if len(often):
-        sig, reps = classes(np.sort(often.view(np.uint64)))
-        prefixes = reps.select("rep", F.explode("prefix").alias("token")).filter("rep is not null")
+    often = counts.filter(F.col("count") >= max(FREQUENT, total // FREQUENT_KEPT)).select("token")
+    frequent = np.sort(often.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    if len(frequent):
+        # a prefix without a frequent n-gram stays the same when those go last
+        again = materialise(prefixes.join(F.broadcast(often), "token", "left_semi").select("rep").distinct(), "again")
+        if again.limit(READ_AGAIN + 1).count() <= READ_AGAIN:
+            ids = again.toPandas()["rep"].to_numpy(np.int64)
+            second = docs.mapInArrow(signatures(size, percent, frequent, ids), SIG).select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
+            prefixes = materialise(prefixes.join(F.broadcast(again), "rep", "left_anti").unionByName(second.distinct()), "prefixes")
+        else:
+            sig, reps = classes(frequent)
+            prefixes = reps.select("rep", F.explode("prefix").alias("token"))
         counts = prefixes.groupBy("token").count().filter("count > 1")
     # tokens of one holder go before the sketches are added: most of a prefix is its document's own
     crowded = counts.filter(F.col("count") > HOLDERS).limit(1).count() > 0
@@ -394,7 +546,8 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     edges = materialise(edges, "edges")
     # each edge's lesser end stands for a token that both ends hold
     pairs = edges.select(F.col("b").alias("rep"), F.col("a").alias("token")).unionByName(edges.select(F.col("a").alias("rep"), F.col("a").alias("token")).distinct())
-    grouped = groups_of(pairs).join(reps.select("rep", "n"), "rep").select("grp", F.col("rep").alias("doc_id"), "n")
+    weight = (F.col("n") + SET_COST).alias("n")
+    grouped = groups_of(pairs).join(reps.select("rep", weight), "rep").select("grp", F.col("rep").alias("doc_id"), "n")
     large = grouped.groupBy("grp").agg(F.sum("n").alias("m")).filter(F.col("m") > GROUP_MEMBERS).select("grp")
     if large.limit(1).count():
         # the corpus is shuffled once for all that follows: large groups read the texts of their own members again, not all
@@ -409,4 +562,4 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n", "sum_a", "sum_b").join(named, ["n", "sum_a", "sum_b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, real("component")).otherwise(real("doc_id")).alias("component_id"))

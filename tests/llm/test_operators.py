@@ -170,14 +170,93 @@ def test_large_groups_in_blocks(spark, monkeypatch, percent):
     assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in got.items()} == {d: {w} for d, w in want.items()}
 
 
-def test_t_occurrence_against_brute_force():
+def random_sets(rng, n, letters, most):
+    return [np.unique(np.array(rng.choices(range(letters), k=rng.randint(1, most)), np.uint64)) for _ in range(n)]
+
+
+def alike(a, b, percent):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def test_t_occurrence_against_brute_force(monkeypatch):
     rng = random.Random(8)
-    for _ in range(200):
-        sets = [np.unique(np.array(rng.choices(range(60), k=rng.randint(1, 50)), np.uint64)) for _ in range(rng.randint(1, 25))]
-        query, least = sets[0], rng.randint(1, 20)
-        found, shared = ngram_join.t_occurrence(query, *ngram_join.index_of(sets), least, np.ones(len(sets), bool))
-        want = {i: len(np.intersect1d(query, s)) for i, s in enumerate(sets)}
-        assert dict(zip(found.tolist(), shared.tolist())) == {i: n for i, n in want.items() if n >= least}
+    for trial in range(200):
+        monkeypatch.setattr(ngram_join, "MERGED", rng.choice([1, 40, 10**6]))
+        sets = sorted(random_sets(rng, rng.randint(1, 25), 60, 50), key=len)
+        percent, names = rng.choice([20, 50, 90, 100]), np.array([rng.randint(0, 20) for _ in sets])
+        gone = np.array([trial % 3 == 0 and rng.random() < 0.3 for _ in sets])
+        asked = np.array(sorted(rng.sample(range(len(sets)), rng.randint(1, len(sets)))))
+        found = ngram_join.t_occurrence(ngram_join.Index(sets).without(gone), asked, percent, names)
+        want = {(i, j, len(np.intersect1d(sets[i], sets[j]))) for i in asked.tolist() for j in range(len(sets)) if names[i] != names[j] and not gone[j] and alike(sets[i], sets[j], percent)}
+        assert set(zip(*(c.tolist() for c in found))) == want
+
+
+def test_connect_against_brute_force(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(ngram_join, "FOCUS", 4)
+    for _ in range(150):
+        monkeypatch.setattr(ngram_join, "ASKED", rng.choice([1, 3, 100]))
+        sets, percent = random_sets(rng, rng.randint(1, 30), rng.choice([4, 12]), rng.choice([4, 12])), rng.choice([50, 80, 90])
+        name = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if alike(sets[i], sets[j], percent):
+                    a, b = sorted((name[i], name[j]))
+                    name = [a if x == b else x for x in name]
+        assert ngram_join.connect(sets, percent).tolist() == name
+
+
+def test_edges_join_all_that_may_link():
+    rng = random.Random(10)
+    for percent, letters, most in ((90, 40, 30), (80, 30, 12), (60, 1000, 200), (100, 6, 4)):
+        sets = random_sets(rng, 150, letters, most)
+        sets += [np.union1d(s, np.array([letters + i], np.uint64)) for i, s in enumerate(sets[:90])] + sets[:70]
+        sketch = np.stack([np.frombuffer(ngram_join.parity_sketch(common.mix(s), 0), np.uint64) for s in sets])
+        n = np.array([len(s) for s in sets])
+        got, want = ngram_join.Links(len(sets)), ngram_join.Links(len(sets))
+        for i, j in ngram_join.spanning_edges(n, sketch, percent):
+            got.join(i, j)
+        for i in range(len(sets)):
+            for j in np.flatnonzero(ngram_join.may_link(n, n[i], np.bitwise_count(sketch ^ sketch[i]).sum(axis=1, dtype=np.int64), percent)):
+                want.join(i, int(j))
+        assert got.names().tolist() == want.names().tolist()
+
+
+def test_many_short_sets_in_one_task():
+    """200,000 sets in one group, a fifth of them copies but for one member, and as many holders of one n-gram."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.append(x, np.uint64(7))) for x in rng.integers(0, 1 << 62, (160_000, 11), np.uint64)]
+    sets += [np.unique(np.append(s[:-1], np.uint64(i))) for i, s in enumerate(sets[:40_000])]
+    began = time.time()
+    names = ngram_join.connect(sets, 80)
+    assert time.time() - began < 60
+    assert (names[160_000:] == np.arange(40_000)).all() and (names[:160_000] == np.arange(160_000)).all()
+    n = np.array([len(s) for s in sets[:20_000] + sets[160_000:180_000]])
+    sketch = np.stack([np.frombuffer(ngram_join.parity_sketch(s, 0), np.uint64) for s in sets[:20_000] + sets[160_000:180_000]])
+    began = time.time()
+    edges = ngram_join.spanning_edges(n, sketch, 80)
+    assert time.time() - began < 60 and {(i, i + 20_000) for i in range(20_000)} <= {(min(e), max(e)) for e in edges} and len(edges) < 40_000
+
+
+def test_ngram_join_of_null_ids(spark):
+    texts = ["a b c d e f g h i j"] * 2 + ["q r s t u v"] * 2 + ["k l m n o p"]
+    df = spark.createDataFrame([(None, texts[0]), (9, texts[1]), (None, texts[2]), (None, texts[3]), (4, texts[4]), (None, None), (2, texts[0] + " z")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.component_ids(df, 3, 80).collect())
+    assert got == {(None, 8, 2): 1, (9, 8, 2): 1, (2, 9, 2): 1, (None, 4, None): 2, (4, 4, 4): 1, (None, 0, None): 1}
+
+
+@pytest.mark.parametrize("ids", [0, 2_000_000])
+def test_ngram_join_reads_again_for_frequent_ngrams(spark, monkeypatch, ids):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "READ_AGAIN", ids)
+    rng = random.Random(4)
+    shared = " ".join(f"passage{rng.randint(0, 99)}longer" for _ in range(30))
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(60)) for _ in range(40)]
+    df = frame(spark, [f"{t} {shared}" if i % 2 else t for i, t in enumerate(texts)] + [f"x {t} {shared}" for t in texts[1:9:2]])
+    got = by_id(ngram_join.component_ids(df, 3, 80))
+    want = brute_components(documents(df), 3, 80)
+    assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in got.items()} == {d: {w} for d, w in want.items()} and any(d != w[1] for d, w in want.items())
 
 
 def test_sentencepiece(spark):
