@@ -1,63 +1,152 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 In a model whose pieces hold the white-space marker only at their beginning, no piece crosses from one *chunk* (markers
-and what follows up to the next marker) into another, so a text's ids are its chunks' ids end to end. Each task keeps a
-table of the distinct chunks it met, segments each new one once with the library, and joins ids back by position.
-The table is per task, and emptied at ``TABLE_CHUNKS``: a corpus-wide table would shuffle every word of every text.
+and what follows up to the next marker) into another, so a text's ids are its chunks' ids end to end, and its decoded
+text is its chunks' (``ChunkTable`` checks the model for this).
+
+1. Spark counts the distinct chunks of all texts.
+2. The ``TABLE_CHUNKS`` most frequent ones are segmented once each, in Spark, and broadcast with their ids (checked:
+   chunks of ``CHUNK_BYTES`` at most, which bounds the table). All others are segmented by the task that meets them, once
+   for each time that its own table of as many chunks fills up.
+3. A slice of texts is cut into chunks, and its distinct chunks' ids are put in their places by position.
+
+The tail stays with the tasks because joining it to its places would shuffle every text and its ids.
 
 The model is read once on the driver and broadcast (checked: ``MAX_MODEL_BYTES``). Null text counts as empty: the end
-id alone, decoded to an empty text. Rows are independent; an empty table gives no rows.
+id alone, decoded to an empty text. Rows are independent, so repeated rows get equal results, and which of equally
+frequent chunks are in the table changes no result; texts of any length are taken whole; an empty table gives no rows.
+Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import id_text, text_slices
+from palisade.llm.common import id_text, partitions, text_slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-TABLE_CHUNKS = 200_000
+#: Chunks that are broadcast, and chunks that a task keeps beside them; longest one in the table; chunks that a task counts before it sends its counts on.
+TABLE_CHUNKS, CHUNK_BYTES, COUNTED = 200_000, 256, 1_000_000
 MAX_MODEL_BYTES = 64 << 20
 
 
+def marked(texts: list[str | None]) -> list[list[str]]:
+    """The chunks of each text."""
+    return [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+
+
 class ChunkTable:
-    """Distinct chunks with their ids, and those ids written out."""
+    """Distinct chunks with their ids, those ids written out, and their decoded text (a marker's space first)."""
 
-    def __init__(self, model: bytes, limit: int = TABLE_CHUNKS):
+    def __init__(self, model: bytes, frequent: pa.Table | None = None, limit: int = TABLE_CHUNKS):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.limit = limit
-        self.known: dict[str, tuple[list[int], str]] = {}
+        columns = [frequent.column(c).to_pylist() for c in ("chunk", "ids", "written", "decoded")] if frequent else [[]] * 4
+        self.frequent: dict[str, tuple[list[int], str, str]] = {c: own for c, *own in zip(*columns)}
+        self.known: dict[str, tuple[list[int], str, str]] = {}
         if any(MARK in p.lstrip(MARK) for p in map(self.model.id_to_piece, range(self.model.vocab_size()))):
             raise ValueError("a piece of this model has the white-space marker inside; chunks don't part its pieces")
         if self.model.encode("a  b ", out_type=str)[0][0] != MARK or self.model.decode(self.model.encode(" a  b ")) != " a  b ":
             raise ValueError("this model changes white space; chunks need a marker put first and all others kept")
+        self.alone = [self.model.piece_to_id(MARK)]
+
+    def segment(self, chunks: list[str]) -> list[tuple[list[int], str, str]]:
+        # the library puts the first marker itself and takes it off again; a marker alone is no text to it
+        ids = [i if c != MARK else self.alone for c, i in zip(chunks, self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1))]
+        return [(i, " ".join(map(str, i)), f" {text}") for i, text in zip(ids, self.model.decode(ids, num_threads=1) if ids else [])]
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
+    def look_up(self, chunks: list[str]) -> list[tuple[list[int], str, str]]:
+        """Of each of these distinct chunks."""
+        new = [c for c in chunks if c not in self.frequent and c not in self.known]
         if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, list(chunks)
-        # the library puts the first marker itself; a marker alone is no text to it
-        ids = self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)
-        alone = [self.model.piece_to_id(MARK)]
-        self.known.update((c, (own, " ".join(map(str, own)))) for c, i in zip(new, ids) for own in [i if c != MARK else alone])
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-        """Ids with the end id, and the same written in decimals."""
-        marked = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(marked)))
+            self.known = {}
+            new = [c for c in chunks if c not in self.frequent]
+        self.known.update(zip(new, self.segment(new)))
+        return [self.frequent.get(c) or self.known[c] for c in chunks]
+
+    def encode(self, texts: list[str | None]) -> tuple[pa.ListArray, list[str], list[str]]:
+        """Ids with the end id, the same written in decimals, and the decoded text, of each text."""
+        parts = marked(texts)
+        cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        distinct = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
+        found = self.look_up(distinct.dictionary.to_pylist())
+        place = distinct.indices.to_numpy(zero_copy_only=False)
         end = self.model.eos_id()
-        for chunks in marked:
-            found = [self.known[c] for c in chunks]
-            yield [*chain.from_iterable(i for i, _ in found), end], " ".join([*(s for _, s in found), str(end)])
+        # ids by position: where each chunk's begin in the table, and how many there are
+        sizes = np.array([len(i) for i, _, _ in found], np.int64)
+        table = np.array([*chain.from_iterable(i for i, _, _ in found), end], np.int32)
+        start = np.append(np.cumsum(sizes) - sizes, len(table) - 1)
+        sizes = np.append(sizes, 1)
+        place = np.insert(place, cuts[1:], len(found))  # the end id after each text's last chunk
+        count = sizes[place]
+        ids = table[np.arange(count.sum()) + np.repeat(start[place] - (np.cumsum(count) - count), count)]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], cuts[1:] + np.arange(1, len(cuts))])]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        joined = lambda k, mark: pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pa.array([f[k] for f in found], pa.string()).take(distinct.indices)), mark).to_pylist()
+        return lists, [f"{w} {end}" if w else str(end) for w in joined(1, " ")], [t[1:] for t in joined(2, "")]
+
+
+#: The table of this worker process, by its broadcast: a worker's next task goes on with it.
+_table: dict[str, ChunkTable] = {}
+
+
+def table_of(name: str, model: bytes, frequent: pa.Table | None) -> ChunkTable:
+    if name not in _table:
+        _table.clear()
+        _table[name] = ChunkTable(model, frequent)
+    return _table[name]
+
+
+def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow kernel: (chunk, n) of the chunks that may go into the table."""
+    held, size = [], 0
+
+    def counts() -> pa.RecordBatch:
+        total = pa.concat_tables(held).group_by("chunk").aggregate([("n", "sum")])
+        return total.rename_columns({"n_sum": "n"}).select(["chunk", "n"])
+
+    for batch in batches:
+        for part in text_slices(batch, "text"):
+            flat = pa.array(list(chain.from_iterable(marked(part.column(0).to_pylist()))), pa.string())
+            found = pc.value_counts(flat.filter(pc.less_equal(pc.binary_length(flat), CHUNK_BYTES)))
+            held.append(pa.table({"chunk": found.field(0), "n": found.field(1)}))
+            size += len(found)
+            if size > COUNTED:
+                held = [counts()]
+                size = held[0].num_rows
+                if size > COUNTED // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+    if held:
+        yield from counts().to_batches()
+
+
+def frequent_chunks(df: DataFrame, shared, limit: int = TABLE_CHUNKS) -> pa.Table:
+    """The most frequent chunks of all texts, each segmented once."""
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable(shared.value)
+        for batch in batches:
+            chunks = batch.column(0).to_pylist()
+            found = table.segment(chunks)
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.list_(pa.int32()), pa.string(), pa.string()))] if found else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["chunk", "ids", "written", "decoded"][: 1 + len(columns)])
+
+    counts = df.select("text").mapInArrow(count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    top = counts.filter("n > 1").orderBy(F.desc("n"), "chunk").limit(limit).select("chunk").repartition(partitions(df.sparkSession))
+    return top.mapInArrow(segment, "chunk string, ids array<int>, written string, decoded string").toArrow()
 
 
 def encode(df: DataFrame, model_path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
@@ -66,27 +155,26 @@ def encode(df: DataFrame, model_path: str, keep_ids: bool = True, keep_text: boo
         model = f.read(MAX_MODEL_BYTES + 1)
     if len(model) > MAX_MODEL_BYTES:
         raise ValueError(f"the model is over {MAX_MODEL_BYTES} bytes; it is not to be broadcast")
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    context, docs = df.sparkSession.sparkContext, id_text(df)
+    shared = context.broadcast(model)
+    frequent, name = context.broadcast(frequent_chunks(docs, shared)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(shared.value)
+        table = table_of(name, shared.value, frequent.value)
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
-                ids, written, decoded = [], [], []
-                for own, text in table.encode(part.column(1).to_pylist()):
-                    ids.append(own)
-                    written.append(hashlib.sha256(text.encode()).hexdigest())
-                    decoded.append(table.model.decode(own))
+            for part in text_slices(batch, "text"):
+                ids, written, decoded = table.encode(part.column(1).to_pylist())
+                sha = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array(ids if keep_ids else [None] * len(ids), pa.list_(pa.int32())),
-                        pa.array(written),
+                        pc.list_value_length(ids).cast(pa.int64()),
+                        ids if keep_ids else pa.nulls(len(ids), ids.type),
+                        sha(written),
                         pa.array(decoded if keep_text else [None] * len(ids), pa.string()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+                        sha(decoded),
                     ],
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"],
                 )
 
-    return id_text(df).select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string")
+    return docs.select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded string, decoded_sha256 string")

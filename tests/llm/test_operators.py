@@ -270,7 +270,33 @@ def test_sentencepiece(spark):
             assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == model.decode(ids), text[:40]
             assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read(), limit=3)
-    assert [i for t in list(texts.values()) for i, _ in table.encode([t])] == [model.encode(t, add_eos=True) for t in texts.values()]
+    assert [table.encode([t])[0].to_pylist()[0] for t in texts.values()] == [model.encode(t, add_eos=True) for t in texts.values()]
+
+
+def test_sentencepiece_on_hostile_texts():
+    rng = random.Random(7)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read(), limit=500)
+    marks = [" ", "  ", "▁", "\n", "\t", "\x00", "\u00a0", "\u200b", "\u0301", "é", "ﬁ", "Ａ", "日", "\U0001f600", "\ufffd", "\ue000", "<0x41>", "</s>", "<unk>", "a", "the", "The", "12", "!", "\x7f", "\x85", "\u2028"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 14))) for _ in range(4000)] + [None, "", " ", "▁" * 70, "x" * 9000]
+    for a in range(0, len(texts), 500):
+        ids, written, decoded = table.encode(texts[a : a + 500])
+        want = [model.encode(t or "", add_eos=True) for t in texts[a : a + 500]]
+        assert ids.to_pylist() == want and written == [" ".join(map(str, w)) for w in want] and decoded == [model.decode(w) for w in want]
+
+
+def test_sentencepiece_segments_frequent_chunks_once(spark):
+    df = frame(spark, odd_texts(), clash=False)
+    counts = Counter(c for r in df.collect() for c in sentencepiece_chunks.marked([r["text"]])[0] if len(c.encode()) <= sentencepiece_chunks.CHUNK_BYTES)
+    shared = spark.sparkContext.broadcast(open(MODEL, "rb").read())
+    for limit in (10, 10**6):
+        got = sentencepiece_chunks.frequent_chunks(df, shared, limit).to_pydict()
+        want = sorted((c for c, n in counts.items() if n > 1), key=lambda c: (-counts[c], c.encode()))[:limit]
+        assert sorted(got["chunk"]) == sorted(want)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [" " + r["text"] for r in df.filter("text is not null and doc_id > 60").collect()]
+    table = sentencepiece_chunks.ChunkTable(shared.value, sentencepiece_chunks.frequent_chunks(df, shared))
+    assert table.encode(texts)[0].to_pylist() == [model.encode(t, add_eos=True) for t in texts] and len(table.known) < len(table.frequent)
 
 
 def test_flac(spark):
