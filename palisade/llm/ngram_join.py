@@ -45,7 +45,7 @@ SKIP_WEIGHT = 0.01
 #: List entries merged at once; classes asked about at once; and members from which a component is finished before others.
 MERGED, ASKED, FOCUS = 2_000_000, 4096, 256
 #: Documents whose ids are broadcast to be read again for frequent n-grams; with more, all are.
-READ_AGAIN = 2_000_000
+READ_AGAIN = 1_000_000
 #: Bits that a piece of a sketch has at least, where pieces are compared.
 PIECE_BITS = 12
 

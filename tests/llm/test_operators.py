@@ -1,6 +1,7 @@
 """The corpus operators on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -309,6 +310,9 @@ def test_flac(spark):
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
             assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
             assert media_flac.seek(bytes(r["media"]), 10, 50) == payload[10:60]
+            x = [b - 128 for b in payload]
+            rms, changes = math.isqrt(sum(v * v for v in x) * 10**6 // len(x)), sum((u < 0) != (v < 0) for u, v in zip(x, x[1:]))
+            assert r["feature"] == f"rate=8000;samples={len(x)};mean={sum(x) * 1000 // len(x)};rms={rms};peak={max(map(abs, x))};changes={changes}"
     back = media_flac.decode_column(media_flac.media_columns(df).withColumn("media", F.when(F.col("doc_id") > 0, F.col("media")).otherwise(F.lit(b"fLaC"))))
     assert {r["payload"] is None for r in back.filter("doc_id <= 0").collect()} == {True}
 
@@ -328,6 +332,138 @@ def test_flac_streams():
     assert media_flac.crc8(b"123456789") == 0xF4 and media_flac.crc16(np.frombuffer(b"123456789", np.uint8), np.array([0]), np.array([9]))[0] == 0xFEE8
 
 
+#: The first example stream of RFC 9639, appendix D.
+EXAMPLE = bytes.fromhex("664c614380000022100010000000 0f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0f fff869180000bf0358fd03128baa9a".replace(" ", ""))
+
+
+class BitWriter:
+    """A plain writer of FLAC by the format's text, for streams that the coder under test does not make."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, width):
+        self.bits += format(value & ((1 << width) - 1), f"0{width}b") if width else ""
+
+    def rice(self, values, k):
+        for v in values:
+            u = 2 * v if v >= 0 else -2 * v - 1
+            self.bits += "0" * (u >> k) + "1"
+            self.put(u & ((1 << k) - 1), k)
+
+    def residual(self, order, e, parts, k, wide, raw):
+        self.put(wide, 2)
+        self.put(parts, 4)
+        each = (len(e) + order) >> parts
+        for p in range(1 << parts):
+            own = e[max(0, p * each - order) : (p + 1) * each - order]
+            if raw and p % 2:
+                self.put(31 if wide else 15, 5 if wide else 4)
+                self.put(raw, 5)
+                for v in own:
+                    self.put(v, raw)
+            else:
+                self.put(k, 5 if wide else 4)
+                self.rice(own, k)
+
+    def subframe(self, x, bits, how):
+        kind, wasted = how["kind"], how.get("wasted", 0)
+        order = how.get("order", 0)
+        self.put({"constant": 0, "plain": 1, "fixed": 8 + order, "lpc": 31 + order}[kind] << 1 | (wasted > 0), 8)
+        if wasted:
+            self.bits += "0" * (wasted - 1) + "1"
+        x, bits = [v >> wasted for v in x], bits - wasted
+        for v in x[:1] if kind == "constant" else x if kind == "plain" else x[:order]:
+            self.put(v, bits)
+        if kind in ("fixed", "lpc"):
+            c, shift = ([(), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1)][order], 0) if kind == "fixed" else (how["factors"], how["shift"])
+            if kind == "lpc":
+                self.put(11, 4)
+                self.put(shift, 5)
+                for f in c:
+                    self.put(f, 12)
+            e = [x[i] - (sum(f * x[i - 1 - j] for j, f in enumerate(c)) >> shift) for i in range(order, len(x))]
+            self.residual(order, e, how.get("parts", 0), how.get("k", 5), how.get("wide", 0), how.get("raw", 0))
+
+    def frame(self, number, channels, bits, mode, hows, by_sample=False):
+        n = len(channels[0])
+        head = bytes([0xFF, 0xF8 | by_sample, 0x79, (7 + mode if mode else len(channels) - 1) << 4 | {8: 1, 12: 2, 16: 4, 20: 5, 24: 6}[bits] << 1]) + media_flac.coded_number(number) + (n - 1).to_bytes(2, "big")
+        self.bits = ""
+        a, b = channels[0], channels[-1]
+        sent = {0: channels, 1: [a, [x - y for x, y in zip(a, b)]], 2: [[x - y for x, y in zip(a, b)], b], 3: [[(x + y) >> 1 for x, y in zip(a, b)], [x - y for x, y in zip(a, b)]]}[mode]
+        for c, (x, how) in enumerate(zip(sent, hows)):
+            self.subframe(x, bits + (mode in (1, 3) and c == 1 or mode == 2 and c == 0), how)
+        self.bits += "0" * (-len(self.bits) % 8)
+        out = head + bytes([media_flac.crc8(head)]) + int(self.bits, 2).to_bytes(len(self.bits) // 8, "big")
+        return out + int(media_flac.crc16(np.frombuffer(out, np.uint8), np.array([0]), np.array([len(out)]))[0]).to_bytes(2, "big")
+
+
+def foreign_stream(rng, bits, n_channels, points=False, by_sample=False):
+    """A stream as other coders make them, with its samples."""
+    writer, frames, all_samples, first, offsets = BitWriter(), [], [[] for _ in range(n_channels)], 0, []
+    for k in range(4):
+        n = 256 if k < 3 else rng.randint(65, 256)
+        top = 1 << (bits - 2)
+        channels = [[int(top * (0.4 * math.sin((i + first) / (9 + c)) + 0.05 * rng.random())) & -8 for i in range(n)] for c in range(n_channels)]
+        if k == 1:
+            channels[-1] = [channels[-1][0]] * n
+        def how(c, x):
+            if len(set(x)) == 1:
+                return {"kind": "constant"}
+            return rng.choice([{"kind": "plain"}, {"kind": "plain", "wasted": 2}, {"kind": "fixed", "order": rng.randint(0, 4), "parts": 2 * (n == 256), "k": min(14, bits - 4)}, {"kind": "fixed", "order": 2, "wide": 1, "parts": 1 * (n == 256), "k": bits - 4, "raw": bits + 3}, {"kind": "lpc", "order": 3, "factors": (900, -300, 17), "shift": 9, "k": min(14, bits - 4)}])
+        mode = rng.randint(0, 3) if n_channels == 2 else 0
+        hows = [how(c, x) for c, x in enumerate(channels)]
+        if mode:
+            hows = [h if h["kind"] != "constant" and not h.get("wasted") else {"kind": "plain"} for h in hows]
+        offsets.append((first, sum(map(len, frames)), n))
+        frames.append(writer.frame(first if by_sample else k, channels, bits, mode, hows, by_sample))
+        first += n
+        for into, x in zip(all_samples, channels):
+            into.extend(x)
+    samples = np.array(all_samples, np.int32).T
+    info = (256).to_bytes(2, "big") * 2 + b"\0" * 6 + (44100 << 44 | (n_channels - 1) << 41 | (bits - 1) << 36 | first).to_bytes(8, "big") + hashlib.md5(media_flac.pcm(samples, bits)).digest()
+    table = b"".join(a.to_bytes(8, "big") + o.to_bytes(8, "big") + n.to_bytes(2, "big") for a, o, n in offsets[::2])
+    seek = b"\x03" + len(table).to_bytes(3, "big") + table if points else b""
+    return b"fLaC\0\0\0\x22" + info + seek + b"\x84\0\0\x04abcd" + b"".join(frames), samples
+
+
+def test_flac_of_other_coders(spark):
+    example = media_flac.decode_audio([EXAMPLE])[0]
+    assert example.samples.tolist() == [[25588, 10416]] and (example.rate, example.bits) == (44100, 16)
+    rng = random.Random(1)
+    made = [foreign_stream(rng, bits, channels, points, by_sample) for bits in (8, 12, 16, 24) for channels in (1, 2, 3) for points in (False, True) for by_sample in (False, True)]
+    found = media_flac.decode_audio([s for s, _ in made])
+    for audio, (_, samples) in zip(found, made):
+        assert audio is not None and (audio.samples == samples).all()
+    for stream, samples in made[::5]:
+        for _ in range(20):
+            broken = bytearray(stream)
+            broken[rng.randrange(42, len(broken))] ^= 1 << rng.randrange(8)
+            [audio] = media_flac.decode_audio([bytes(broken)])
+            assert audio is None or (audio.samples == samples).all()
+    own = media_flac.encode([bytes(rng.randrange(97, 120) for _ in range(9000))])[0]
+    bare = own[:4] + b"\x80" + own[5:42] + own[46 + int.from_bytes(own[43:46], "big") :]  # without its seek table
+    assert media_flac.decode([bare]) == media_flac.decode([own]) != [None]
+    rows = [(i, s) for i, (s, _) in enumerate(made)] + [(98, None), (99, b"fLaC")]
+    blocks = media_flac.pcm_blocks(spark.createDataFrame(rows, "doc_id long, media binary")).cache()
+    assert {r["doc_id"] for r in blocks.filter("block is null").collect()} == {98, 99}
+    for doc, (_, samples) in enumerate(made):
+        own = blocks.filter(F.col("doc_id") == doc).orderBy("block").collect()
+        assert b"".join(r["pcm"] for r in own) == media_flac.pcm(samples, own[0]["bits"]) and [r["first_sample"] for r in own] == [0, 256, 512, 768]
+    part = defaultdict(bytes)
+    for r in media_flac.read_pcm(blocks, 250, 300).orderBy("doc_id", "first_sample").collect():
+        part[r["doc_id"]] += r["pcm"]
+    assert [part[i] for i in range(len(made))] == [media_flac.pcm(s[250:550], b) for (_, s), b in zip(made, [r["bits"] for r in blocks.filter("block = 0").orderBy("doc_id").collect()])]
+
+
+def test_flac_fits_predictors():
+    rng = random.Random(4)
+    wave = bytes(int(128 + 90 * math.sin(i / 7) + rng.random() * 3) for i in range(9000))
+    [stream] = media_flac.encode([wave])
+    kinds = {stream[o + h.size] >> 1 for s in [media_flac.read_stream(stream)] for o, h in zip(s.offsets.tolist(), s.heads)}
+    assert kinds == {31 + media_flac.LPC_ORDER} and len(stream) < 0.5 * len(wave) and media_flac.decode([stream]) == [wave]
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Net", "http://a.net/", "https://x.example.NET/en/1?q#f", "http://example.net/en", "http://example.com/de/x", "http://notexample.com/de/", "http://b.org/fr/",
             "http://b.org/fr", "http://net/?x", "x://y.org/fr/?a://b", "http://a.b.c.net#/en/", "http://example.net//en/", "http://.net/", "http://a.net?/x/"]
