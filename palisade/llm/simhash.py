@@ -6,8 +6,9 @@ adds its weight to the votes of its set bits and takes it from the others; a fin
 Fingerprints within ``radius`` bits agree on all but ``radius`` of ``blocks`` equal blocks, so for each choice of
 ``blocks - radius`` blocks a table keyed by them finds every such pair. Equal fingerprints are merged first.
 
-Null and empty texts have no terms: fingerprint 0. An empty table gives no rows; rows that repeat a doc_id (with the
-same text) are one document to the order of documents, and each gets its row.
+Null and empty texts have no terms: fingerprint 0. Texts of any length are taken whole. A bit whose votes are 0 is not
+set. An empty table gives no rows; rows that repeat a doc_id (with the same text) are one document to the order of
+documents, and each gets its row. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.common import id_text, materialise, packed, partitions, text_slices
@@ -56,28 +57,35 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def with_following(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, doc_id, text, own): documents in ranges of doc_id, each range with the document before its first.
+def apart(spark: SparkSession, count: int) -> np.ndarray:
+    """So many numbers that ``repartition(count, ...)`` sends to so many different tasks."""
+    found = spark.range(32 * count).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("task")).agg(F.min("id").alias("id")).collect()
+    own = {r["task"]: r["id"] for r in found}
+    return np.array([own.get(task, task) for task in range(count)], np.int64)
 
-    Only the ranges' ends, ``buckets`` rows at most, come to the driver.
+
+def with_following(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows (bucket, doc_id, text, own): documents in like ranges of doc_id, each range with the document before its first.
+    A range's bucket is a number that goes to a task of its own.
+
+    Only the ranges' ends, ``ranges`` rows at most, come to the driver and are broadcast.
     """
-    bounds = docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    bucket = F.lit(0)
-    for step in bounds:
-        bucket = bucket + (F.col("doc_id") > step).cast("int")
-    if len(bounds) > 64:
-        bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id")))
-    dealt = docs.withColumn("bucket", bucket)
-    last = {r["bucket"]: r["last"] for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("last")).collect()}
-    full = sorted(last)
-    sends = [(last[b], full[(i + 1) % len(full)]) for i, b in enumerate(full)]
+    spark = docs.sparkSession
+    bounds = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    bounds, names = np.array(sorted({int(b) for b in bounds}), np.int64), apart(spark, ranges)
+
+    @F.arrow_udf("long")
+    def bucket(ids: pa.Array) -> pa.Array:
+        return pa.array(names[np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False))])
+
+    dealt = docs.withColumn("bucket", bucket("doc_id"))
+    last = sorted((r["last"], r["bucket"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("last")).collect())
     own = dealt.select("bucket", "doc_id", "text", F.lit(True).alias("own"))
-    if not sends:
+    if not last:
         return own
-    ends = dealt.filter(F.col("doc_id").isin([d for d, _ in sends]))
-    target = F.create_map(*(F.lit(x) for pair in sends for x in pair))
-    return own.unionByName(ends.select(target[F.col("doc_id")].alias("bucket"), "doc_id", "text", F.lit(False).alias("own")))
+    sends = [(doc, last[(i + 1) % len(last)][1]) for i, (doc, _) in enumerate(last)]
+    ends = docs.join(F.broadcast(spark.createDataFrame(sends, "doc_id long, bucket long")), "doc_id")
+    return own.unionByName(ends.select("bucket", "doc_id", "text", F.lit(False).alias("own")))
 
 
 def compare_edits(df: DataFrame, size: int = WORDS) -> DataFrame:

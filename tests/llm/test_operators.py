@@ -123,6 +123,43 @@ def test_crowded_key_is_split(spark, monkeypatch, block):
     assert sum(map(len, got.values())) == rows and largest.value == 0
 
 
+def test_suffix_dedup_of_null_ids(spark):
+    text = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    df = spark.createDataFrame([(None, text), (-7, text[100:250]), (4, "x" + text[:120]), (None, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == [(False, 0, 0, 0), (False, 0, 300, 0), (True, -7, 150, 150), (True, 4, 121, 120)]
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Every operator on texts longer than what its kernel holds otherwise."""
+    rng = random.Random(5)
+    vocabulary = [f"{rng.choice(['the', 'und', 'né'])}{rng.randint(0, 9999)}" for _ in range(20000)]
+    long = " ".join(rng.choices(vocabulary, k=300_000))
+    assert len(long.encode()) > common.SLICE_BYTES
+    df = frame(spark, ["short one", long, "two " + long, None, long[1_000_000:1_000_300]]).limit(5)
+    texts = documents(df)
+    removed = by_id(suffix_dedup.remove_repeats(df))
+    for doc, want in brute_repeats(texts, 100).items():
+        assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want for r in removed[doc]), doc
+    linked = by_id(ngram_join.component_ids(df))
+    assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in linked.items()} == {d: {w} for d, w in brute_components(texts, 3, 90).items()}
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for r in sentencepiece_chunks.encode(df, MODEL, keep_text=False).collect():
+        assert r["ids"] == model.encode(texts[r["doc_id"]], add_eos=True)
+    for r in media_flac.media_columns(df, keep_media=False).collect():
+        assert r["payload_sha256"] == hashlib.sha256(media_flac.payload_of(texts[r["doc_id"]])).hexdigest()
+    edited = {r["doc_id"]: r for r in simhash.compare_edits(df).collect()}
+    assert all(edited[d]["n_chars"] == len(t) for d, t in texts.items())
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.mix(df, entropy=0.5).collect()} == {d: len(WORDS.findall(t)) for d, t in texts.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_rollups.count_tokens(df).filter("tokenizer = 'bytes-1'").collect()} == {d: len(t.encode()) for d, t in texts.items()}
+    found = {r["doc_id"]: r for r in language_id.identify(df, language_id.fit([long[:5000], "mi ka to"] * 12, ["aa", "bb"] * 12)).collect()}
+    assert all(found[d]["n_words"] == len(re.findall(r"[a-z\x80-\xff]+", t.encode().decode("latin-1").lower())) for d, t in texts.items() if d != 3)
+    page = f"<body><article><p>{long}</p></article>"
+    assert {r["text"] for r in html_text.main_text(spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string")).collect()} == {long}
+    url = f"http://a.net/{long}"
+    assert {(r["path"], r["verdict"]) for r in url_rules.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).collect()} == {(url[12:], "block")}
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for doc, text in texts.items():
@@ -659,9 +696,29 @@ def test_simhash(spark):
             assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
             assert r["fingerprint"] == f"{prints[doc]:016x}" and r["n_within"] == close[doc]
             assert r["near_next"] == 1 - bin(prints[doc] ^ prints[order[(i + 1) % len(order)]]).count("1") / 64
+            other = int(simhash.fingerprints(*common.packed(pa.array([edited])))[0])
+            assert r["edited_fingerprint"] == f"{other:016x}" and r["near_edited"] == 1 - bin(prints[doc] ^ other).count("1") / 64
     assert sum(map(len, got.values())) == df.count()
 
 
+def test_simhash_deals_evenly(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        dealt = simhash.with_following(docs, 37).repartition(37, "bucket")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) == 37 and max(sizes) < 1.6 * 3000 / 37 and sum(sizes) == 3037
+
+
+def test_simhash_of_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (3, "e f g h"), (None, "a b c d"), (-5, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in simhash.compare_edits(df).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert got == {(3, 7, sha("e f g")), (-5, 0, sha("")), (None, 7, sha("a b ce "))}
+
+
 def test_simhash_by_hand():
     words = "a b c d a b c".split()
     votes = [0] * 64
