@@ -21,22 +21,39 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is made only where the setting is absent (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, one is made on a single machine (tests); on a cluster
+    that is an error, as executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Tables written by ``materialise`` and not removed since, in order.
+written: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table written in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that ``materialise`` wrote, once nothing is to be computed from them any more."""
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        path_of(path).getFileSystem(conf).delete(path_of(path), True)
+        written.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

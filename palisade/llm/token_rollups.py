@@ -1,18 +1,21 @@
 """Token-count rollups by source, language and tokenizer version, maintained from deltas.
 
 A change is an insert (new count), a delete (old count) or a revision (both). Each becomes signed additive rows; a
-batch's rows are summed by key with map-side partial sums and written under the batch's number, and the totals are the
-sums over committed batches. A batch is committed by its folder's ``_SUCCESS`` mark: a batch that died half-way has none
-and is written again; one that is committed is not applied twice, whatever is sent under its number later.
-
-Counts that are null count as 0 tokens. Null source and language are kept as keys of their own. Changes of an unknown
-kind, and rows that repeat a change within a batch (same doc_id, tokenizer and ``change_id``), are an error and one
-change, respectively. An empty batch commits, and changes nothing. Keys whose documents are all gone remain with zeros
-until ``compact``, which folds all batches into one and drops them.
+batch's rows are summed by key with map-side partial sums and written to a folder of that attempt, and the totals are
+the sums over committed batches. A batch is committed by a record of its own, a small file that only one attempt can
+make and that names its folder: an attempt that died has none, and the batch is written again; one that is committed is
+not applied twice, whatever is sent under its number later. ``compact`` folds committed batches into one.
+
+Counts that are null count as 0 tokens, and texts of any length are counted whole. Null source and language are kept as
+keys of their own. Changes of an unknown kind, and rows that repeat a change within a batch (same doc_id, tokenizer and
+``change_id``), are an error and one change, respectively; without change_ids every row is a change. Sums don't depend on
+the order of rows, so there are no ties. An empty batch commits, and changes nothing. Keys whose documents are all gone
+remain with zeros until ``compact`` drops them. Only the columns named here are read, so others can't clash.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +51,8 @@ def summed(rows: DataFrame) -> DataFrame:
 
 
 class Rollups:
-    """Totals kept as one folder a committed batch under ``path``, which every executor must see."""
+    """Totals kept under ``path``, which every executor must see: ``data`` has one folder an attempt, ``commits`` one
+    record a batch. Records are made with the driver's file system interface, so this needs a classic session."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -56,36 +60,65 @@ class Rollups:
         self._path: Callable = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def folder(self, batch: int) -> str:
-        return f"{self.path}/batch={batch:012d}"
+    def records(self) -> list[tuple[str, str, str]]:
+        """(kind, number, folder) of each record: a batch's number, or which base it is, whose folder is followed by the
+        numbers of the batches in it."""
+        if not self._fs.exists(self._path(f"{self.path}/commits")):
+            return []
+        return [tuple(r["value"].split(" ")) for r in self.spark.read.text(f"{self.path}/commits").collect()]
 
     def committed(self) -> list[int]:
-        root = self._path(self.path)
-        if not self._fs.exists(root):
-            return []
-        found = [f.getPath() for f in self._fs.listStatus(root)]
-        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("batch=") and self._fs.exists(self._path(p, "_SUCCESS")))
+        return sorted(int(number) for kind, number, _ in self.records() if kind == "batch")
+
+    def _commit(self, kind: str, number: int, folder: str) -> bool:
+        """Make a record; False if there is one already."""
+        file = self._path(f"{self.path}/commits/{kind}-{number:012d}")
+        try:
+            out = self._fs.create(file, False)
+        except Exception:
+            if self._fs.exists(file):
+                return False
+            raise
+        out.writeBytes(f"{kind} {number} {folder}\n")
+        out.close()
+        return True
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Add a batch of changes; False if that batch was committed before."""
         if batch in self.committed():
             return False
         once = changes.dropDuplicates(["doc_id", "tokenizer", "change_id"]) if "change_id" in changes.columns else changes
-        summed(signed(once)).write.mode("overwrite").parquet(self.folder(batch))
-        return True
+        folder = f"{batch:012d}-{uuid.uuid4().hex}"
+        summed(signed(once)).write.parquet(f"{self.path}/data/{folder}")
+        return self._commit("batch", batch, folder)
+
+    def _folders(self) -> list[str]:
+        """What adds up to the totals: the last base, and the batches it does not fold."""
+        records = self.records()
+        base = max(((int(number), folder) for kind, number, folder in records if kind == "base"), default=None)
+        folded = set(base[1].split("+")[1].split(",")) if base else set()
+        return [f"{self.path}/data/{f}" for f in ([base[1].split("+")[0]] if base else []) + [folder for kind, number, folder in records if kind == "batch" and number not in folded]]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        folders = [self.folder(b) for b in self.committed()]
+        folders = self._folders()
         if not folders:
             return self.spark.createDataFrame([], ROLLUP)
         return summed(self.spark.read.schema(ROLLUP).parquet(*folders))
 
-    def compact(self, path: str) -> Rollups:
-        """All totals as batch 0 of a new place."""
-        new = Rollups(self.spark, path)
-        self.totals().filter("n_docs != 0 or n_tokens != 0").write.mode("overwrite").parquet(new.folder(0))
-        return new
+    def compact(self) -> None:
+        """Fold all committed batches into one base, and remove what they wrote. Batch numbers stay known. Not to run while
+        totals are computed elsewhere."""
+        records, old = self.records(), self._folders()
+        numbers = [number for kind, number, _ in records if kind == "batch"]
+        if len(old) < 2:
+            return
+        folder = f"base-{uuid.uuid4().hex}"
+        self.totals().filter("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/data/{folder}")
+        bases = [int(number) for kind, number, _ in records if kind == "base"]
+        if self._commit("base", max(bases, default=0) + 1, f"{folder}+{','.join(numbers)}"):
+            for path in old:
+                self._fs.delete(self._path(path), True)
 
 
 #: Tokenizer versions of the registered query: words between white space, and UTF-8 bytes.

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -797,13 +798,39 @@ def test_rollups(spark, tmp_path):
         assert rollups.apply(n, spark.createDataFrame(rows, schema)) and not rollups.apply(n, spark.createDataFrame(batches[1], schema))
     want = {("a", "en", "v1", 1, 8), (None, None, "v1", 1, 0)}
     assert {tuple(r) for r in rollups.totals().collect()} == want
-    (tmp_path / "r/batch=000000000002/_SUCCESS").unlink()  # as if the job had died before its commit
+    next((tmp_path / "r/commits").glob("batch-*2")).unlink()  # as if the job had died before its commit
     assert rollups.committed() == [1, 3] and rollups.apply(2, spark.createDataFrame(batches[2], schema))
-    assert {tuple(r) for r in rollups.compact(f"file://{tmp_path}/c").totals().collect()} == want
+    assert not rollups._commit("batch", 2, "another attempt's") and {tuple(r) for r in rollups.totals().collect()} == want
+    rollups.compact()
+    totals = lambda: {tuple(r) for r in rollups.totals().collect()}
+    assert totals() == want and rollups.committed() == [1, 2, 3] and not rollups.apply(2, spark.createDataFrame(batches[1], schema))
+    assert len(list((tmp_path / "r/data").iterdir())) == 2  # the base, and what the dead attempt left
+    assert rollups.apply(4, spark.createDataFrame([(7, 3, "delete", None, None, "v1", 0, None)], schema))
+    assert totals() == {("a", "en", "v1", 1, 8), (None, None, "v1", 0, 0)}
+    rollups.compact()
+    assert totals() == {("a", "en", "v1", 1, 8)} and rollups.committed() == [1, 2, 3, 4] and len(list((tmp_path / "r/data").iterdir())) == 2
     with pytest.raises(Exception, match="unknown kind"):
         rollups.apply(9, spark.createDataFrame([(1, 1, "merge", "a", "en", "v1", 1, 1)], schema))
 
 
+def test_shared_folder_is_not_made_up_on_a_cluster(spark):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    Session.conf = Conf({"spark.master": "local[2]"})
+    assert common.shared_dir(Session) == Session.conf["spark.checkpoint.dir"]
+    mine = common.materialise(spark.range(3).toDF("x"), "mine")
+    path = common.written[-1]
+    assert mine.count() == 3
+    common.remove(spark, [path])
+    assert path not in common.written and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_rollups_of_null_source_and_language(spark, tmp_path):
     docs = frame(spark, odd_texts()).filter("doc_id >= 0")
     assert docs.filter("source is null and doc_id % 10 = 4").count() and docs.filter("lang is null and doc_id % 10 = 4").count()
