@@ -7,11 +7,14 @@ languages word by word. A document's language is the label with the largest sum,
 
 Chains end at line ends and after ``CHAIN`` words, so that chains of many documents are worked in lockstep.
 
-The model is fitted on the driver from at most about ``per_label`` labelled documents a language (whole texts, chosen
-by a hash of doc_id; labels beyond ``MAX_LABELS`` are an error) and broadcast: its size depends on no table.
-
-Null text, and text without a letter: ``und`` with score 0; so has every text if no labelled row exists. Rows are
-independent of each other, so repeated rows get equal results; an empty table gives no rows.
+The model is fitted on the driver from at most about ``per_label`` labelled documents a language and ``SAMPLE_BYTES`` in
+all (whole texts, chosen by a hash of doc_id, of those with ``LONGEST`` bytes at most; labels beyond ``MAX_LABELS`` are an
+error) and broadcast: its size depends on no table. The model and broadcast need a classic session's context.
+
+Null text, and text without a letter: ``und`` with score 0; so has every text if no labelled row exists. Of labels with
+equal sums the first in alphabetical order is taken. Texts of any length are labelled whole. Rows are independent of
+each other, so repeated rows get equal results; an empty table gives no rows. Only doc_id, text, lang (to learn) and the
+columns asked for are read; those come back inside one struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import types as T
 from palisade.llm.common import id_text, packed, prefix_hash, span_hash, text_slices
 
 CHAIN, BUCKETS, MAX_LABELS, PER_LABEL = 64, 1 << 16, 200, 150
+#: Bytes of text that the sample has, as expected by its hash, and that one of its texts has at most.
+SAMPLE_BYTES, LONGEST = 64 << 20, 256 << 10
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -167,12 +172,14 @@ def held_out() -> F.Column:
 
 def sample(labelled: DataFrame, per_label: int) -> tuple[list[str], list[str]]:
     """Whole texts and labels, about ``per_label`` of each label, by a hash of doc_id; never more than twice that in all."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LABELS + 1).collect()}
+    labelled = labelled.filter(F.octet_length("text") <= LONGEST)
+    counts = {r["lang"]: (r["n"], r["size"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).limit(MAX_LABELS + 1).collect()}
     if len(counts) > MAX_LABELS:
         raise ValueError(f"over {MAX_LABELS} labels")
     if not counts:
         return [], []
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_label / n))))
+    room = SAMPLE_BYTES / len(counts)
+    share = F.create_map(*(F.lit(x) for lang, (n, size) in counts.items() for x in (lang, min(1.0, per_label / n, room / max(size, 1)))))
     luck = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / 1_000_000
     rows = labelled.filter(luck < share[F.col("lang")]).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_label * len(counts)).select("text", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
