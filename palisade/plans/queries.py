@@ -11,8 +11,8 @@ from palisade.config import ForwardConfig, GateConfig, LimiterConfig, LogRules,
 from palisade.functions import columns as C
 from palisade.operators import backlog, decode_logs, decode_metrics, envelope, limiter, normalise, stats, validate
 from palisade.plans.pipeline import run_batch, row_stages
-from palisade.reasons import open_outcome, outcome, split
-from palisade.sources.captured import START_MS, captured_datagrams, captured_fields
+from palisade.reasons import outcome, split
+from palisade.sources.captured import START_MS, captured_datagrams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,6 +145,26 @@ def decode_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("datagram_id", "drop_reason", F.col("log_agent").alias("agent_id"), F.col("log_ts").cast("long").alias("ts"), "level", "msg", F.size("fields").alias("n_fields"))
 
 
+@query(f"""WITH {_FIELDS}
+SELECT datagram_id, CASE WHEN kind IN (33, 34) THEN 'parse_metrics' WHEN reason IS NOT NULL THEN 'validate_metrics' END AS drop_stage, CASE WHEN kind IN (33, 34) THEN drop_reason ELSE reason END AS drop_reason
+FROM (
+  SELECT *, CASE WHEN kind IN (33, 34) THEN NULL WHEN kind IN (35, 36) THEN drop_reason WHEN cents < 2000 THEN 'MetricValueTooLow' WHEN cents > 9000 THEN 'MetricValueTooHigh' END AS reason
+  FROM judged WHERE msg_type = 'metrics'
+)""")
+def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding and validation of every metrics message, with bounds on values that bite."""
+    decoded = decode_metrics.decode_metrics(_gated(spark, sf_dir))
+    return validate.validate_metrics(decoded, MetricsRules(min_value=2000, max_value=9000)).filter("msg_type = 'metrics'").select("datagram_id", "drop_stage", "drop_reason")
+
+
+@query(f"""WITH {_FIELDS}
+SELECT datagram_id, drop_stage, drop_reason, CASE WHEN drop_reason IS NULL THEN substr(name, 1, 4) END AS msg FROM judged WHERE msg_type = 'log'""")
+def gate_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding and validation of every log message, with messages cut to four bytes."""
+    df = validate.validate_log(decode_logs.decode_logs(_gated(spark, sf_dir)), LogRules(max_message_bytes=4)).filter("msg_type = 'log'")
+    return df.select("datagram_id", "drop_stage", "drop_reason", F.when(F.col("drop_reason").isNull(), F.col("msg")).alias("msg"))
+
+
 _KIND = "event_id % 12"
 
 
@@ -250,20 +270,27 @@ def tracked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUEUE_ALL = f"queue_0 AS (SELECT *, datagram_id // 500 AS batch FROM judged WHERE kind < 28), {_QUEUE.format(**_BOUND)}"
 
 
+def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every datagram after the stages that look at one alone, dropped or not."""
+    return row_stages(envelope.size_gate(captured_datagrams(spark, sf_dir))).select("datagram_id", "received_at_us", "agent_id", "drop_stage", "drop_reason")
+
+
 def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = captured_fields(spark, sf_dir).filter("kind < 28").select("datagram_id", "received_at_us", F.col("agent").alias("agent_id"))
-    return backlog.bound_backlog(open_outcome(good), F.expr("datagram_id div 500"), QUEUE)
+    return backlog.bound_backlog(_thin(spark, sf_dir), F.expr("datagram_id div 500"), QUEUE)
 
 
-@query(f"WITH {_FIELDS}, {_QUEUE_ALL} SELECT datagram_id, batch, queue_reason AS drop_reason, CASE WHEN queued THEN place END::BIGINT AS forwarded_order FROM queue")
+@query(f"""WITH {_FIELDS}, {_QUEUE_ALL}
+SELECT j.datagram_id, j.datagram_id // 500 AS batch, coalesce(j.drop_reason, q.queue_reason) AS drop_reason, CASE WHEN q.queued THEN q.place END::BIGINT AS forwarded_order
+FROM judged j LEFT JOIN queue q ON j.datagram_id = q.datagram_id""")
 def bound_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bounded(spark, sf_dir).select("datagram_id", "batch", "drop_reason", "forwarded_order")
 
 
-@query(f"WITH {_FIELDS}, queue_0 AS (SELECT *, 0 AS batch FROM judged WHERE kind < 28), {_QUEUE.format(**_BOUND)} SELECT datagram_id, queue_reason AS drop_reason, CASE WHEN queued THEN place END::BIGINT AS forwarded_order FROM queue")
+@query(f"""WITH {_FIELDS}, queue_0 AS (SELECT *, 0 AS batch FROM judged WHERE kind < 28), {_QUEUE.format(**_BOUND)}
+SELECT j.datagram_id, coalesce(j.drop_reason, q.queue_reason) AS drop_reason, CASE WHEN q.queued THEN q.place END::BIGINT AS forwarded_order
+FROM judged j LEFT JOIN queue q ON j.datagram_id = q.datagram_id""")
 def bound_large_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = captured_fields(spark, sf_dir).filter("kind < 28").select("datagram_id", "received_at_us", F.col("agent").alias("agent_id"))
-    return backlog.bound_large_backlog(open_outcome(good), QUEUE).select("datagram_id", "drop_reason", "forwarded_order")
+    return backlog.bound_large_backlog(_thin(spark, sf_dir), QUEUE).select("datagram_id", "drop_reason", "forwarded_order")
 
 
 @query(f"WITH {_FIELDS}, {_QUEUE_ALL} SELECT batch, agent AS agent_id, count(*) FILTER (queued) AS in_flight, count(*) FILTER (queue_reason = 'DroppedAgentQuotaExceeded') AS quota_rejections FROM queue GROUP BY batch, agent")
@@ -300,6 +327,14 @@ def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).select("datagram_id", "drop_stage", "drop_reason")
 
 
+@query(f"WITH RECURSIVE {_LEDGER} SELECT datagram_id, agent AS agent_id, event_json, batch, place::BIGINT AS forwarded_order FROM queue WHERE queued")
+def drained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leaves the gate, with its place in the order of leaving."""
+    config = GateConfig(limiter=LIMITS, forward=QUEUE)
+    events = run_batch(captured_datagrams(spark, sf_dir), config, F.expr("datagram_id div 500")).events
+    return events.select("datagram_id", "agent_id", "event_json", "batch", "forwarded_order")
+
+
 @query(f"WITH RECURSIVE {_LEDGER} SELECT {_COUNTS} FROM ledger")
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pipeline_stats(_ledger(spark, sf_dir))
