@@ -13,9 +13,8 @@ def _number(column: str) -> Column:
 
 
 def metrics_json() -> Column:
-    return F.concat(
-        F.lit('{"type":"metrics","agent_id":"'), "metrics_agent", F.lit('","seq":'), _number("seq"), F.lit(',"ts":'), _number("metrics_ts"), F.lit(',"metric_count":'), F.size("metrics").cast("string"), F.lit("}")
-    )
+    head = F.concat(F.lit('{"type":"metrics","agent_id":"'), "metrics_agent", F.lit('","seq":'), _number("seq"))
+    return F.concat(head, F.lit(',"ts":'), _number("metrics_ts"), F.lit(',"metric_count":'), F.size("metrics").cast("string"), F.lit("}"))
 
 
 def log_json() -> Column:

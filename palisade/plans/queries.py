@@ -29,17 +29,21 @@ fields AS (
     WHEN kind = 34 THEN '{{"agent_id":"' || agent || '","seq":' || datagram_id || ',"ts":' || stamp || ',"metrics":[}}'
     WHEN kind BETWEEN 20 AND 27 OR kind IN (37, 38, 39) THEN 'ts=' || stamp || ' level=' || CASE WHEN name = 'error' THEN 'error' ELSE 'info' END || ' agent=' || agent || ' msg=' ||
       CASE kind WHEN 39 THEN '""' WHEN 37 THEN '"' || name ELSE '"' || name || '"' END
-    ELSE '{{"agent_id":"' || agent || '","seq":' || datagram_id || ',"ts":' || stamp || ',"metrics":[{{"n":"' || name || '","v":' || cents || ',"u":"cents","' || CASE kind WHEN 33 THEN 'tags' ELSE 't' END || '":{{"k":"' || k || '"}}}}]}}' END AS body FROM fields
+    ELSE '{{"agent_id":"' || agent || '","seq":' || datagram_id || ',"ts":' || stamp || ',"metrics":[{{"n":"' || name || '","v":' || cents ||
+      ',"u":"cents","' || CASE kind WHEN 33 THEN 'tags' ELSE 't' END || '":{{"k":"' || k || '"}}}}]}}' END AS body FROM fields
 ), framed AS (
-  SELECT *, CASE kind WHEN 29 THEN '00' WHEN 30 THEN 'FFFF' || hex(encode(body)) WHEN 31 THEN format('{{:04X}}', length(body)) || hex(encode(body)) || '21' ELSE format('{{:04X}}', length(body)) || hex(encode(body)) END AS payload FROM bodies
+  SELECT *, CASE kind WHEN 29 THEN '00' WHEN 30 THEN 'FFFF' || hex(encode(body)) WHEN 31 THEN format('{{:04X}}', length(body)) || hex(encode(body)) || '21'
+    ELSE format('{{:04X}}', length(body)) || hex(encode(body)) END AS payload FROM bodies
 ), judged AS (
   SELECT *, CASE kind WHEN 28 THEN 'recv' WHEN 29 THEN 'envelope' WHEN 30 THEN 'envelope' WHEN 31 THEN 'envelope' WHEN 32 THEN 'detect' WHEN 33 THEN 'parse_metrics' WHEN 34 THEN 'parse_metrics'
       WHEN 35 THEN 'validate_metrics' WHEN 36 THEN 'validate_metrics' WHEN 37 THEN 'parse_log' WHEN 38 THEN 'validate_log' WHEN 39 THEN 'validate_log' END AS drop_stage,
-    CASE kind WHEN 28 THEN 'Truncated' WHEN 29 THEN 'PayloadTooSmall' WHEN 30 THEN 'LengthMismatch' WHEN 31 THEN 'TrailingJunk' WHEN 32 THEN 'UnknownType' WHEN 33 THEN 'UnexpectedField' WHEN 34 THEN 'InvalidJson'
+    CASE kind WHEN 28 THEN 'Truncated' WHEN 29 THEN 'PayloadTooSmall' WHEN 30 THEN 'LengthMismatch' WHEN 31 THEN 'TrailingJunk'
+      WHEN 32 THEN 'UnknownType' WHEN 33 THEN 'UnexpectedField' WHEN 34 THEN 'InvalidJson'
       WHEN 35 THEN 'TimestampTooOld' WHEN 36 THEN 'AgentIdInvalidFormat' WHEN 37 THEN 'UnterminatedQuote' WHEN 38 THEN 'TimestampInFuture' WHEN 39 THEN 'MessageEmpty' END AS drop_reason,
     CASE WHEN kind < 20 OR kind BETWEEN 33 AND 36 THEN 'metrics' WHEN kind BETWEEN 20 AND 27 OR kind >= 37 THEN 'log' END AS msg_type,
     CASE WHEN kind < 20 THEN '{{"type":"metrics","agent_id":"' || agent || '","seq":' || datagram_id || ',"ts":' || stamp || ',"metric_count":1}}'
-         WHEN kind < 28 THEN '{{"type":"log","agent_id":"' || agent || '","ts":' || stamp || ',"level":' || CASE WHEN name = 'error' THEN '4' ELSE '2' END || ',"msg":"' || name || '"}}' END AS event_json FROM framed
+         WHEN kind < 28 THEN '{{"type":"log","agent_id":"' || agent || '","ts":' || stamp ||
+           ',"level":' || CASE WHEN name = 'error' THEN '4' ELSE '2' END || ',"msg":"' || name || '"}}' END AS event_json FROM framed
 )"""
 
 #: The bucket, one packet of each source a step, on the datagrams that pass the size gate.
@@ -49,7 +53,8 @@ arrivals AS (
 ), bucket AS (
   SELECT datagram_id, src_ip, src_port, received_at_us, n, {burst} * 1000000 AS have FROM arrivals WHERE n = 1
   UNION ALL
-  SELECT a.datagram_id, a.src_ip, a.src_port, a.received_at_us, a.n, least({burst} * 1000000, CASE WHEN b.have >= 1000000 THEN b.have - 1000000 ELSE b.have END + (a.received_at_us - b.received_at_us) * {rate})
+  SELECT a.datagram_id, a.src_ip, a.src_port, a.received_at_us, a.n, least({burst} * 1000000, CASE WHEN b.have >= 1000000 THEN b.have - 1000000
+  ELSE b.have END + (a.received_at_us - b.received_at_us) * {rate})
   FROM bucket b JOIN arrivals a ON a.src_ip = b.src_ip AND a.src_port = b.src_port AND a.n = b.n + 1
 ), limited AS (SELECT datagram_id, src_ip, src_port, have >= 1000000 AS admitted FROM bucket)"""
 
@@ -57,7 +62,9 @@ _QUEUE = """
 queue_1 AS (SELECT *, row_number() OVER (PARTITION BY batch, agent ORDER BY received_at_us, datagram_id) <= {quota} AS pass FROM queue_0),
 queue_2 AS (SELECT *, sum(pass::INT) OVER (PARTITION BY batch ORDER BY received_at_us, datagram_id) AS place FROM queue_1),
 queue_3 AS (SELECT *, pass AND place <= {depth} AS queued FROM queue_2),
-queue AS (SELECT *, CASE WHEN queued THEN NULL WHEN coalesce(sum(queued::INT) OVER (PARTITION BY batch, agent ORDER BY received_at_us, datagram_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {quota} THEN 'DroppedAgentQuotaExceeded' ELSE 'DroppedQueueFull' END AS queue_reason FROM queue_3)"""
+queue AS (SELECT *, CASE WHEN queued THEN NULL WHEN coalesce(sum(queued::INT) OVER (PARTITION BY batch, agent ORDER BY received_at_us,
+  datagram_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {quota} THEN 'DroppedAgentQuotaExceeded'
+  ELSE 'DroppedQueueFull' END AS queue_reason FROM queue_3)"""
 
 LIMITS = LimiterConfig(max_sources=1024, tokens_per_sec=100, burst_tokens=200)
 SMALL = LimiterConfig(max_sources=20, tokens_per_sec=5, burst_tokens=2)
@@ -97,12 +104,14 @@ def encode_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelope.encode_envelope(bodies).select("event_id", F.hex("payload").alias("payload"))
 
 
-@query(f"WITH {_FIELDS} SELECT datagram_id, CASE WHEN kind NOT BETWEEN 28 AND 31 THEN msg_type END AS msg_type, CASE WHEN drop_stage IN ('recv', 'envelope', 'detect') THEN drop_reason END AS drop_reason FROM judged")
+@query(f"""WITH {_FIELDS} SELECT datagram_id, CASE WHEN kind NOT BETWEEN 28 AND 31 THEN msg_type END AS msg_type, CASE WHEN drop_stage IN ('recv',
+  'envelope', 'detect') THEN drop_reason END AS drop_reason FROM judged""")
 def detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).select("datagram_id", "msg_type", "drop_reason")
 
 
-_NAMES = "CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN c_custkey::VARCHAR WHEN 2 THEN 'a-_' || c_custkey WHEN 3 THEN c_name || chr(10) WHEN 4 THEN rpad('N', (62 + c_custkey % 5)::INT, 'x') ELSE 'node.' || c_custkey END"
+_NAMES = """CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN c_custkey::VARCHAR WHEN 2 THEN 'a-_' || c_custkey WHEN 3 THEN c_name || chr(10)
+  WHEN 4 THEN rpad('N', (62 + c_custkey % 5)::INT, 'x') ELSE 'node.' || c_custkey END"""
 
 
 @query(f"SELECT c_custkey, regexp_full_match(agent, '[a-zA-Z][a-zA-Z0-9_-]{{0,63}}') AS ok FROM (SELECT c_custkey, replace({_NAMES}, '#', '_') AS agent FROM customer)")
@@ -128,17 +137,21 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("level", C.level_name(F.col("code")))
 
 
-@query(f"""WITH {_FIELDS} SELECT datagram_id, drop_reason, CASE WHEN ok THEN agent END AS agent_id, CASE WHEN ok THEN datagram_id END AS seq, CASE WHEN ok THEN stamp END AS ts, CASE WHEN ok THEN 1 END AS n_metrics,
+@query(f"""WITH {_FIELDS} SELECT datagram_id, CASE WHEN drop_stage = 'parse_metrics' THEN drop_reason END AS drop_reason,
+  CASE WHEN ok THEN agent END AS agent_id, CASE WHEN ok THEN datagram_id END AS seq, CASE
+  WHEN ok THEN stamp END AS ts, CASE WHEN ok THEN 1 END AS n_metrics,
 CASE WHEN ok THEN name END AS name, CASE WHEN ok THEN cents::DOUBLE END AS value, CASE WHEN ok THEN 'cents' END AS unit, CASE WHEN ok THEN k END AS k
-FROM (SELECT *, kind < 20 OR kind IN (35, 36) AS ok FROM judged WHERE msg_type = 'metrics') q WHERE drop_stage IS DISTINCT FROM 'validate_metrics' OR ok""".replace("SELECT datagram_id, drop_reason,", "SELECT datagram_id, CASE WHEN drop_stage = 'parse_metrics' THEN drop_reason END AS drop_reason,"))
+FROM (SELECT *, kind < 20 OR kind IN (35, 36) AS ok FROM judged WHERE msg_type = 'metrics') q WHERE drop_stage IS DISTINCT FROM 'validate_metrics' OR ok""")
 def decode_metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = decode_metrics.decode_metrics(_gated(spark, sf_dir)).filter("msg_type = 'metrics'")
     m = F.get("metrics", F.lit(0))
-    return df.select("datagram_id", "drop_reason", F.col("metrics_agent").alias("agent_id"), "seq", F.col("metrics_ts").cast("long").alias("ts"), F.when(F.col("metrics").isNotNull(), F.size("metrics")).alias("n_metrics"),
+    count = F.when(F.col("metrics").isNotNull(), F.size("metrics")).alias("n_metrics")
+    return df.select("datagram_id", "drop_reason", F.col("metrics_agent").alias("agent_id"), "seq", F.col("metrics_ts").cast("long").alias("ts"), count,
                      m["name"].alias("name"), m["value"].alias("value"), m["unit"].alias("unit"), F.get(m["tags"], F.lit(0))["value"].alias("k"))
 
 
-@query(f"""WITH {_FIELDS} SELECT datagram_id, CASE WHEN kind = 37 THEN 'UnterminatedQuote' END AS drop_reason, agent AS agent_id, stamp AS ts, (CASE WHEN name = 'error' THEN 4 ELSE 2 END)::INT AS level,
+@query(f"""WITH {_FIELDS} SELECT datagram_id, CASE WHEN kind = 37 THEN 'UnterminatedQuote' END AS drop_reason, agent AS agent_id, stamp AS ts, (CASE
+  WHEN name = 'error' THEN 4 ELSE 2 END)::INT AS level,
 CASE kind WHEN 37 THEN NULL WHEN 39 THEN '' ELSE name END AS msg, CASE WHEN kind = 37 THEN 3 ELSE 4 END AS n_fields FROM judged WHERE msg_type = 'log'""")
 def decode_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = decode_logs.decode_logs(_gated(spark, sf_dir)).filter("msg_type = 'log'")
@@ -146,7 +159,8 @@ def decode_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FIELDS}
-SELECT datagram_id, CASE WHEN kind IN (33, 34) THEN 'parse_metrics' WHEN reason IS NOT NULL THEN 'validate_metrics' END AS drop_stage, CASE WHEN kind IN (33, 34) THEN drop_reason ELSE reason END AS drop_reason
+SELECT datagram_id, CASE WHEN kind IN (33, 34) THEN 'parse_metrics' WHEN reason IS NOT NULL THEN 'validate_metrics' END AS drop_stage, CASE
+  WHEN kind IN (33, 34) THEN drop_reason ELSE reason END AS drop_reason
 FROM (
   SELECT *, CASE WHEN kind IN (33, 34) THEN NULL WHEN kind IN (35, 36) THEN drop_reason WHEN cents < 2000 THEN 'MetricValueTooLow' WHEN cents > 9000 THEN 'MetricValueTooHigh' END AS reason
   FROM judged WHERE msg_type = 'metrics'
@@ -168,8 +182,10 @@ def gate_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = "event_id % 12"
 
 
-@query(f"""SELECT event_id, CASE {_KIND} WHEN 0 THEN 'AgentIdEmpty' WHEN 1 THEN 'AgentIdTooLong' WHEN 2 THEN 'AgentIdInvalidFormat' WHEN 3 THEN 'TimestampMissing' WHEN 4 THEN 'TimestampTooOld' WHEN 5 THEN 'TimestampInFuture'
-WHEN 6 THEN 'MetricNameEmpty' WHEN 7 THEN 'MetricValueNaN' WHEN 8 THEN 'MetricValueInfinity' ELSE CASE WHEN value < 20 THEN 'MetricValueTooLow' WHEN value > 100 THEN 'MetricValueTooHigh' END END AS reason FROM events""")
+@query(f"""SELECT event_id, CASE {_KIND} WHEN 0 THEN 'AgentIdEmpty' WHEN 1 THEN 'AgentIdTooLong' WHEN 2 THEN 'AgentIdInvalidFormat'
+  WHEN 3 THEN 'TimestampMissing' WHEN 4 THEN 'TimestampTooOld' WHEN 5 THEN 'TimestampInFuture'
+WHEN 6 THEN 'MetricNameEmpty' WHEN 7 THEN 'MetricValueNaN' WHEN 8 THEN 'MetricValueInfinity' ELSE CASE WHEN value < 20 THEN 'MetricValueTooLow'
+  WHEN value > 100 THEN 'MetricValueTooHigh' END END AS reason FROM events""")
 def validate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, now = F.col("event_id") % 12, F.lit(START_MS)
     agent = F.when(kind == 0, "").when(kind == 1, "x" * 65).when(kind == 2, "1node").otherwise("node-1")
@@ -181,7 +197,8 @@ def validate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", reason.alias("reason"))
 
 
-@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'AgentIdTooLong' WHEN 1 THEN 'AgentIdInvalidFormat' WHEN 2 THEN 'AgentIdEmpty' WHEN 3 THEN 'TimestampTooOld' WHEN 4 THEN 'TimestampInFuture' WHEN 5 THEN 'LevelBelowMinimum'
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'AgentIdTooLong' WHEN 1 THEN 'AgentIdInvalidFormat' WHEN 2 THEN 'AgentIdEmpty'
+  WHEN 3 THEN 'TimestampTooOld' WHEN 4 THEN 'TimestampInFuture' WHEN 5 THEN 'LevelBelowMinimum'
 WHEN 6 THEN 'MessageEmpty' ELSE CASE WHEN length(event_type) > 5 THEN 'MessageTooLong' END END AS reason FROM events""")
 def validate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, now = F.col("event_id") % 8, F.lit(START_MS)
@@ -227,14 +244,16 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _limited(spark, sf_dir).filter("admitted is not null").select("datagram_id", "admitted")
 
 
-@query(f"WITH RECURSIVE {_FIELDS}, {_BUCKET.format(**_RATE)} SELECT src_ip, src_port, count(*) FILTER (admitted) AS admits, count(*) FILTER (NOT admitted) AS drops FROM limited GROUP BY src_ip, src_port")
+@query(f"""WITH RECURSIVE {_FIELDS}, {_BUCKET.format(**_RATE)} SELECT src_ip, src_port, count(*) FILTER (admitted) AS admits,
+  count(*) FILTER (NOT admitted) AS drops FROM limited GROUP BY src_ip, src_port""")
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.source_stats(_limited(spark, sf_dir))
 
 
 def _many_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(F.col("event_id").alias("datagram_id"), ((F.col("event_id") + START_MS) * 1000).alias("received_at_us"), F.lit(1).cast("long").alias("src_ip"), (F.col("user_id") % 60).cast("int").alias("src_port"))
+    arrival, port = (F.col("event_id") + START_MS) * 1000, (F.col("user_id") % 60).cast("int")
+    return events.select(F.col("event_id").alias("datagram_id"), arrival.alias("received_at_us"), F.lit(1).cast("long").alias("src_ip"), port.alias("src_port"))
 
 
 _SEEN = f"seen AS (SELECT event_id AS n, user_id % 60 AS s, lag(event_id) OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS before FROM events)"
@@ -293,12 +312,14 @@ def bound_large_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.bound_large_backlog(_thin(spark, sf_dir), QUEUE).select("datagram_id", "drop_reason", "forwarded_order")
 
 
-@query(f"WITH {_FIELDS}, {_QUEUE_ALL} SELECT batch, agent AS agent_id, count(*) FILTER (queued) AS in_flight, count(*) FILTER (queue_reason = 'DroppedAgentQuotaExceeded') AS quota_rejections FROM queue GROUP BY batch, agent")
+@query(f"""WITH {_FIELDS}, {_QUEUE_ALL} SELECT batch, agent AS agent_id, count(*) FILTER (queued) AS in_flight,
+  count(*) FILTER (queue_reason = 'DroppedAgentQuotaExceeded') AS quota_rejections FROM queue GROUP BY batch, agent""")
 def agent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.agent_stats(_bounded(spark, sf_dir))
 
 
-@query(f"""WITH {_FIELDS}, {_QUEUE_ALL} SELECT batch, count(DISTINCT agent) FILTER (queued) AS tracked_agents, count(*) FILTER (queued) AS total_in_flight, count(*) FILTER (queue_reason = 'DroppedAgentQuotaExceeded') AS quota_rejections
+@query(f"""WITH {_FIELDS}, {_QUEUE_ALL} SELECT batch, count(DISTINCT agent) FILTER (queued) AS tracked_agents,
+  count(*) FILTER (queued) AS total_in_flight, count(*) FILTER (queue_reason = 'DroppedAgentQuotaExceeded') AS quota_rejections
 FROM queue GROUP BY batch""")
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.batch_stats(_bounded(spark, sf_dir))
@@ -318,7 +339,8 @@ ledger AS (
   FROM judged j LEFT JOIN limited l ON j.datagram_id = l.datagram_id LEFT JOIN queue q ON j.datagram_id = q.datagram_id
 )"""
 _COUNTS = """count(*) FILTER (drop_stage IS DISTINCT FROM 'recv') AS received, count(*) FILTER (drop_stage = 'recv') AS truncated, count(*) FILTER (drop_stage = 'source_limit') AS source_limited,
-count(*) FILTER (drop_stage = 'envelope') AS envelope_drops, count(*) FILTER (drop_stage IN ('detect', 'parse_metrics', 'parse_log')) AS parse_drops, count(*) FILTER (drop_stage IN ('validate_metrics', 'validate_log')) AS validation_drops,
+count(*) FILTER (drop_stage = 'envelope') AS envelope_drops, count(*) FILTER (drop_stage IN ('detect', 'parse_metrics', 'parse_log')) AS parse_drops,
+  count(*) FILTER (drop_stage IN ('validate_metrics', 'validate_log')) AS validation_drops,
 count(*) FILTER (drop_reason = 'DroppedQueueFull') AS queue_drops, count(*) FILTER (drop_reason = 'DroppedAgentQuotaExceeded') AS quota_drops, count(*) FILTER (drop_reason IS NULL) AS forwarded"""
 
 
@@ -340,7 +362,8 @@ def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pipeline_stats(_ledger(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_LEDGER} SELECT drop_stage, drop_reason, grouping(drop_stage, drop_reason)::INT AS level, count(*) AS n FROM ledger WHERE drop_reason IS NOT NULL GROUP BY ROLLUP (drop_stage, drop_reason)")
+@query(f"""WITH RECURSIVE {_LEDGER} SELECT drop_stage, drop_reason, grouping(drop_stage, drop_reason)::INT AS level, count(*) AS n FROM ledger
+  WHERE drop_reason IS NOT NULL GROUP BY ROLLUP (drop_stage, drop_reason)""")
 def drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.drop_counts(_ledger(spark, sf_dir))
 
@@ -356,4 +379,5 @@ def drops_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.drop_counts(outcome(row_stages(envelope.size_gate(captured_datagrams(spark, sf_dir))), "forward", F.lit(None).cast("string")))
 
 
-query(f"""WITH {_FIELDS} SELECT drop_stage, drop_reason, grouping(drop_stage, drop_reason)::INT AS level, count(*) AS n FROM judged WHERE drop_reason IS NOT NULL GROUP BY ROLLUP (drop_stage, drop_reason)""")(drops_by_reason)
+query(f"""WITH {_FIELDS} SELECT drop_stage, drop_reason, grouping(drop_stage, drop_reason)::INT AS level, count(*) AS n FROM judged
+  WHERE drop_reason IS NOT NULL GROUP BY ROLLUP (drop_stage, drop_reason)""")(drops_by_reason)
