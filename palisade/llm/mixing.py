@@ -56,7 +56,11 @@ def exponent(sums: DataFrame, entropy: float | None = None, repeats: float | Non
 
     def reached(alphas: list[float]) -> list[bool]:
         """Whether the sought exponent is at most each of these: one job, three sums for each."""
-        sums_of = lambda a: F.struct(F.sum(F.pow(ratio, F.lit(a))).alias("z"), F.sum(F.pow(ratio, F.lit(a)) * F.log(ratio)).alias("h"), F.max(F.pow(ratio, F.lit(a - 1))).alias("high"), F.min(F.pow(ratio, F.lit(a - 1))).alias("low"))
+
+        def sums_of(a: float) -> Column:
+            power, rest = F.pow(ratio, F.lit(a)), F.pow(ratio, F.lit(a - 1))
+            return F.struct(F.sum(power).alias("z"), F.sum(power * F.log(ratio)).alias("h"), F.max(rest).alias("high"), F.min(rest).alias("low"))
+
         row = some.agg(*(sums_of(a).alias(f"a{i}") for i, a in enumerate(alphas)))
         z, h, high, low = (lambda i: F.col(f"a{i}.z")), (lambda i: F.col(f"a{i}.h")), (lambda i: F.col(f"a{i}.high")), (lambda i: F.col(f"a{i}.low"))
         if entropy is not None:
@@ -88,8 +92,9 @@ def source_weights(docs: DataFrame, entropy: float | None = None, repeats: float
     sums = materialise(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")), "source-sums")
     alpha, norm = exponent(sums, entropy, repeats, budget)
     total, top = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("tokens"), F.lit(0))).first()
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / top, F.lit(alpha)) / norm).otherwise(F.lit(0.0))
-    out = sums.select("source", "n_docs", "tokens", (F.col("tokens") / total).alias("share"), F.lit(alpha).alias("alpha"), weight.alias("weight"))
+    some = F.col("tokens") > 0
+    weight = F.when(some, F.pow(F.col("tokens") / top, F.lit(alpha)) / norm).otherwise(F.lit(0.0))
+    out = sums.select("source", "n_docs", "tokens", F.when(some, F.col("tokens") / total).otherwise(F.lit(0.0)).alias("share"), F.lit(alpha).alias("alpha"), weight.alias("weight"))
     size = total if budget == "corpus" else budget
     if budget == "cover":
         size = out.agg(F.coalesce(F.max(F.when(F.col("weight") > 0, F.ceil(F.col("tokens") / F.col("weight")))), F.lit(0))).first()[0]
