@@ -11,8 +11,11 @@ no suffixes that agree on ``min_bytes`` bytes, which are the repeats.
 A key whose differing runs hold more than ``block_symbols`` symbols (a frequent passage in ever new surroundings) is
 *crowded*: its runs are dealt over all tasks and cut into single windows, which meet by key and window hash.
 
-Empty or null text: nothing to remove. A text shorter than ``min_bytes`` is kept whole. A null doc_id counts as the
-smallest. Rows that repeat a doc_id with its text get the result of one such row. An empty table gives no rows.
+Empty or null text: nothing to remove. A text shorter than ``min_bytes`` is kept whole, and one of any length is taken
+whole. A null doc_id counts as the smallest. Rows that repeat a doc_id with its text get the result of one such row; of
+equal strings the one with the smallest doc_id, then the smallest start, is the earliest, so there are no ties. An empty
+table gives no rows. Only doc_id, text and the columns asked for are read; those come back inside one struct, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ MIN_BYTES = 100
 ANCHORS = 64
 #: Symbols that one transform holds at least before a block is closed at a key's end, and of one key at most.
 BLOCK_SYMBOLS = 1 << 20
+#: A passage has very many copies if more than these, and more than so large a part of all that few passages can have them.
+OFTEN, OFTEN_KEPT = 20_000, 100_000
 _NO_ID = -(1 << 63)
 
 RUN = "key long, body long, doc_id long, start int, bytes int, inner boolean"
@@ -257,9 +262,8 @@ def cut_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     starts.append(w["start"])
                     bodies.append(raw[w["start"] : w["start"] + w["bytes"]])
                     crowded.append(w["crowded"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary()), pa.array(crowded, pa.bool_())], names=["key", "doc_id", "start", "body", "crowded"]
-            )
+            columns = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary()), pa.array(crowded, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "start", "body", "crowded"])
 
 
 def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES, anchors: int = ANCHORS, block_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
@@ -268,9 +272,16 @@ def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES, anchors: int = ANC
     runs = docs.filter(F.octet_length("text") >= min_bytes).mapInArrow(emit_runs(min_bytes, anchors), RUN)
     again = runs.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any")).filter("n > 1 or any").select("key")
     runs = materialise(runs.join(again, "key", "left_semi"), "runs")
-    first = runs.groupBy("key", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("bytes").alias("bytes"), F.max("inner").alias("inner"))
+    first = runs.groupBy("key", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("bytes").alias("bytes"), F.max("inner").alias("inner"), F.count("*").alias("copies"))
     first = materialise(first, "firsts")
-    later = runs.join(first.select("key", "body", "first"), ["key", "body"]).filter(F.struct("doc_id", "start") != F.col("first"))
+    # a passage with very many copies is told to all tasks, so that its copies need not meet in one
+    often, total = first.select("key", "body", "first", "copies"), first.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    often = often.filter(F.col("copies") > max(OFTEN, total // OFTEN_KEPT)).drop("copies")
+    later = runs.join(first.select("key", "body", "first"), ["key", "body"])
+    if often.limit(1).count():
+        rare = runs.join(F.broadcast(often.select("key", "body")), ["key", "body"], "left_anti")
+        later = rare.join(first.select("key", "body", "first"), ["key", "body"]).unionByName(runs.join(F.broadcast(often), ["key", "body"]))
+    later = later.filter(F.struct("doc_id", "start") != F.col("first"))
     copies = later.select("doc_id", "start", (F.col("start") + F.col("bytes")).cast("int").alias("stop"))
     mixed = first.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any"), F.sum(F.col("bytes").cast("long") + 1).alias("symbols")).filter("n > 1 or any")
     mixed = mixed.select("key", (F.col("symbols") > block_symbols).alias("crowded"))
