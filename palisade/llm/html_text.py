@@ -58,7 +58,10 @@ BOILER_WORDS = frozenset(
     "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
 # Words that say nothing beside those.
-PLAIN_WORDS = frozenset("area bar block bottom box container content for global group inner item items left link links list main of page primary reader right row secondary section site text the top user wrap wrapper".split())
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box container content for global group inner item items left link links list main of page primary reader right row secondary "
+    "section site text the top user wrap wrapper".split()
+)
 
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 # A tag's rest in its usual form; it can't run past the next tag, so a failure costs no more than what is read anyway.

@@ -223,13 +223,15 @@ def identify(df: DataFrame, model: Model | None, keep: tuple[str, ...] = (), sur
                             names[i], scores[i], counts[i] = own.labels[best], min(1.0, float(mean[i, best])), int(count[i])
                             shares[i] = list(zip(own.labels, mean[i].tolist()))
                             certain[i] = min(1.0, float(largest[i]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("row",) if keep), part.column("doc_id"), part.column("held_out"), pa.array(names), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(shares, pa.map_(pa.string(), pa.float64())), *([pa.array(certain, pa.float64())] if sure else [])],
-                    names=[*("row",)[: bool(keep)], "doc_id", "held_out", "lang_pred", "score", "n_words", "shares", *("sure",)[: bool(sure)]],
-                )
+                given = {c: part.column(c) for c in ("row", "doc_id", "held_out") if c in part.schema.names}
+                found = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "n_words": pa.array(counts, pa.int64())}
+                found["shares"] = pa.array(shares, pa.map_(pa.string(), pa.float64()))
+                more = {"sure": pa.array(certain, pa.float64())} if sure else {}
+                yield pa.RecordBatch.from_pydict(given | found | more)
 
     schema = T.StructType([f for f in docs.schema if f.name == "row"])
-    for name, kind in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("n_words", T.LongType()), ("shares", T.MapType(T.StringType(), T.DoubleType())), *([("sure", T.DoubleType())] if sure else [])):
+    kinds = {"doc_id": "long", "held_out": "boolean", "lang_pred": "string", "score": "double", "n_words": "long", "shares": T.MapType(T.StringType(), T.DoubleType())} | ({"sure": "double"} if sure else {})
+    for name, kind in kinds.items():
         schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 

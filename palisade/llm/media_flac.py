@@ -472,9 +472,10 @@ def _frames(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, heads: list
         out.append(samples)
     if mode.any():
         a, b = out[:2]
-        for m, left, right in ((1, lambda a, b: a, lambda a, b: a - b), (2, lambda a, b: a + b, lambda a, b: b), (3, lambda a, b: ((a << 1 | b & 1) + b) >> 1, lambda a, b: ((a << 1 | b & 1) - b) >> 1)):
-            own = mode == m
-            a[own], b[own] = left(a[own], b[own]), right(a[own], b[own])
+        for m in (1, 2, 3):
+            x, y = a[mode == m], b[mode == m]
+            whole = x << 1 | y & 1  # the sum of two channels is odd where their difference is
+            a[mode == m], b[mode == m] = {1: (x, x - y), 2: (x + y, y), 3: ((whole + y) >> 1, (whole - y) >> 1)}[m]
     return [np.stack([s[i, : sizes[i]] for s in out[: channels[i]]], axis=1) if good[i] else None for i in range(n)]
 
 

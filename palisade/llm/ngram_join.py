@@ -126,8 +126,9 @@ def signatures(size: int, percent: int, frequent: np.ndarray, only: np.ndarray |
                         often = frequent[np.minimum(np.searchsorted(frequent, kept), len(frequent) - 1)] == kept
                     order = np.lexsort((kept, -length, often))
                     prefix[i] = signed(kept[order[: len(kept) - needed(len(kept), percent) + 1]])
+                sketches = pa.array(wide, pa.int32()), pa.array(sketch, pa.binary()), pa.array(folded, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(signed(sums[0])), pa.array(signed(sums[1])), pa.array(wide, pa.int32()), pa.array(sketch, pa.binary()), pa.array(folded, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                    [part.column(0), pa.array(n), *(pa.array(signed(x)) for x in sums), *sketches, pa.array(prefix, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "sum_a", "sum_b", "size_class", "sketch", "folded", "prefix"],
                 )
 
@@ -509,7 +510,8 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 
     def classes(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
         sig = materialise(docs.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
-        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), F.any_value(F.struct("size_class", "sketch", "folded", "prefix")).alias("own")).select("n", "sum_a", "sum_b", "rep", "own.*")
+        own = F.any_value(F.struct("size_class", "sketch", "folded", "prefix")).alias("own")
+        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), own).select("n", "sum_a", "sum_b", "rep", "own.*")
 
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NULL_IDS - 1)) + F.lit(NULL_IDS)))
     sig, reps = classes(np.zeros(0, np.uint64))

@@ -139,7 +139,10 @@ def replay(df: DataFrame, path: str) -> DataFrame:
     """A history over a whole table: all documents inserted; those with doc_id % 10 = 3 deleted; those with doc_id % 10
     = 4 revised to half their tokens (rounded down) and moved to the source ``revised``; the deletes sent once more."""
     counts = materialise(count_tokens(df), "token-counts")
-    change = lambda op, rows, old, new: rows.select("doc_id", F.lit(op).alias("op"), "source", "lang", "tokenizer", old.cast("long").alias("old_tokens"), new.cast("long").alias("new_tokens"))
+
+    def change(op: str, rows: DataFrame, old: Column, new: Column) -> DataFrame:
+        return rows.select("doc_id", F.lit(op).alias("op"), "source", "lang", "tokenizer", old.cast("long").alias("old_tokens"), new.cast("long").alias("new_tokens"))
+
     none, n = F.lit(None), F.col("n_tokens")
     rollups = Rollups(df.sparkSession, path)
     digit = F.pmod("doc_id", F.lit(10))
