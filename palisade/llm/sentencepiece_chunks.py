@@ -5,9 +5,9 @@ and what follows up to the next marker) into another, so a text's ids are its ch
 text is its chunks' (``ChunkTable`` checks the model for this).
 
 1. Spark counts the distinct chunks of all texts.
-2. The ``TABLE_CHUNKS`` most frequent ones are segmented once each, in Spark, and broadcast with their ids (checked:
-   chunks of ``CHUNK_BYTES`` at most, which bounds the table). All others are segmented by the task that meets them, once
-   for each time that its own table of as many chunks fills up.
+2. The most frequent ones, ``TABLE_CHUNKS`` at most, are segmented once each, in Spark, and broadcast with their ids
+   (chunks of ``CHUNK_BYTES`` at most, which bounds the table). All others are segmented where they are met, once for each
+   slice of texts.
 3. A slice of texts is cut into chunks, and its distinct chunks' ids are put in their places by position.
 
 The tail stays with the tasks because joining it to its places would shuffle every text and its ids.
@@ -25,6 +25,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import id_text, partitions, text_slices
+from palisade.llm.common import id_text, materialise, partitions, text_slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Chunks that are broadcast, and chunks that a task keeps beside them; longest one in the table; chunks that a task counts before it sends its counts on.
-TABLE_CHUNKS, CHUNK_BYTES, COUNTED = 200_000, 256, 1_000_000
+#: Chunks that are broadcast, and the longest of them; chunks that a task counts before it sends its counts on.
+TABLE_CHUNKS, CHUNK_BYTES, COUNTED = 200_000, 256, 200_000
 MAX_MODEL_BYTES = 64 << 20
 
 
@@ -47,55 +48,63 @@ def marked(texts: list[str | None]) -> list[list[str]]:
     return [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
 
 
+class Segmented(NamedTuple):
+    """Chunks' ids end to end with how many each has, the ids written out, and the decoded text (a marker's space first)."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    written: pa.StringArray
+    decoded: pa.StringArray
+
+
 class ChunkTable:
-    """Distinct chunks with their ids, those ids written out, and their decoded text (a marker's space first)."""
+    """A model with the table of frequent chunks, as numbers into packed columns."""
 
-    def __init__(self, model: bytes, frequent: pa.Table | None = None, limit: int = TABLE_CHUNKS):
+    def __init__(self, model: bytes, frequent: pa.Table | None = None):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.limit = limit
-        columns = [frequent.column(c).to_pylist() for c in ("chunk", "ids", "written", "decoded")] if frequent else [[]] * 4
-        self.frequent: dict[str, tuple[list[int], str, str]] = {c: own for c, *own in zip(*columns)}
-        self.known: dict[str, tuple[list[int], str, str]] = {}
         if any(MARK in p.lstrip(MARK) for p in map(self.model.id_to_piece, range(self.model.vocab_size()))):
             raise ValueError("a piece of this model has the white-space marker inside; chunks don't part its pieces")
         if self.model.encode("a  b ", out_type=str)[0][0] != MARK or self.model.decode(self.model.encode(" a  b ")) != " a  b ":
             raise ValueError("this model changes white space; chunks need a marker put first and all others kept")
         self.alone = [self.model.piece_to_id(MARK)]
-
-    def segment(self, chunks: list[str]) -> list[tuple[list[int], str, str]]:
+        self.place: dict[str, int] = {}
+        self.known = self.segment([])
+        if frequent is not None and len(frequent):
+            lists, written, decoded = (frequent.column(c).combine_chunks() for c in ("ids", "written", "decoded"))
+            self.place = {c: i for i, c in enumerate(frequent.column("chunk").to_pylist())}
+            self.known = Segmented(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), written, decoded)
+
+    def segment(self, chunks: list[str]) -> Segmented:
         # the library puts the first marker itself and takes it off again; a marker alone is no text to it
         ids = [i if c != MARK else self.alone for c, i in zip(chunks, self.model.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1))]
-        return [(i, " ".join(map(str, i)), f" {text}") for i, text in zip(ids, self.model.decode(ids, num_threads=1) if ids else [])]
-
-    def look_up(self, chunks: list[str]) -> list[tuple[list[int], str, str]]:
-        """Of each of these distinct chunks."""
-        new = [c for c in chunks if c not in self.frequent and c not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = [c for c in chunks if c not in self.frequent]
-        self.known.update(zip(new, self.segment(new)))
-        return [self.frequent.get(c) or self.known[c] for c in chunks]
+        decoded = [f" {text}" for text in self.model.decode(ids, num_threads=1)] if ids else []
+        flat, sizes = np.array([*chain.from_iterable(ids)], np.int32), np.array([len(i) for i in ids], np.int64)
+        return Segmented(flat, sizes, pa.array([" ".join(map(str, i)) for i in ids], pa.string()), pa.array(decoded, pa.string()))
 
     def encode(self, texts: list[str | None]) -> tuple[pa.ListArray, list[str], list[str]]:
         """Ids with the end id, the same written in decimals, and the decoded text, of each text."""
         parts = marked(texts)
         cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         distinct = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
-        found = self.look_up(distinct.dictionary.to_pylist())
-        place = distinct.indices.to_numpy(zero_copy_only=False)
+        # where each distinct chunk stands: in the table, or behind it among those that are segmented now
+        chunks = distinct.dictionary.to_pylist()
+        at = np.array([self.place.get(c, -1) for c in chunks], np.int64)
+        tail = np.flatnonzero(at < 0)
+        at[tail] = len(self.place) + np.arange(len(tail))
+        more = self.segment([chunks[i] for i in tail])
         end = self.model.eos_id()
-        # ids by position: where each chunk's begin in the table, and how many there are
-        sizes = np.array([len(i) for i, _, _ in found], np.int64)
-        table = np.array([*chain.from_iterable(i for i, _, _ in found), end], np.int32)
-        start = np.append(np.cumsum(sizes) - sizes, len(table) - 1)
-        sizes = np.append(sizes, 1)
-        place = np.insert(place, cuts[1:], len(found))  # the end id after each text's last chunk
+        ids = np.concatenate([self.known.ids, more.ids, [end]]).astype(np.int32)
+        sizes = np.concatenate([self.known.sizes, more.sizes, [1]])
+        start = np.cumsum(sizes) - sizes
+        chunk = at[distinct.indices.to_numpy(zero_copy_only=False)]
+        place = np.insert(chunk, cuts[1:], len(sizes) - 1)  # the end id after each text's last chunk
         count = sizes[place]
-        ids = table[np.arange(count.sum()) + np.repeat(start[place] - (np.cumsum(count) - count), count)]
+        flat = ids[np.arange(count.sum()) + np.repeat(start[place] - (np.cumsum(count) - count), count)]
         ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], cuts[1:] + np.arange(1, len(cuts))])]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        joined = lambda k, mark: pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pa.array([f[k] for f in found], pa.string()).take(distinct.indices)), mark).to_pylist()
-        return lists, [f"{w} {end}" if w else str(end) for w in joined(1, " ")], [t[1:] for t in joined(2, "")]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        joined = lambda a, b, mark: pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays([a, b]).take(pa.array(chunk))), mark).to_pylist()
+        written, decoded = joined(self.known.written, more.written, " "), joined(self.known.decoded, more.decoded, "")
+        return lists, [f"{w} {end}" if w else str(end) for w in written], [t[1:] for t in decoded]
 
 
 #: The table of this worker process, by its broadcast: a worker's next task goes on with it.
@@ -134,18 +143,25 @@ def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_chunks(df: DataFrame, shared, limit: int = TABLE_CHUNKS) -> pa.Table:
-    """The most frequent chunks of all texts, each segmented once."""
+    """The most frequent chunks of all texts, ``limit`` at most, each segmented once; of equally frequent ones all or none."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(shared.value)
         for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            found = table.segment(chunks)
-            columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.list_(pa.int32()), pa.string(), pa.string()))] if found else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["chunk", "ids", "written", "decoded"][: 1 + len(columns)])
-
-    counts = df.select("text").mapInArrow(count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "chunk").limit(limit).select("chunk").repartition(partitions(df.sparkSession))
+            found = table.segment(batch.column(0).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found.sizes)]).astype(np.int32)), pa.array(found.ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, found.written, found.decoded], names=["chunk", "ids", "written", "decoded"])
+
+    counts = df.select("text").mapInArrow(count_chunks, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter("n > 1")
+    # how many chunks there are of each count (large ones in steps of a hundredth) says from which on the table holds all
+    step = F.when(F.col("n") < 1000, F.col("n")).otherwise(1000 + F.floor(64 * F.log2("n"))).alias("step")
+    counts = materialise(counts.select("chunk", step), "chunk-counts")
+    least, room = 1 << 62, limit
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        if (room := room - row["count"]) < 0:
+            break
+        least = row["step"]
+    top = counts.filter(F.col("step") >= least).select("chunk").repartition(partitions(df.sparkSession))
     return top.mapInArrow(segment, "chunk string, ids array<int>, written string, decoded string").toArrow()
 
 

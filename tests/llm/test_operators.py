@@ -66,8 +66,9 @@ def brute_repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size, anchors", [(100, 64), (20, 12)])
-def test_suffix_dedup(spark, size, anchors):
+@pytest.mark.parametrize("size, anchors, often", [(100, 64, 20_000), (20, 12, 20_000), (20, 12, 2)])
+def test_suffix_dedup(spark, monkeypatch, size, anchors, often):
+    monkeypatch.setattr(suffix_dedup, "OFTEN", often)
     df = frame(spark, odd_texts())
     got = by_id(suffix_dedup.remove_repeats(df, min_bytes=size, anchors=anchors, block_symbols=2000))
     for doc, want in brute_repeats(documents(df), size).items():
@@ -308,14 +309,14 @@ def test_sentencepiece(spark):
         for r in got[doc]:
             assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded"] == model.decode(ids), text[:40]
             assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-    table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read(), limit=3)
+    table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read())
     assert [table.encode([t])[0].to_pylist()[0] for t in texts.values()] == [model.encode(t, add_eos=True) for t in texts.values()]
 
 
 def test_sentencepiece_on_hostile_texts():
     rng = random.Random(7)
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read(), limit=500)
+    table = sentencepiece_chunks.ChunkTable(open(MODEL, "rb").read())
     marks = [" ", "  ", "▁", "\n", "\t", "\x00", "\u00a0", "\u200b", "\u0301", "é", "ﬁ", "Ａ", "日", "\U0001f600", "\ufffd", "\ue000", "<0x41>", "</s>", "<unk>", "a", "the", "The", "12", "!", "\x7f", "\x85", "\u2028"]
     texts = ["".join(rng.choices(marks, k=rng.randint(0, 14))) for _ in range(4000)] + [None, "", " ", "▁" * 70, "x" * 9000]
     for a in range(0, len(texts), 500):
@@ -335,7 +336,7 @@ def test_sentencepiece_segments_frequent_chunks_once(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = [" " + r["text"] for r in df.filter("text is not null and doc_id > 60").collect()]
     table = sentencepiece_chunks.ChunkTable(shared.value, sentencepiece_chunks.frequent_chunks(df, shared))
-    assert table.encode(texts)[0].to_pylist() == [model.encode(t, add_eos=True) for t in texts] and len(table.known) < len(table.frequent)
+    assert table.encode(texts)[0].to_pylist() == [model.encode(t, add_eos=True) for t in texts] and len(table.place) > 50
 
 
 def test_flac(spark):
