@@ -45,23 +45,25 @@ BROADCAST_HOSTS, LARGE_HOST = 50_000, 10_000
 REPEATED, REPEATED_PAGES, REPEATED_PART, REPEATED_COST = 0.8, 5, 0.1, 0.9
 
 # HTML element names and boilerplate words.
-CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tr td th ul ol dl figure fieldset details dialog center blockquote".split())
+CONTAINERS = frozenset("html body main article section div aside nav header footer form menu table tbody thead tr td th ul ol dl figure fieldset details dialog center blockquote".split())
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr figcaption caption summary address option legend title head".split()) | CONTAINERS
 RAW = frozenset("script style xmp noembed noframes".split())
-SILENT = frozenset("noscript template svg math iframe object canvas audio video select textarea".split())
+SILENT = frozenset("noscript template svg math iframe object canvas audio video select textarea button".split())
 IN_HEAD = frozenset("html head title meta link base basefont bgsound".split())
 PARTS = frozenset("ul ol dl blockquote figure".split())  # never a whole article
-BOILER_TAGS = frozenset("nav aside footer form dialog button menu".split())
+BOILER_TAGS = frozenset("nav aside footer form dialog menu".split())
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer disqus footer form "
-    "header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion "
-    "related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+    "ad ads adv advert adverts advertisement advertising alert alerts announcement aside banner breadcrumb breadcrumbs comment comments complementary consent "
+    "contentinfo cookie cookies copyright disclaimer discussion disqus footer form header hidden login masthead menu modal nav navbar navigation newsletter "
+    "notice notices notification pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing side sidebar "
+    "signup skip social sponsor sponsored subscribe subscription toolbar topbar trending widget".split()
 )
-# Words that say nothing beside those.
+# Words that say nothing beside those; the second half are of articles, whose headers stay.
 PLAIN_WORDS = frozenset(
-    "area bar block bottom box container content for global group inner item items left link links list main of page primary reader right row secondary "
-    "section site text the top user wrap wrapper".split()
+    "area bar block bottom box button col column container content email for global group inner item items label left link links list main of page policy "
+    "primary privacy reader readers right row secondary section site slot text the top unit user wrap wrapper".split()
 )
+ARTICLE_WORDS = frozenset("article articles entry news post posts stories story".split())
 
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 # A tag's rest in its usual form; it can't run past the next tag, so a failure costs no more than what is read anyway.
@@ -71,7 +73,7 @@ GAP, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"\s*=\s*"), re.compile(r"
 NAMED = re.compile(r"""\s([a-zA-Z][\w:-]*)=(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""")
 CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in (*RAW, *SILENT, "title")}
 # These don't stand in their like: a second start tag shows that the first has no end tag.
-CLOSE_OR_OPEN = {t: re.compile(rf"</{t}\s*>|(?P<open><{t}(?=[\s/>]))", re.I) for t in ("canvas", "audio", "video", "select")}
+CLOSE_OR_OPEN = {t: re.compile(rf"</{t}\s*>|(?P<open><{t}(?=[\s/>]))", re.I) for t in ("canvas", "audio", "video", "select", "button")}
 # Tags that end a drawing or formula without an end tag, unless they stand in the elements for text in it.
 FLOW = frozenset("article blockquote body center div dl h1 h2 h3 h4 h5 h6 hr li main nav ol p pre section table ul".split())
 FOREIGN = re.compile(rf"</(?:svg|math)\s*>|<(?:foreignobject|desc|annotation-xml|m[inos]|mtext)(?=[\s/>])|(?P<flow><(?:{'|'.join(sorted(FLOW))})(?=[\s/>]))", re.I)
@@ -208,30 +210,37 @@ class Page:
         return out
 
 
-def is_guessed(names: str) -> bool:
-    """Whether any name says boilerplate and nothing else."""
+def is_guessed(names: str, inside_article: bool = False) -> bool:
+    """Whether any name says boilerplate and nothing else. The header of an article is none."""
     for name in names.split():
-        words = [w.lower() for w in WORD.findall(name)]
-        if any(w in BOILER_WORDS for w in words) and all(w in BOILER_WORDS or w in PLAIN_WORDS for w in words):
+        words = {w.lower() for w in WORD.findall(name)}
+        telling = words & BOILER_WORDS - ({"header"} if inside_article or words & ARTICLE_WORDS else set())
+        if telling and words <= BOILER_WORDS | PLAIN_WORDS | ARTICLE_WORDS:
             return True
     return False
 
 
+def step_of(tag: Tag) -> str:
+    """A tag with its classes, digits generalised."""
+    return ".".join([tag.name, *sorted({DIGITS.sub("#", c) for c in tag.named.get("class", "").split()})])
+
+
 def read_page(source: str) -> Page:
     containers, blocks = [Container("", -1, False, False)], []
     stack = [(0, "")]
     held: list[tuple[str, bool]] = []
-    links = 0
+    links, block = 0, 0  # block: the container of a block of its own, 0 for the innermost open one
 
     def close_block() -> None:
-        nonlocal held
+        nonlocal held, block
         if held:
             text = SPACE.sub(" ", html.unescape("".join(t for t, _ in held))).strip()
             if text:
-                linked = sum(len(t.strip()) for t, in_link in held if in_link)
-                containers[stack[-1][0]].blocks.append(len(blocks))
-                blocks.append((stack[-1][0], text, min(linked, len(text))))
+                linked, own = sum(len(t.strip()) for t, in_link in held if in_link), block or stack[-1][0]
+                containers[own].blocks.append(len(blocks))
+                blocks.append((own, text, min(linked, len(text))))
             held = []
+        block = 0
 
     # 1: in a head that has an end; 2: in one that has none, which ends with the first thing that belongs to a body
     tags, at, head = Tags(source), 0, 0
@@ -266,7 +275,13 @@ def read_page(source: str) -> Page:
             held.append((" ", False))
         elif tag in BREAKS:
             close_block()
+        inside = any(t in ("article", "main") for _, t in stack)
+        names = " ".join(m.named.values())
         if tag not in CONTAINERS:
+            # a paragraph or the like with a telling name is a container of its block
+            if names and tag in BREAKS and not m.close and is_guessed(names, inside):
+                containers.append(Container(step_of(m), stack[-1][0], False, True))
+                block = len(containers) - 1
             continue
         links = 0
         if m.close:
@@ -274,11 +289,9 @@ def read_page(source: str) -> Page:
             if depth:
                 del stack[depth:]
         elif not m.closed:
-            kinds = sorted({DIGITS.sub("#", c) for c in m.named.get("class", "").split()})
-            up = stack[-1][0]
-            boiler = tag in BOILER_TAGS or tag == "header" and not any(t in ("article", "main") for _, t in stack)
-            guessed = tag not in ("html", "body") and is_guessed(" ".join(m.named.values()))
-            containers.append(Container(".".join([tag, *kinds]), up, boiler, guessed))
+            boiler = tag in BOILER_TAGS or tag == "header" and not inside
+            guessed = bool(names) and tag not in ("html", "body") and is_guessed(names, inside)
+            containers.append(Container(step_of(m), stack[-1][0], boiler, guessed))
             stack.append((len(containers) - 1, tag))
     if at < len(source) and head != 1:
         held.append((source[at:], links > 0))

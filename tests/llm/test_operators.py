@@ -615,6 +615,19 @@ def test_html_class_words_alone_drop_nothing():
     assert html_text.text_of(attributes, None)[0].startswith("some words")
 
 
+def test_html_names_that_tell():
+    prose = "<p>" + " ".join(["prose"] * 40)
+    for name in ("ad", "ad-1", "cookie-notice", "user-comments", "related-posts", "postComments", "side-bar", "site-header", "privacy notice", "newsletter_signup", "article-share"):
+        for tag in ("div", "section", "p", "h3", "ul", "td"):
+            source = f"<body><article>{prose}<{tag} class='{name}'>not this</{tag}><p>and more</article>"
+            assert html_text.text_of(source, None)[0].split()[40:] == (["and", "more"] if name != "site-header" else ["not", "this", "and", "more"]), (name, tag)
+    for source, text in {
+        "<article><div class=article-header><h1>Head</h1></div><p>one": "Head one", "<article><header class=header><h1>Head</h1></header><p>one": "Head one", "<p>one<button>no</button><p>two": "one two",
+        "<p>one<button> two<button>no</button><p>three": "one two three", "<p class=ad>one": "one", "<div role=contentinfo>no</div><div>one two three": "one two three", "<p class=ad>no<p>one two three": "one two three",
+    }.items():
+        assert html_text.text_of(source, None)[0] == text, source
+
+
 def template_pages(rng, host, n):
     """Pages of one template, and the main text of each. Notices and menus have no telling names; names of some texts do."""
     words = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}" for _ in range(k))
