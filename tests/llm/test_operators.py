@@ -623,9 +623,10 @@ def test_html_names_that_tell():
             assert html_text.text_of(source, None)[0].split()[40:] == (["and", "more"] if name != "site-header" else ["not", "this", "and", "more"]), (name, tag)
     for source, text in {
         "<article><div class=article-header><h1>Head</h1></div><p>one": "Head one", "<article><header class=header><h1>Head</h1></header><p>one": "Head one", "<p>one<button>no</button><p>two": "one two",
-        "<p>one<button> two<button>no</button><p>three": "one two three", "<p class=ad>one": "one", "<div role=contentinfo>no</div><div>one two three": "one two three", "<p class=ad>no<p>one two three": "one two three",
+        "<p>one<button> two<button>no</button><p>three": "one two three", "<div role=contentinfo>no</div><div>one two three": "one two three", "<p class=ad>no<p>one two three": "one two three",
     }.items():
         assert html_text.text_of(source, None)[0] == text, source
+    assert html_text.text_of("<p class=ad>one", None, [">p.ad"])[0] == "one"  # where the host's pages say so
 
 
 def template_pages(rng, host, n):
