@@ -111,6 +111,65 @@ def bucket_kernel(config: LimiterConfig, keys: tuple[str, ...], missed: bool):
     return run
 
 
+def carry_kernel(config: LimiterConfig):
+    """Arrow kernel over rows sorted by source, ``carried`` (nulls last) and arrival, with ``seen``: the rows with
+    ``admitted``, and after each source's one that carries its bucket on. A row with ``carried`` is what was carried from
+    before: that many tokens at its arrival. A row that is older than the bucket's last one adds no tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, started, tokens, last, schema = None, False, 0, 0, None
+
+        def carry(buckets: list[tuple]) -> pa.RecordBatch:
+            columns = dict(zip((*SOURCE, "carried", ARRIVAL[0]), zip(*buckets)))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(buckets), f.type) for f in schema], schema=schema)
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [pc.fill_null(batch.column(k), -1).to_numpy(zero_copy_only=False) for k in SOURCE]
+            seen, is_carried = batch.column("seen").to_numpy(zero_copy_only=False), batch.column("carried").is_valid().to_numpy(zero_copy_only=False)
+            times = pc.fill_null(batch.column(ARRIVAL[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.unique(np.concatenate([[0], *(np.flatnonzero(c[1:] != c[:-1]) + 1 for c in columns), [n]])).astype(np.int64)
+            admitted, done = np.zeros(n, bool), []
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(int(c[a]) for c in columns)
+                if key != held:
+                    if started:
+                        done.append((*held, tokens, last))
+                    held, started = key, False
+                for i in np.flatnonzero(is_carried[a:b]) + a:
+                    tokens, last, started = batch.column("carried")[int(i)].as_py(), int(times[i]), True
+                mine = seen[a:b] & ~is_carried[a:b]
+                own = times[a:b][mine]
+                if len(own):
+                    if not started:
+                        tokens, last, started = config.burst_tokens * UNIT, int(own[0]), True
+                    admitted[a:b][mine], tokens, last = admit_run(np.maximum(own, last), tokens, last, config)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, mask=~seen)], names=[*batch.schema.names, "admitted"])
+            schema = out.schema
+            yield out.filter(pa.array(~is_carried))
+            if done:
+                yield carry(done)
+        if started:
+            yield carry([(*held, tokens, last)])
+
+    return run
+
+
+def limit_onwards(df: DataFrame, buckets: DataFrame, config: LimiterConfig = LimiterConfig()) -> DataFrame:
+    """One trigger's rows limited from ``buckets`` (src_ip, src_port, tokens, last), for streams: the rows with
+    ``admitted``, and rows with ``carried`` (not null; null for the others) that hold each source's tokens and last arrival
+    from now on. A source's rows stream past two numbers, as in ``rate_limit``."""
+    df = open_outcome(df).withColumns({c: F.col(c).cast(t) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))})
+    rows = df.withColumns({"seen": F.col("drop_reason").isNull(), "carried": F.lit(None).cast("long")})
+    held = buckets.select(*SOURCE, F.col("tokens").alias("carried"), F.col("last").alias(ARRIVAL[0]), F.lit(True).alias("seen"))
+    both = rows.unionByName(held, allowMissingColumns=True).repartition(*SOURCE).sortWithinPartitions(*SOURCE, F.col("carried").asc_nulls_last(), *ARRIVAL)
+    fields = [T.StructField(f.name, f.dataType) for f in both.schema.fields]  # rows that carry buckets have nothing else
+    limited = both.mapInArrow(carry_kernel(config), T.StructType([*fields, T.StructField("admitted", T.BooleanType())]))
+    return outcome(limited.drop("seen"), "source_limit", F.when(~F.col("admitted"), F.lit("SourceLimited")))
+
+
 def idle_segments(df: DataFrame, config: LimiterConfig) -> DataFrame:
     """Add ``segment``, which a source's rows change (counted from 1) where it was idle for so long before that its bucket
     is full again. Arrival is cut into cells as long as a bucket takes to fill: after a cell without any of a source's

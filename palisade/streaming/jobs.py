@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palisade.config import GateConfig, LimiterConfig
 from palisade.operators.backlog import bound_large_backlog
 from palisade.operators.envelope import size_gate
-from palisade.operators.limiter import UNIT, admit_run
+from palisade.operators.limiter import UNIT, admit_run, limit_onwards
 from palisade.operators.stats import _counters
 from palisade.plans.pipeline import LEDGER, row_stages
 from palisade.reasons import open_outcome, outcome
@@ -58,8 +58,9 @@ def rate_limit_stream(df: DataFrame, config: LimiterConfig = LimiterConfig(), de
         for source, own in thin.sort_values(["received_at_us", "datagram_id"]).groupby(["src_ip", "src_port"]):
             times = own["received_at_us"].to_numpy()
             tokens, last = known.get(source, (config.burst_tokens * UNIT, int(times[0])))
-            rows.loc[own.index, "admitted"], tokens, now = admit_run(times, tokens, last, config)
-            known[source] = tokens, max(last, now)
+            # a row older than the last one adds no tokens
+            rows.loc[own.index, "admitted"], tokens, now = admit_run(np.maximum(times, last), tokens, last, config)
+            known[source] = tokens, now
             clock = max(clock, now)
         kept = [(*source, *bucket) for source, bucket in known.items() if bucket[1] + idle_us > clock]
         if kept:
@@ -109,16 +110,33 @@ def file_sink(events_path: str, drops_path: str) -> Sink:
     return write
 
 
-def start_stream(datagrams: DataFrame, sink: Sink, checkpoint: str, config: GateConfig = GateConfig(), trigger: dict | None = None) -> StreamingQuery:
-    """The whole gate, with one trigger as one drain interval. ``sink`` gets each trigger's ledger and number."""
-    limited = rate_limit_stream(size_gate(open_outcome(datagrams), config.recv), config.limiter)
+BUCKETS = "src_ip long, src_port int, tokens long, last long"
+
+
+def start_stream(
+    datagrams: DataFrame, sink: Sink, checkpoint: str, config: GateConfig = GateConfig(), trigger: dict | None = None, delay_ms: int = 600_000
+) -> StreamingQuery:
+    """The whole gate, with one trigger as one drain interval. ``sink`` gets each trigger's ledger and number.
+
+    A trigger is limited as a batch is, with a kernel past which rows stream, from the buckets that the trigger before has
+    left in ``checkpoint``; one that is run again starts from the same. Buckets of sources that were idle until they must
+    be full again, and ``delay_ms`` longer, are not kept.
+    """
+    idle_us = -(-config.limiter.burst_tokens * UNIT // max(config.limiter.tokens_per_sec, 1)) + 1 + delay_ms * 1000
+    spark = datagrams.sparkSession
 
     def drain(rows: DataFrame, number: int) -> None:
-        rows = row_stages(rows, config).withColumn("resident_miss", F.lit(None).cast("boolean")).select(*LEDGER)
-        bounded = bound_large_backlog(rows, config.forward).persist()
+        before = f"{checkpoint}/buckets/trigger={number - 1}"
+        buckets = spark.read.schema(BUCKETS).parquet(before) if number else spark.createDataFrame([], BUCKETS)
+        limited = limit_onwards(size_gate(open_outcome(rows), config.recv), buckets, config.limiter)
+        thin = row_stages(limited, config).withColumn("resident_miss", F.lit(None).cast("boolean")).select(*LEDGER, "carried").persist()
         try:
-            sink(bounded, number)
+            held = thin.filter("carried is not null").select("src_ip", "src_port", F.col("carried").alias("tokens"), F.col("received_at_us").alias("last"))
+            clock = held.agg(F.max("last").alias("clock"))
+            kept = held.join(F.broadcast(clock)).filter(F.col("last") + idle_us > F.col("clock")).drop("clock")
+            kept.write.mode("overwrite").parquet(f"{checkpoint}/buckets/trigger={number}")
+            sink(bound_large_backlog(thin.filter("carried is null").drop("carried"), config.forward), number)
         finally:
-            bounded.unpersist()
+            thin.unpersist()
 
-    return limited.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return datagrams.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -329,6 +329,26 @@ def test_limiter_on_floods_gaps_and_dropped_rows(spark, keep, split_idle):
         assert parts == 10
 
 
+def test_limiter_goes_on_from_trigger_to_trigger(spark):
+    """Triggers one after the other equal one table, rows dropped before and rows without address among them."""
+    rng = random.Random(2)
+    config, t, rows = LimiterConfig(100, 100, 3), 0, []
+    for i in range(1500):
+        t += rng.choice([0, 500, 2000, 9000])
+        rows.append((i, t, rng.choice([None, 0, 0, 0, 1, 2, i]), 0, "recv" if i % 7 == 0 else None))
+    schema = "datagram_id long, received_at_us long, src_ip long, src_port int, drop_stage string"
+    frame = lambda some: spark.createDataFrame(some, schema).withColumn("drop_reason", F.when(F.col("drop_stage").isNotNull(), F.lit("Truncated")))
+    buckets, got = spark.createDataFrame([], "src_ip long, src_port int, tokens long, last long"), {}
+    for a in range(0, 1500, 500):
+        out = limiter.limit_onwards(frame(rows[a : a + 500]).repartition(3), buckets, config).collect()
+        got |= {r["datagram_id"]: (r["admitted"], r["drop_reason"]) for r in out if r["carried"] is None}
+        buckets = spark.createDataFrame([(r["src_ip"], r["src_port"], r["carried"], r["received_at_us"]) for r in out if r["carried"] is not None], buckets.schema)
+    want = limiter.rate_limit(frame(rows), config, bounded=False).collect()
+    assert got == {r["datagram_id"]: (r["admitted"], r["drop_reason"]) for r in want}
+    late = limiter.limit_onwards(frame([(1, 20, 5, 5, None), (2, 150_000, 5, 5, None)]), spark.createDataFrame([(5, 5, 0, 145_000)], buckets.schema), config).collect()
+    assert {r["datagram_id"]: r["admitted"] for r in late if r["carried"] is None} == {1: False, 2: False}  # 5 ms are half a token
+
+
 def test_plain_messages_equal_the_scanner():
     rng = random.Random(3)
     text = lambda most: "".join(rng.choices("ab1_.é ", k=rng.randint(0, most)))
