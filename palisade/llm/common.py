@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel holds at once; a single longer text is still taken whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Rows of text that an Arrow batch has.
+BATCH_ROWS = 1000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -69,6 +71,20 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to hold about ``limit`` bytes of ``column`` each, for kernels that need many rows."""
+    held, size = [], 0
+    for batch in batches:
+        for part in text_slices(batch, column, limit):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(part.schema.get_field_index(column)))).as_py() or 0
+            if size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, end to end, and the offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -151,6 +167,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have ``BATCH_ROWS`` rows at most, as a batch of texts is in memory whole several
+    times: on both sides of each pipe between Spark and Python."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def id_text(df: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator needs, so that others (of any name) can't clash with its own."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import materialise, text_slices
+from palisade.llm.common import materialise, small_batches, text_slices
 from palisade.llm.url_rules import split_url
 
 BROADCAST_HOSTS, LARGE_HOST = 50_000, 10_000
@@ -479,6 +479,7 @@ def host_paths(df: DataFrame) -> DataFrame:
 
 def main_text(df: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and by_consensus of every row (page_id, url, html) of ``df``."""
+    small_batches(df.sparkSession)
     pages = df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     winners = materialise(host_paths(pages), "host-paths")
     at = F.instr("url", "://")

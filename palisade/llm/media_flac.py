@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import id_text, text_slices
+from palisade.llm.common import gathered, id_text, text_slices
 
 BLOCK, RATE, ALIGN, TAIL = 4096, 8000, 64, 64
 #: Order of fitted predictors, bits of their coefficients and of the fraction in them, and samples from which a frame has one.
 LPC_ORDER, LPC_BITS, LPC_SHIFT, LPC_SAMPLES = 4, 12, 10, 256
 #: Places at which a frame without a seek point is tried to end.
 TRIES = 64
-#: Bytes of text whose streams are decoded in lockstep.
+#: Bytes of text whose streams are decoded in lockstep, over several Arrow batches.
 DECODED_TOGETHER = 6 << 20
 
 
@@ -625,26 +625,25 @@ def media_columns(df: DataFrame, keep_media: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", DECODED_TOGETHER):
-                texts = part.column(1).to_pylist()
-                media = [m for own in text_slices(part, "text", 1 << 20) for m in encode([payload_of(t) for t in own.column(1).to_pylist()])]
-                back = decode(media)
-                sha = lambda b: None if b is None else hashlib.sha256(b).hexdigest()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len((t or "").encode()) for t in texts], pa.int64()),
-                        pa.array([None if b is None else len(b) for b in back], pa.int64()),
-                        pa.array([sha(b) for b in back], pa.string()),
-                        pa.array([None if b is None else zlib.crc32(b[-TAIL:]) for b in back], pa.int64()),
-                        pa.array([len(m) for m in media], pa.int64()),
-                        pa.array([sha(m) for m in media], pa.string()),
-                        pa.array([None if b is None else features(b) for b in back], pa.string()),
-                        pa.array(media if keep_media else [None] * len(media), pa.binary()),
-                    ],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"],
-                )
+        for part in gathered(batches, "text", DECODED_TOGETHER):
+            texts = part.column(1).to_pylist()
+            media = [m for own in text_slices(part, "text") for m in encode([payload_of(t) for t in own.column(1).to_pylist()])]
+            back = decode(media)
+            sha = lambda b: None if b is None else hashlib.sha256(b).hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len((t or "").encode()) for t in texts], pa.int64()),
+                    pa.array([None if b is None else len(b) for b in back], pa.int64()),
+                    pa.array([sha(b) for b in back], pa.string()),
+                    pa.array([None if b is None else zlib.crc32(b[-TAIL:]) for b in back], pa.int64()),
+                    pa.array([len(m) for m in media], pa.int64()),
+                    pa.array([sha(m) for m in media], pa.string()),
+                    pa.array([None if b is None else features(b) for b in back], pa.string()),
+                    pa.array(media if keep_media else [None] * len(media), pa.binary()),
+                ],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"],
+            )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
     return id_text(df).select("doc_id", F.col("text")).mapInArrow(run, schema)

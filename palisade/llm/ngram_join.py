@@ -39,11 +39,12 @@ FREQUENT, FREQUENT_KEPT = 64, 50_000
 SKETCHES = ((1_200, 512), (9_600, 4_096), (1 << 62, 16_384))
 #: N-grams of a group's sets that one task holds, a set counting as so many more; and holders of a prefix member whose
 #: sketches one task compares. More holders than these are put into one group as they are.
-GROUP_MEMBERS, SET_COST, HOLDERS = 4_000_000, 16, 20_000
+GROUP_MEMBERS, SET_COST, HOLDERS = 3_000_000, 16, 20_000
 #: DivideSkip's weight of the longest list in the number of lists to set aside.
 SKIP_WEIGHT = 0.01
-#: List entries merged at once; classes asked about at once; and members from which a component is finished before others.
-MERGED, ASKED, FOCUS = 2_000_000, 4096, 256
+#: List entries merged at once; classes, and n-grams of theirs, asked about at once; and members from which a component is
+#: finished before others.
+MERGED, ASKED, ASKED_MEMBERS, FOCUS = 1_000_000, 4096, 200_000, 256
 #: Documents whose ids are broadcast to be read again for frequent n-grams; with more, all are.
 READ_AGAIN = 1_000_000
 #: Bits that a piece of a sketch has at least, where pieces are compared.
@@ -161,21 +162,32 @@ def piece_hashes(sketch: np.ndarray, pieces: int) -> np.ndarray:
     factor = mix(np.arange(1, bits + 1, dtype=np.uint64))
     starts = np.arange(pieces) * bits // pieces
     out = np.empty((len(sketch), pieces), np.uint64)
-    for a in range(0, len(sketch), 1024):
-        own = np.ascontiguousarray(sketch[a : a + 1024])
-        out[a : a + 1024] = np.add.reduceat(np.unpackbits(own.view(np.uint8), axis=1) * factor, starts, axis=1)
+    step = max(1, (1 << 19) // bits)
+    for a in range(0, len(sketch), step):
+        own = np.ascontiguousarray(sketch[a : a + step])
+        out[a : a + step] = np.add.reduceat(np.unpackbits(own.view(np.uint8), axis=1) * factor, starts, axis=1)
     return out
 
 
 def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int, few: int = 16) -> list[tuple[int, int]]:
-    """Pairs that may link and connect all that do, directly or by way of others.
+    """Pairs that may link and connect all that do, directly or by way of others; no more than a forest of them.
 
     Sets stand in order of size. Those from the least size up to what it can link with, and what the largest of these
     can, are looked at together; sketches of sets that may link differ in fewer bits than they have pieces.
     """
     order = np.argsort(n, kind="stable")
     n, sketch = n[order], sketch[order]
-    out: list[tuple[int, int]] = []
+    links, out = Links(len(n)), []
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        names = links.names()
+        new = names[a] != names[b]
+        out.extend((i, j) for i, j in zip(a[new].tolist(), b[new].tolist()) if links.join(i, j))
+
+    def add_reached(own: np.ndarray) -> None:
+        pairs = np.array(reached(n[own], sketch[own], percent), np.int64).reshape(-1, 2)
+        add(own[pairs[:, 0]], own[pairs[:, 1]])
+
     start = 0
     while start < len(n):
         top = int(n[start]) * 100 // percent
@@ -183,7 +195,7 @@ def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int, few: int = 1
         size, look = n[start:end], sketch[start:end]
         pieces = int((min(top, size[-1]) + size[-1]) * (100 - percent) // (100 + percent)) + 1
         if len(size) <= 4 * few or sketch.shape[1] * 64 < PIECE_BITS * pieces:
-            out += [(start + i, start + j) for i, j in reached(size, look, percent)]
+            add_reached(np.arange(start, end))
         else:
             for key in piece_hashes(look, pieces).T:
                 by = np.argsort(key, kind="stable")
@@ -194,12 +206,11 @@ def spanning_edges(n: np.ndarray, sketch: np.ndarray, percent: int, few: int = 1
                     i = np.flatnonzero(small[:-d] & (key[by][d:] == key[by][:-d]))
                     i, j = by[i], by[i + d]
                     near = may_link(size[i], size[j], np.bitwise_count(look[i] ^ look[j]).sum(axis=1, dtype=np.int64), percent)
-                    out += zip((start + i[near]).tolist(), (start + j[near]).tolist())
+                    add(start + i[near], start + j[near])
                 for h, r in zip(heads[runs > few], runs[runs > few]):
-                    own = by[h : h + r]
-                    out += [(start + int(own[i]), start + int(own[j])) for i, j in reached(size[own], look[own], percent)]
+                    add_reached(start + by[h : h + r])
         start = int(after)
-    return [(int(order[i]), int(order[j])) for i, j in dict.fromkeys(out)]
+    return [(int(order[i]), int(order[j])) for i, j in out]
 
 
 def edges_of(percent: int, few: int = 6):
@@ -266,11 +277,13 @@ class Links:
             i = self.parent[i]
         return int(i)
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
         i, j = self.find(i), self.find(j)
         if i != j:
             self.parent[max(i, j)] = min(i, j)
             self.parts -= 1
+        return i != j
 
     def names(self) -> np.ndarray:
         flat = self.parent
@@ -283,7 +296,8 @@ class Links:
 class Index:
     """Inverted lists over sets given in order of size: every (member, set) pair, in that order.
 
-    ``ranks`` holds each set's members as numbers; it stays whole when ``without`` takes sets from the lists.
+    ``ranks`` holds each set's members as numbers; it stays whole when ``without`` takes sets from the lists. ``sets`` is
+    emptied, as an index of a large group takes as much memory again.
     """
 
     def __init__(self, sets: list[np.ndarray]):
@@ -291,14 +305,18 @@ class Index:
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         flat = np.concatenate(sets)
+        sets.clear()
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
-        rank = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]), dtype=np.int32)
+        rank = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]), dtype=np.int32)
         del flat
         self.ranks = np.empty(len(order), np.int32)
         self.ranks[order] = rank
         owner = np.repeat(np.arange(self.n, dtype=np.int32), self.sizes)[order]
-        self.keys = rank.astype(np.int64) * self.n + owner
+        del order
+        self.keys = rank.astype(np.int64)
+        self.keys *= self.n
+        self.keys += owner
 
     def without(self, gone: np.ndarray) -> Index:
         """The same without the sets marked in ``gone``."""
@@ -371,17 +389,21 @@ def t_occurrence(index: Index, asked: np.ndarray, percent: int, names: np.ndarra
 def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Name (least position) of each set's component under the threshold. Every set is asked about once, against those
     not asked about before. A component with many sets still to be asked about is finished first, against the sets
-    outside it alone, so that copies are not merged again and again."""
+    outside it alone, so that copies are not merged again and again. ``sets`` is emptied."""
+    n = len(sets)
     order = np.argsort([len(s) for s in sets], kind="stable")
-    index = Index([sets[i] for i in order])
-    links, names = Links(len(sets)), np.arange(len(sets))
-    waiting, listed, batch = np.arange(len(sets)), len(sets), 1
+    ordered = [sets[i] for i in order]
+    sets.clear()
+    index = Index(ordered)
+    links, names = Links(n), np.arange(n)
+    waiting, listed, batch = np.arange(n), n, 1
 
     def ask(asked: np.ndarray, of: Index) -> int:
         nonlocal names
         found = 0
-        for a in range(0, len(asked), ASKED):
-            left, right, _ = t_occurrence(of, asked[a : a + ASKED], percent, names)
+        part = np.maximum(np.cumsum(of.sizes[asked]) // ASKED_MEMBERS, np.arange(len(asked)) // ASKED)
+        for own in np.split(asked, np.flatnonzero(np.diff(part)) + 1):
+            left, right, _ = t_occurrence(of, own, percent, names)
             for i, j in zip(left.tolist(), right.tolist()):
                 links.join(i, j)
             found += len(left)
@@ -389,7 +411,7 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
         return found
 
     def others(keep: np.ndarray) -> np.ndarray:
-        gone = np.ones(len(sets), bool)
+        gone = np.ones(n, bool)
         gone[keep] = False
         return gone
 
@@ -410,9 +432,9 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
             index, listed = index.without(others(waiting)), len(waiting)
         elif len(waiting) < listed / 2:
             index, listed = index.without(others(waiting)), len(waiting)
-    first = np.full(len(sets), len(sets))
+    first = np.full(n, n)
     np.minimum.at(first, names, order)
-    out = np.empty(len(sets), np.int64)
+    out = np.empty(n, np.int64)
     out[order] = first[names]
     return out
 
