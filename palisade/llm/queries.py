@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import html_text, language_id, media_flac, mixing, ngram_join, sentencepiece_chunks, simhash, suffix_dedup, token_rollups, url_rules
+from palisade.llm import hard_negatives, html_text, language_id, media_flac, mixing, ngram_join, sentencepiece_chunks, simhash, suffix_dedup, token_rollups, url_rules, vector_codes
 from palisade.llm.common import shared_dir, table
 
 MODEL = "piece_bpe_32k.model"
@@ -55,8 +55,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.search_every(simhash.compare_edits(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=7)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_language_id, op3_html_text, op4_token_counts, op5_sentencepiece, op6_suffix_dedup, op7_ngram_join, op8_flac, op9_url_filter, op10_simhash)
+    f.__name__: f
+    for f in (op1_mixing, op2_language_id, op3_html_text, op4_token_counts, op5_sentencepiece, op6_suffix_dedup, op7_ngram_join, op8_flac, op9_url_filter, op10_simhash, op11_hard_negatives, op13_vector_codes)
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE_SQL, "op4_token_counts": token_rollups.ORACLE_SQL, "op9_url_filter": url_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE_SQL,
+    "op4_token_counts": token_rollups.ORACLE_SQL,
+    "op9_url_filter": url_rules.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
+}
