@@ -119,7 +119,8 @@ def of_many_rows(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.Ta
 def first_books(rows: DataFrame, parts: int, entries: int) -> np.ndarray:
     """The codebooks before the first round, (part, entry, dimension)."""
     seeds = rows.filter("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(entries).collect()
-    return np.array([r["v"] for r in seeds], np.int64).reshape(len(seeds), parts, -1).transpose(1, 0, 2)
+    width = len(seeds[0]["v"]) // parts if seeds else 1
+    return np.array([r["v"] for r in seeds], np.int64).reshape(len(seeds), parts, width).transpose(1, 0, 2)
 
 
 def better_books(rows: DataFrame, books: np.ndarray) -> np.ndarray:
