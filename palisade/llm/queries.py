@@ -8,10 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import hard_negatives, html_text, language_id, media_flac, mixing, ngram_join, sentencepiece_chunks, simhash, suffix_dedup, token_rollups, url_rules, vector_codes
+from palisade.llm import byte_bpe, hard_negatives, html_text, language_id, media_flac, mixing, ngram_join, sentencepiece_chunks, simhash, suffix_dedup, token_rollups, url_rules, vector_codes
 from palisade.llm.common import shared_dir, table
 
-MODEL = "piece_bpe_32k.model"
+MODEL, BYTE_BPE = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +59,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=7)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep_ids=False, keep_text=False).drop("ids", "decoded")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_language_id, op3_html_text, op4_token_counts, op5_sentencepiece, op6_suffix_dedup, op7_ngram_join, op8_flac, op9_url_filter, op10_simhash, op11_hard_negatives, op13_vector_codes)
+    for f in (op1_mixing, op2_language_id, op3_html_text, op4_token_counts, op5_sentencepiece, op6_suffix_dedup, op7_ngram_join, op8_flac, op9_url_filter, op10_simhash, op11_hard_negatives, op12_byte_bpe, op13_vector_codes)
 }
 
 ORACLES: dict[str, str] = {
