@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate, chain
 from typing import NamedTuple
@@ -108,13 +107,19 @@ class Encoder:
         self.known_ids, self.known_sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def known_classes(self) -> np.ndarray:
-        """The kind of every assigned code point, as the library's own pre-tokenizer parts it; others are OTHER."""
+        """The kind of every code point, as the library's own pre-tokenizer parts it."""
         out = np.zeros(0x110000, np.uint8)
-        assigned = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
-        for at in range(0, len(assigned), 1 << 14):
-            some = assigned[at : at + (1 << 14)]
+        code_points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        words = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for at in range(0, len(code_points), 1 << 9):
+            some = code_points[at : at + (1 << 9)]
+            if len(words(f"!{''.join(map(chr, some))}1")) == 2:
+                continue  # all are OTHER, as most code points that are not assigned
+            if len(words(f"a{''.join(map(chr, some))}1")) == 2:
+                out[some] = LETTER
+                continue
             # with "a" before: a letter joins it; with "!" before: what is neither letter, number nor space does; before "1": a number
-            starts = {a for _, (a, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str("".join(f"a{chr(c)}1!{chr(c)}1" for c in some))}
+            starts = {a for _, (a, _) in words("".join(f"a{chr(c)}1!{chr(c)}1" for c in some))}
             for i, c in enumerate(some):
                 base = 6 * i
                 if base + 1 not in starts:
