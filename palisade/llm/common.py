@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Tables written by ``materialise`` and not removed since, in order.
-written: list[str] = []
+#: Tables that ``materialise`` writes inside a ``scratch`` block of the same thread.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a table written in the shared folder, which outlives lost executors."""
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Cut lineage with a table written in the shared folder, which outlives lost executors. ``keep``: past a ``scratch``
+    block too."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not keep and (held := _scratch.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
-    written.append(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside, by this thread, is removed at the end; nothing is to be computed from it any more."""
+    mine: list[str] = []
+    outer = _scratch.set(mine)
+    try:
+        yield
+    finally:
+        _scratch.reset(outer)
+        remove(spark, mine)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Remove tables that ``materialise`` wrote, once nothing is to be computed from them any more."""
     path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         path_of(path).getFileSystem(conf).delete(path_of(path), True)
-        written.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,9 +50,7 @@ READ_AGAIN = 1_000_000
 #: Bits that a piece of a sketch has at least, where pieces are compared.
 PIECE_BITS = 12
 
-#: Rows without doc_id go by a hash of their text from here on, past all ids that documents have.
-NULL_IDS = 1 << 62
-SIG = "doc_id long, n long, sum_a long, sum_b long, size_class int, sketch binary, folded binary, prefix array<long>"
+SIG = "doc_id long, named boolean, n long, sum_a long, sum_b long, size_class int, sketch binary, folded binary, prefix array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +127,8 @@ def signatures(size: int, percent: int, frequent: np.ndarray, only: np.ndarray |
                     prefix[i] = signed(kept[order[: len(kept) - needed(len(kept), percent) + 1]])
                 sketches = pa.array(wide, pa.int32()), pa.array(sketch, pa.binary()), pa.array(folded, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), *(pa.array(signed(x)) for x in sums), *sketches, pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sum_a", "sum_b", "size_class", "sketch", "folded", "prefix"],
+                    [part.column(0), part.column(part.schema.get_field_index("named")), pa.array(n), *(pa.array(signed(x)) for x in sums), *sketches, pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc_id", "named", "n", "sum_a", "sum_b", "size_class", "sketch", "folded", "prefix"],
                 )
 
     return run
@@ -528,14 +526,16 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``df``; ``percent`` is the Jaccard threshold."""
     spark = df.sparkSession
     docs = id_text(df)
-    real = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
+    anonymous = docs.filter("doc_id is null").limit(1).count() > 0
+    # rows without id go by a hash of their text, and have no mark
+    marked = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").isNotNull().alias("named"))
+    docs = marked.drop("named")
 
     def classes(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        sig = materialise(docs.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
+        sig = materialise(marked.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
         own = F.any_value(F.struct("size_class", "sketch", "folded", "prefix")).alias("own")
         return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), own).select("n", "sum_a", "sum_b", "rep", "own.*")
 
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NULL_IDS - 1)) + F.lit(NULL_IDS)))
     sig, reps = classes(np.zeros(0, np.uint64))
     prefixes = reps.select("rep", F.explode("prefix").alias("token"))
     counts = materialise(prefixes.groupBy("token").count().filter("count > 1"), "counts")
@@ -547,7 +547,7 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         again = materialise(prefixes.join(F.broadcast(often), "token", "left_semi").select("rep").distinct(), "again")
         if again.limit(READ_AGAIN + 1).count() <= READ_AGAIN:
             ids = again.toPandas()["rep"].to_numpy(np.int64)
-            second = docs.mapInArrow(signatures(size, percent, frequent, ids), SIG).select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
+            second = marked.mapInArrow(signatures(size, percent, frequent, ids), SIG).select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
             prefixes = materialise(prefixes.join(F.broadcast(again), "rep", "left_anti").unionByName(second.distinct()), "prefixes")
         else:
             sig, reps = classes(frequent)
@@ -585,5 +585,10 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
     named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n", "sum_a", "sum_b").join(named, ["n", "sum_a", "sum_b"], "left")
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, real("component")).otherwise(real("doc_id")).alias("component_id"))
+    out = sig.select("doc_id", "named", "n", "sum_a", "sum_b").join(named, ["n", "sum_a", "sum_b"], "left").select("doc_id", "named", "n", "component")
+    if anonymous:  # components are named by the ids that there are
+        out = materialise(out, "components")
+        names = out.filter("named and n > 0").groupBy("component").agg(F.min("doc_id").alias("name"))
+        out = out.join(names, "component", "left").withColumn("component", F.col("name"))
+    own = F.when(F.col("named"), F.col("doc_id"))
+    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(own).alias("component_id"))

@@ -29,6 +29,7 @@ WORDS = 3
 BITS = 64
 #: Bits that two fingerprints may differ in, and the blocks that the tables permute.
 RADIUS, BLOCKS = 3, 5
+_LEAST = -(1 << 63)
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -65,14 +66,14 @@ def apart(spark: SparkSession, count: int) -> np.ndarray:
 
 
 def with_following(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (bucket, doc_id, text, own): documents in like ranges of doc_id, each range with the document before its first.
+    """Rows (bucket, the columns of ``docs``, own): documents in like ranges of doc_id, each range with the document before its first.
     A range's bucket is a number that goes to a task of its own.
 
     Only the ranges' ends, ``ranges`` rows at most, come to the driver and are broadcast.
     """
     spark = docs.sparkSession
     bounds = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    bounds, names = np.array(sorted({int(b) for b in bounds}), np.int64), apart(spark, ranges)
+    bounds, names = np.array(sorted({min(max(int(b), _LEAST), -1 - _LEAST) for b in bounds}), np.int64), apart(spark, ranges)
 
     @F.arrow_udf("long")
     def bucket(ids: pa.Array) -> pa.Array:
@@ -80,38 +81,38 @@ def with_following(docs: DataFrame, ranges: int) -> DataFrame:
 
     dealt = docs.withColumn("bucket", bucket("doc_id"))
     last = sorted((r["last"], r["bucket"]) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("last")).collect())
-    own = dealt.select("bucket", "doc_id", "text", F.lit(True).alias("own"))
+    own = dealt.select("bucket", *docs.columns, F.lit(True).alias("own"))
     if not last:
         return own
     sends = [(doc, last[(i + 1) % len(last)][1]) for i, (doc, _) in enumerate(last)]
     ends = docs.join(F.broadcast(spark.createDataFrame(sends, "doc_id long, bucket long")), "doc_id")
-    return own.unionByName(ends.select("bucket", "doc_id", "text", F.lit(False).alias("own")))
+    return own.unionByName(ends.select("bucket", *docs.columns, F.lit(False).alias("own")))
 
 
 def compare_edits(df: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
-    The next document is that with the next smaller doc_id; the smallest is followed by the largest. A null doc_id is
-    taken as smaller than all others.
+    The next document is that with the next smaller doc_id; the smallest is followed by the largest. In this order
+    rows without doc_id are one document at the least long.
     """
-    docs = id_text(df).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text")
+    docs = id_text(df).select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), "text")
     count = partitions(df.sparkSession)
     dealt = with_following(docs, count).repartition(count, "bucket").sortWithinPartitions("bucket", "own", "doc_id")
 
     def rows(parts: list[tuple]) -> pa.RecordBatch:
         ids = [p[0] for p in parts]
         texts = [p[1] for p in parts]
-        edited = [edit(p[1], p[3]) for p in parts]
+        edited = [edit(p[1], p[4]) for p in parts]
         # a document's neighbour is mostly the row before, so each text is voted on once
         place = {doc: i for i, doc in enumerate(ids)}
-        more = {p[2]: p[3] for p in parts if p[2] not in place}
+        more = {p[3]: p[4] for p in parts if p[3] not in place}
         place |= {doc: len(ids) + i for i, doc in enumerate(more)}
         prints = fingerprints(*packed(pa.array([*texts, *more.values(), *edited], pa.string())), size)
         own, other = prints[: len(ids)], prints[len(ids) + len(more) :]
-        following = prints[[place[p[2]] for p in parts]]
+        following = prints[[place[p[3]] for p in parts]]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([i if i > -(1 << 63) else None for i in ids], pa.int64()),
+                pa.array([p[0] if p[2] else None for p in parts], pa.int64()),
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
                 pa.array([f"{x:016x}" for x in own.tolist()], pa.string()),
@@ -127,7 +128,7 @@ def compare_edits(df: DataFrame, size: int = WORDS) -> DataFrame:
         at, current, before = None, None, None  # range, last document, the one before it
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for bucket, doc, text, own in zip(*(c.to_pylist() for c in part.columns)):
+                for bucket, doc, named, text, own in zip(*(c.to_pylist() for c in part.columns)):
                     text = text or ""
                     if bucket != at:
                         at, current, before = bucket, (doc, text), (doc, text)
@@ -137,7 +138,7 @@ def compare_edits(df: DataFrame, size: int = WORDS) -> DataFrame:
                         before = current
                     current = (doc, text)
                     if own:
-                        held.append((doc, text, *before))
+                        held.append((doc, text, named, *before))
                         size_now += len(text)
                     if size_now > 1 << 19:
                         yield rows(held)
@@ -145,7 +146,7 @@ def compare_edits(df: DataFrame, size: int = WORDS) -> DataFrame:
         if held:
             yield rows(held)
 
-    return dealt.select("bucket", "doc_id", "text", "own").mapInArrow(
+    return dealt.select("bucket", "doc_id", "named", "text", "own").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 

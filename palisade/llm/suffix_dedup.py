@@ -12,7 +12,8 @@ A key whose differing runs hold more than ``block_symbols`` symbols (a frequent
 *crowded*: its runs are dealt over all tasks and cut into single windows, which meet by key and window hash.
 
 Empty or null text: nothing to remove. A text shorter than ``min_bytes`` is kept whole, and one of any length is taken
-whole. A null doc_id counts as the smallest. Rows that repeat a doc_id with its text get the result of one such row; of
+whole. Documents without doc_id stand before all others, in the order of a hash of their text, by which they are told
+apart. Rows that repeat a doc_id with its text get the result of one such row; of
 equal strings the one with the smallest doc_id, then the smallest start, is the earliest, so there are no ties. An empty
 table gives no rows. Only doc_id, text and the columns asked for are read; those come back inside one struct, so their
 names can't clash.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import id_text, materialise, packed, partitions, prefix_hash, signed, span_hash, text_slices
@@ -37,10 +38,8 @@ ANCHORS = 64
 BLOCK_SYMBOLS = 1 << 20
 #: A passage has very many copies if more than these, and more than so large a part of all that few passages can have them.
 OFTEN, OFTEN_KEPT = 20_000, 100_000
-_NO_ID = -(1 << 63)
-
-RUN = "key long, body long, doc_id long, start int, bytes int, inner boolean"
-SPAN = "doc_id long, start int, stop int"
+RUN = "key long, body long, named boolean, doc_id long, start int, bytes int, inner boolean"
+SPAN = "named boolean, doc_id long, start int, stop int"
 #: A span, or, with a window hash, the earliest window of a task's piece that has the hash.
 FOUND = f"{SPAN}, key long, window long"
 
@@ -87,12 +86,12 @@ def emit_runs(min_bytes: int, anchors: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                data, offsets = packed(part.column(1))
+                data, offsets = packed(part.column("text"))
                 key, body, row, start, size, inner = runs_of(data, offsets, min_bytes, anchors)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                own = [part.column(c).take(pa.array(row)) for c in ("named", "doc_id")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array(signed(body)), pa.array(ids[row].astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(inner)],
-                    names=["key", "body", "doc_id", "start", "bytes", "inner"],
+                    [pa.array(signed(key)), pa.array(signed(body)), *own, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(inner)],
+                    names=["key", "body", "named", "doc_id", "start", "bytes", "inner"],
                 )
 
     return run
@@ -162,8 +161,17 @@ def spans_of(string: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(at) - 1]])
 
 
-def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """String number and byte range of each stretch whose windows all stand earlier in another string, or this one."""
+def order_of(named: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rank of each document: those without id first."""
+    order = np.lexsort((ids, named))
+    rank = np.zeros(len(ids), np.int64)
+    rank[order[1:]] = np.cumsum((np.diff(ids[order]) != 0) | (np.diff(named[order].astype(np.int8)) != 0))
+    return rank
+
+
+def repeats(strings: list[bytes], rank: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String number and byte range of each stretch whose windows all stand earlier in another string, or this one.
+    ``rank``: of each string's document."""
     sizes = np.array([len(s) for s in strings], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
     joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + 1
@@ -176,7 +184,6 @@ def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, min_bytes
     none = np.zeros(0, np.int64)
     if not len(order):
         return none, none, none
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
     owner = string[order]
     key = (rank[owner] << 32) + starts[owner] + order - offsets[owner]
     heads = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
@@ -189,7 +196,7 @@ def repeats(strings: list[bytes], ids: np.ndarray, starts: np.ndarray, min_bytes
     return owner, first - offsets[owner], last - offsets[owner] + min_bytes
 
 
-def single_windows(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def single_windows(strings: list[bytes], keys: np.ndarray, rank: np.ndarray, starts: np.ndarray, min_bytes: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Spans (string number, first and end byte) of windows that stand earlier in these strings under the same key, and
     (string number, first byte, window hash) of the earliest window of each key and hash."""
     data = np.frombuffer(b"".join(strings), np.uint8)
@@ -200,7 +207,6 @@ def single_windows(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, star
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     at = offsets[owner] + inside
     window = signed(span_hash(prefix_hash(data), at, at + min_bytes))
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
     place = (rank[owner] << 32) + starts[owner] + inside
     order = np.lexsort((place, window, keys[owner]))
     new = np.ones(len(order), bool)
@@ -216,33 +222,34 @@ def single_windows(strings: list[bytes], keys: np.ndarray, ids: np.ndarray, star
 
 
 def expand_blocks(min_bytes: int, block_symbols: int):
-    """Arrow kernel over rows (key, doc_id, start, body, crowded) in order of crowded and key: blocks end where a key
+    """Arrow kernel over rows (key, named, doc_id, start, body, crowded) in order of crowded and key: blocks end where a key
     ends, or, for crowded keys, anywhere."""
 
     def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, ids, starts = (np.array([r[i] for r in held], np.int64) for i in range(3))
-        bodies, crowded = [r[3] for r in held], held[0][4]
+        keys, named, ids, starts = (np.array([r[i] for r in held], t) for i, t in enumerate((np.int64, bool, np.int64, np.int64)))
+        bodies, crowded, rank = [r[4] for r in held], held[0][5], order_of(named, ids)
         if crowded:
-            spans, (own, at, window) = single_windows(bodies, keys, ids, starts, min_bytes)
-            yield batch_of(ids[own], starts[own] + at, starts[own] + at + min_bytes, pa.array(keys[own]), pa.array(window))
+            spans, (own, at, window) = single_windows(bodies, keys, rank, starts, min_bytes)
+            yield batch_of(named[own], ids[own], starts[own] + at, starts[own] + at + min_bytes, pa.array(keys[own]), pa.array(window))
         else:
-            spans = repeats(bodies, ids, starts, min_bytes)
+            spans = repeats(bodies, rank, starts, min_bytes)
         owner, a, b = spans
         none = pa.nulls(len(owner), pa.int64())
-        yield batch_of(ids[owner], starts[owner] + a, starts[owner] + b, none, none)
+        yield batch_of(named[owner], ids[owner], starts[owner] + a, starts[owner] + b, none, none)
 
-    def batch_of(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, key: pa.Array, window: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), key, window], names=["doc_id", "start", "stop", "key", "window"])
+    def batch_of(named: np.ndarray, ids: np.ndarray, start: np.ndarray, stop: np.ndarray, key: pa.Array, window: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array(named), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), key, window]
+        return pa.RecordBatch.from_arrays(columns, names=["named", "doc_id", "start", "stop", "key", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, symbols = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (row[4] != held[-1][4] or symbols >= block_symbols and (row[4] or row[0] != held[-1][0])):
+                if held and (row[5] != held[-1][5] or symbols >= block_symbols and (row[5] or row[0] != held[-1][0])):
                     yield from close(held)
                     held, symbols = [], 0
                 held.append(row)
-                symbols += len(row[3]) + 1
+                symbols += len(row[4]) + 1
         if held:
             yield from close(held)
 
@@ -250,29 +257,36 @@ def expand_blocks(min_bytes: int, block_symbols: int):
 
 
 def cut_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted array of (key, start, bytes, crowded)) to (key, doc_id, start, body, crowded)."""
+    """(named, doc_id, text, wanted array of (key, start, bytes, crowded)) to (key, named, doc_id, start, body, crowded)."""
     for batch in batches:
         for part in text_slices(batch, "text"):
-            keys, ids, starts, bodies, crowded = [], [], [], [], []
-            for doc, text, wanted in zip(*(c.to_pylist() for c in part.columns)):
+            keys, known, ids, starts, bodies, crowded = [], [], [], [], [], []
+            for named, doc, text, wanted in zip(*(c.to_pylist() for c in part.columns)):
                 raw = (text or "").encode()
                 for w in wanted:
                     keys.append(w["key"])
+                    known.append(named)
                     ids.append(doc)
                     starts.append(w["start"])
                     bodies.append(raw[w["start"] : w["start"] + w["bytes"]])
                     crowded.append(w["crowded"])
-            columns = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary()), pa.array(crowded, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "start", "body", "crowded"])
+            columns = [pa.array(keys, pa.int64()), pa.array(known, pa.bool_()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary()), pa.array(crowded, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "named", "doc_id", "start", "body", "crowded"])
+
+
+def own_key() -> tuple[Column, Column]:
+    """(named, doc_id): whether a row has an id, and that or a hash of its text."""
+    return F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id")
 
 
 def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES, anchors: int = ANCHORS, block_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
-    """Byte ranges (doc_id, start, stop) whose every ``min_bytes``-byte window stands earlier in the corpus; they may overlap."""
-    docs = id_text(df).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    """Byte ranges (named, doc_id, start, stop) whose every ``min_bytes``-byte window stands earlier in the corpus; they may
+    overlap. Documents that are not ``named`` have a hash of their text in place of an id."""
+    docs = id_text(df).select(*own_key(), "text")
     runs = docs.filter(F.octet_length("text") >= min_bytes).mapInArrow(emit_runs(min_bytes, anchors), RUN)
     again = runs.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any")).filter("n > 1 or any").select("key")
     runs = materialise(runs.join(again, "key", "left_semi"), "runs")
-    first = runs.groupBy("key", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("bytes").alias("bytes"), F.max("inner").alias("inner"), F.count("*").alias("copies"))
+    first = runs.groupBy("key", "body").agg(F.min(F.struct("named", "doc_id", "start")).alias("first"), F.max("bytes").alias("bytes"), F.max("inner").alias("inner"), F.count("*").alias("copies"))
     first = materialise(first, "firsts")
     # a passage with very many copies is told to all tasks, so that its copies need not meet in one
     often, total = first.select("key", "body", "first", "copies"), first.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
@@ -281,20 +295,20 @@ def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES, anchors: int = ANC
     if often.limit(1).count():
         rare = runs.join(F.broadcast(often.select("key", "body")), ["key", "body"], "left_anti")
         later = rare.join(first.select("key", "body", "first"), ["key", "body"]).unionByName(runs.join(F.broadcast(often), ["key", "body"]))
-    later = later.filter(F.struct("doc_id", "start") != F.col("first"))
-    copies = later.select("doc_id", "start", (F.col("start") + F.col("bytes")).cast("int").alias("stop"))
+    later = later.filter(F.struct("named", "doc_id", "start") != F.col("first"))
+    copies = later.select("named", "doc_id", "start", (F.col("start") + F.col("bytes")).cast("int").alias("stop"))
     mixed = first.groupBy("key").agg(F.count("*").alias("n"), F.max("inner").alias("any"), F.sum(F.col("bytes").cast("long") + 1).alias("symbols")).filter("n > 1 or any")
     mixed = mixed.select("key", (F.col("symbols") > block_symbols).alias("crowded"))
-    wanted = first.join(mixed, "key").select(F.col("first.doc_id").alias("doc_id"), F.struct("key", "first.start", "bytes", "crowded").alias("w"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    bodies = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut_bodies, "key long, doc_id long, start int, body binary, crowded boolean")
+    wanted = first.join(mixed, "key").select("first.named", "first.doc_id", F.struct("key", "first.start", "bytes", "crowded").alias("w"))
+    wanted = wanted.groupBy("named", "doc_id").agg(F.collect_list("w").alias("wanted"))
+    bodies = docs.join(wanted.hint("shuffle_hash"), ["named", "doc_id"]).select("named", "doc_id", "text", "wanted").mapInArrow(cut_bodies, "key long, named boolean, doc_id long, start int, body binary, crowded boolean")
     dealt = F.when(F.col("crowded"), F.xxhash64("key", "doc_id", "start")).otherwise(F.col("key"))
     blocks = bodies.repartition(partitions(df.sparkSession), dealt).sortWithinPartitions("crowded", "key")
     found = materialise(blocks.mapInArrow(expand_blocks(min_bytes, block_symbols), FOUND), "repeats")
     windows = found.filter("window is not null")
-    earliest = windows.groupBy("key", "window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).filter("n > 1")
-    moved = windows.join(earliest, ["key", "window"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "stop")
-    return copies.unionByName(found.filter("window is null").select("doc_id", "start", "stop")).unionByName(moved)
+    earliest = windows.groupBy("key", "window").agg(F.count("*").alias("n"), F.min(F.struct("named", "doc_id", "start")).alias("first")).filter("n > 1")
+    moved = windows.join(earliest, ["key", "window"]).filter(F.struct("named", "doc_id", "start") != F.col("first")).select("named", "doc_id", "start", "stop")
+    return copies.unionByName(found.filter("window is null").select("named", "doc_id", "start", "stop")).unionByName(moved)
 
 
 def without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -332,9 +346,10 @@ def remove_repeats(df: DataFrame, keep: bool = True, more: tuple[str, ...] = (),
 
     ``kept`` can cut a character in two; ``make_valid_utf8`` reads it as text.
     """
-    spans = repeated_spans(df, **how).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-    spans = spans.select(F.col("doc_id").alias("key_id"), F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
-    docs = id_text(df, *([F.struct(*more).alias("row")] if more else [])).withColumn("key_id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    joined = docs.join(spans.hint("shuffle_hash"), "key_id", "left").drop("key_id")
+    spans = repeated_spans(df, **how).groupBy("named", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    spans = spans.select("named", F.col("doc_id").alias("key_id"), F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
+    named, key = own_key()
+    docs = id_text(df, *([F.struct(*more).alias("row")] if more else [])).withColumns({"named": named, "key_id": key})
+    joined = docs.join(spans.hint("shuffle_hash"), ["named", "key_id"], "left").drop("named", "key_id")
     row = f"row {docs.schema['row'].dataType.simpleString()}, " if more else ""
     return joined.mapInArrow(cut_out(keep), f"{row}doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -2,9 +2,11 @@
 
 A change is an insert (new count), a delete (old count) or a revision (both). Each becomes signed additive rows; a
 batch's rows are summed by key with map-side partial sums and written to a folder of that attempt, and the totals are
-the sums over committed batches. A batch is committed by a record of its own, a small file that only one attempt can
-make and that names its folder: an attempt that died has none, and the batch is written again; one that is committed is
-not applied twice, whatever is sent under its number later. ``compact`` folds committed batches into one.
+the sums over committed batches. A batch is committed by a record of its own, a small file that names its folder: it is
+written aside and renamed, which fails if there is one, so a record is whole or absent and only one attempt can make it. An
+attempt that died before has none, and the batch is written again; one that is committed is not applied twice, whatever is
+sent under its number later. ``compact`` folds the committed batches of one snapshot into a base, whose record names them by
+ranges; a batch committed meanwhile is not among them and counts beside the base.
 
 Counts that are null count as 0 tokens, and texts of any length are counted whole. Null source and language are kept as
 keys of their own. Changes of an unknown kind, and rows that repeat a change within a batch (same doc_id, tokenizer and
@@ -60,28 +62,50 @@ class Rollups:
         self._path: Callable = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def records(self) -> list[tuple[str, str, str]]:
+    def records(self) -> list[tuple[str, int, str]]:
         """(kind, number, folder) of each record: a batch's number, or which base it is, whose folder is followed by the
-        numbers of the batches in it."""
+        numbers of the batches in it. What is no whole record counts as absent."""
         if not self._fs.exists(self._path(f"{self.path}/commits")):
             return []
-        return [tuple(r["value"].split(" ")) for r in self.spark.read.text(f"{self.path}/commits").collect()]
+        said = (r["value"].split(" ") for r in self.spark.read.text(f"{self.path}/commits").collect())
+        return [(r[0], int(r[1]), r[2]) for r in said if len(r) == 3]
 
     def committed(self) -> list[int]:
-        return sorted(int(number) for kind, number, _ in self.records() if kind == "batch")
+        return sorted(number for kind, number, _ in self.records() if kind == "batch")
+
+    def _write(self, file: str, text: str) -> None:
+        out = self._fs.create(self._path(file), False)
+        out.writeBytes(text)
+        out.close()
+
+    def _put(self, aside: str, file: str) -> None:
+        """Rename without overwriting; Hadoop raises where the file is there."""
+        fs, context = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext
+        how = context._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        how[0] = getattr(fs, "Options$Rename").NONE
+        folder, name = file.rsplit("/", 1)
+        if not self._fs.exists(self._path(file)):  # the checksum of a record that was removed by hand would fit no other
+            self._fs.delete(self._path(f"{folder}/.{name}.crc"), False)
+        fs.FileContext.getFileContext(self._path(self.path).toUri(), context._jsc.hadoopConfiguration()).rename(self._path(aside), self._path(file), how)
 
     def _commit(self, kind: str, number: int, folder: str) -> bool:
         """Make a record; False if there is one already."""
-        file = self._path(f"{self.path}/commits/{kind}-{number:012d}")
+        file, aside = f"{self.path}/commits/{kind}-{number:012d}", f"{self.path}/commits/.{uuid.uuid4().hex}"
+        self._write(aside, f"{kind} {number} {folder}\n")
         try:
-            out = self._fs.create(file, False)
-        except Exception:
-            if self._fs.exists(file):
-                return False
-            raise
-        out.writeBytes(f"{kind} {number} {folder}\n")
-        out.close()
-        return True
+            for last in (False, True):
+                try:
+                    self._put(aside, file)
+                    return True
+                except Exception:
+                    if any(r[:2] == (kind, number) for r in self.records()):
+                        return False
+                    if last or not self._fs.exists(self._path(file)):
+                        raise
+                    self._fs.delete(self._path(file), False)  # no whole record: nobody has committed with it
+        finally:
+            self._fs.delete(self._path(aside), False)
+        return False
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Add a batch of changes; False if that batch was committed before."""
@@ -92,33 +116,52 @@ class Rollups:
         summed(signed(once)).write.parquet(f"{self.path}/data/{folder}")
         return self._commit("batch", batch, folder)
 
-    def _folders(self) -> list[str]:
-        """What adds up to the totals: the last base, and the batches it does not fold."""
-        records = self.records()
-        base = max(((int(number), folder) for kind, number, folder in records if kind == "base"), default=None)
-        folded = set(base[1].split("+")[1].split(",")) if base else set()
-        return [f"{self.path}/data/{f}" for f in ([base[1].split("+")[0]] if base else []) + [folder for kind, number, folder in records if kind == "batch" and number not in folded]]
+    def _parts(self, records: list[tuple[str, int, str]]) -> tuple[list[str], list[str]]:
+        """The folders that add up to the totals, the last base's and those of batches it does not fold; and all others."""
+        base = max(((number, folder) for kind, number, folder in records if kind == "base"), default=None)
+        folded = within(base[1].split("+")[1]) if base else lambda number: False
+        live = [folder.split("+")[0] for kind, number, folder in records if (number == base[0] if kind == "base" else not folded(number))]
+        return live, [folder.split("+")[0] for kind, number, folder in records if folder.split("+")[0] not in live]
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        folders = self._folders()
+    def _sum(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], ROLLUP)
-        return summed(self.spark.read.schema(ROLLUP).parquet(*folders))
+        return summed(self.spark.read.schema(ROLLUP).parquet(*(f"{self.path}/data/{f}" for f in folders)))
+
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
+        return self._sum(self._parts(self.records())[0])
 
     def compact(self) -> None:
-        """Fold all committed batches into one base, and remove what they wrote. Batch numbers stay known. Not to run while
-        totals are computed elsewhere."""
-        records, old = self.records(), self._folders()
-        numbers = [number for kind, number, _ in records if kind == "batch"]
-        if len(old) < 2:
-            return
-        folder = f"base-{uuid.uuid4().hex}"
-        self.totals().filter("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/data/{folder}")
-        bases = [int(number) for kind, number, _ in records if kind == "base"]
-        if self._commit("base", max(bases, default=0) + 1, f"{folder}+{','.join(numbers)}"):
-            for path in old:
-                self._fs.delete(self._path(path), True)
+        """Fold all batches committed by now into one base, and remove what they wrote. Batch numbers stay known, by records
+        of some bytes each. Not to run while totals are computed elsewhere."""
+        records = self.records()
+        live, gone = self._parts(records)
+        if len(live) > 1:
+            folder = f"base-{uuid.uuid4().hex}"
+            self._sum(live).filter("n_docs != 0 or n_tokens != 0").write.parquet(f"{self.path}/data/{folder}")
+            bases = [number for kind, number, _ in records if kind == "base"]
+            numbers = sorted(number for kind, number, _ in records if kind == "batch")
+            # a base made meanwhile by another goes by the number, and this one's folder is of no use
+            gone += live if self._commit("base", max(bases, default=0) + 1, f"{folder}+{ranges(numbers)}") else [folder]
+        for path in gone:
+            self._fs.delete(self._path(f"{self.path}/data/{path}"), True)
+        for kind, number, _ in records:
+            if kind == "base" and number < max(n for k, n, _ in records if k == "base"):
+                self._fs.delete(self._path(f"{self.path}/commits/base-{number:012d}"), False)
+
+
+def ranges(numbers: list[int]) -> str:
+    """Ascending numbers as first-last ranges."""
+    starts = [n for n, before in zip(numbers, [None, *numbers]) if before is None or n != before + 1]
+    stops = [n for n, after in zip(numbers, [*numbers[1:], None]) if after != n + 1]
+    return ",".join(f"{a}-{b}" for a, b in zip(starts, stops))
+
+
+def within(text: str) -> Callable[[int], bool]:
+    """Whether a number is in the ranges that ``ranges`` has written."""
+    bounds = [tuple(map(int, r.split("-"))) for r in text.split(",") if r]
+    return lambda number: any(a <= number <= b for a, b in bounds)
 
 
 #: Tokenizer versions of the registered query: words between white space, and UTF-8 bytes.

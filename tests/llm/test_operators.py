@@ -132,6 +132,24 @@ def test_suffix_dedup_of_null_ids(spark):
     assert got == [(False, 0, 0, 0), (False, 0, 300, 0), (True, -7, 150, 150), (True, 4, 121, 120)]
 
 
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_suffix_dedup_tells_rows_without_id_apart(spark, block):
+    """Several different texts without id, in the order of their hashes before all ids, the least long among these."""
+    rng = random.Random(6)
+    shared = "".join(rng.choices("abcdefgh ", k=260))
+    texts = [shared[:230], "".join(rng.choices("mnop ", k=300)), "zz" + shared[60:] + "".join(rng.choices("qrst", k=98)), shared[10:200] + shared[:150]]
+    rows = [(None, t) for t in texts] + [(None, texts[1]), (-(1 << 63), shared[5:255]), ((1 << 63) - 1, "y" + texts[1]), (-1, "own text " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    # brute_repeats takes keys in their order: those without id first
+    keys = [(d is not None, hashes[t] if d is None else d, t) for d, t in rows]
+    want = brute_repeats({(named, key): t for named, key, t in keys}, 100)
+    expected = Counter((None if not named else key, *want[named, key]) for named, key, _ in keys)
+    got = suffix_dedup.remove_repeats(df, block_symbols=block).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == expected
+    assert any(named is None and removed for named, _, removed, *_ in expected) and any(named is None and not removed for named, _, removed, *_ in expected)
+
+
 def test_texts_longer_than_a_slice(spark):
     """Every operator on texts longer than what its kernel holds otherwise."""
     rng = random.Random(5)
@@ -287,6 +305,99 @@ def test_ngram_join_of_null_ids(spark):
     assert got == {(None, 8, 2): 1, (9, 8, 2): 1, (2, 9, 2): 1, (None, 4, None): 2, (4, 4, 4): 1, (None, 0, None): 1}
 
 
+EDGES = [0, -1, 1 << 62, (1 << 62) + 5, (1 << 63) - 1, (1 << 63) - 2, -(1 << 63), None]
+
+
+def test_ngram_join_of_ids_at_the_edges(spark):
+    texts = ["a b c d e f g h i j", "q r s t u v w x y z", "a b c d e f g h i j", "q r s t u v w x y z !", "a b c d e f g h i j k", "k l m n o p", "q r s t u v w x y z", "k l m n o p"]
+    df = spark.createDataFrame(list(zip(EDGES, texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.component_ids(df, 3, 80).collect()}
+    want = brute_components({d: t for d, t in zip(EDGES, texts) if d is not None}, 3, 80)
+    assert got == {(d, w[1]) for d, w in want.items()} | {(None, (1 << 63) - 2)} | set()
+    assert ngram_join.component_ids(df.filter("doc_id > 0"), 3, 80).filter("component_id is null").count() == 0
+
+
+def test_simhash_of_ids_at_the_edges(spark):
+    texts = [f"text number {i} of several words" for i in range(len(EDGES) - 1)]
+    for ids in (EDGES[:-1], [(1 << 63) - 1 - i for i in range(9)]):
+        rows = [(d, texts[i % len(texts)] + str(d)) for i, d in enumerate(ids)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        ordered = sorted(rows, reverse=True)
+        want = {(d, hashlib.sha256(simhash.edit(t, ordered[(i + 1) % len(ordered)][1]).encode()).hexdigest()) for i, (d, t) in enumerate(ordered)}
+        assert {(r["doc_id"], r["edited_sha256"]) for r in simhash.search_every(simhash.compare_edits(df)).collect()} == want
+
+
+def test_rollups_after_a_crash_at_commit(spark, tmp_path, monkeypatch):
+    """A writer that dies before, between and after making its record; the batch is sent again each time."""
+    schema = "change_id long, doc_id long, op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    change = lambda n: spark.createDataFrame([(1, n, "insert", "s", "en", "w", None, 10**n)], schema)
+    total = lambda rollups: [(r["n_docs"], r["n_tokens"]) for r in rollups.totals().collect()]
+    rollups = token_rollups.Rollups(spark, f"file://{tmp_path}/r")
+    for n, point in enumerate(("_write", "_put"), 1):
+
+        def dies(*_, **__):
+            raise RuntimeError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(token_rollups.Rollups, point, dies)
+            with pytest.raises(RuntimeError):
+                rollups.apply(n, change(n))
+        assert n not in rollups.committed()
+        assert rollups.apply(n, change(n)) and rollups.committed() == [*range(1, n + 1)]
+    real = token_rollups.Rollups._put
+
+    def dies_after(self, *names):
+        real(self, *names)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(token_rollups.Rollups, "_put", dies_after)
+        assert not rollups.apply(3, change(3))  # the record stands, though its writer does not know whether by it
+    assert not rollups.apply(3, change(3)) and total(rollups) == [(3, 1110)]
+    (tmp_path / "r/commits/batch-000000000004").write_text("")  # what another version's crash has left
+    assert rollups.committed() == [1, 2, 3] and rollups.apply(4, change(4)) and total(rollups) == [(4, 11110)]
+    assert not [f for f in os.listdir(tmp_path / "r/commits") if f.startswith(".") and not f.endswith(".crc")]
+
+
+def test_rollups_compact_with_batches_meanwhile(spark, tmp_path, monkeypatch):
+    schema = "change_id long, doc_id long, op string, source string, lang string, tokenizer string, old_tokens long, new_tokens long"
+    change = lambda n: spark.createDataFrame([(1, n, "insert", "s", "en", "w", None, 10**n)], schema)
+    rollups, other = (token_rollups.Rollups(spark, f"file://{tmp_path}/r") for _ in range(2))
+    total = lambda: [(r["n_docs"], r["n_tokens"]) for r in rollups.totals().collect()]
+    for n in (1, 2, 3):
+        rollups.apply(n, change(n))
+    real = token_rollups.Rollups._sum
+
+    def meanwhile(self, folders):
+        if 5 not in other.committed():
+            other.apply(5, change(5))
+        return real(self, folders)
+
+    with monkeypatch.context() as m:
+        m.setattr(token_rollups.Rollups, "_sum", meanwhile)
+        rollups.compact()
+    assert total() == [(4, 101110)] and rollups.committed() == [1, 2, 3, 5]
+    assert len(os.listdir(tmp_path / "r/data")) == 2
+    for n in (6, 7):
+        rollups.apply(n, change(n))
+        rollups.compact()
+    assert total() == [(6, 11101110)] and not rollups.apply(5, change(5)) and not rollups.apply(1, change(1))
+    assert rollups.records()[-1:] and [r[2].split("+")[1] for r in rollups.records() if r[0] == "base"][-1] == "1-3,5-7"
+    rollups.compact()
+    assert len(os.listdir(tmp_path / "r/data")) == 1
+    assert [r for r in (token_rollups.within("1-3,5-5")(n) for n in range(7))] == [False, True, True, True, False, True, False]
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with common.scratch(spark):
+        own, kept = common.materialise(spark.range(3), "own"), common.materialise(spark.range(3), "kept", keep=True)
+        with common.scratch(spark):
+            inner = common.materialise(spark.range(3), "inner")
+        assert own.count() == 3 and not [f for f in inner.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    assert kept.count() == 3 and not [f for f in own.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    assert common.materialise(spark.range(2), "free").count() == 2
+
+
 @pytest.mark.parametrize("ids", [0, 2_000_000])
 def test_ngram_join_reads_again_for_frequent_ngrams(spark, monkeypatch, ids):
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
@@ -868,11 +979,11 @@ def test_shared_folder_is_not_made_up_on_a_cluster(spark):
         common.shared_dir(Session)
     Session.conf = Conf({"spark.master": "local[2]"})
     assert common.shared_dir(Session) == Session.conf["spark.checkpoint.dir"]
-    mine = common.materialise(spark.range(3).toDF("x"), "mine")
-    path = common.written[-1]
-    assert mine.count() == 3
-    common.remove(spark, [path])
-    assert path not in common.written and not os.path.exists(path.removeprefix("file://"))
+    with common.scratch(spark):
+        mine = common.materialise(spark.range(3).toDF("x"), "mine")
+        path = mine.inputFiles()[0].rsplit("/", 1)[0]
+        assert mine.count() == 3 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
 
 
 def test_rollups_of_null_source_and_language(spark, tmp_path):

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what the one before kept."""
 
 import hashlib
+import os
 
 import public_tokenizers
 import sentencepiece
@@ -66,3 +67,27 @@ def test_odd_rows_and_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = common.materialise(stage(spark, docs, DATA), name)
     assert docs.count() == 0
+
+
+def test_rows_without_id_lose_only_their_own_bytes(spark):
+    """Different texts without id, through the third stage and the whole run."""
+    docs = common.table(spark, DATA, "documents").select(*corpus_pipeline.COLUMNS)
+    long = [r["text"] for r in docs.filter("n_chars between 600 and 3000 and lang is not null").orderBy("doc_id").limit(4).collect()]
+    long = [" ".join(f"{w}{i}" for w in t.split()) for i, t in enumerate(long)]
+    texts = [long[0], long[1], long[2] + " " + long[0][:300], long[3]]
+    rows = [(None, t, "en", "s", len(t)) for t in texts] + [(7, "x " + long[1], "en", "s", len(long[1]) + 2)]
+    df = spark.createDataFrame(rows, docs.schema)
+    out = corpus_pipeline.drop_repeated_strings(spark, df, DATA).collect()
+    left = {r["text"] for r in out if r["doc_id"] is None}
+    assert long[1] in left and long[3] in left  # they repeat nothing that stands before them
+    assert sum(len(t) for t in left) in range(sum(map(len, texts)) - 301, sum(map(len, texts)) - 198)
+    assert all(r["text"] in ("x", "x ") for r in out if r["doc_id"] == 7)
+
+
+def test_run_leaves_one_table_of_stages(spark):
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, DATA).count() > 10
+    left = [name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before]
+    assert [x for x in left if x in dict(corpus_pipeline.STAGES)] == ["mixing"]
+    assert not {"signatures", "runs", "repeats", "links"} & set(left)
