@@ -8,7 +8,6 @@ that floods needs no memory of its own. Rows that an earlier stage dropped stand
 from __future__ import annotations
 
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,13 @@ from pyspark.sql import Window as W
 
 from palisade.config import LimiterConfig
 from palisade.reasons import open_outcome, outcome
+from palisade.sources.shared import written
 
 UNIT = 1_000_000
 SOURCE = ("src_ip", "src_port")
 ARRIVAL = ("received_at_us", "datagram_id")
-#: Arrivals sampled for each range of arrival.
-SAMPLED = 50
+#: Arrivals sampled for each range of arrival; rows of a range, and how many ranges there are.
+SAMPLED, CHUNK_ROWS, LEAST_CHUNKS, MOST_CHUNKS = 50, 1 << 22, 16, 1 << 14
 
 
 def fill(tokens: int, passed_us: int, config: LimiterConfig) -> int:
@@ -183,18 +183,19 @@ def idle_segments(df: DataFrame, config: LimiterConfig) -> DataFrame:
     return df.join(cells, [*SOURCE, "_cell"], "left").drop("_cell")
 
 
-def rate_limit(df: DataFrame, config: LimiterConfig = LimiterConfig(), bounded: bool = True, split_idle: bool = False) -> DataFrame:
+def rate_limit(df: DataFrame, config: LimiterConfig = LimiterConfig(), bounded: bool = True, split_idle: bool = False, many: bool | None = None) -> DataFrame:
     """Add ``admitted`` and ``resident_miss``, and drop what is refused. Rows dropped before (by the size gate) are not
     seen by the bucket.
 
-    ``bounded``: with more than ``max_sources`` sources, one that was forgotten comes back with a full bucket (see
-    ``source_residency`` for the two small jobs this runs). ``split_idle``: a source's rows may go to several tasks, cut
+    ``bounded``: with more than ``max_sources`` sources, one that was forgotten comes back with a full bucket. Whether there
+    are so ``many`` is counted where it is not said, over sources and arrivals written once (``sights``). ``split_idle``: a source's rows may go to several tasks, cut
     where it was idle; worth one more shuffle where single sources flood.
     """
     df = open_outcome(df)
-    missed = bounded and many_sources(df, config)
+    seen = sights(df) if bounded and many is not False else None
+    missed = seen is not None and (many or more_sources(seen, config))
     if missed:
-        df = residency(df, config)
+        df = residency(df, config, seen=seen)
     df = df.withColumn("seen", F.col("drop_reason").isNull())
     keys = SOURCE
     if split_idle and config.tokens_per_sec:
@@ -222,6 +223,11 @@ def number_kernel(bounds: list[tuple[int, int]]):
     return run
 
 
+def numbered(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """Add ``chunk``, the range of arrival between ``bounds`` that a row lies in."""
+    return rows.mapInArrow(number_kernel(bounds), T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())]))
+
+
 def arrival_bounds(df: DataFrame, chunks: int, rows: int) -> list[tuple[int, int]]:
     """At most ``chunks`` - 1 arrivals (time, id) that cut ``rows`` rows into like parts, from a sample by hash."""
     part = min(1_000_000, -(-SAMPLED * chunks * 1_000_000 // max(rows, 1)))
@@ -230,79 +236,226 @@ def arrival_bounds(df: DataFrame, chunks: int, rows: int) -> list[tuple[int, int
     return sorted({found[len(found) * i // chunks] for i in range(1, chunks)}) if found else []
 
 
+def larger_before(values: np.ndarray) -> np.ndarray:
+    """For each of different numbers, how many of those before it are larger: their range is halved bit by bit, and in
+    each half-open range those of the upper half that stand before one of the lower half are counted."""
+    n = len(values)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(values)] = np.arange(n)
+    out, at, index = np.zeros(n, np.int64), np.arange(n), np.arange(n)  # at: who stands where, by range and then in order
+    for bit in reversed(range(max(n - 1, 0).bit_length())):
+        value = rank[at]
+        upper = value >> bit & 1
+        first = np.concatenate([[0], np.flatnonzero(np.diff(value >> bit + 1)) + 1])
+        size = np.diff(np.append(first, n))
+        ones = np.cumsum(upper)
+        start = np.repeat(first, size)
+        seen = ones - np.repeat(ones[first] - upper[first], size)
+        lower = upper == 0
+        out[at[lower]] += seen[lower]
+        zeros = np.repeat(size - np.add.reduceat(upper, first), size)
+        place = np.where(lower, index - seen, start + zeros + seen - 1)
+        moved = np.empty_like(at)
+        moved[place] = at
+        at = moved
+    return out
+
+
+def codes_of(ip: np.ndarray, port: np.ndarray) -> np.ndarray:
+    """One number for each source."""
+    ips, a = np.unique(ip, return_inverse=True)
+    ports, b = np.unique(port, return_inverse=True)
+    return a.astype(np.int64) * len(ports) + b
+
+
+def reuse_distance(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many other sources were seen since a row's source was seen last (-1: never), and the last row of each source
+    in order. Of the rows since then, those count whose source is not seen again before this row; that a later pair of
+    sights lies inside an earlier one is what ``larger_before`` counts."""
+    order = np.argsort(codes, kind="stable")
+    same = codes[order][1:] == codes[order][:-1]
+    before = np.full(len(codes), -1, np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    again = np.flatnonzero(before >= 0)
+    out = np.full(len(codes), -1, np.int64)
+    out[again] = again - before[again] - 1 - larger_before(before[again])
+    last = np.ones(len(codes), bool)
+    last[before[again]] = False
+    return out, np.flatnonzero(last)
+
+
+#: Rows that a replay works out at once, at least and at most: in this range as many as sources are remembered.
+REPLAYED = 1 << 14, 1 << 16
+
+
 def replay_kernel(keep: int):
     """Arrow kernel over rows in order of chunk, ``start`` first, and arrival: the rows that are no start, with whether
-    their source was forgotten (null for rows dropped before). It holds ``keep`` sources and one batch."""
+    their source was forgotten (null for rows dropped before). A source is remembered as long as fewer than ``keep`` others
+    were seen since; the kernel holds ``keep`` sources and the rows it works out at once."""
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict = OrderedDict()
-        now = None
+        held, size, now, known = [], 0, None, (none, none)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal now, known
+            column = lambda c, null: np.concatenate([pc.fill_null(b.column(c), null).to_numpy(zero_copy_only=False) for b in held])
+            chunk, ip, port = (column(c, -1).astype(np.int64) for c in ("chunk", *SOURCE))
+            is_start, seen = column("start", False), column("seen", False)
+            missed = np.zeros(len(chunk), bool)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
+            for a, b in zip(cuts, cuts[1:]):
+                if chunk[a] != now:
+                    now, known = chunk[a], (none, none)
+                own = np.flatnonzero(seen[a:b]) + a
+                ips, ports = (np.concatenate([k, c[own]]) for k, c in zip(known, (ip, port)))
+                distance, last = reuse_distance(codes_of(ips, ports))
+                distance = distance[len(known[0]) :]
+                missed[own] = (distance < 0) | (distance >= keep)
+                known = ips[last[-keep:]], ports[last[-keep:]]
+            at = 0
+            for batch in held:
+                here = slice(at, at + batch.num_rows)
+                at += batch.num_rows
+                names = [c for c in batch.schema.names if c not in ("chunk", "start", "seen")]
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(missed[here], mask=~seen[here])], names=[*names, "resident_miss"])
+                yield out.filter(pa.array(~is_start[here]))
+
         for batch in batches:
-            missed, mine = [], []
-            for chunk, ip, port, is_start, seen in zip(*(batch.column(c).to_pylist() for c in ("chunk", *SOURCE, "start", "seen"))):
-                if chunk != now:
-                    now = chunk
-                    held.clear()
-                mine.append(not is_start)
-                if not seen:
-                    missed.append(None)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= min(max(keep, REPLAYED[0]), REPLAYED[1]):
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+RECENT = "item int, src_ip long, src_port int, time long, id long"
+
+
+def recent_before(keep: int):
+    """Arrow kernel over rows (grp, item, source, time, id) in order of grp and item, an item being a list of sources with
+    when each was seen last: for each item from 0 on, the ``keep`` sources seen last in the items of its group before it. It
+    holds one such list and an item."""
+    none = np.zeros(0, np.int64)
+
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.concatenate([a, b], axis=1)  # rows: ip, port, time, id
+        both = both[:, np.lexsort((both[3], both[2], both[1], both[0]))]
+        newest = np.append((both[:2, 1:] != both[:2, :-1]).any(0), True)[: both.shape[1]]
+        both = both[:, newest]
+        return both[:, np.lexsort((both[3], both[2]))[-keep:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, parts = None, np.stack([none] * 4), []
+
+        def told(item: int) -> pa.RecordBatch:
+            columns = np.full(known.shape[1], item, np.int32), known[0], known[1].astype(np.int32), known[2], known[3]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["item", *SOURCE, "time", "id"])
+
+        for batch in batches:
+            rows = np.stack([pc.fill_null(batch.column(c), -1 if c < 4 else -(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)])
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(rows[:2], axis=1) != 0).any(0)) + 1, [rows.shape[1]]])
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
                     continue
-                key = (ip, port)
-                missed.append(key not in held)
-                held[key] = None
-                held.move_to_end(key)
-                if len(held) > keep:
-                    held.popitem(last=False)
-            names = [c for c in batch.schema.names if c not in ("chunk", "start", "seen")]
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(missed, pa.bool_())], names=[*names, "resident_miss"])
-            yield out.filter(pa.array(mine, pa.bool_()))
+                if (now := tuple(rows[:2, a])) != at:
+                    if parts:
+                        known = merged(known, np.concatenate(parts, axis=1))
+                    if at is None or now[0] != at[0]:
+                        known = np.stack([none] * 4)
+                    at, parts = now, []
+                    if now[1] >= 0:
+                        yield told(now[1])
+                parts.append(rows[2:, a:b])
 
     return run
 
 
-def many_sources(df: DataFrame, config: LimiterConfig) -> bool:
-    """Whether there are more sources than are remembered (one job over the sources alone)."""
-    return df.filter("drop_reason is null").select(*SOURCE).distinct().limit(config.max_sources + 1).count() > config.max_sources
+def starts_of(last: DataFrame, chunks: int, keep: int) -> DataFrame:
+    """(chunk, src_ip, src_port, received_at_us, datagram_id): the ``keep`` sources seen last before each of ``chunks``
+    chunks; ``last`` (chunk, source, arrival) has those of each chunk alone, the newest ``keep`` at most.
+
+    A prefix scan in two levels: chunks are put into blocks, blocks' lists are run through one after the other, and each
+    block's chunks then likewise, all blocks at once. So 3 * chunks * keep rows are handed on at most.
+    """
+    wide = math.isqrt(max(chunks - 1, 0)) + 1
+    item = lambda grp, number: (grp.alias("grp"), number.cast("int").alias("item"), *SOURCE, F.col(ARRIVAL[0]).alias("time"), F.col(ARRIVAL[1]).alias("id"))
+    block = F.floor(F.col("chunk") / wide).cast("int")
+    ahead = last.groupBy(block.alias("block"), *SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
+    ahead = newest(ahead, "block", keep).select(F.lit(0).alias("grp"), F.col("block").alias("item"), *SOURCE, F.col("at.received_at_us").alias("time"), F.col("at.datagram_id").alias("id"))
+    before = ahead.repartition(1).sortWithinPartitions("item").mapInArrow(recent_before(keep), RECENT)
+    before = before.select(F.col("item").alias("grp"), F.lit(-1).alias("item"), *SOURCE, "time", "id")
+    both = before.unionByName(last.select(*item(block, F.col("chunk"))))
+    scanned = both.repartition("grp").sortWithinPartitions("grp", "item").mapInArrow(recent_before(keep), RECENT)
+    return scanned.select(F.col("item").alias("chunk"), *SOURCE, F.col("time").alias(ARRIVAL[0]), F.col("id").alias(ARRIVAL[1]))
+
+
+def newest(rows: DataFrame, by: str, keep: int) -> DataFrame:
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("at")))).filter(F.col("_r") <= keep).drop("_r")
+
+
+def typed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(t) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))})
+
+
+def sights(df: DataFrame) -> DataFrame:
+    """Source and arrival of the rows that the limiter sees, written once: all that is to be known of a table before its
+    rows are limited is read from these, so payloads are read for them and for the rows themselves only."""
+    return written(typed(df).filter("drop_reason is null").select(*SOURCE, *ARRIVAL), "sights")
+
+
+def more_sources(seen: DataFrame, config: LimiterConfig, known: DataFrame | None = None) -> bool:
+    """Whether there are more sources than are remembered."""
+    seen = seen.select(*SOURCE) if known is None else seen.select(*SOURCE).unionByName(known.select(*SOURCE))
+    return seen.distinct().limit(config.max_sources + 1).count() > config.max_sources
 
 
-def residency(df: DataFrame, config: LimiterConfig, chunks: int = 16) -> DataFrame:
+def residency(df: DataFrame, config: LimiterConfig, chunks: int | None = None, seen: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Add ``resident_miss`` where there are more sources than are remembered.
 
-    Arrival (time and id) is cut into ``chunks`` ranges, or more on large tables, so that handing on what is remembered
-    costs no more rows than the table has (one job counts and one samples arrivals for that). What is remembered at a
-    range's start are the last ``max_sources`` sources of the ranges before, so all ranges are replayed at once, each as
-    a stream of rows; nothing is joined to them again.
+    Arrival (time and id) is cut into ``chunks`` ranges of like many rows (default: of ``CHUNK_ROWS``), and all ranges are
+    replayed at once, each as a stream of rows from what is remembered at its start (``starts_of``). ``seen``: what
+    ``sights`` has written of ``df``. ``known`` (src_ip, src_port, pos): sources remembered from before, in the order of pos.
     """
     keep = config.max_sources
-    df = df.withColumns({c: F.col(c).cast(t) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))})
-    thin = df.filter("drop_reason is null").select(*SOURCE, *ARRIVAL)
-    n = thin.count()
-    bounds = arrival_bounds(thin, max(chunks, math.isqrt(2 * n // max(keep, 1))), n)
-    numbered = lambda rows: rows.mapInArrow(number_kernel(bounds), T.StructType([*rows.schema.fields, T.StructField("chunk", T.IntegerType())]))
-    last = numbered(thin).groupBy("chunk", *SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
-    newest = lambda rows, by: rows.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.desc("at")))).filter(F.col("_r") <= keep).drop("_r")
-    ahead = newest(last, "chunk").select(F.explode(F.sequence(F.col("chunk") + 1, F.lit(len(bounds) + 1))).alias("into"), *SOURCE, "at")
-    start = newest(ahead.groupBy("into", *SOURCE).agg(F.max("at").alias("at")), "into")
-    start = start.select(*SOURCE, "at.*", F.col("into").alias("chunk"), F.lit(True).alias("start"), F.lit(True).alias("seen")).filter(F.col("chunk") <= len(bounds))
-    rows = numbered(df).withColumns({"start": F.lit(False), "seen": F.col("drop_reason").isNull()}).unionByName(start, allowMissingColumns=True)
+    df = typed(df)
+    seen = sights(df) if seen is None else seen
+    n = seen.count()
+    bounds = arrival_bounds(seen, chunks or min(max(LEAST_CHUNKS, n // CHUNK_ROWS), MOST_CHUNKS), n)
+    last = numbered(seen, bounds).groupBy("chunk", *SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
+    last = newest(last, "chunk", keep).select("chunk", *SOURCE, "at.*")
+    if known is not None:  # before all chunks, and older than any row
+        older = known.select(F.lit(-1).alias("chunk"), *SOURCE, F.lit(-(1 << 63)).alias(ARRIVAL[0]), F.col("pos").alias(ARRIVAL[1]))
+        last = last.unionByName(older).withColumn("chunk", F.col("chunk") + 1)
+    start = starts_of(written(last, "recent"), len(bounds) + 2, keep)
+    if known is not None:
+        start = start.withColumn("chunk", F.col("chunk") - 1).filter("chunk >= 0")
+    start = start.withColumns({"start": F.lit(True), "seen": F.lit(True)})
+    rows = numbered(df, bounds).withColumns({"start": F.lit(False), "seen": F.col("drop_reason").isNull()}).unionByName(start, allowMissingColumns=True)
     ordered = rows.repartition("chunk").sortWithinPartitions("chunk", F.desc("start"), *ARRIVAL)
     return ordered.mapInArrow(replay_kernel(keep), T.StructType([*df.schema.fields, T.StructField("resident_miss", T.BooleanType())]))
 
 
-def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chunks: int = 16) -> DataFrame:
+def source_residency(df: DataFrame, config: LimiterConfig = LimiterConfig(), chunks: int | None = None, many: bool | None = None) -> DataFrame:
     """Add ``resident_miss`` (the row's source was not remembered) and ``residency_epoch`` (its misses so far).
 
-    At most ``max_sources`` sources are remembered, those seen last. Without more sources than that (one distinct count)
-    nothing is forgotten, and only a source's first row misses. Rows dropped before are not seen: null.
+    At most ``max_sources`` sources are remembered, those seen last. Without more sources than that (``many``, counted where
+    it is not said) nothing is forgotten, and only a source's first row misses. Rows dropped before are not seen: null.
     """
     named = "drop_reason" in df.columns
     df = open_outcome(df)
-    seen, order = F.col("drop_reason").isNull(), W.partitionBy(*SOURCE).orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, W.currentRow)
-    if many_sources(df, config):
-        df = residency(df, config, chunks)
+    alive, order = F.col("drop_reason").isNull(), W.partitionBy(*SOURCE).orderBy(*ARRIVAL).rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = sights(df) if many is None or many else None
+    if many or many is None and more_sources(seen, config):
+        df = residency(df, config, chunks, seen)
     else:
-        df = df.withColumn("resident_miss", F.when(seen, F.sum(seen.cast("int")).over(order) == 1))
-    df = df.withColumn("residency_epoch", F.when(seen, F.sum(F.col("resident_miss").cast("long")).over(order)))
+        df = df.withColumn("resident_miss", F.when(alive, F.sum(alive.cast("int")).over(order) == 1))
+    df = df.withColumn("residency_epoch", F.when(alive, F.sum(F.col("resident_miss").cast("long")).over(order)))
     return df if named else df.drop("drop_stage", "drop_reason")
 
 
