@@ -110,13 +110,13 @@ def placed(ranged: DataFrame, marked: DataFrame, config: ForwardConfig) -> DataF
 
 
 def carry_on(bounded: DataFrame, carried: DataFrame | None = None) -> DataFrame:
-    """(batch, agent_id, alive, queued): what came in of each agent's, and was queued, until the end of a frame that
-    ``bound_large_backlog`` has bounded, with what was ``carried`` into it."""
+    """(batch, agent_id, alive, queued, last): what came in of each agent's, was queued, and arrived last, until the end of a
+    frame that ``bound_large_backlog`` has bounded, with what was ``carried`` into it."""
     came = bounded.filter(F.col("drop_reason").isNull() | (F.col("drop_stage") == "forward"))
-    now = came.select("batch", "agent_id", F.lit(1).cast("long").alias("alive"), F.col("forwarded_order").isNotNull().cast("long").alias("queued"))
+    now = came.select("batch", "agent_id", F.lit(1).cast("long").alias("alive"), F.col("forwarded_order").isNotNull().cast("long").alias("queued"), F.col(ARRIVAL[0]).alias("last"))
     if carried is not None:
-        now = now.unionByName(carried.select(F.col("batch").cast(bounded.schema["batch"].dataType), "agent_id", "alive", "queued"))
-    return now.groupBy("batch", "agent_id").agg(F.sum("alive").alias("alive"), F.sum("queued").alias("queued"))
+        now = now.unionByName(carried.select(F.col("batch").cast(bounded.schema["batch"].dataType), "agent_id", "alive", "queued", "last"))
+    return now.groupBy("batch", "agent_id").agg(F.sum("alive").alias("alive"), F.sum("queued").alias("queued"), F.max("last").alias("last"))
 
 
 def agent_stats(bounded: DataFrame) -> DataFrame:

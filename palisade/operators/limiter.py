@@ -114,7 +114,9 @@ def bucket_kernel(config: LimiterConfig, keys: tuple[str, ...], missed: bool):
 def carry_kernel(config: LimiterConfig):
     """Arrow kernel over rows sorted by source, ``carried`` (nulls last) and arrival, with ``seen``: the rows with
     ``admitted``, and after each source's one that carries its bucket on. A row with ``carried`` is what was carried from
-    before: that many tokens at its arrival. A row that is older than the bucket's last one adds no tokens."""
+    before: that many tokens at its arrival. A row that is older than the bucket's last one adds no tokens, and one with
+    ``resident_miss`` finds a full bucket; where that is null, it becomes true for a source's first row if nothing was
+    carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, started, tokens, last, schema = None, False, 0, 0, None
@@ -132,6 +134,9 @@ def carry_kernel(config: LimiterConfig):
             times = pc.fill_null(batch.column(ARRIVAL[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = np.unique(np.concatenate([[0], *(np.flatnonzero(c[1:] != c[:-1]) + 1 for c in columns), [n]])).astype(np.int64)
             admitted, done = np.zeros(n, bool), []
+            place = batch.schema.get_field_index("resident_miss")
+            told = batch.column(place).is_valid().to_numpy(zero_copy_only=False)
+            miss = pc.fill_null(batch.column(place), False).to_numpy(zero_copy_only=False).copy()
             for a, b in zip(cuts, cuts[1:]):
                 key = tuple(int(c[a]) for c in columns)
                 if key != held:
@@ -141,12 +146,22 @@ def carry_kernel(config: LimiterConfig):
                 for i in np.flatnonzero(is_carried[a:b]) + a:
                     tokens, last, started = batch.column("carried")[int(i)].as_py(), int(times[i]), True
                 mine = seen[a:b] & ~is_carried[a:b]
-                own = times[a:b][mine]
-                if len(own):
-                    if not started:
-                        tokens, last, started = config.burst_tokens * UNIT, int(own[0]), True
-                    admitted[a:b][mine], tokens, last = admit_run(np.maximum(own, last), tokens, last, config)
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, mask=~seen)], names=[*batch.schema.names, "admitted"])
+                own = np.flatnonzero(mine) + a
+                if not len(own):
+                    continue
+                if not started and not told[own[0]]:
+                    miss[own[0]] = True
+                fresh = np.flatnonzero(miss[own])
+                for x, y in zip([0, *fresh], [*fresh, len(own)]):
+                    if x == y:
+                        continue
+                    run = times[own[x:y]]
+                    if miss[own[x]] or not started:
+                        tokens, last, started = config.burst_tokens * UNIT, int(run[0]), True
+                    admitted[own[x:y]], tokens, last = admit_run(np.maximum(run, last), tokens, last, config)
+            columns = list(batch.columns)
+            columns[place] = pa.array(miss, mask=~seen)
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(admitted, mask=~seen)], names=[*batch.schema.names, "admitted"])
             schema = out.schema
             yield out.filter(pa.array(~is_carried))
             if done:
@@ -157,11 +172,18 @@ def carry_kernel(config: LimiterConfig):
     return run
 
 
-def limit_onwards(df: DataFrame, buckets: DataFrame, config: LimiterConfig = LimiterConfig()) -> DataFrame:
+def limit_onwards(df: DataFrame, buckets: DataFrame, config: LimiterConfig = LimiterConfig(), known: DataFrame | None = None) -> DataFrame:
     """One trigger's rows limited from ``buckets`` (src_ip, src_port, tokens, last), for streams: the rows with
-    ``admitted``, and rows with ``carried`` (not null; null for the others) that hold each source's tokens and last arrival
-    from now on. A source's rows stream past two numbers, as in ``rate_limit``."""
-    df = open_outcome(df).withColumns({c: F.col(c).cast(t) for c, t in zip((*SOURCE, *ARRIVAL), ("long", "int", "long", "long"))})
+    ``admitted`` and ``resident_miss``, and rows with ``carried`` (not null; null for the others) that hold each source's
+    tokens and last arrival from now on. A source's rows stream past two numbers, as in ``rate_limit``.
+
+    ``known`` (src_ip, src_port, pos), if given: the sources remembered from before, whose ``buckets`` are given too. Then
+    no more than ``max_sources`` are remembered at any row, as in ``rate_limit``."""
+    df = typed(open_outcome(df))
+    if known is not None and more_sources(seen := sights(df), config, known):
+        df = residency(df, config, seen=seen, known=known)
+    elif "resident_miss" not in df.columns:
+        df = df.withColumn("resident_miss", F.lit(None).cast("boolean"))
     rows = df.withColumns({"seen": F.col("drop_reason").isNull(), "carried": F.lit(None).cast("long")})
     held = buckets.select(*SOURCE, F.col("tokens").alias("carried"), F.col("last").alias(ARRIVAL[0]), F.lit(True).alias("seen"))
     both = rows.unionByName(held, allowMissingColumns=True).repartition(*SOURCE).sortWithinPartitions(*SOURCE, F.col("carried").asc_nulls_last(), *ARRIVAL)
@@ -170,6 +192,15 @@ def limit_onwards(df: DataFrame, buckets: DataFrame, config: LimiterConfig = Lim
     return outcome(limited.drop("seen"), "source_limit", F.when(~F.col("admitted"), F.lit("SourceLimited")))
 
 
+def remembered(limited: DataFrame, known: DataFrame, config: LimiterConfig = LimiterConfig()) -> DataFrame:
+    """(src_ip, src_port, pos): the sources remembered after ``limited`` rows that follow those of ``known``, the one seen
+    last having the largest pos."""
+    now = limited.filter("admitted is not null").groupBy(*SOURCE).agg(F.max(F.struct(*ARRIVAL)).alias("at"))
+    before = known.select(*SOURCE, F.struct(F.lit(-(1 << 63)).alias(ARRIVAL[0]), F.col("pos").alias(ARRIVAL[1])).alias("at"))
+    kept = now.unionByName(before).groupBy(*SOURCE).agg(F.max("at").alias("at")).orderBy(F.desc("at")).limit(config.max_sources)
+    return kept.select(*SOURCE, F.row_number().over(W.orderBy("at")).cast("long").alias("pos"))
+
+
 def idle_segments(df: DataFrame, config: LimiterConfig) -> DataFrame:
     """Add ``segment``, which a source's rows change (counted from 1) where it was idle for so long before that its bucket
     is full again. Arrival is cut into cells as long as a bucket takes to fill: after a cell without any of a source's

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Names of the counters, in their order.
+COUNTERS = ("received", "truncated", "source_limited", "envelope_drops", "parse_drops", "validation_drops", "queue_drops", "quota_drops", "forwarded")
+
+
 def _counters() -> dict[str, Column]:
     stage, reason = F.col("drop_stage"), F.col("drop_reason")
     return {

@@ -6,20 +6,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palisade.config import GateConfig, LimiterConfig
-from palisade.operators.backlog import bound_large_backlog
+from palisade.operators.backlog import bound_large_backlog, carry_on
 from palisade.operators.envelope import size_gate
-from palisade.operators.limiter import UNIT, admit_run, limit_onwards
-from palisade.operators.stats import _counters
+from palisade.operators.limiter import UNIT, admit_run, limit_onwards, remembered
+from palisade.operators.stats import COUNTERS, _counters, pipeline_stats
 from palisade.plans.pipeline import LEDGER, row_stages
 from palisade.reasons import open_outcome, outcome
 from palisade.sources.datagrams import write_drops, write_events
+from palisade.sources.shared import folders, remove, scratch
 
 
 #: A bucket's state: a source's tokens and last arrival, and the latest arrival seen among the sources kept with it.
@@ -36,7 +37,8 @@ def rate_limit_stream(df: DataFrame, config: LimiterConfig = LimiterConfig(), de
     a trigger may come in any order; a row older than its source's last one in an earlier trigger adds no tokens.
     Forgetting an active source because of too many others, as the batch limiter does, has no counterpart here.
 
-    A group's rows of one trigger are held together, without the payloads of rows dropped before: bound a trigger's size
+    This is for a limiter alone in a stream; ``start_stream`` limits by a kernel past which rows stream. Here a group's
+    rows of one trigger are held together, without the payloads of rows dropped before: bound a trigger's size
     at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
     """
     idle_us = int(np.ceil(config.burst_tokens * UNIT / max(config.tokens_per_sec, 1))) + 1 + delay_ms * 1000
@@ -110,33 +112,96 @@ def file_sink(events_path: str, drops_path: str) -> Sink:
     return write
 
 
-BUCKETS = "src_ip long, src_port int, tokens long, last long"
+#: What a stream's state holds: sources' buckets, the sources remembered, intervals begun, and totals.
+STATE_KINDS = {
+    "buckets": "src_ip long, src_port int, tokens long, last long",
+    "known": "src_ip long, src_port int, pos long",
+    "begun": "batch long, agent_id string, alive long, queued long, last long",
+    "totals": ", ".join(f"{name} long" for name in COUNTERS),
+}
+
+
+class Versions:
+    """A stream's state in its checkpoint folder. A trigger reads the version that the one before has left and writes its
+    own; one that is run again reads the same and writes over what it has left. So the last two versions are kept."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark, self.path = spark, f"{checkpoint.rstrip('/')}/state"
+
+    def read(self, kind: str, number: int) -> DataFrame:
+        if number < 0:
+            return self.spark.createDataFrame([], STATE_KINDS[kind])
+        return self.spark.read.schema(STATE_KINDS[kind]).parquet(f"{self.path}/version={number}/{kind}")
+
+    def write(self, kind: str, number: int, rows: DataFrame) -> None:
+        rows.coalesce(1 if kind in ("known", "totals") else 16).write.mode("overwrite").parquet(f"{self.path}/version={number}/{kind}")
+
+    def forget_before(self, number: int) -> None:
+        for name in folders(self.spark, self.path):
+            if name.startswith("version=") and int(name.removeprefix("version=")) < number:
+                remove(self.spark, f"{self.path}/{name}")
+
+    def last(self) -> int:
+        """The last version that its trigger has ended; -1 if there is none."""
+        ended = {int(n) for n in folders(self.spark, f"{self.path.removesuffix('/state')}/commits") if n.isdigit()}
+        return max((int(n.removeprefix("version=")) for n in folders(self.spark, self.path) if n.startswith("version=") and int(n.removeprefix("version=")) in ended), default=-1)
+
+
+def live_totals(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row of counters over all triggers that a stream of ``start_stream`` has ended, running or not; a stream that is
+    started again goes on from them."""
+    versions = Versions(spark, checkpoint)
+    held = versions.read("totals", versions.last())
+    return held.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in COUNTERS))
 
 
 def start_stream(
-    datagrams: DataFrame, sink: Sink, checkpoint: str, config: GateConfig = GateConfig(), trigger: dict | None = None, delay_ms: int = 600_000
+    datagrams: DataFrame, sink: Sink, checkpoint: str, config: GateConfig = GateConfig(), trigger: dict | None = None, delay_ms: int = 600_000, batch: Column | None = None
 ) -> StreamingQuery:
-    """The whole gate, with one trigger as one drain interval. ``sink`` gets each trigger's ledger and number.
-
-    A trigger is limited as a batch is, with a kernel past which rows stream, from the buckets that the trigger before has
-    left in ``checkpoint``; one that is run again starts from the same. Buckets of sources that were idle until they must
-    be full again, and ``delay_ms`` longer, are not kept.
+    """The whole gate. ``sink`` gets each trigger's ledger and number.
+
+    A trigger is limited as a batch is, from the buckets of the sources remembered, ``max_sources`` at most, and their order:
+    a source that was forgotten, in this trigger or an earlier one, comes back with a full bucket. A trigger is a drain
+    interval, or, with ``batch`` (a number of each row, such as the second of its arrival), intervals go on from one
+    trigger to the next: an interval's quotas and places are what earlier triggers have left. It is forgotten ``delay_ms``
+    after its last row, by arrival; a row that comes later still is counted, and begins it anew. Rows of a trigger may come
+    in any order; those of a later trigger stand behind it. Totals: ``live_totals``.
     """
-    idle_us = -(-config.limiter.burst_tokens * UNIT // max(config.limiter.tokens_per_sec, 1)) + 1 + delay_ms * 1000
     spark = datagrams.sparkSession
+    versions = Versions(spark, checkpoint)
 
     def drain(rows: DataFrame, number: int) -> None:
-        before = f"{checkpoint}/buckets/trigger={number - 1}"
-        buckets = spark.read.schema(BUCKETS).parquet(before) if number else spark.createDataFrame([], BUCKETS)
-        limited = limit_onwards(size_gate(open_outcome(rows), config.recv), buckets, config.limiter)
-        thin = row_stages(limited, config).withColumn("resident_miss", F.lit(None).cast("boolean")).select(*LEDGER, "carried").persist()
-        try:
-            held = thin.filter("carried is not null").select("src_ip", "src_port", F.col("carried").alias("tokens"), F.col("received_at_us").alias("last"))
-            clock = held.agg(F.max("last").alias("clock"))
-            kept = held.join(F.broadcast(clock)).filter(F.col("last") + idle_us > F.col("clock")).drop("clock")
-            kept.write.mode("overwrite").parquet(f"{checkpoint}/buckets/trigger={number}")
-            sink(bound_large_backlog(thin.filter("carried is null").drop("carried"), config.forward), number)
-        finally:
-            thin.unpersist()
+        held = []
+
+        def once(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return df
+
+        with scratch(spark):
+            try:
+                before = {kind: versions.read(kind, number - 1) for kind in STATE_KINDS}
+                limited = limit_onwards(size_gate(open_outcome(rows), config.recv), before["buckets"], config.limiter, before["known"])
+                thin = once(row_stages(limited, config).select(*LEDGER, "carried"))
+                ledger = thin.filter("carried is null").drop("carried")
+                known = once(remembered(ledger, before["known"], config.limiter))
+                versions.write("known", number, known)
+                buckets = thin.filter("carried is not null").select("src_ip", "src_port", F.col("carried").alias("tokens"), F.col("received_at_us").alias("last"))
+                versions.write("buckets", number, buckets.join(known, ["src_ip", "src_port"], "left_semi"))
+                if batch is None:
+                    bounded = once(bound_large_backlog(ledger, config.forward))
+                    begun = before["begun"]
+                else:
+                    bounded = once(bound_large_backlog(ledger, config.forward, batch.cast("long"), carried=before["begun"]))
+                    begun = once(carry_on(bounded, before["begun"]))
+                    clock = begun.agg(F.max("last").alias("clock"))
+                    begun = begun.join(F.broadcast(clock)).filter(F.col("last") + delay_ms * 1000 >= F.col("clock")).drop("clock")
+                versions.write("begun", number, begun)
+                now = pipeline_stats(bounded).unionByName(before["totals"])
+                versions.write("totals", number, now.agg(*(F.sum(name).alias(name) for name in COUNTERS)))
+                sink(bounded, number)
+            finally:
+                for df in held:
+                    df.unpersist()
+        versions.forget_before(number - 1)
 
     return datagrams.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -73,5 +73,5 @@ def test_an_interval_over_several_frames(spark, seed):
     for a, b in ((0, 70), (70, 75), (75, 210), (210, 300)):
         bounded = backlog.bound_large_backlog(frame(spark, rows[a:b]), config, "b", 5, carried)
         got |= told(bounded)
-        carried = spark.createDataFrame(backlog.carry_on(bounded, carried).collect(), "batch int, agent_id string, alive long, queued long")
+        carried = spark.createDataFrame(backlog.carry_on(bounded, carried).collect(), "batch int, agent_id string, alive long, queued long, last long")
     assert got == want

@@ -120,14 +120,14 @@ def test_stream_state_goes_with_idle_sources(spark, tmp_path):
     assert len(state) == 50 and min(state) == 100
 
 
-def test_buckets_go_with_idle_sources(spark, tmp_path):
+def test_buckets_go_with_forgotten_sources(spark, tmp_path):
     for i in range(3):
         data = spark.range(i * 50, i * 50 + 50).selectExpr("id as datagram_id", f"{i} * 3600000000 + id as received_at_us", "id as src_ip", "1 as src_port", "binary('x') as payload")
         data.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         query = jobs.start_stream(io.read_datagrams(spark, f"{tmp_path}/in", streaming=True), lambda df, n: df.count(), f"{tmp_path}/ck", GateConfig(limiter=LimiterConfig(8, 1, 2)))
         assert query.awaitTermination(120) and query.exception() is None
-    kept = [r["src_ip"] for r in spark.read.parquet(f"{tmp_path}/ck/buckets/trigger=2").collect()]
-    assert sorted(kept) == list(range(100, 150))
+    kept = [r["src_ip"] for r in spark.read.parquet(f"{tmp_path}/ck/state/version=2/buckets").collect()]
+    assert sorted(kept) == list(range(142, 150))
 
 
 def test_counts_by_own_stamp(spark, tmp_path):
