@@ -1,8 +1,9 @@
 """Bulk decoding of metrics messages (JSON bodies) to typed columns or the first error in document order.
 
-Spark's own JSON functions decode escapes, merge repeated members and give no typed first error, so a scanner over byte
-text does it, with one compiled pattern a token, in Arrow batches. Messages in the form that senders use are read by
-whole metrics instead (``plain``), with equal results.
+Spark's own JSON functions decode escapes, merge repeated members and give no typed first error. Messages in the form that
+senders use (members in one order, once each, no escapes or blanks, within all limits) match one strict pattern and are
+taken apart by built-in functions (``usual_list``, ``usual_message``). Only the others leave the JVM, in Arrow batches:
+a scanner over byte text reads them, with one compiled pattern a token, and gives the first error.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.config import MetricsLimits
+from palisade.functions.columns import bytes_as_text
 from palisade.reasons import outcome, pinned
 from palisade.schemas import PARSED_METRICS
 
@@ -24,14 +26,6 @@ _WHOLE = re.compile(r"-?[0-9]+")
 _REAL = re.compile(r"(-?[0-9]+(?:\.[0-9]*)?)(?:([eE][+-]?)([0-9]*))?")
 _AGENT = re.compile(r"[A-Za-z0-9_.-]+")
 
-# Messages as senders write them: members in this order, once each, without escapes, blanks or odd numbers.
-_STR, _INT, _NUM = r'"([^"\\]*)"', r"((?:0|[1-9][0-9]{0,17}))", r"(-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,15})?)"
-_TAG = re.compile(f"{_STR}:{_STR}")
-_PAIR = r'"[^"\\]*":"[^"\\]*"'
-_METRIC = re.compile(rf'\{{"n":{_STR},"v":{_NUM}(?:,"u":{_STR})?(?:,"t":\{{((?:{_PAIR}(?:,{_PAIR})*+)?)\}})?\}}')
-_HEAD = re.compile(rf'\{{"agent_id":"([A-Za-z0-9_.-]+)","seq":{_INT}(?:,"ts":{_INT})?,"metrics":\[')
-
-
 class Reject(Exception):
     """Carries the reason as its only argument."""
 
@@ -198,27 +192,6 @@ class _Scanner:
                 raise Reject("InvalidJson")
 
 
-def plain(text: str, limits: MetricsLimits) -> dict | None:
-    """Fields of a message in the usual form and within all limits; None for any other, which the scanner judges."""
-    head = _HEAD.match(text)
-    if not head or "t" not in limits.tag_members or len(head[1]) > limits.agent_id:
-        return None
-    out = {"agent_id": head[1], "seq": int(head[2]) % (1 << 32), "ts": int(head[3] or 0), "metrics": []}
-    at = head.end()
-    while found := _METRIC.match(text, at):
-        name, value, unit, tags = found.groups()
-        pairs = _TAG.findall(tags) if tags else []
-        if len(name) > limits.name or len(unit or "") > limits.unit or len(pairs) > limits.tags or any(len(k) > limits.tag_key or len(v) > limits.tag_value for k, v in pairs):
-            return None
-        out["metrics"].append({"name": name, "value": float(value), "unit": unit or "", "tags": [{"key": k, "value": v} for k, v in pairs]})
-        at = found.end()
-        if not text.startswith(",", at):
-            break
-        at += 1
-    # the last metric has no comma after it, and what follows the message does not matter
-    return out if found and text.startswith("]}", at) and len(out["metrics"]) <= limits.metrics else None
-
-
 def scan(body: bytes | None, limits: MetricsLimits = MetricsLimits()) -> dict | None:
     """Fields of a body, or its ``reason``; None for None."""
     if body is None:
@@ -226,8 +199,7 @@ def scan(body: bytes | None, limits: MetricsLimits = MetricsLimits()) -> dict |
     if len(body) > limits.input_bytes:
         return {"reason": "InputTooLarge"}
     try:
-        text = body.decode("latin-1")
-        return plain(text, limits) or _Scanner(text, limits).message()
+        return _Scanner(body.decode("latin-1"), limits).message()
     except Reject as e:
         return {"reason": e.args[0]}
 
@@ -249,10 +221,52 @@ def parsed_metrics(body: Column, limits: MetricsLimits = MetricsLimits()) -> Col
     return decode(body)
 
 
+_WHOLE_NUMBER, _NUMBER = "(?:0|[1-9][0-9]{0,17}+)", r"-?+(?:0|[1-9][0-9]{0,14}+)(?:\.[0-9]{1,15}+)?+"
+
+
+def _string(most: int) -> str:
+    return rf'[^"\\]{{0,{most}}}+'
+
+
+def _usual(limits: MetricsLimits, group: str = "(?:") -> tuple[str, str, str]:
+    """Patterns of a usual message's head, metric and tag, with ``group`` before what is to be taken out of them. All
+    repetitions are possessive, so a match takes time in proportion to its length."""
+    tag = rf'"{group}{_string(limits.tag_key)})":"{group}{_string(limits.tag_value)})"'
+    tags = tag.replace(group, "(?:")
+    metric = rf'\{{"n":"{group}{_string(limits.name)})","v":{group}{_NUMBER})(?:,"u":"{group}{_string(limits.unit)})")?+(?:,"t":\{{{group}(?:{tags}(?:,{tags}){{0,{max(limits.tags - 1, 0)}}}+)?+)\}})?+\}}'
+    head = rf'\A\{{"agent_id":"{group}[A-Za-z0-9_.-]{{1,{limits.agent_id}}}+)","seq":{group}{_WHOLE_NUMBER})(?:,"ts":{group}{_WHOLE_NUMBER}))?+,"metrics":\['
+    return head, metric, tag
+
+
+def usual_list(text: Column, limits: MetricsLimits = MetricsLimits()) -> Column:
+    """The metrics of a message in the usual form, as text; empty for any other. What follows a message is not looked at."""
+    head, metric, _ = _usual(limits)
+    return F.regexp_extract(text, rf"{head}({metric}(?:,{metric}){{0,{limits.metrics - 1}}}+)\]\}}", 1)
+
+
+def usual_message(text: Column, listed: Column, limits: MetricsLimits = MetricsLimits()) -> Column:
+    """The same struct as the scanner's, of a usual message and its ``usual_list``."""
+    head, metric, tag = _usual(limits, "(")
+    part = lambda i: F.regexp_extract(text, head, i)
+    of = lambda where, pattern, i: F.regexp_extract_all(where, F.lit(pattern), F.lit(i))
+    tags = lambda given: F.zip_with(of(given, tag, 1), of(given, tag, 2), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    each = F.arrays_zip(*(of(listed, metric, i).alias(name) for i, name in enumerate(("name", "value", "unit", "tags"), 1)))
+    metrics = F.transform(each, lambda m: F.struct(m["name"].alias("name"), m["value"].cast("double").alias("value"), m["unit"].alias("unit"), tags(m["tags"]).alias("tags")))
+    seq = F.pmod(part(2).cast("long"), F.lit(1 << 32))
+    stamp = F.when(part(3) == "", F.lit(0)).otherwise(part(3).cast("long"))
+    return F.struct(F.lit(None).cast("string").alias("reason"), part(1).alias("agent_id"), seq.alias("seq"), stamp.cast("decimal(20,0)").alias("ts"), metrics.alias("metrics")).cast(PARSED_METRICS)
+
+
 def decode_metrics(df: DataFrame, limits: MetricsLimits = MetricsLimits()) -> DataFrame:
-    """Add agent_id, seq, ts and metrics to rows of type ``metrics``; the scanner sees no other body."""
+    """Add agent_id, seq, ts and metrics to rows of type ``metrics``; the scanner sees the bodies that are not usual."""
     df = pinned(df, "drop_stage", "drop_reason")
     mine = F.col("drop_reason").isNull() & (F.col("msg_type") == "metrics")
-    df = df.withColumn("_m", parsed_metrics(F.when(mine, F.col("body")), limits))
+    usual = "t" in limits.tag_members and limits.metrics > 0 and limits.tags > 0
+    text = bytes_as_text(F.col("body"))
+    listed = usual_list(F.when(mine & (F.octet_length("body") <= limits.input_bytes), text), limits) if usual else F.lit("")
+    df = pinned(df.withColumn("_listed", F.coalesce(listed, F.lit(""))), "_listed")
+    own = F.when(F.col("_listed") != "", usual_message(text, F.col("_listed"), limits)) if usual else F.lit(None).cast(PARSED_METRICS)
+    df = df.withColumn("_m", parsed_metrics(F.when(mine & (F.col("_listed") == ""), F.col("body")), limits))
+    df = pinned(df.withColumn("_m", F.coalesce("_m", own)).drop("_listed"), "_m")
     df = df.withColumns({"metrics_agent": F.col("_m.agent_id"), "seq": F.col("_m.seq"), "metrics_ts": F.col("_m.ts"), "metrics": F.col("_m.metrics")})
     return pinned(outcome(df, "parse_metrics", F.col("_m.reason")).drop("_m"), "drop_stage", "drop_reason")

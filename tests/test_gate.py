@@ -349,11 +349,11 @@ def test_limiter_goes_on_from_trigger_to_trigger(spark):
     assert {r["datagram_id"]: r["admitted"] for r in late if r["carried"] is None} == {1: False, 2: False}  # 5 ms are half a token
 
 
-def test_plain_messages_equal_the_scanner():
+def test_usual_messages_equal_the_scanner(spark):
     rng = random.Random(3)
     text = lambda most: "".join(rng.choices("ab1_.é ", k=rng.randint(0, most)))
     number = lambda: rng.choice(["0", "-0", "7", "-1.5", "123456789012345", "0.000001"] * 5 + ["1e3", "01", "1."])
-    taken = 0
+    bodies = []
     for _ in range(4000):
         tags = [f'"{text(rng.choice([3] * 9 + [66]))}":"{text(4)}"' for _ in range(rng.choice([0, 1, 2, 3, 9]))]
         metrics = [f'{{"n":"{text(rng.choice([4] * 9 + [130]))}","v":{number()}' + rng.choice(["", f',"u":"{text(5)}"'] * 4 + [',"u":"' + "u" * 17 + '"']) + rng.choice(["", ',"t":{' + ",".join(tags) + "}"]) + "}" for _ in range(rng.choice([0, 1, 2, 3, 51]))]
@@ -361,11 +361,23 @@ def test_plain_messages_equal_the_scanner():
         for _ in range(rng.choice([0, 0, 1])):
             at = rng.randrange(len(body))
             body = body[:at] + rng.choice(['"', "\\", ",", "}", " ", ""]) + body[at + 1 :]
-        limits = MetricsLimits()
-        found = decode_metrics.plain(body, limits)
-        taken += found is not None
-        assert found in (None, decode_metrics._Scanner(body, limits).message() if found else None), body
-    assert taken > 200
+        bodies.append((len(bodies), "metrics", bytearray(body.encode("latin-1"))))
+    limits = MetricsLimits()
+    df = open_outcome(spark.createDataFrame(bodies, "i long, msg_type string, body binary"))
+    listed = decode_metrics.usual_list(decode_metrics.bytes_as_text(F.col("body")), limits)
+    taken = {r["i"]: r["l"] for r in df.select("i", listed.alias("l")).collect()}
+    for r in decode_metrics.decode_metrics(df, limits).collect():
+        want = scan(bytes(bodies[r["i"]][2]), limits)
+        assert r["drop_reason"] == want.get("reason"), bodies[r["i"]]
+        if "reason" not in want:
+            assert (r["metrics_agent"], r["seq"], r["metrics_ts"]) == (want["agent_id"], want["seq"], want["ts"])
+            assert [m.asDict(recursive=True) for m in r["metrics"]] == want["metrics"], bodies[r["i"]]
+        assert not taken[r["i"]] or "reason" not in want
+    plan = decode_metrics.decode_metrics(df, limits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    other = decode_metrics.decode_metrics(df, MetricsLimits(tag_members=("tags",))).filter("drop_reason is null").count()
+    assert other <= sum("reason" not in scan(bytes(b[2])) for b in bodies)
+    assert sum(map(bool, taken.values())) > 200
 
 
 def test_numbers_with_many_digits():
