@@ -30,7 +30,7 @@ from palisade.llm.common import materialise
 
 BROADCAST_SOURCES = 100_000
 #: Largest exponent; exponents weighed in one job (so many, and one more, parts of an interval); precision in decimals.
-MOST, AT_ONCE, DECIMALS = 1024, 31, 6
+MOST, AT_ONCE, DECIMALS = 1024, 255, 6
 BLOCK_DOCS = 1024
 
 
@@ -54,23 +54,20 @@ def exponent(sums: DataFrame, entropy: float | None = None, repeats: float | Non
         return 1.0, 1.0
     ratio = F.col("t") / top  # at most 1, so that no power overflows and the largest never vanishes
 
+    # exponents are rows, so that the plan is small however many are weighed
     def reached(alphas: list[float]) -> list[bool]:
-        """Whether the sought exponent is at most each of these: one job, three sums for each."""
-
-        def sums_of(a: float) -> Column:
-            power, rest = F.pow(ratio, F.lit(a)), F.pow(ratio, F.lit(a - 1))
-            return F.struct(F.sum(power).alias("z"), F.sum(power * F.log(ratio)).alias("h"), F.max(rest).alias("high"), F.min(rest).alias("low"))
-
-        row = some.agg(*(sums_of(a).alias(f"a{i}") for i, a in enumerate(alphas)))
-        z, h, high, low = (lambda i: F.col(f"a{i}.z")), (lambda i: F.col(f"a{i}.h")), (lambda i: F.col(f"a{i}.high")), (lambda i: F.col(f"a{i}.low"))
+        """Whether the sought exponent is at most each of these: one job."""
+        tried = some.select(ratio.alias("ratio"), F.posexplode(F.array(*map(F.lit, alphas))).alias("i", "a"))
+        power, rest = F.pow("ratio", "a"), F.pow(F.col("ratio"), F.col("a") - 1)
+        sums = tried.groupBy("i", "a").agg(F.sum(power).alias("z"), F.sum(power * F.log("ratio")).alias("h"), F.max(rest).alias("high"), F.min(rest).alias("low"))
         if entropy is not None:
             # sum of -w ln w, with w = ratio ** alpha / z
-            tests = [F.log(z(i)) - F.lit(a) / z(i) * h(i) <= F.lit(entropy) * F.log(F.lit(float(n))) for i, a in enumerate(alphas)]
+            test = F.log("z") - F.col("a") / F.col("z") * F.col("h") <= F.lit(entropy) * F.log(F.lit(float(n)))
         elif budget == "cover":
-            tests = [high(i) / low(i) <= repeats for i in range(len(alphas))]
+            test = F.col("high") / F.col("low") <= repeats
         else:
-            tests = [high(i) / z(i) * (total if budget == "corpus" else budget) / top <= repeats for i in range(len(alphas))]
-        return list(row.select(*(t.alias(f"t{i}") for i, t in enumerate(tests))).first())
+            test = F.col("high") / F.col("z") * (total if budget == "corpus" else budget) / top <= repeats
+        return [r["ok"] for r in sorted(sums.select("i", test.alias("ok")).collect())]
 
     lo, hi = 0.0, 1.0
     if entropy is not None:
