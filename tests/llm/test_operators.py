@@ -1000,7 +1000,7 @@ def test_rollups_of_null_source_and_language(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         common.table(spark, DATA, table).limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
@@ -1008,7 +1008,7 @@ def test_empty_tables(spark, tmp_path, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     df, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLES[name])
     order = sorted(df.columns)
