@@ -15,8 +15,9 @@ host's pages (and don't lead to its winner); and containers whose class, id or r
 only, ``cookie-notice`` say. That last is a guess which a host's pages overrule: where such containers hold most of the
 host's prose, they are its text.
 
-Winners are broadcast only while there are at most ``BROADCAST_HOSTS`` hosts; beyond, those of hosts with more than
-``LARGE_HOST`` pages are, and the others are joined by host, so that no task gets a large host's pages.
+Winners are broadcast only while there are at most ``BROADCAST_HOSTS`` hosts, with paths of ``BROADCAST_CHARS`` characters
+in all; beyond, those of hosts with more than ``LARGE_HOST`` pages are, and the others are joined by host, so that no
+task gets a large host's pages. Containers deeper than ``DEPTH`` are none of their own, so paths are bounded.
 Null html has the empty text. A null url, or one without ``://``, has the host ''. Rows are extracted each by itself,
 so repeated rows get equal results (and vote as often as they stand); an empty table gives no rows. Long pages are read
 whole, in time proportional to their length. Only page_id, url and html are read, so other columns can't clash.
@@ -26,9 +27,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 from palisade.llm.common import materialise, small_batches, text_slices
 from palisade.llm.url_rules import split_url
 
-BROADCAST_HOSTS, LARGE_HOST = 50_000, 10_000
+BROADCAST_HOSTS, BROADCAST_CHARS, LARGE_HOST = 50_000, 1 << 26, 10_000
+#: Containers that stand in one another; what is deeper belongs to the innermost of them. Characters of a step's classes.
+DEPTH, STEP_CHARS = 64, 64
 #: A path repeats a text if so large a part of its pages, which are so many at least and so large a part of the host's,
 #: have that text; and how much repetition takes from a path's votes.
 REPEATED, REPEATED_PAGES, REPEATED_PART, REPEATED_COST = 0.8, 5, 0.1, 0.9
@@ -196,6 +200,7 @@ class Page:
     containers: list[Container]
     blocks: list[tuple[int, str, int]]
 
+    @cached_property
     def paths(self) -> list[str]:
         out: list[str] = []
         for c in self.containers:
@@ -205,7 +210,7 @@ class Page:
     def boilers(self, guesses: bool = True, trusted: frozenset[str] = frozenset(), repeated: frozenset[str] = frozenset()) -> list[bool]:
         """Which containers are boilerplate. ``guesses``: believe names, except under the paths ``trusted``."""
         out: list[bool] = []
-        for c, path in zip(self.containers, self.paths()):
+        for c, path in zip(self.containers, self.paths):
             out.append(c.parent >= 0 and out[c.parent] or c.boiler or guesses and c.guessed and path not in trusted or path in repeated)
         return out
 
@@ -221,13 +226,17 @@ def is_guessed(names: str, inside_article: bool = False) -> bool:
 
 
 def step_of(tag: Tag) -> str:
-    """A tag with its classes, digits generalised."""
-    return ".".join([tag.name, *sorted({DIGITS.sub("#", c) for c in tag.named.get("class", "").split()})])
+    """A tag with its classes, digits generalised; of long ones, a hash of them."""
+    classes = ".".join(sorted({DIGITS.sub("#", c) for c in tag.named.get("class", "").split()}))
+    if len(classes) > STEP_CHARS:
+        classes = f"~{xxhash.xxh64_hexdigest(classes)}"
+    return f"{tag.name}.{classes}" if classes else tag.name
 
 
 def read_page(source: str) -> Page:
     containers, blocks = [Container("", -1, False, False)], []
-    stack = [(0, "")]
+    stack = [(0, "", False)]  # container, tag, whether it is an article or in one
+    deeper: Counter[str] = Counter()  # open tags past DEPTH
     held: list[tuple[str, bool]] = []
     links, block = 0, 0  # block: the container of a block of its own, 0 for the innermost open one
 
@@ -275,7 +284,7 @@ def read_page(source: str) -> Page:
             held.append((" ", False))
         elif tag in BREAKS:
             close_block()
-        inside = any(t in ("article", "main") for _, t in stack)
+        inside = stack[-1][2]
         names = " ".join(m.named.values())
         if tag not in CONTAINERS:
             # a paragraph or the like with a telling name is a container of its block
@@ -286,13 +295,18 @@ def read_page(source: str) -> Page:
         links = 0
         if m.close:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == tag), 0)
-            if depth:
+            if deeper[tag]:
+                deeper[tag] -= 1
+            elif depth:
                 del stack[depth:]
+                deeper.clear()
+        elif not m.closed and len(stack) > DEPTH:
+            deeper[tag] += 1
         elif not m.closed:
             boiler = tag in BOILER_TAGS or tag == "header" and not inside
             guessed = bool(names) and tag not in ("html", "body") and is_guessed(names, inside)
             containers.append(Container(step_of(m), stack[-1][0], boiler, guessed))
-            stack.append((len(containers) - 1, tag))
+            stack.append((len(containers) - 1, tag, inside or tag in ("article", "main")))
     if at < len(source) and head != 1:
         held.append((source[at:], links > 0))
     close_block()
@@ -367,7 +381,7 @@ def votes_of(source: str | None) -> dict[str, tuple[int, int, Vote]]:
     if not source:
         return {}
     page = read_page(source)
-    paths, plain = page.paths(), page.boilers(guesses=False)
+    paths, plain = page.paths, page.boilers(guesses=False)
     prose = own_prose(page, plain)
     beneath = list(prose)
     for i in range(len(paths) - 1, 0, -1):
@@ -398,7 +412,7 @@ def text_of(source: str | None, path: str | None, trusted: list[str] | None = No
     if not source:
         return "", False
     page = read_page(source)
-    paths = page.paths()
+    paths = page.paths
     # what leads to the winner is no boilerplate
     again = frozenset(p for p in repeated or () if path is None or path != p and not path.startswith(f"{p}>"))
     boilers = page.boilers(trusted=frozenset(trusted or ()), repeated=again)
@@ -486,7 +500,9 @@ def main_text(df: DataFrame) -> DataFrame:
     after = F.regexp_extract(F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(""), r"\A[^/?#]*", 0)
     host = F.translate(F.coalesce(after, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     pages = pages.withColumn("host", host)
-    if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    chars = F.length(F.concat_ws("", F.array("path"), "trusted", "repeated")).cast("long")
+    hosts, size = winners.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    if hosts <= BROADCAST_HOSTS and size <= BROADCAST_CHARS:
         joined = pages.join(F.broadcast(winners), "host", "left")
     else:
         # one large host for each LARGE_HOST pages at most

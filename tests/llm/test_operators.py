@@ -712,6 +712,15 @@ def test_html_hostile_pages():
         began = time.time()
         html_text.text_of(part * (1_000_000 // len(part)), None)
         assert time.time() - began < 10, part
+    for part in ("<div>", "<div class=abc>", "<article>", "<section><div>", "<ul><li>", "<div><p class=ad>x", "<table><tr><td>"):
+        source = f"{part * (1_000_000 // len(part))}<p>the innermost text"
+        began = time.process_time()
+        assert html_text.text_of(source, None)[0].endswith("the innermost text") and html_text.votes_of(source)
+        assert time.process_time() - began < 30, part
+        assert max(map(len, html_text.read_page(source).paths)) < 2000
+    deep = "<main>" + "<div>" * 90 + "<p>deep words here" + "</div>" * 90 + "<p>and after</main><footer>none</footer>"
+    assert html_text.text_of(deep, None)[0] == "deep words here and after"
+    assert html_text.step_of(next(iter([html_text.Tags(f"<div class='{'long ' * 3}{'x' * 99}'>").next(0)]))).startswith("div.~")
     cases = {
         "<p title=it's>hello": "hello", "<p title=a'b class=x>one<p>it's": "one it's", '<p title="a>b">one': "one", "<p title=\"it's>one<p>two": "one two", "<p data-x='>'/>one": "one", "<p class=a/b>one</p >two": "one two",
         "a < b <c>d": "a < b d", "<!-->one--><!-- x --!> --><p>two": "one--> two", "</ p>one</>two<?php x ?>three": "one two three", "<p a= 'x>y' b = \"<p>\">one": "one", "<p x=\"1\"y='2'>one": "one",
