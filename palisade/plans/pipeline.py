@@ -49,14 +49,18 @@ class Result:
         return stats.pipeline_stats(self.ledger)
 
 
-def run_batch(datagrams: DataFrame, config: GateConfig = GateConfig(), batch: Column | None = None, limit: bool = True, one_batch: bool = False) -> Result:
+def run_batch(
+    datagrams: DataFrame, config: GateConfig = GateConfig(), batch: Column | None = None, limit: bool = True, one_batch: bool = False, large: bool = False, many: bool | None = None
+) -> Result:
     """Gate, limit, decode, validate, normalise and bound, each row once: one shuffle by source, one by drain interval.
 
-    ``batch`` is the drain interval of a row (default: a second of arrival); an interval's rows are bounded in one task,
-    so where all rows are one interval, of any size, say ``one_batch`` instead."""
+    ``batch`` is the drain interval of a row (default: a second of arrival); an interval's rows are bounded in one task, so
+    where they are too many for that say ``large``, or ``one_batch`` where all rows are one interval. ``many``: whether there
+    are more sources than the limiter remembers, which is counted where it is not said."""
     df = size_gate(open_outcome(datagrams), config.recv)
-    df = limiter.rate_limit(df, config.limiter) if limit else df.withColumns({"admitted": F.lit(None).cast("boolean"), "resident_miss": F.lit(None).cast("boolean")})
+    df = limiter.rate_limit(df, config.limiter, many=many) if limit else df.withColumns({"admitted": F.lit(None).cast("boolean"), "resident_miss": F.lit(None).cast("boolean")})
     thin = row_stages(df, config).select(*LEDGER)
     if one_batch:
         return Result(backlog.bound_large_backlog(thin, config.forward))
-    return Result(backlog.bound_backlog(thin, F.expr("received_at_us div 1000000") if batch is None else batch, config.forward))
+    interval = F.expr("received_at_us div 1000000") if batch is None else batch
+    return Result(backlog.bound_large_backlog(thin, config.forward, interval) if large else backlog.bound_backlog(thin, interval, config.forward))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from palisade.functions import columns as C
 from palisade.operators import backlog, decode_logs, decode_metrics, envelope, limiter, normalise, stats, validate
 from palisade.plans.pipeline import run_batch, row_stages
 from palisade.reasons import outcome, split
+from palisade.sources import event_sink
 from palisade.sources.captured import START_MS, captured_datagrams
+from palisade.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,6 +315,26 @@ def bound_large_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.bound_large_backlog(_thin(spark, sf_dir), QUEUE).select("datagram_id", "drop_reason", "forwarded_order")
 
 
+_BATCHES = f"""WITH {_FIELDS}, {_QUEUE_ALL}
+SELECT j.datagram_id, j.datagram_id // 500 AS batch, coalesce(j.drop_reason, q.queue_reason) AS drop_reason, CASE WHEN q.queued THEN q.place END::BIGINT AS forwarded_order
+FROM judged j LEFT JOIN queue q ON j.datagram_id = q.datagram_id"""
+
+
+@query(_BATCHES)
+def bound_backlog_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals with ranks that are made of parts, so that none needs a task of its own."""
+    return backlog.bound_large_backlog(_thin(spark, sf_dir), QUEUE, F.expr("datagram_id div 500")).select("datagram_id", "batch", "drop_reason", "forwarded_order")
+
+
+@query(_BATCHES)
+def carried_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same intervals in two frames, each of which has a half of every interval; the second goes on from the first."""
+    thin, batch = _thin(spark, sf_dir), F.expr("datagram_id div 500")
+    first = backlog.bound_large_backlog(thin.filter("datagram_id % 500 < 250"), QUEUE, batch)
+    second = backlog.bound_large_backlog(thin.filter("datagram_id % 500 >= 250"), QUEUE, batch, carried=backlog.carry_on(first))
+    return first.unionByName(second).select("datagram_id", "batch", "drop_reason", "forwarded_order")
+
+
 @query(f"""WITH {_FIELDS}, {_QUEUE_ALL} SELECT batch, agent AS agent_id, count(*) FILTER (queued) AS in_flight,
   count(*) FILTER (queue_reason = 'DroppedAgentQuotaExceeded') AS quota_rejections FROM queue GROUP BY batch, agent""")
 def agent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,6 +380,14 @@ def drained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("datagram_id", "agent_id", "event_json", "batch", "forwarded_order")
 
 
+@query(f"WITH RECURSIVE {_LEDGER} SELECT batch, place::BIGINT AS forwarded_order, event_json AS line FROM queue WHERE queued")
+def written_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the sink with its own commit has written, read back."""
+    path = f"{shared_dir(spark)}/event-lines-{uuid.uuid4().hex}"
+    event_sink.write_lines(_ledger(spark, sf_dir), path)
+    return event_sink.read_lines(spark, path).withColumn("line", F.col("line").cast("string"))
+
+
 @query(f"WITH RECURSIVE {_LEDGER} SELECT {_COUNTS} FROM ledger")
 def pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.pipeline_stats(_ledger(spark, sf_dir))
