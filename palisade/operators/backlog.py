@@ -21,9 +21,10 @@ QUOTA, FULL = "DroppedAgentQuotaExceeded", "DroppedQueueFull"
 def bound_backlog(df: DataFrame, batch: Column | str, config: ForwardConfig = ForwardConfig()) -> DataFrame:
     """Drop events beyond an agent's quota or the queue's depth; the quota is tested first, and an event that finds the
     queue full holds no place in its agent's. Adds ``batch`` and ``forwarded_order`` (1 for the first to leave a batch).
-    Rows dropped before are not queued, but stay in the frame; one shuffle by batch serves all that is counted."""
-    df = df.withColumn("batch", batch if isinstance(batch, Column) else F.col(batch)).repartition("batch")
-    by_agent, by_batch = W.partitionBy("batch", "agent_id").orderBy(*ARRIVAL), W.partitionBy("batch").orderBy(*ARRIVAL)
+    Rows dropped before are not queued, but stay in the frame, dealt evenly; one shuffle by batch serves all that is counted."""
+    dealt = F.when(F.col("drop_reason").isNotNull(), F.xxhash64(*ARRIVAL))
+    df = df.withColumn("batch", batch if isinstance(batch, Column) else F.col(batch)).withColumn("_spread", dealt).repartition("batch", "_spread")
+    by_agent, by_batch = W.partitionBy("batch", "_spread", "agent_id").orderBy(*ARRIVAL), W.partitionBy("batch", "_spread").orderBy(*ARRIVAL)
     so_far = W.unboundedPreceding, W.currentRow
     df = df.withColumn("_pass", within_quota(by_agent, config).cast("int"))
     df = df.withColumn("_place", F.sum("_pass").over(by_batch.rowsBetween(*so_far)))
@@ -31,7 +32,7 @@ def bound_backlog(df: DataFrame, batch: Column | str, config: ForwardConfig = Fo
     df = df.withColumn("_held", F.coalesce(F.sum("_queued").over(by_agent.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     refused = F.when(F.col("_queued") == 0, F.when(F.col("_held") >= config.max_per_agent, F.lit(QUOTA)).otherwise(F.lit(FULL)))
     df = df.withColumn("forwarded_order", F.when(F.col("_queued") == 1, F.col("_place")))
-    return outcome(df, "forward", refused).drop("_pass", "_place", "_queued", "_held")
+    return outcome(df, "forward", refused).drop("_pass", "_place", "_queued", "_held", "_spread")
 
 
 def within_quota(by_agent: W, config: ForwardConfig) -> Column:
