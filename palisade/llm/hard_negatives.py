@@ -43,8 +43,9 @@ SAMPLE, SAMPLE_COMPONENTS, STEPS = 16_384, 1 << 23, 4
 LEAST_ENTRIES, MOST_ENTRIES, ROWS_A_CELL = 8, 256, 64
 #: Rows that a first visit sees for each row asked for.
 PROBE = 64
-#: Rows of a block, queries that one task passes by a block, and queries whose scores with a block are worked out at once.
-LEAST_BLOCK, MOST_BLOCK, QUERIES, QUERY_ROWS = 1024, 1 << 16, 1 << 16, 64
+#: Rows of a block, and components of more than the least; queries that one task passes by a block, and queries whose
+#: scores with a block are worked out at once.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_COMPONENTS, QUERIES, QUERY_ROWS = 1024, 1 << 16, 1 << 22, 1 << 16, 64
 POSITIVES, NEGATIVES, EVERY = 5, 10, 100
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
@@ -159,7 +160,7 @@ def build(rows: DataFrame, dims: int) -> tuple[DataFrame, HalfIndex]:
         count[r["cell"]] = r["n"]
         for half, at in enumerate(divmod(r["cell"], across)):
             radii[half][at] = max(radii[half][at], r[f"far{half + 1}"])
-    size = int(min(max(n // (4 * partitions(rows.sparkSession)), LEAST_BLOCK), MOST_BLOCK))
+    size = int(min(max(n // (4 * partitions(rows.sparkSession)), LEAST_BLOCK), MOST_BLOCK, max(LEAST_BLOCK, BLOCK_COMPONENTS // dims)))
     # neighbouring cells share a block while they fill it at most; a larger cell has blocks of its own
     block, blocks, at, filled = np.zeros(len(count), np.int64), np.ones(len(count), np.int64), 0, 0
     for cell in np.flatnonzero(count):
