@@ -23,8 +23,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.4
 #: Near duplicates: word shingles and percent of Jaccard similarity.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: No source is taken more often than this at the budget, which is the least that takes every document.
-MOST_REPEATS = 1.1
+#: The mixture is as even as it can be if no source is taken more often than this, and the budget is the least that takes
+#: every document. Up to about four passes over the same text are as good as new text to a model.
+MOST_REPEATS = 4
+#: Sources that hold this part of all tokens together are taken as often as that, and leave the exponent to the others.
+RARE = 0.01
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: small sources up to MOST_REPEATS times as often as the largest."""
-    mixed = mixing.mix(docs, repeats=MOST_REPEATS, budget="cover", keep=(F.struct(*COLUMNS).alias("row"),))
+    mixed = mixing.mix(docs, repeats=MOST_REPEATS, budget="cover", rare=RARE, keep=(F.struct(*COLUMNS).alias("row"),))
     return mixed.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 

@@ -7,6 +7,8 @@
    above 1 it sharpens them, so a target is met on either side of the corpus's own entropy; the bracket's upper end is
    doubled until it holds the target. A target below the entropy of the largest sources alone can't be met: then the
    exponent is ``MOST`` (they share the mixture evenly). A single source has the exponent 1.
+   A limit on repeats would let one tiny source keep the exponent near 1 for all others: sources that hold the part
+   ``rare`` of all tokens, at most, may be beyond it, and are taken as often as the limit says.
 3. A source's quota is its weight times the token budget. Its documents are dealt to blocks by a hash of doc_id, and
    blocks and documents within them are put in an order of hashes (a permutation that no row order changes). Whole
    passes and then a prefix of the permutation meet the quota: ``copies`` says how often each document is taken.
@@ -44,10 +46,13 @@ def luck(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def exponent(sums: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | str = "corpus") -> tuple[float, float]:
+def exponent(sums: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | str = "corpus", rare: float = 0.0) -> tuple[float, float]:
     """The exponent, and the sum of (tokens / largest tokens) ** exponent, from rows (source, tokens); pass either
     ``entropy`` or ``repeats``. ``budget``: tokens of the mixture, "corpus" (as many as there are) or "cover" (the
-    least at which every source is taken once)."""
+    least at which every source is taken once). ``rare``, for repeats at "cover": the part of all tokens that sources
+    beyond the limit may hold."""
+    if rare and (repeats is None or budget != "cover"):
+        raise ValueError("rare goes with a limit on repeats at the budget that covers every source")
     some = sums.filter("tokens > 0").select(F.col("tokens").cast("double").alias("t"))
     n, total, top = some.agg(F.count("*"), F.sum("t"), F.max("t")).first()
     if n < 2:
@@ -59,10 +64,13 @@ def exponent(sums: DataFrame, entropy: float | None = None, repeats: float | Non
         """Whether the sought exponent is at most each of these: one job."""
         tried = some.select(ratio.alias("ratio"), F.posexplode(F.array(*map(F.lit, alphas))).alias("i", "a"))
         power, rest = F.pow("ratio", "a"), F.pow(F.col("ratio"), F.col("a") - 1)
-        sums = tried.groupBy("i", "a").agg(F.sum(power).alias("z"), F.sum(power * F.log("ratio")).alias("h"), F.max(rest).alias("high"), F.min(rest).alias("low"))
+        beyond = F.sum(F.when(rest > repeats, F.col("ratio")).otherwise(0.0)) if rare else F.lit(0.0)
+        sums = tried.groupBy("i", "a").agg(F.sum(power).alias("z"), F.sum(power * F.log("ratio")).alias("h"), F.max(rest).alias("high"), F.min(rest).alias("low"), beyond.alias("beyond"))
         if entropy is not None:
             # sum of -w ln w, with w = ratio ** alpha / z
             test = F.log("z") - F.col("a") / F.col("z") * F.col("h") <= F.lit(entropy) * F.log(F.lit(float(n)))
+        elif rare:  # the largest source is taken once, so that this is how often the others are
+            test = F.col("beyond") * top <= rare * total
         elif budget == "cover":
             test = F.col("high") / F.col("low") <= repeats
         else:
@@ -84,13 +92,17 @@ def exponent(sums: DataFrame, entropy: float | None = None, repeats: float | Non
     return alpha, some.agg(F.sum(F.pow(ratio, F.lit(alpha)))).first()[0]
 
 
-def source_weights(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | str = "corpus") -> DataFrame:
+def source_weights(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | str = "corpus", rare: float = 0.0) -> DataFrame:
     """(source, n_docs, tokens, share, alpha, weight, quota) by source, from rows (source, n_tokens)."""
     sums = materialise(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens")), "source-sums")
-    alpha, norm = exponent(sums, entropy, repeats, budget)
+    alpha, norm = exponent(sums, entropy, repeats, budget, rare)
     total, top = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("tokens"), F.lit(0))).first()
     some = F.col("tokens") > 0
-    weight = F.when(some, F.pow(F.col("tokens") / top, F.lit(alpha)) / norm).otherwise(F.lit(0.0))
+    power = F.pow(F.col("tokens") / top, F.lit(alpha))
+    if rare:
+        power = F.least(power, F.col("tokens") / top * repeats)
+        norm = sums.filter(some).agg(F.coalesce(F.sum(power), F.lit(1.0))).first()[0]
+    weight = F.when(some, power / norm).otherwise(F.lit(0.0))
     out = sums.select("source", "n_docs", "tokens", F.when(some, F.col("tokens") / total).otherwise(F.lit(0.0)).alias("share"), F.lit(alpha).alias("alpha"), weight.alias("weight"))
     size = total if budget == "corpus" else budget
     if budget == "cover":
@@ -125,10 +137,10 @@ def count_tokens(df: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens"), *keep)
 
 
-def mix(df: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | str = "corpus", seed: str = "mix", keep: tuple[Column, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, entropy: float | None = None, repeats: float | None = None, budget: int | str = "corpus", seed: str = "mix", keep: tuple[Column, ...] = (), rare: float = 0.0) -> DataFrame:
     """doc_id, source, n_tokens, block, copies (and the columns ``keep``) of every row of ``df`` (doc_id, source, text)."""
     thin = materialise(count_tokens(df), "token-counts")
-    weights = source_weights(thin, entropy, repeats, budget)
+    weights = source_weights(thin, entropy, repeats, budget, rare)
     return realise(count_tokens(df, keep) if keep else thin, thin, weights, seed)
 
 

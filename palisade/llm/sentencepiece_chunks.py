@@ -8,7 +8,8 @@ text is its chunks' (``ChunkTable`` checks the model for this).
 2. The most frequent ones, ``TABLE_CHUNKS`` at most, are segmented once each, in Spark, and broadcast with their ids
    (chunks of ``CHUNK_BYTES`` at most, which bounds the table). All others are segmented where they are met, once for each
    slice of texts.
-3. A slice of texts is cut into chunks, and its distinct chunks' ids are put in their places by position.
+3. A slice of texts is cut into chunks, and its distinct chunks' ids are put in their places by position. Equal texts of a
+   slice, as a mixture has them side by side, are counted and cut once.
 
 The tail stays with the tasks because joining it to its places would shuffle every text and its ids.
 
@@ -128,7 +129,7 @@ def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in text_slices(batch, "text"):
-            flat = pa.array(list(chain.from_iterable(marked(part.column(0).to_pylist()))), pa.string())
+            flat = pa.array(list(chain.from_iterable(marked(part.column(0).unique().to_pylist()))), pa.string())
             found = pc.value_counts(flat.filter(pc.less_equal(pc.binary_length(flat), CHUNK_BYTES)))
             held.append(pa.table({"chunk": found.field(0), "n": found.field(1)}))
             size += len(found)
@@ -179,17 +180,18 @@ def encode(df: DataFrame, model_path: str, keep_ids: bool = True, keep_text: boo
         table = table_of(name, shared.value, frequent.value)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids, written, decoded = table.encode(part.column(1).to_pylist())
-                sha = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
+                texts = part.column(1).dictionary_encode(null_encoding="encode")
+                ids, written, decoded = table.encode(texts.dictionary.to_pylist())
+                sha = lambda values: pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string())
+                found = [
+                    pc.list_value_length(ids).cast(pa.int64()),
+                    ids if keep_ids else pa.nulls(len(ids), ids.type),
+                    sha(written),
+                    pa.array(decoded if keep_text else [None] * len(ids), pa.string()),
+                    sha(decoded),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pc.list_value_length(ids).cast(pa.int64()),
-                        ids if keep_ids else pa.nulls(len(ids), ids.type),
-                        sha(written),
-                        pa.array(decoded if keep_text else [None] * len(ids), pa.string()),
-                        sha(decoded),
-                    ],
+                    [part.column(0), *(c.take(texts.indices) for c in found)],
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"],
                 )
 

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what the one before kept."""
 
 import hashlib
+import math
 import os
 
 import public_tokenizers
@@ -84,6 +85,21 @@ def test_rows_without_id_lose_only_their_own_bytes(spark):
     assert all(r["text"] in ("x", "x ") for r in out if r["doc_id"] == 7)
 
 
+def test_small_sources_are_mixed_in(spark):
+    """Sources of unlike sizes come out as even as four passes allow, and one of a single word doesn't keep them from it."""
+    docs = {"big": 60, "middle": 18, None: 1} | {f"small{k}": 6 for k in range(5)}
+    rows = [(1000 * i + k, " ".join(f"w{i}x{k}y{j}" for j in range(20 if s else 1)), "en", s, 0) for i, (s, n) in enumerate(docs.items()) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix_sources(spark, df, DATA).collect()
+    assert {(r["doc_id"], r["text"], r["source"]) for r in out} == {(d, t, s) for d, t, _, s, _ in rows}
+    words = {s: sum(len(r["text"].split()) for r in out if r["source"] == s) for s in docs}
+    assert {words[s] for s in docs if s and s.startswith("small")} == {4 * 6 * 20} and words["big"] == 60 * 20 and words[None] == 4
+    # the exponent that takes the small sources four times
+    alpha = 1 - math.log(4) / math.log(60 / 6)
+    assert 0 <= words["middle"] - 60 * 20 * (18 / 60) ** alpha < 20
+    assert (words["big"] + words["middle"]) / sum(words.values()) < 0.45 < 0.7 < (60 + 18) / sum(docs.values())
+
+
 def test_run_leaves_one_table_of_stages(spark):
     folder = common.shared_dir(spark).removeprefix("file://")
     before = set(os.listdir(folder))
