@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -37,18 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Whether a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that ``materialise`` writes inside a ``scratch`` block of the same thread.
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Cut lineage with a table written in the shared folder, which outlives lost executors. ``keep``: past a ``scratch``
-    block too."""
+    block too. What the write shuffles goes as soon as it is done, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if not keep and (held := _scratch.get()) is not None:
         held.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 
@@ -70,6 +77,21 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path_of(path).getFileSystem(conf).delete(path_of(path), True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove what ``materialise`` returned, once nothing is to be computed from it any more."""
+    for df in tables:
+        remove(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+def settled(spark: SparkSession, label: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """What ``compute`` returns, as a table; the tables that it writes on its way are removed."""
+    with scratch(spark):
+        out = materialise(compute(), label, keep=True)
+    if (held := _scratch.get()) is not None:
+        held += sorted({f.rsplit("/", 1)[0] for f in out.inputFiles()})
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import id_text, lowered, materialise, mix, packed, partitions, prefix_hash, signed, span_hash, text_slices, words
+from palisade.llm.common import id_text, lowered, materialise, mix, packed, partitions, prefix_hash, release, settled, signed, span_hash, text_slices, words
 
 #: An n-gram is frequent from this many prefixes on, or from so many that FREQUENT_KEPT n-grams can reach it at most.
 FREQUENT, FREQUENT_KEPT = 64, 50_000
 #: Sets of up to so many members have a sketch of so many bits. A wide one folds into a narrow one, its bits taken modulo.
-SKETCHES = ((1_200, 512), (9_600, 4_096), (1 << 62, 16_384))
+#: Sketches of unrelated sets differ in half their bits at most, so with much more members than bits none is told apart, and
+#: sets that only share a prefix member gather in one group, whose work grows with its square.
+SKETCHES = (*((600 << i, 512 << i) for i in range(7)), (1 << 62, 65_536))
 #: N-grams of a group's sets that one task holds, a set counting as so many more; and holders of a prefix member whose
 #: sketches one task compares. More holders than these are put into one group as they are.
 GROUP_MEMBERS, SET_COST, HOLDERS = 3_000_000, 16, 20_000
@@ -50,7 +52,7 @@ READ_AGAIN = 1_000_000
 #: Bits that a piece of a sketch has at least, where pieces are compared.
 PIECE_BITS = 12
 
-SIG = "doc_id long, named boolean, n long, sum_a long, sum_b long, size_class int, sketch binary, folded binary, prefix array<long>"
+SIG = "doc_id long, named boolean, n long, sum_a long, sum_b long, views array<struct<wide: int, sketch: binary>>, prefix array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,24 +113,25 @@ def signatures(size: int, percent: int, frequent: np.ndarray, only: np.ndarray |
                 n = np.zeros(part.num_rows, np.int64)
                 sums = np.zeros((2, part.num_rows), np.uint64)
                 prefix: list = [[]] * part.num_rows
-                wide, sketch, folded = [0] * part.num_rows, [b""] * part.num_rows, [None] * part.num_rows
+                seen, wide, sketch = np.zeros(part.num_rows + 1, np.int32), [], []
                 for i, kept, length in sets_of(part, size):
                     n[i] = len(kept)
                     sums[0, i] = kept.sum(dtype=np.uint64)
                     sums[1, i] = mix(kept ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                    wide[i] = size_class(len(kept))
-                    sketch[i] = parity_sketch(kept, wide[i])
-                    if wide[i] and size_class(needed(len(kept), percent)) < wide[i]:
-                        folded[i] = parity_sketch(kept, wide[i] - 1)  # to meet the sets just below its class
+                    own = range(size_class(needed(len(kept), percent)), size_class(len(kept)) + 1)  # to meet smaller sets too
+                    wide += own
+                    sketch += [parity_sketch(kept, w) for w in own]
+                    seen[i + 1] = len(own)
                     often = np.zeros(len(kept), bool)
                     if len(frequent):
                         often = frequent[np.minimum(np.searchsorted(frequent, kept), len(frequent) - 1)] == kept
                     order = np.lexsort((kept, -length, often))
                     prefix[i] = signed(kept[order[: len(kept) - needed(len(kept), percent) + 1]])
-                sketches = pa.array(wide, pa.int32()), pa.array(sketch, pa.binary()), pa.array(folded, pa.binary())
+                views = pa.StructArray.from_arrays([pa.array(wide, pa.int32()), pa.array(sketch, pa.binary())], names=["wide", "sketch"])
+                views = pa.ListArray.from_arrays(pa.array(np.cumsum(seen, dtype=np.int32)), views)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(part.schema.get_field_index("named")), pa.array(n), *(pa.array(signed(x)) for x in sums), *sketches, pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "named", "n", "sum_a", "sum_b", "size_class", "sketch", "folded", "prefix"],
+                    [part.column(0), part.column(part.schema.get_field_index("named")), pa.array(n), *(pa.array(signed(x)) for x in sums), views, pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc_id", "named", "n", "sum_a", "sum_b", "views", "prefix"],
                 )
 
     return run
@@ -517,6 +520,7 @@ def groups_of(pairs: DataFrame) -> DataFrame:
         far = labels.select(F.col("rep").alias("near"), F.col("grp").alias("far"))
         new = labels.join(near, "rep").join(far, "near").select("rep", F.least("far", "near").alias("grp"), (F.least("far", "near") < F.col("grp")).alias("moved"))
         new = materialise(new, "labels")
+        release(labels)
         if not new.filter("moved").limit(1).count():
             return new.select("rep", "grp")
         labels = new.select("rep", "grp")
@@ -524,6 +528,11 @@ def groups_of(pairs: DataFrame) -> DataFrame:
 
 def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``df``; ``percent`` is the Jaccard threshold."""
+    return settled(df.sparkSession, "components", lambda: named_components(df, size, percent))
+
+
+def named_components(df: DataFrame, size: int, percent: int) -> DataFrame:
+    """As ``component_ids``, computed from tables that stay. Those as large as a part of the corpus go when they are used up."""
     spark = df.sparkSession
     docs = id_text(df)
     anonymous = docs.filter("doc_id is null").limit(1).count() > 0
@@ -532,13 +541,21 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     docs = marked.drop("named")
 
     def classes(frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """Size and sum of every row's set; size, sketches and prefix of every class's."""
         sig = materialise(marked.mapInArrow(signatures(size, percent, frequent), SIG), "signatures")
-        own = F.any_value(F.struct("size_class", "sketch", "folded", "prefix")).alias("own")
-        return sig, sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), own).select("n", "sum_a", "sum_b", "rep", "own.*")
+        thin = materialise(sig.drop("views", "prefix"), "sums")
+        own = F.any_value(F.struct("views", "prefix")).alias("own")
+        reps = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep"), own).select("rep", "n", "own.*")
+        reps = materialise(reps, "classes")
+        release(sig)
+        return thin, reps
 
-    sig, reps = classes(np.zeros(0, np.uint64))
+    def holders_of(prefixes: DataFrame) -> DataFrame:
+        return materialise(prefixes.groupBy("token").count().filter("count > 1"), "counts")
+
+    thin, reps = classes(np.zeros(0, np.uint64))
     prefixes = reps.select("rep", F.explode("prefix").alias("token"))
-    counts = materialise(prefixes.groupBy("token").count().filter("count > 1"), "counts")
+    counts = holders_of(prefixes)
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     often = counts.filter(F.col("count") >= max(FREQUENT, total // FREQUENT_KEPT)).select("token")
     frequent = np.sort(often.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
@@ -550,22 +567,30 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
             second = marked.mapInArrow(signatures(size, percent, frequent, ids), SIG).select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
             prefixes = materialise(prefixes.join(F.broadcast(again), "rep", "left_anti").unionByName(second.distinct()), "prefixes")
         else:
-            sig, reps = classes(frequent)
-            prefixes = reps.select("rep", F.explode("prefix").alias("token"))
-        counts = prefixes.groupBy("token").count().filter("count > 1")
+            release(reps, thin)
+            thin, reps = classes(frequent)
+            prefixes = materialise(reps.select("rep", F.explode("prefix").alias("token")), "prefixes")
+        release(counts)
+        large = [prefixes, reps]
+        reps = materialise(reps.drop("prefix"), "sketches")
+        release(large.pop())
+        counts = holders_of(prefixes)
+    else:
+        large = [reps]
+        reps = materialise(reps.drop("prefix"), "sketches")
     # tokens of one holder go before the sketches are added: most of a prefix is its document's own
-    crowded = counts.filter(F.col("count") > HOLDERS).limit(1).count() > 0
-    shared = prefixes.join(counts.filter(F.col("count") <= HOLDERS).select("token"), "token", "left_semi")
+    shared = materialise(prefixes.join(counts.filter(F.col("count") <= HOLDERS).select("token"), "token", "left_semi"), "shared")
+    crowded = counts.filter(F.col("count") > HOLDERS).select("token")
+    held = materialise(prefixes.join(crowded, "token"), "crowded") if crowded.limit(1).count() else None
+    release(*large)
     # tokens with the same holders lead to the same edges, so one of them does: sketches travel once for each list of holders
     lists = shared.groupBy("token").agg(F.sort_array(F.collect_list("rep")).alias("reps")).groupBy("reps").agg(F.min("token").alias("token"))
     shared = lists.select("token", F.explode("reps").alias("rep")).groupBy("rep").agg(F.collect_list("token").alias("shared"))
-    views = F.array(F.struct(F.col("size_class").alias("wide"), "sketch"), F.struct((F.col("size_class") - 1).alias("wide"), F.col("folded").alias("sketch")))
-    holders = reps.select("rep", "n", F.explode(views).alias("v")).filter("v.sketch is not null").join(shared, "rep")
+    holders = reps.select("rep", "n", F.explode("views").alias("v")).join(shared, "rep")
     holders = holders.select("v.wide", F.explode("shared").alias("token"), "rep", "n", "v.sketch")
     holders = holders.repartition(partitions(spark), "token").sortWithinPartitions("wide", "token")
     edges = holders.mapInArrow(edges_of(percent), "a long, b long").distinct()
-    if crowded:
-        held = prefixes.join(counts.filter(F.col("count") > HOLDERS).select("token"), "token")
+    if held is not None:
         edges = edges.unionByName(held.join(held.groupBy("token").agg(F.min("rep").alias("a")), "token").select("a", F.col("rep").alias("b")).filter("a != b").distinct())
     edges = materialise(edges, "edges")
     # each edge's lesser end stands for a token that both ends hold
@@ -583,11 +608,11 @@ def component_ids(df: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     else:
         linked = link_in(docs, grouped.select("grp", "doc_id"), size, percent)
     linked = linked.select(F.col("doc_id").alias("rep"), "component").distinct()
-    named = sig.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
+    named = thin.filter("n > 0").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("rep")).join(linked, "rep", "left")
     named = named.select("n", "sum_a", "sum_b", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "named", "n", "sum_a", "sum_b").join(named, ["n", "sum_a", "sum_b"], "left").select("doc_id", "named", "n", "component")
+    out = thin.join(named, ["n", "sum_a", "sum_b"], "left").select("doc_id", "named", "n", "component")
     if anonymous:  # components are named by the ids that there are
-        out = materialise(out, "components")
+        out = materialise(out, "unnamed")
         names = out.filter("named and n > 0").groupBy("component").agg(F.min("doc_id").alias("name"))
         out = out.join(names, "component", "left").withColumn("component", F.col("name"))
     own = F.when(F.col("named"), F.col("doc_id"))

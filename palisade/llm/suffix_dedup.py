@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import id_text, materialise, packed, partitions, prefix_hash, signed, span_hash, text_slices
+from palisade.llm.common import id_text, materialise, packed, partitions, prefix_hash, settled, signed, span_hash, text_slices
 
 MIN_BYTES = 100
 #: Substrings hashed to key a window: MIN_BYTES - ANCHORS + 1 bytes each, so that a window holds ANCHORS of them.
@@ -346,7 +346,7 @@ def remove_repeats(df: DataFrame, keep: bool = True, more: tuple[str, ...] = (),
 
     ``kept`` can cut a character in two; ``make_valid_utf8`` reads it as text.
     """
-    spans = repeated_spans(df, **how).groupBy("named", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    spans = settled(df.sparkSession, "spans", lambda: repeated_spans(df, **how).groupBy("named", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s")))
     spans = spans.select("named", F.col("doc_id").alias("key_id"), F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
     named, key = own_key()
     docs = id_text(df, *([F.struct(*more).alias("row")] if more else [])).withColumns({"named": named, "key_id": key})

@@ -411,6 +411,50 @@ def test_ngram_join_reads_again_for_frequent_ngrams(spark, monkeypatch, ids):
     assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in got.items()} == {d: {w} for d, w in want.items()} and any(d != w[1] for d, w in want.items())
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_tell_unrelated_sets_apart(percent):
+    """Sets of any size that have nothing in common are no candidates, so they don't gather in one group."""
+    rng = np.random.default_rng(percent)
+    for n in (20, 600, 601, 1_100, 1_200, 2_400, 4_800, 9_600, 19_200, 38_400, 60_000):
+        a, b = rng.integers(0, 1 << 62, (2, n), np.uint64)
+        wide = ngram_join.size_class(n)
+        differ = sum((x ^ y).bit_count() for x, y in zip(*(ngram_join.parity_sketch(x, wide) for x in (a, b))))
+        assert not ngram_join.may_link(np.array([n]), np.array([n]), np.array([differ]), percent)[0], n
+
+
+@pytest.mark.parametrize("percent", [80, 35])
+def test_ngram_join_of_sets_on_both_sides_of_a_sketch_bound(spark, percent):
+    rng = random.Random(percent)
+    texts = []
+    for most in (600, 1_200, 2_400):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(most * 100 // percent + 40)]
+        texts += [" ".join(words[:n]) for n in (most - 30, most - 5, most + 5, most * 9 // 8, most * 100 // percent - 40, len(words))]
+    df = frame(spark, texts)
+    got = by_id(ngram_join.component_ids(df, 3, percent))
+    want = brute_components(documents(df), 3, percent)
+    assert {d: {(r["n_shingles"], r["component_id"]) for r in rows} for d, rows in got.items()} == {d: {w} for d, w in want.items()}
+    assert sum(d != w[1] for d, w in want.items()) >= 12
+
+
+def test_what_is_shuffled_and_written_on_the_way_goes(spark):
+    """Of a join and of removed repeats one table each stays, and no shuffle files of what was written before."""
+    folder, disk = common.shared_dir(spark).removeprefix("file://"), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if f.startswith("shuffle_")}
+    df = frame(spark, odd_texts())
+    for call, left in ((lambda: ngram_join.component_ids(df, 3, 80), "components"), (lambda: suffix_dedup.remove_repeats(df), "spans")):
+        tables = set(os.listdir(folder))
+        rows = call()
+        assert [t.rsplit("-", 1)[0] for t in set(os.listdir(folder)) - tables] == [left]
+        assert rows.count() == df.count()
+    before = shuffled()
+    table = common.materialise(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "sevens")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and table.count() == 7 and spark.conf.get(common.CLEANUP) == "false"
+    assert table.groupBy("count").count().collect() == table.groupBy("count").count().collect()
+
+
 def test_sentencepiece(spark):
     df = frame(spark, odd_texts())
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
