@@ -512,14 +512,16 @@ def link_large(docs: DataFrame, members: DataFrame, size: int, percent: int) ->
 
 def groups_of(pairs: DataFrame) -> DataFrame:
     """(rep, token) rows to (rep, grp): least rep reachable over shared tokens. Each round takes the least label of a
-    token's holders and then of a holder's tokens, and follows labels one step further; it ends when none changes."""
-    labels = materialise(pairs.groupBy("rep").agg(F.min("rep").alias("grp")), "labels")
+    token's holders and then of a holder's tokens, and follows labels one step further; it ends when none changes. Labels
+    are small and written every round, so in a file for each core, not for each shuffle partition."""
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    labels = materialise(pairs.groupBy("rep").agg(F.min("rep").alias("grp")).coalesce(cores), "labels")
     while True:
         by_token = pairs.join(labels, "rep").groupBy("token").agg(F.min("grp").alias("grp"))
         near = pairs.join(by_token, "token").groupBy("rep").agg(F.min("grp").alias("near"))
         far = labels.select(F.col("rep").alias("near"), F.col("grp").alias("far"))
         new = labels.join(near, "rep").join(far, "near").select("rep", F.least("far", "near").alias("grp"), (F.least("far", "near") < F.col("grp")).alias("moved"))
-        new = materialise(new, "labels")
+        new = materialise(new.coalesce(cores), "labels")
         release(labels)
         if not new.filter("moved").limit(1).count():
             return new.select("rep", "grp")
